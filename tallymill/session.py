@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -29,3 +33,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_tallymill_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="tallymill-")) / "tallymill_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f"tallymill/{f.relative_to(home)}")
+    context.addPyFile(str(path))
+    context._tallymill_shipped = True
