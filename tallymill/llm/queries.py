@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallymill.llm import token_files
+from tallymill.session import ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +19,12 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 def query(name: str, sql: str | None = None):
     def put(f):
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark, sf_dir):
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return f
