@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallymill.llm import token_files
+from tallymill.llm import token_files, trie_bpe
 from tallymill.session import ship
 
 QUERIES: dict = {}
@@ -40,3 +40,8 @@ def read(spark, sf_dir, name):
 def op1_token_files(spark, sf_dir):
     shards, _ = token_files.write(read(spark, sf_dir, "documents"), WORD_BPE, vocabulary=49_408, end_id=2)
     return token_files.read(shards)
+
+
+@query("op10_trie_bpe")
+def op10_trie_bpe(spark, sf_dir):
+    return trie_bpe.digests(read(spark, sf_dir, "documents"), BYTE_BPE)
