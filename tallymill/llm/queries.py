@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallymill.llm import token_files, trie_bpe
+from tallymill.llm import exact_dedup, packing, token_files, trie_bpe
 from tallymill.session import ship
 
 QUERIES: dict = {}
@@ -45,3 +45,19 @@ def op1_token_files(spark, sf_dir):
 @query("op10_trie_bpe")
 def op10_trie_bpe(spark, sf_dir):
     return trie_bpe.digests(read(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query(
+    "op4_exact_dedup",
+    r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+    SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+      doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+    FROM n WINDOW w AS (PARTITION BY t)""",
+)
+def op4_exact_dedup(spark, sf_dir):
+    return exact_dedup.groups(read(spark, sf_dir, "documents"))
+
+
+@query("op6_retrieval_packing")
+def op6_retrieval_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
