@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, exact_dedup, packing, token_files, trie_bpe
+from tallymill.llm import chat_format, exact_dedup, packing, site_tree, token_files, trie_bpe
 from tallymill.session import ship
 
 QUERIES: dict = {}
@@ -81,3 +81,8 @@ def op2_chat_format(spark, sf_dir):
     nasty = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", nasty), (-7, 1, "assistant", nasty)], "conv_id long, turn long, role string, text string")
     return chat_format.read_back(chat_format.format_chats(rows.unionByName(more)))
+
+
+@query("op3_site_style_tree")
+def op3_site_style_tree(spark, sf_dir):
+    return site_tree.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
