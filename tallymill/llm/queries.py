@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, exact_dedup, packing, site_tree, token_files, trie_bpe
+from tallymill.llm import chat_format, exact_dedup, hd_language, packing, site_tree, token_files, trie_bpe, weak_quality
 from tallymill.session import ship
 
 QUERIES: dict = {}
@@ -86,3 +86,13 @@ def op2_chat_format(spark, sf_dir):
 @query("op3_site_style_tree")
 def op3_site_style_tree(spark, sf_dir):
     return site_tree.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op7_hd_language")
+def op7_hd_language(spark, sf_dir):
+    return hd_language.identify(read(spark, sf_dir, "documents"))
+
+
+@query("op8_weak_quality")
+def op8_weak_quality(spark, sf_dir):
+    return weak_quality.score(read(spark, sf_dir, "documents"))
