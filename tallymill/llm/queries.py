@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, exact_dedup, hd_language, packing, site_tree, token_files, trie_bpe, weak_quality
+from tallymill.llm import chat_format, e8_neardup, exact_dedup, hd_language, packing, site_tree, token_files, trie_bpe, weak_quality
 from tallymill.session import ship
 
 QUERIES: dict = {}
@@ -96,3 +96,8 @@ def op7_hd_language(spark, sf_dir):
 @query("op8_weak_quality")
 def op8_weak_quality(spark, sf_dir):
     return weak_quality.score(read(spark, sf_dir, "documents"))
+
+
+@query("op9_e8_neardup")
+def op9_e8_neardup(spark, sf_dir):
+    return e8_neardup.groups(read(spark, sf_dir, "embeddings"))
