@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, e8_neardup, exact_dedup, hd_language, packing, site_tree, token_files, trie_bpe, weak_quality
+from tallymill.llm import chat_format, e8_neardup, exact_dedup, hd_language, packing, parity_join, site_tree, token_files, trie_bpe, weak_quality
 from tallymill.session import ship
 
 QUERIES: dict = {}
@@ -101,3 +101,8 @@ def op8_weak_quality(spark, sf_dir):
 @query("op9_e8_neardup")
 def op9_e8_neardup(spark, sf_dir):
     return e8_neardup.groups(read(spark, sf_dir, "embeddings"))
+
+
+@query("op5_parity_join")
+def op5_parity_join(spark, sf_dir):
+    return parity_join.groups(read(spark, sf_dir, "documents"))
