@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymill.llm import scratch
@@ -99,8 +100,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
     Texts are equal when they are after :func:`normalised`; of equal ones the smallest doc_id stays
     (a null doc_id counts as the largest, and stays only where no other does).  Null text equals
-    empty text.  Rows that share doc_id and text count singly, and all rows with the keep_id are
-    kept=true only once.  An empty table gives no row; other columns are ignored.
+    empty text.  Rows that share doc_id and text count singly and are kept or dropped alike.  An empty table gives no row; other columns are ignored.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
@@ -112,7 +112,7 @@ def groups(docs: DataFrame) -> DataFrame:
     same = (
         candidates.groupBy(F.sha2("norm", 256).alias("sha"), "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("sha", F.xxhash64("norm").alias("fp"), "keep_id", "group_size", F.when(F.count("*").over(_by_sha()) > 1, F.col("norm")).alias("norm"))
+        .select("sha", F.xxhash64("norm").alias("fp"), "keep_id", "group_size", F.when(F.count("*").over(W.partitionBy("sha")) > 1, F.col("norm")).alias("norm"))
     )
     verified, _ = scratch.store(same, "dedup-groups")
     plain = ids.join(verified.where("norm IS NULL").drop("norm", "fp"), "sha", "left")
@@ -129,14 +129,16 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def _by_sha():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("sha")
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`groups` keeps, with all their columns."""
-    stays = groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-    return kept
+    """One row of ``docs`` for each group of :func:`groups`, with all its columns.
+
+    Where rows with the kept doc_id repeat the kept text, any one of them stays.
+    """
+    stays = groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_n"))
+    stays, _ = scratch.store(stays.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "_n"), "dedup-kept")
+    sha = F.sha2(normalised(docs["text"]), 256)
+    mine = lambda t: docs.join(t, docs["doc_id"].eqNullSafe(t["_id"]) & (sha == t["_sha"]), "left_semi")
+    if stays.where("_n > 1").isEmpty():
+        return mine(stays)
+    again = mine(stays.where("_n > 1")).withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return mine(stays.where("_n = 1")).unionByName(again)

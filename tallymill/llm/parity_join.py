@@ -340,42 +340,61 @@ def across(groups: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     return dealt.repartition("sid", "deal").sortWithinPartitions("sid", "deal").mapInArrow(_across, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id.
-
-    Null text is empty; a text without words has an empty set, links with nothing, and is its own
-    component.  Rows with equal sets are one class.  A null doc_id counts as larger than any
-    other and is the component only of its own.  Repeated rows give repeated results; an empty
-    table gives no row; columns other than doc_id and text are ignored.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of the text), n, and the first (doc_id, row) of the component of each row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
     seen, _ = scratch.store(profile(rows), "near-profiles")
-    classes = seen.where("n > 0").groupBy(F.col("d1").alias("id"), "n", "d2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.any_value("sketch").alias("sketch"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    classes = seen.where("n > 0").groupBy(F.col("d1").alias("id"), "n", "d2").agg(first, F.any_value("sketch").alias("sketch"))
     classes, _ = scratch.store(classes, "near-classes")
     keys = int(classes.agg(F.sum(F.col("n") * 0.5 + 2)).first()[0] or 0)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // KEYS + 1)
-    met, _ = scratch.store(meetings(rows, parts), "near-meetings")
+    met, met_path = scratch.store(meetings(rows, parts), "near-meetings")
     scratch.release(spark)
 
     stars = met.mapInArrow(_stars, "a long, b long").distinct()
-    first, _ = scratch.store(screened(stars, classes), "near-stars")
-    links = verified(first, classes, rows)
+    tried, _ = scratch.store(screened(stars, classes), "near-stars")
+    links = verified(tried, classes, rows)
     scratch.release(spark)
     some = components.components(links)
-    more, _ = scratch.store(across(met, classes, some).join(first, ["a", "b"], "left_anti"), "near-across")
+    more, _ = scratch.store(across(met, classes, some).join(tried, ["a", "b"], "left_anti"), "near-across")
     links = links.unionByName(verified(more, classes, rows))
+    scratch.drop(spark, met_path)
     scratch.release(spark)
     whole = components.components(links)
 
-    named = classes.join(whole.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("d1"), "n", "d2", F.coalesce("component", "id").alias("comp"), "first.doc_id")
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named, _ = scratch.store(named.join(least, "comp").select("d1", "n", "d2", "component_id"), "near-components")
-    out = seen.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.join(whole.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("d1"), "n", "d2", F.coalesce("component", "id").alias("comp"), "first")
+    least = named.groupBy("comp").agg(F.min("first").alias("least"))
+    named, _ = scratch.store(named.join(least, "comp").select("d1", "n", "d2", "least"), "near-components")
+    return seen.select("doc_id", "row", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left").select("doc_id", "row", "n", "least")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id.
+
+    Null text is empty; a text without words has an empty set, links with nothing, and is its own
+    component.  Rows with equal sets are one class.  A null doc_id stands behind all others: it is
+    the component only of rows that reach no other.  Repeated rows give repeated results; an empty
+    table gives no row; columns other than doc_id and text are ignored.
+    """
+    component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return _grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their component, with all their columns."""
-    stays = groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    """One row of ``docs`` for each component of :func:`groups`, with all its columns.
+
+    The row of the smallest doc_id stays (of rows that share it, one text; of repeats, any one).
+    All texts without words stay.
+    """
+    stays = _grouped(docs).where("least IS NULL OR (least.doc_id <=> doc_id AND least.row = row)")
+    stays = stays.groupBy("doc_id", "row").agg(F.count("*").alias("_n"), F.max("n").alias("_words"))
+    stays, _ = scratch.store(stays.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_n", "_words"), "near-kept")
+    row = F.xxhash64(docs["text"])
+    mine = lambda t: docs.join(t, docs["doc_id"].eqNullSafe(t["_id"]) & (row == t["_row"]), "left_semi")
+    repeats = (F.col("_n") > 1) & (F.col("_words") > 0)
+    if stays.where(repeats).isEmpty():
+        return mine(stays)
+    again = mine(stays.where(repeats)).withColumn("_row", F.xxhash64("text")).dropDuplicates(["doc_id", "_row"]).drop("_row")
+    return mine(stays.where(~repeats)).unionByName(again)
