@@ -10,13 +10,14 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 from tallymill.llm.batches import gather, sums
 
 #: Distinct chunks that a worker remembers before it starts afresh.
-KEEP = 800_000
+KEEP = 1_500_000
 #: Chunks that are encoded as one text.
 GROUP = 256
 
@@ -62,6 +63,12 @@ class Encoder:
     def __init__(self, path: str, keep: int = KEEP):
         self.lib, self.keep = library(path), keep
         self.mark = self.lib.encode(f" {MARK}", add_special_tokens=False).ids
+        self.stops = {x: self.lib.encode(x, add_special_tokens=False).ids[0] for x in ".,"}
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character a byte
+        for token, k in vocab.items():
+            self.bytes[k] = len(token.removesuffix("</w>"))
+        self.drops = self.lib.encode(" ", add_special_tokens=False).ids == []  # white space has no token
         self._clear()
 
     def _clear(self) -> None:
@@ -73,24 +80,49 @@ class Encoder:
         """Numbers of the chunks of all texts end to end, and how many each text has."""
         if len(self.known) > self.keep:
             self._clear()
-        get, out, counts = self.known.__getitem__, [], np.zeros(len(texts), np.int64)
+        out, counts = [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             parts = cut(text)
             parts[0] = "\0" + parts[0]  # no space in front
             counts[k] = len(parts)
-            out += map(get, parts)
+            out += parts
+        at = np.fromiter(map(self.known.__getitem__, out), np.int64, len(out))
         if self.known.new:
-            self._learn(self.known.new)
-            self.known.new = []
-        return np.array(out, np.int64), counts
-
-    def _learn(self, new: list[str]) -> None:
-        ids, lens = self.encode_chunks([x[1:] if x[:1] == "\0" else " " + x for x in new])
+            self._learn()
+        return at, counts
+
+    def _learn(self) -> None:
+        """Encode the new chunks; one that only adds a stop or comma to a letter takes that other chunk's ids."""
+        new, first, tails = self.known.new, len(self.len), []
+        for k in range(len(new)):
+            x = new[k]
+            if len(x) > 1 and x[-1] in ".," and "a" <= x[-2] < "\u0250" and x[-2].isalpha() and x[-2] != "\u0130" and x[0] != "\0":
+                tails.append((k, self.known[x[:-1]], self.stops[x[-1]]))  # may be new itself
+        ids, lens = np.zeros(0, np.uint32), np.zeros(len(new), np.int64)
+        k, base, stop = np.array(tails, np.int64).reshape(-1, 3).T
+        whole = np.ones(len(new), bool)
+        whole[k] = False
+        ids, lens[whole] = self.encode_chunks([x[1:] if x[:1] == "\0" else " " + x for x, w in zip(new, whole.tolist()) if w])
+        start = np.zeros(len(new), np.int64)
+        start[whole] = self.used + np.cumsum(lens[whole]) - lens[whole]
+        self._put(ids)
+        all_start, all_len = np.concatenate([self.start, start]), np.concatenate([self.len, lens])
+        if len(k):
+            n = all_len[base] + 1
+            more = np.zeros(int(n.sum()), np.uint32)
+            ends = np.cumsum(n)
+            more[ends - 1] = stop
+            rest = np.ones(len(more), bool)
+            rest[ends - 1] = False
+            more[rest] = self.ids[gather(all_start[base], n - 1)]
+            all_start[first + k], all_len[first + k] = self.used + ends - n, n
+            self._put(more)
+        self.start, self.len, self.known.new = all_start, all_len, []
+
+    def _put(self, ids: np.ndarray) -> None:
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, len(ids)) + len(ids), np.uint32)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.start = np.concatenate([self.start, self.used + np.cumsum(lens) - lens])
-        self.len = np.concatenate([self.len, lens])
         self.used += len(ids)
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +134,7 @@ class Encoder:
         odd = [k for k, x in enumerate(chunks) if x[:1] != " " or len(x) < 2 or x[1].isspace() or MARK in x]
         held = set(odd)
         rest = [x for k, x in enumerate(chunks) if k not in held] if odd else chunks
-        groups = [f" {MARK}".join(rest[i : i + GROUP]) + f" {MARK}" for i in range(0, len(rest), GROUP)]
-        got = [e.ids for e in self.lib.encode_batch_fast(groups, add_special_tokens=False)]
-        ids = np.array([x for e in got for x in e], np.uint32)
-        ends = np.flatnonzero(ids == self.mark[-1]) + 1
-        lens = np.diff(ends, prepend=0) - len(self.mark)
-        if len(ends) != len(rest):
-            raise AssertionError("the tokenizer joined a chunk with the mark after it")
-        ids = ids[gather(ends - len(self.mark) - lens, lens)]
+        ids, lens = self._grouped(rest)
         if not odd:
             return ids, lens
         alone = [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast([chunks[k] for k in odd], add_special_tokens=False)]
@@ -122,6 +147,45 @@ class Encoder:
         at[~is_odd] = np.cumsum(lens) - lens
         return np.concatenate([ids, tail])[gather(at, all_lens)], all_lens
 
+    def _grouped(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_chunks, for chunks with a space in front.
+
+        The bytes of the tokens tell the chunks apart; where they don't add up (a normaliser may
+        change lengths), a mark between the chunks does.
+        """
+        if self.drops and not all(map(str.isascii, chunks)):
+            plain = np.array([x.isascii() for x in chunks])
+            ids, n = self._grouped([x for x in chunks if x.isascii()])
+            more, m = self._marked([x for x in chunks if not x.isascii()])
+            lens, begin = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+            lens[plain], lens[~plain] = n, m
+            begin[plain], begin[~plain] = np.cumsum(n) - n, len(ids) + np.cumsum(m) - m
+            return np.concatenate([ids, more])[gather(begin, lens)], lens
+        if not chunks:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids = self._flat(["".join(chunks[i : i + GROUP]) for i in range(0, len(chunks), GROUP)])
+        if self.drops:
+            size = [sum(map(len, x.split())) for x in chunks]
+        else:
+            size = [len(x) if x.isascii() else len(x.encode()) for x in chunks]
+        ends, wanted = np.cumsum(self.bytes[ids]), np.cumsum(size)
+        at = np.searchsorted(ends, wanted)
+        if at[-1] + 1 == len(ids) and (ends[at] == wanted).all():
+            return ids, np.diff(at + 1, prepend=0)
+        return self._marked(chunks)
+
+    def _marked(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._flat([f" {MARK}".join(chunks[i : i + GROUP]) + f" {MARK}" for i in range(0, len(chunks), GROUP)])
+        ends = np.flatnonzero(ids == self.mark[-1]) + 1
+        lens = np.diff(ends, prepend=0) - len(self.mark)
+        if len(ends) != len(chunks):
+            raise AssertionError("the tokenizer joined a chunk with the mark after it")
+        return ids[gather(ends - len(self.mark) - lens, lens)], lens
+
+    def _flat(self, texts: list[str]) -> np.ndarray:
+        got = self.lib.encode_batch_fast(texts, add_special_tokens=False)
+        return np.fromiter(chain.from_iterable([e.ids for e in got]), np.uint32)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each text."""
         at, counts = self.pieces(texts)
