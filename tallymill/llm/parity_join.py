@@ -10,12 +10,14 @@ within bands of sizes.  Sets that meet are screened by the Hamming distance of b
 verified exactly on their shingles.
 
 Equal sets are one class throughout.  Of the classes that meet in a block each is first compared
-with the smallest; only those that this leaves in different components are compared in pairs.
+with the smallest; those that this leaves in different components are compared by their sketches,
+first each with its closest one, then in pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -269,8 +271,11 @@ def _members(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), sid)), pa.array(m)], ["sid", "id"])
 
 
-def _across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within each (sid, deal) whose sketches are close."""
+def _across(it: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components within each (sid, deal) whose sketches are close.
+
+    ``nearest``: of those, for each row outside the group's largest component the closest one.
+    """
 
     def compare(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, comp, n, side = (t.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
@@ -296,13 +301,25 @@ def _across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(0, len(p), 1 << 19):
                     pk, qk = r[p[k : k + (1 << 19)]], q[k : k + (1 << 19)]
                     apart = np.bitwise_count(x[pk] ^ x[qk]).sum(1, dtype=np.int64)
-                    good = _close(m[pk], m[qk], apart)
-                    if good.any():
-                        yield np.minimum(i[pk[good]], i[qk[good]]), np.maximum(i[pk[good]], i[qk[good]])
+                    good = np.flatnonzero(_close(m[pk], m[qk], apart))
+                    if nearest and len(good):
+                        good = good[np.lexsort((apart[good], pk[good]))]
+                        good = good[np.flatnonzero(np.diff(pk[good], prepend=-1))]
+                    if len(good):
+                        yield np.stack([np.maximum(i[pk[good]], i[qk[good]]), np.minimum(i[pk[good]], i[qk[good]])], 1)
 
     def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        for b, a in compare(t):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        found: list[np.ndarray] = []  # groups overlap: pairs are told once for all groups at hand
+        for pairs in compare(t):
+            found.append(pairs)
+            if sum(map(len, found)) > 1 << 20:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                if len(found[0]) > 1 << 19:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], ["a", "b"])
+                    found = []
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
     for batch in it:
@@ -320,7 +337,7 @@ def _across(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(pa.Table.from_batches(held))
 
 
-def across(groups: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+def across(groups: DataFrame, classes: DataFrame, found: DataFrame, nearest: bool = False) -> DataFrame:
     """Pairs that meet, lie in different components of ``found``, and whose sketches are close.
 
     Groups of more than CHUNK rows are dealt out as pairs of chunks, so no task gathers a hot one.
@@ -337,7 +354,7 @@ def across(groups: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
         lambda k: F.when(k == F.col("side"), -F.col("side")).otherwise(1 + F.least(k, F.col("side")) * (1 << 31) + F.greatest(k, F.col("side"))),
     )
     dealt = rows.withColumn("deal", F.explode(deals)).select("sid", "deal", "side", "id", "comp", "n", "sketch")
-    return dealt.repartition("sid", "deal").sortWithinPartitions("sid", "deal").mapInArrow(_across, "a long, b long").distinct()
+    return dealt.repartition("sid", "deal").sortWithinPartitions("sid", "deal").mapInArrow(partial(_across, nearest=nearest), "a long, b long").distinct()
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -357,9 +374,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     tried, _ = scratch.store(screened(stars, classes), "near-stars")
     links = verified(tried, classes, rows)
     scratch.release(spark)
-    some = components.components(links)
-    more, _ = scratch.store(across(met, classes, some).join(tried, ["a", "b"], "left_anti"), "near-across")
-    links = links.unionByName(verified(more, classes, rows))
+    for nearest in (True, False):  # the first round merges most of what is left at little cost
+        some = components.components(links)
+        more, _ = scratch.store(across(met, classes, some, nearest).join(tried, ["a", "b"], "left_anti"), "near-across")
+        links, tried = links.unionByName(verified(more, classes, rows)), tried.unionByName(more)
     scratch.drop(spark, met_path)
     scratch.release(spark)
     whole = components.components(links)
