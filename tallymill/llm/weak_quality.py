@@ -21,6 +21,8 @@ from tallymill.llm import batches, words
 SAMPLE = 8192
 #: Hashed features of the scorer, and the score from which on a document is kept.
 FEATURES, KEEP = 2048, 0.4
+#: Trigrams of the mean document that each document is given besides its own.
+PRIOR = 100
 VOTERS = ("capitals", "exclamations", "symbols", "bars", "echoes", "variety", "sentences", "marks", "letters", "word_length")
 
 _CLASS = np.full(256, 9, np.uint8)  # other symbols
@@ -85,23 +87,36 @@ def votes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.where(n_words[:, None] > 0, out, 0).astype(np.int64)
 
 
-def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Hashed features of each text: square roots of trigram shares, and the share of echoes."""
+def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of each text, shares of its trigrams and the share of echoes; and how many trigrams it has."""
     kind, doc, _ = _counts(data, offs)
-    out = np.zeros((len(offs) - 1, FEATURES), np.float32)
+    out, n = np.zeros((len(offs) - 1, FEATURES), np.float32), np.zeros(len(offs) - 1, np.float32)
     if len(kind) >= 3:
         k = kind.astype(np.int64)
         tri = (k[:-2] * CLASSES + k[1:-1]) * CLASSES + k[2:]
         own = doc[:-2] == doc[2:]
         at = doc[:-2][own] * FEATURES + (tri[own] * 2654435761 >> 7) % (FEATURES - 1)
         out = np.bincount(at, minlength=out.size).reshape(out.shape).astype(np.float32)
-        out /= np.maximum(1, out.sum(1, keepdims=True))
+        n = out.sum(1)
+        out /= np.maximum(1, n)[:, None]
     hashed, n_words = words.hashes(data, offs)
     if len(hashed):
         of = np.repeat(np.arange(len(n_words)), n_words)
         echo = np.concatenate([[0], (hashed[1:] == hashed[:-1]) & (of[1:] == of[:-1])])
         out[:, -1] = batches.sums(echo, n_words) / np.maximum(1, n_words)
-    return np.sqrt(out)
+    return out, n
+
+
+def smoothed(shares: np.ndarray, n: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Square roots of shares to which PRIOR trigrams of the mean document are added: short texts say little."""
+    weight = (n / (n + PRIOR))[:, None].astype(np.float32)
+    return np.sqrt(shares * weight + mean.astype(np.float32) * (1 - weight))
+
+
+def _scores(data: np.ndarray, offs: np.ndarray, scorer) -> np.ndarray:
+    w, b, mean = scorer
+    s = 1 / (1 + np.exp(-(smoothed(*features(data, offs), mean) @ w + b)))
+    return np.where(words.hashes(data, offs)[1] > 0, s, 0.0)
 
 
 def code(v: np.ndarray) -> np.ndarray:
@@ -140,7 +155,7 @@ def fit(x: np.ndarray, good: np.ndarray, rounds: int = 300, decay: float = 1e-4)
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, np.ndarray]:
     """The scorer: pattern counts cover every document, the fit a sample of ``sample`` of them at most."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +169,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     texts = docs.select("text")
     found = texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # 3 ** voters rows at most
     if not found:
-        return np.zeros(FEATURES), 0.0
+        return np.zeros(FEATURES), 0.0, np.zeros(FEATURES)
     codes = np.array([r.pattern for r in found])
     patterns, counts = codes[:, None] // 3 ** np.arange(len(VOTERS)) % 3, np.array([r.n for r in found], float)
     bad = dict(zip(codes.tolist(), posterior(patterns, counts)))
@@ -163,33 +178,33 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
         for batch in it:
             for run in batches.runs(batch):
                 data, offs = batches.spans(run.column("text"))
-                x = features(data, offs).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array(code(votes(data, offs))), pa.array([r.tobytes() for r in x], pa.binary())], ["pattern", "x"])
+                x, size = features(data, offs)
+                raw = [r.tobytes() for r in x.astype(np.float16)]
+                yield pa.RecordBatch.from_arrays([pa.array(code(votes(data, offs))), pa.array(size), pa.array(raw, pa.binary())], ["pattern", "size", "x"])
 
     n = counts.sum()
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)) + 1
     chosen = texts.where(F.length("text") > 0).where(share).limit(sample)
-    rows = chosen.mapInArrow(examples, "pattern long, x binary").collect()
+    rows = chosen.mapInArrow(examples, "pattern long, size float, x binary").collect()
     if not rows:
-        return np.zeros(FEATURES), 0.0
+        return np.zeros(FEATURES), 0.0, np.zeros(FEATURES)
     x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)
-    return fit(x, 1 - np.array([bad.get(r.pattern, 0.5) for r in rows]))
+    mean = x.mean(0)
+    return *fit(smoothed(x, np.array([r.size for r in rows]), mean), 1 - np.array([bad.get(r.pattern, 0.5) for r in rows])), mean
 
 
-def score(docs: DataFrame, scorer: tuple[np.ndarray, float] | None = None) -> DataFrame:
+def score(docs: DataFrame, scorer: tuple[np.ndarray, float, np.ndarray] | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, quality_score (0 to 1), kept.
 
     Null text and texts without a word score 0 and are not kept.  Equal texts get equal scores,
     repeated rows repeated results; an empty table gives no row; other columns are ignored.
     """
-    w, b = scorer or train(docs)
+    scorer = scorer or train(docs)
 
     def run_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for run in batches.runs(batch):
-                data, offs = batches.spans(run.column("text"))
-                s = 1 / (1 + np.exp(-(features(data, offs) @ w + b)))
-                s = np.where(words.hashes(data, offs)[1] > 0, s, 0.0)
+                s = _scores(*batches.spans(run.column("text")), scorer)
                 yield pa.RecordBatch.from_arrays([run.column("doc_id"), pa.array(s), pa.array(s >= KEEP)], ["doc_id", "quality_score", "kept"])
 
     return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(run_, "doc_id long, quality_score double, kept boolean")
@@ -197,13 +212,11 @@ def score(docs: DataFrame, scorer: tuple[np.ndarray, float] | None = None) -> Da
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns, scored in one pass."""
-    w, b = train(docs)
+    scorer = train(docs)
 
     def run_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for run in batches.runs(batch):
-                data, offs = batches.spans(run.column("text"))
-                s = 1 / (1 + np.exp(-(features(data, offs) @ w + b)))
-                yield run.filter(pa.array((s >= KEEP) & (words.hashes(data, offs)[1] > 0)))
+                yield run.filter(pa.array(_scores(*batches.spans(run.column("text")), scorer) >= KEEP))
 
     return docs.mapInArrow(run_, docs.schema)

@@ -322,13 +322,13 @@ def test_language(spark, awkward, empty):
     assert {r["doc_id"] for r in held} == {i for i, r in got.items() if r.held_out}
     assert np.mean([got[r["doc_id"]].lang_pred == r["lang"] for r in held]) > 0.95
     odd = [(r.doc_id, r.lang_pred, r.score) for r in hd_language.identify(awkward).collect()]
-    assert all(0 <= s <= 1 for _, _, s in odd) and {i for i, p, _ in odd if p == "und"} == {3, 4, 5}.union({i for i, t in AWKWARD if t == "!!! ||| 123" and False}) | {i for i, p, _ in odd if p == "und"}
+    assert all(0 <= s <= 1 for _, _, s in odd) and sum(p == "und" for _, p, _ in odd) == 4
     assert {3, 4, 5} <= {i for i, p, _ in odd if p == "und"}
     assert hd_language.identify(empty).count() == 0 and hd_language.keep(empty).count() == 0
 
 
 def test_binding_by_definition():
-    letters = [hd_language._symbol[ord(c)] for c in "abc"]
+    letters = [int(hd_language._symbol[ord(c)]) for c in "abc"]
     gram = (letters[0] * hd_language.SYMBOLS + letters[1]) * hd_language.SYMBOLS + letters[2]
     a, b, c = (hd_language._letters[k] for k in letters)
     assert (hd_language.bound(np.array([gram]))[0] == np.roll(a, 2) * np.roll(b, 1) * c).all()
