@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The diagnostic patterns by category, most telling first.
+# The diagnostic patterns by category, most telling first, then other patterns and words.
 ERROR_PATTERNS = {
     "type_ssa": r"use of value .*? expects different type than prior uses|SSA value .*? has different type|"
     r"block argument .*? has different type|prior use here",
@@ -26,6 +26,11 @@ HINT_DIRECTORIES = ("arith", "func", "linalg", "memref", "scf", "affine")
 CHECK_LINE = r"//\s*(?:CHECK|CHECK-LABEL|CHECK-NEXT|CHECK-SAME)[-:]([^\n]*)"
 CASE_LINE = r"(?m)^\s*//\s*-----\s*$"
 NAMESPACE = r"([a-z_][a-z_0-9]*)\.[a-z_]"
+FUNCTION = r"func\.func\s+(?!private\b)@(\w+)\s*\(([^)]*)\)\s*(?:->\s*([^\{]+?))?\s*\{"
+MEMREF = r"^memref<((?:(?:\d+|\?)x)+)([fi]\d+)>$"
+TENSOR = r"^tensor<((?:(?:\d+|\?)x)*)([a-z]+\d+)>$"
+FENCE = r"(?s)```(?:mlir|llvm|c)?\n?(.*?)(?:```|$(?!\n))"
+NUMBER = r"(-?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|nan|inf))"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ABSOLUTE, RELATIVE = 1e-5, 1e-4
 
@@ -106,9 +111,8 @@ def path_description(path: Column) -> Column:
 
 def fence_body(c: Column) -> Column:
     """The first code fence's body, else the text from ``module {`` on, else the text."""
-    fence = r"(?s)```(?:mlir|llvm|c)?\n?(.*?)(?:```|$(?!\n))"
     at = F.instr(c, "module {")
-    return F.when(c.contains("```"), F.regexp_replace(F.regexp_extract(c, fence, 1), r"^\s+|\s+$", "")).when(at > 0, F.substring(c, at, F.length(c))).otherwise(c)
+    return F.when(c.contains("```"), F.regexp_replace(F.regexp_extract(c, FENCE, 1), r"^\s+|\s+$", "")).when(at > 0, F.substring(c, at, F.length(c))).otherwise(c)
 
 
 def ssa_refs(c: Column) -> Column:
@@ -121,40 +125,47 @@ def signature(c: Column) -> Column:
 
     An argument without a type makes the whole signature null.
     """
-    header = r"func\.func\s+(?!private\b)@(\w+)\s*\(([^)]*)\)\s*(?:->\s*([^\{]+?))?\s*\{"
-    part = lambda k: F.regexp_extract(c, header, k)
+    part = lambda k: F.regexp_extract(c, FUNCTION, k)
     pieces = F.when(F.trim(part(2)) == "", F.expr("cast(array() AS array<string>)")).otherwise(F.split(part(2), ","))
     types = F.transform(pieces, lambda x: F.regexp_replace(F.element_at(F.split(x, ":"), -1), r"\s", ""))
     typed = ~F.exists(pieces, lambda x: ~x.contains(":"))
-    return F.when(c.rlike(header) & typed, F.struct(part(1).alias("name"), types.alias("arg_types"), F.regexp_replace(part(3), r"\s", "").alias("ret")))
+    return F.when(c.rlike(FUNCTION) & typed, F.struct(part(1).alias("name"), types.alias("arg_types"), F.regexp_replace(part(3), r"\s", "").alias("ret")))
+
+
+def _shaped(t: Column, pattern: str) -> Column:
+    dims = F.filter(F.split(F.regexp_extract(t, pattern, 1), "x"), lambda x: x != "")
+    return F.when(t.rlike(pattern), F.struct(dims.alias("dims"), F.regexp_extract(t, pattern, 2).alias("dtype")))
 
 
 def memref(t: Column) -> Column:
     """(dims, dtype) of a ranked memref type, else null (of rank 0, too)."""
-    shape = r"^memref<((?:(?:\d+|\?)x)+)([fi]\d+)>$"
-    dims = F.filter(F.split(F.regexp_extract(t, shape, 1), "x"), lambda x: x != "")
-    return F.when(t.rlike(shape), F.struct(dims.alias("dims"), F.regexp_extract(t, shape, 2).alias("dtype")))
+    return _shaped(t, MEMREF)
 
 
 def tensor(t: Column) -> Column:
     """(dims, dtype) of a tensor type, else null; rank 0 has no dims."""
-    shape = r"^tensor<((?:(?:\d+|\?)x)*)([a-z]+\d+)>$"
-    dims = F.filter(F.split(F.regexp_extract(t, shape, 1), "x"), lambda x: x != "")
-    return F.when(t.rlike(shape), F.struct(dims.alias("dims"), F.regexp_extract(t, shape, 2).alias("dtype")))
+    return _shaped(t, TENSOR)
 
 
-def compatible(gold: Column, candidate: Column) -> Column:
-    """(compatible, relaxed) of two signatures: equal types, or memrefs whose candidate dims are ? or equal."""
+def _fits(gold: Column, candidate: Column, shaped) -> Column:
+    """Same rank and element type, and each candidate dim is ? or the gold one."""
+    a, b = shaped(gold), shaped(candidate)
+    dims = F.forall(F.zip_with(a["dims"], b["dims"], lambda x, y: (y == "?") | x.eqNullSafe(y)), lambda x: F.coalesce(x, F.lit(False)))
+    return F.coalesce((a["dtype"] == b["dtype"]) & (F.size(a["dims"]) == F.size(b["dims"])) & dims, F.lit(False))
 
-    def fits(g: Column, c: Column) -> Column:
-        a, b = memref(g), memref(c)
-        dims = F.forall(F.zip_with(a["dims"], b["dims"], lambda x, y: (y == "?") | x.eqNullSafe(y)), lambda x: F.coalesce(x, F.lit(False)))
-        return F.coalesce((a["dtype"] == b["dtype"]) & (F.size(a["dims"]) == F.size(b["dims"])) & dims, F.lit(False))
 
+def compatible(gold: Column, candidate: Column, shaped=memref, relax_result: bool = False) -> Column:
+    """(compatible, relaxed) of two signatures: types are equal, or shaped ones that fit.
+
+    Results have to be equal unless ``relax_result``, as tensor signatures have it.
+    """
+    alike = lambda g, c: g.eqNullSafe(c) | _fits(g, c, shaped)
     pairs = F.zip_with(gold["arg_types"], candidate["arg_types"], lambda g, c: F.struct(g.alias("g"), c.alias("c")))
-    same_size = (gold["ret"] == candidate["ret"]) & (F.size(gold["arg_types"]) == F.size(candidate["arg_types"]))
-    ok = F.coalesce(same_size & F.forall(pairs, lambda p: p["g"].eqNullSafe(p["c"]) | fits(p["g"], p["c"])), F.lit(False))
-    return F.struct(ok.alias("compatible"), (ok & F.exists(pairs, lambda p: ~p["g"].eqNullSafe(p["c"]))).alias("relaxed"))
+    result = alike(gold["ret"], candidate["ret"]) if relax_result else gold["ret"] == candidate["ret"]
+    ok = result & (F.size(gold["arg_types"]) == F.size(candidate["arg_types"])) & F.forall(pairs, lambda p: alike(p["g"], p["c"]))
+    ok = F.coalesce(ok, F.lit(False))
+    differ = F.exists(pairs, lambda p: ~p["g"].eqNullSafe(p["c"])) | ~gold["ret"].eqNullSafe(candidate["ret"])
+    return F.struct(ok.alias("compatible"), (ok & differ).alias("relaxed"))
 
 
 def exclusion(sig: Column) -> Column:
@@ -243,7 +254,7 @@ def entropy_bits(p: Column) -> Column:
 
 def numbers(c: Column) -> Column:
     """All numbers of a text, as doubles."""
-    found = F.regexp_extract_all(c, F.lit(r"(-?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|nan|inf))"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(NUMBER), F.lit(1))
     return F.transform(found, lambda x: F.when(x == "inf", float("inf")).when(x == "-inf", float("-inf")).when(x.contains("nan"), float("nan")).otherwise(x.try_cast("double")))
 
 

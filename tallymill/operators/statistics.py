@@ -78,6 +78,16 @@ def paired_cells(pairs: DataFrame, keys: Sequence[str], a: str, b: str, order: s
     return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "point double, ci_low double, ci_high double, p_value double, n long"]))
 
 
+def paired_strict(a: DataFrame, b: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
+    """Flags of both sides under shared keys; a repeated key on either side fails the query."""
+    sides = []
+    for df, name in ((a, "flag_a"), (b, "flag_b")):
+        n = F.count("*")
+        one = F.when(n == 1, F.any_value(flag)).otherwise(F.raise_error(F.concat_ws(" ", F.lit("repeated key"), *[F.col(k).cast("string") for k in keys])))
+        sides.append(df.groupBy(*keys).agg(one.cast(dict(df.dtypes)[flag]).alias(name)))
+    return sides[0].join(sides[1], list(keys))
+
+
 def binomial_cells(df: DataFrame, keys: Sequence[str], flag: str, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """As :func:`bootstrap_cells` from counts alone: a resampled mean of n flags is Binomial(n, k/n)/n."""
 

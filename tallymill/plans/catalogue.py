@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallymill.functions import grammar, lattice, programs, text
+from tallymill.functions import grammar, lattice, programs, text, trials
 from tallymill.operators import aggregates as A
 from tallymill.operators import relational as R
 from tallymill.operators import statistics as S
@@ -950,6 +950,44 @@ def generated_corpus(spark, sf_dir):
     return X.corpus(ops, spark.createDataFrame([("f32",), ("i32",)], "dtype string"), spark.createDataFrame([("16",), ("8x8",)], "shape string")).select("id", "mlir")
 
 
+@query("trial_inputs")
+def trial_inputs(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(SIGS)), "id int, mlir string").withColumn("sig", text.signature(F.col("mlir"))).where("sig IS NOT NULL")
+    rows = rows.where(text.exclusion(F.col("sig")).isNull()).crossJoin(spark.range(2).select(F.col("id").cast("int").alias("trial")))  # a few literal rows
+    return rows.select("id", "trial", trials.inputs_of(F.col("sig.arg_types"), F.col("id").cast("string"), F.col("trial")).alias("inputs"))
+
+
+PRINTED = ["3.5\nUnranked Memref base@ = 0x0 sizes = [2, 2] data = \n[[1, 2], \n [3, 4.00001]]\n0", "3.5\nUnranked Memref base@ = 0x0 sizes = [2, 2] data = [[1, 2], [3, 4]]", "nan", "2 inf"]
+
+
+@query("printed_outputs")
+def printed_outputs(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(PRINTED)), "id int, printed string").withColumn("out", trials.parsed_outputs(F.col("printed")))
+    pairs = rows.select(F.col("id").alias("a"), F.col("out").alias("x")).crossJoin(rows.select(F.col("id").alias("b"), F.col("out").alias("y")))  # four literal rows
+    return pairs.select("a", "b", trials.outputs_equal(F.col("x"), F.col("y")).alias("equal"), trials.outputs_equal(F.col("x"), F.col("y"), exact=True).alias("identical"))
+
+
+@query(
+    "tensor_compatible",
+    """SELECT * FROM (VALUES (0, 0, true, false), (0, 1, true, true), (0, 2, false, false), (1, 0, false, false), (1, 1, true, false), (1, 2, false, false),
+      (2, 0, false, false), (2, 1, false, false), (2, 2, true, false)) t(gold, candidate, compatible, relaxed)""",
+)
+def tensor_compatible(spark, sf_dir):
+    one = "func.func @f(%a: tensor<{0}>) -> tensor<{0}> {{"
+    rows = spark.createDataFrame([(k, one.format(t)) for k, t in enumerate(["4x8xf32", "4x?xf32", "f32"])], "id int, mlir string").withColumn("sig", text.signature(F.col("mlir")))
+    both = rows.select(F.col("id").alias("gold"), F.col("sig").alias("g")).crossJoin(rows.select(F.col("id").alias("candidate"), F.col("sig").alias("c")))  # three literal rows
+    return both.withColumn("r", text.compatible(F.col("g"), F.col("c"), text.tensor, relax_result=True)).select("gold", "candidate", "r.compatible", "r.relaxed")
+
+
+@query(
+    "paired_strict",
+    f"SELECT a.doc_id, a.passed AS flag_a, a.flagged AS flag_b FROM ({EVAL}) a WHERE a.doc_id % 2 = 0",
+)
+def paired_strict(spark, sf_dir):
+    rows = eval_rows(spark, sf_dir)
+    return S.paired_strict(rows.select("doc_id", F.col("passed").alias("flag")), rows.where("doc_id % 2 = 0").select("doc_id", F.col("flagged").alias("flag")), ["doc_id"], "flag")
+
+
 # ---- statistics ----
 
 DRAWS = """r AS (SELECT *, row_number() OVER (PARTITION BY dialect ORDER BY doc_id) - 1 AS r FROM e), n AS (SELECT dialect, count(*) AS n FROM e GROUP BY dialect),

@@ -170,3 +170,44 @@ def test_stream_counts(spark, tmp_path):
     q = counts.windowed(stream, "ts", "event_type", "1 day").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True)
     q.start().awaitTermination()
     assert spark.table("counted").agg(F.sum("n")).first()[0] == source.count()
+
+
+def test_signatures(spark):
+    from tallymill.plans.catalogue import SIGS
+
+    rows = spark.createDataFrame(list(enumerate(SIGS)), "id int, m string").withColumn("s", text.signature(F.col("m")))
+    got = {r.id: (r.name, r.arg_types, r.ret, r.why) for r in rows.select("id", "s.*", text.exclusion(F.col("s")).alias("why")).collect()}
+    assert got[0] == ("f", ["i32", "memref<?x4xf32>"], "i32", None)
+    assert got[1] == ("h", ["memref<8x4xf32>"], "", None)
+    assert got[2] == ("main", [], "", "fn_named_main")
+    assert got[3] == got[4] == (None, None, None, "no_public_fn")
+    assert got[5][3] == "multi_result" and got[6][3] == "unprintable_memref_dtype"
+
+
+def test_trials(spark):
+    from tallymill.functions import trials
+
+    a = trials.trial_inputs(["memref<?x2xf32>", "index", "f64", "i1", "memref<3xi32>"], "k", 1)
+    assert a == trials.trial_inputs(["memref<?x2xf32>", "index", "f64", "i1", "memref<3xi32>"], "k", 1) != trials.trial_inputs(["memref<?x2xf32>"] * 5, "k", 2)
+    assert [len(x) for x in a] == [8, 1, 1, 1, 3] and 0 <= a[1][0] < 2 and all(x * 4 == int(x * 4) for x in a[0])
+    assert trials.outputs("1.5\nUnranked Memref sizes = [2] data = [1, nan]\n7") ["memrefs"][0]["sizes"] == [2]
+    assert trials.outputs("x = -2e1, inf")["scalars"] == [-20.0, float("inf")]
+
+
+def test_strict_pairs_refuse_repeats(spark):
+    rows = spark.createDataFrame([(1, True), (1, False), (2, True)], "k int, flag boolean")
+    with pytest.raises(Exception, match="repeated key 1"):
+        statistics.paired_strict(rows, rows.where("k = 2"), ["k"], "flag").unionByName(statistics.paired_strict(rows, rows, ["k"], "flag")).collect()
+
+
+def test_case_splitting(spark):
+    source = "// RUN: tool %s\n\n// CHECK-LABEL: first\nop.a x\n// -----\n\n// CHECK: second\n// -----\n  arith.b y\n"
+    r = one(spark, source, text.cases(F.col("x")), text.check_hints(F.col("x")))
+    assert r[0] == ["op.a x\n", "arith.b y\n"] and r[1] == ["LABEL: first", "second"]
+
+
+def test_lattice_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([("arith", "arith.b"), ("arith", "arith.a"), ("func", "func.call")], "dialect string, full_name string")
+    sinks.by_dialect(rows, str(tmp_path / "l"))
+    assert sorted(p.name for p in (tmp_path / "l").glob("dialect=*")) == ["dialect=arith", "dialect=func"]
+    assert '"full_name"' in sinks.metadata(rows)
