@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text is a run of its own.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
 
 def runs(batch: pa.RecordBatch, column: str = "text", most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:

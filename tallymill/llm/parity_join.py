@@ -32,6 +32,9 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4  # shingle length; similarity 3/4
 SMALL, PER_BLOCK = 64, 2.4
 #: Keys that a partition of the block join gets on average; rows that a task compares in pairs at once.
 KEYS, CHUNK = 500_000, 2048
+#: Documents of one run (some MB of text) with a block in common from which on the block counts as hot.
+HOT = 64
+LOW = np.uint64(0xFFFFFFFF)
 
 _TURN = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 | 1 for k in range(1, WORDS + 1)], np.uint64)
 
@@ -138,58 +141,104 @@ def profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run_, "doc_id long, row long, n long, d1 long, d2 long, sketch binary")
 
 
-def meetings(docs: DataFrame, parts: int) -> DataFrame:
-    """Distinct groups of classes (by d1) that share a block: sid, members (sorted 64-bit numbers)."""
+def meetings(docs: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
+    """Groups of classes (by d1) that share a block: sid, members (sorted 64-bit numbers), portion.
+
+    Keys are dealt out by their hash.  A key that ``hot`` documents of one run or more have is dealt out
+    by key and class instead, so no task gathers it; its home partition gets a mark, and what other
+    runs sent there becomes one more portion of the same group.  All other groups are whole and told once.
+    """
+
+    def rows(kind: int, part: np.ndarray, keys: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(part, kind="stable")
+        keys, sets = keys[order], sets[order]
+        some, begin = np.unique(part[order], return_index=True)
+        ends = np.append(begin[1:], len(order))
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([kind] * len(some), pa.int32()), cut(keys), cut(sets)], ["part", "kind", "keys", "sets"])
+
+    def home(keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(32)) * np.uint64(4 * parts) >> np.uint64(32)).astype(np.int64)
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for run in batches.runs(batch, most=2 * batches.RUN_BYTES):
+            for run in batches.runs(batch):
                 h, n = _sets(run)
                 who, keys = block_keys(h, n)
+                if not len(keys):
+                    continue
                 d1 = digests(h, n)[0][who]
-                part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                low, d1 = (keys[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), d1[order]
-                some, begin = np.unique(part[order], return_index=True)
-                ends = np.append(begin[1:], len(order))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary()), pa.array([d1[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary())],
-                    ["part", "keys", "sets"],
-                )
+                _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
+                many = counts[at] >= hot
+                few = ~many
+                yield rows(0, home(keys[few]), (keys[few] & LOW).astype("<u4"), d1[few])
+                if many.any():
+                    with np.errstate(over="ignore"):
+                        yield rows(1, home(mix(keys[many] + mix(d1[many].view(np.uint64)))), keys[many], d1[many])
+                    marked = np.unique(keys[many])
+                    yield rows(2, home(marked), marked, np.zeros(len(marked), np.int64))
+
+    def told(sid: np.ndarray, sets: np.ndarray, heads: np.ndarray, ends: np.ndarray, portion: bool) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(sid), 20_000):
+            some = slice(lo, lo + 20_000)
+            members = [sets[x:y].tobytes() for x, y in zip(heads[some], ends[some])]
+            yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(members, pa.binary()), pa.array([portion] * len(members))], ["sid", "members", "portion"])
+
+    def grouped(key: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, distinct members, and where each key's begin and end."""
+        order = np.lexsort((sets, key))
+        key, sets = key[order], sets[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sets[1:] != sets[:-1])])[: len(key)]
+        key, sets = key[new], sets[new]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        return key, sets, heads, np.append(heads[1:], len(key)).astype(np.int64)[: len(heads)]
+
+    def name(keys: np.ndarray) -> np.ndarray:
+        return mix(keys ^ np.uint64(0xA54FF53A5F1D36F1)).view(np.int64)
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list] = {}
+        by_part: dict[tuple[int, int], list] = {}
         for batch in it:
-            for p, k, s in zip(batch.column("part").to_pylist(), batch.column("keys"), batch.column("sets")):
-                by_part.setdefault(p, []).append((np.frombuffer(k.as_buffer(), "<u4").copy(), np.frombuffer(s.as_buffer(), "<i8").copy()))
-        for p in sorted(by_part):
-            got = by_part.pop(p)
-            key, sets = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
-            del got
+            for p, kind, k, s in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("keys"), batch.column("sets")):
+                by_part.setdefault((p, kind), []).append((np.frombuffer(k.as_buffer(), "<u8" if kind else "<u4").copy(), np.frombuffer(s.as_buffer(), "<i8").copy()))
+        whole = lambda p, kind: [np.concatenate(x) for x in zip(*by_part.pop((p, kind), [(np.zeros(0, "<u8" if kind else "<u4"), np.zeros(0, "<i8"))]))]
+        for p in sorted({p for p, _ in by_part}):
+            key, sets, heads, ends = grouped(*whole(p, 1))
+            yield from told(name(key[heads]), sets, heads, ends, True)
+            key, sets = whole(p, 0)
+            marks = np.unique(whole(p, 2)[0])
+            if len(marks) and len(key):
+                at = np.minimum(np.searchsorted(low := np.sort((marks & LOW).astype("<u4")), key), len(marks) - 1)
+                here = low[at] == key
+                full = marks[np.argsort((marks & LOW).astype("<u4"), kind="stable")][at[here]]
+                own, own_sets, heads, ends = grouped(full, sets[here])
+                yield from told(name(own[heads]), own_sets, heads, ends, True)
+                key, sets = key[~here], sets[~here]
             order = np.argsort(key, kind="stable")
             key, sets = key[order], sets[order]
             same = key[1:] == key[:-1]
-            multi = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            key, sets = key[multi], sets[multi]
-            order = np.lexsort((sets, key))
-            key, sets = key[order], sets[order]
+            multi = np.concatenate([same, [False]])[: len(key)] | np.concatenate([[False], same])[: len(key)]
+            key, sets, heads, ends = grouped(key[multi], sets[multi])
             if not len(key):
                 continue
-            new = np.concatenate([[True], (np.diff(key.astype(np.int64)) != 0) | (np.diff(sets) != 0)])
-            key, sets = key[new], sets[new]
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(key.astype(np.int64)) != 0]))
-            ends = np.append(heads[1:], len(key))
             with np.errstate(over="ignore"):
                 sid = mix(np.add.reduceat(mix(sets.view(np.uint64)), heads)).view(np.int64)
             use = np.flatnonzero(ends - heads > 1)
             use = use[np.unique(sid[use], return_index=True)[1]]
-            for lo in range(0, len(use), 20_000):
-                some = use[lo : lo + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array([sets[heads[k] : ends[k]].tobytes() for k in some], pa.binary())], ["sid", "members"])
+            yield from told(sid[use], sets, heads[use], ends[use], False)
+
+    blobs = docs.select("text").mapInArrow(keyed, "part int, kind int, keys binary, sets binary")
+    found = blobs.repartition(parts, "part").mapInArrow(meet, "sid long, members binary, portion boolean")
+    return found.groupBy("sid", "portion", F.when(F.col("portion"), F.xxhash64("members")).alias("which")).agg(F.any_value("members").alias("members")).drop("which")
+
 
-    blobs = docs.select("text").mapInArrow(keyed, "part int, keys binary, sets binary")
-    found = blobs.repartition(parts, "part").mapInArrow(meet, "sid long, members binary")
-    return found.groupBy("sid").agg(F.any_value("members").alias("members"))
+def stars(met: DataFrame) -> DataFrame:
+    """Each member of a group with the smallest one: distinct pairs a, b."""
+    whole = met.where("NOT portion").mapInArrow(_stars, "a long, b long")
+    split = met.where("portion").select("sid", "members").mapInArrow(_members, "sid long, id long")
+    least = split.groupBy("sid").agg(F.min("id").alias("b"))
+    spread = split.join(least, "sid").where("id <> b").select(F.col("id").alias("a"), "b")
+    return whole.unionByName(spread).distinct()
 
 
 def _close(na, nb, apart) -> np.ndarray:
@@ -342,7 +391,7 @@ def across(groups: DataFrame, classes: DataFrame, found: DataFrame, nearest: boo
 
     Groups of more than CHUNK rows are dealt out as pairs of chunks, so no task gathers a hot one.
     """
-    member = groups.mapInArrow(_members, "sid long, id long")
+    member = groups.select("sid", "members").mapInArrow(_members, "sid long, id long")
     member = member.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("sid", "id", F.coalesce("component", "id").alias("comp"))
     member, path = scratch.store(member, "near-members")
     mixed = member.groupBy("sid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
@@ -370,8 +419,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     met, met_path = scratch.store(meetings(rows, parts), "near-meetings")
     scratch.release(spark)
 
-    stars = met.mapInArrow(_stars, "a long, b long").distinct()
-    tried, _ = scratch.store(screened(stars, classes), "near-stars")
+    tried, _ = scratch.store(screened(stars(met), classes), "near-stars")
     links = verified(tried, classes, rows)
     scratch.release(spark)
     for nearest in (True, False):  # the first round merges most of what is left at little cost

@@ -232,6 +232,18 @@ def test_parity_join(spark, seed):
     assert got == brute_components(rows)
 
 
+def test_hot_blocks_are_split_without_loss(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in variants(3, 150)], "doc_id long, text string")
+    pairs = lambda hot: {(r.a, r.b) for r in parity_join.meetings(docs, 3, hot).select("sid", "members").mapInArrow(parity_join._members, "sid long, id long").alias("x").transform(
+        lambda m: m.alias("x").join(m.alias("y"), (F.col("x.sid") == F.col("y.sid")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).collect()}
+    whole = pairs(1 << 30)
+    assert whole and all(pairs(h) >= whole for h in (1, 2, 5))
+    met = parity_join.meetings(docs, 3, 2)
+    assert not met.where("portion").isEmpty()
+    star = {(r.a, r.b) for r in parity_join.stars(met).collect()}
+    assert {r.a for r in parity_join.stars(parity_join.meetings(docs, 3, 1 << 30)).collect()} <= {x for p in star for x in p}
+
+
 def test_parity_join_dedup(awkward, empty):
     kept = parity_join.deduplicated(awkward).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted((i or 0, t or "") for i, t in dict.fromkeys(AWKWARD) if not (i in (2, 8)))
