@@ -189,14 +189,15 @@ def concordance_by_family(spark, sf_dir):
 
 @query(
     "verdict_drift",
-    f"""SELECT avg((p IS NOT DISTINCT FROM q)::INT::DOUBLE) AS agreement, count(*) AS n, list_sort(list(doc_id) FILTER (p IS DISTINCT FROM q AND doc_id % 5 = 0)) AS differing
-    FROM (SELECT doc_id, passed AS p, n_chars > 300 AS q FROM ({EVAL}))""",
+    f"""WITH r AS (SELECT doc_id, passed AS p, n_chars > 300 AS q FROM ({EVAL})), a AS (SELECT avg((p IS NOT DISTINCT FROM q)::INT::DOUBLE) AS agreement, count(*) AS n FROM r)
+    SELECT doc_id, p, q, agreement, n FROM r, a WHERE p IS DISTINCT FROM q""",
 )
 def verdict_drift(spark, sf_dir):
+    """The disagreements of two verdicts, each with the overall rate."""
     rows = eval_rows(spark, sf_dir).select("doc_id", F.col("passed").alias("p"), (F.col("n_chars") > 300).alias("q"))
     same = F.col("p").eqNullSafe(F.col("q"))
-    listed = F.array_sort(F.collect_list(F.when(~same & (F.col("doc_id") % 5 == 0), F.col("doc_id"))))
-    return rows.agg(A.rate(same).alias("agreement"), F.count("*").alias("n"), F.when(F.size(listed) > 0, listed).alias("differing"))
+    overall = rows.agg(A.rate(same).alias("agreement"), F.count("*").alias("n"))
+    return rows.where(~same).crossJoin(F.broadcast(overall))  # one row
 
 
 @query(
@@ -565,10 +566,10 @@ def layered_merge(spark, sf_dir):
     return R.layered(base, override, defaults, ["source"], "seed", "v")
 
 
-@query("union_by_name", "SELECT doc_id AS id, text, NULL::VARCHAR AS url FROM documents WHERE doc_id < 50 UNION ALL SELECT page_id, NULL, url FROM pages WHERE page_id < 50")
+@query("union_by_name", "SELECT doc_id AS id, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages")
 def union_by_name(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").where("doc_id < 50").select(F.col("doc_id").alias("id"), "text")
-    b = table(spark, sf_dir, "pages").where("page_id < 50").select(F.col("page_id").alias("id"), "url")
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    b = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
     return R.union_all(a, b)
 
 
@@ -721,7 +722,7 @@ def file_family(spark, sf_dir):
 
 @query(
     "split_cases",
-    r"""WITH d AS (SELECT doc_id, '// RUN: tool' || chr(10) || replace(text, '. ', '.' || chr(10) || '// -----' || chr(10) || '// CHECK-NEXT: x' || chr(10)) AS t FROM documents WHERE lang = 'de'),
+    r"""WITH d AS (SELECT doc_id, '// RUN: tool' || chr(10) || replace(text, '. ', '.' || chr(10) || '// -----' || chr(10) || '// CHECK-NEXT: x' || chr(10)) AS t FROM documents),
     s AS (SELECT doc_id, regexp_split_to_array(t, '(?m)^\s*//\s*-----\s*$') AS parts FROM d),
     c AS (SELECT doc_id, list_filter(list_transform(parts, lambda p: regexp_replace(array_to_string(list_filter(string_split(p, chr(10)),
       lambda l: NOT regexp_matches(l, '//\s*RUN:') AND NOT regexp_matches(trim(l), '^//\s*(?:CHECK|CHECK-LABEL|CHECK-NEXT|CHECK-SAME)[-:]')), chr(10)), '^\s+|\s+$', '', 'g') || chr(10)), lambda x: trim(x, chr(10) || ' ') <> '') AS cs FROM s)
@@ -729,7 +730,7 @@ def file_family(spark, sf_dir):
 )
 def split_cases(spark, sf_dir):
     t = F.concat(F.lit("// RUN: tool\n"), F.replace(F.col("text"), F.lit(". "), F.lit(".\n// -----\n// CHECK-NEXT: x\n")))
-    found = table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", text.cases(t).alias("c"))
+    found = table(spark, sf_dir, "documents").select("doc_id", text.cases(t).alias("c"))
     return found.select("doc_id", F.size("c").cast("long").alias("n"), F.coalesce(F.get("c", F.lit(0)), F.lit("")).alias("first_case"), F.coalesce(F.get("c", F.size("c") - 1), F.lit("")).alias("last_case"))
 
 
