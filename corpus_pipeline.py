@@ -56,11 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for k, (name, stage) in enumerate(STAGES):
+    """All stages over ``documents``; of each stage only its result stays in the shared folder, and only until the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(scratch.made)
+    for k, (_, stage) in enumerate(STAGES):
         docs, path = scratch.store(stage(spark, docs, sf_dir), f"stage-{k}")
-        if old:
-            scratch.drop(spark, old)
-        old = path
+        scratch.drop(spark, *(p for p in list(scratch.made) if p != path and p not in before))
     return docs

@@ -22,6 +22,8 @@ from tallymill.llm import scratch
 
 #: Runs of white space that are more than one plain space.
 SPACES = r"[\t-\r][ \t-\r]*| [ \t-\r]+"
+#: A column name that no table has.
+SPARE = "__tallymill_spare__"
 #: Entries that a partition's filter holds before it hands them on.
 CAPACITY = 1 << 20
 
@@ -140,5 +142,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     mine = lambda t: docs.join(t, docs["doc_id"].eqNullSafe(t["_id"]) & (sha == t["_sha"]), "left_semi")
     if stays.where("_n > 1").isEmpty():
         return mine(stays)
-    again = mine(stays.where("_n > 1")).withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    again = mine(stays.where("_n > 1")).withColumn(SPARE, F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", SPARE]).drop(SPARE)
     return mine(stays.where("_n = 1")).unionByName(again)

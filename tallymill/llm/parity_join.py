@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import batches, components, scratch, words
+from tallymill.llm.exact_dedup import SPARE
 from tallymill.llm.words import mix
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4  # shingle length; similarity 3/4
@@ -462,5 +463,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     repeats = (F.col("_n") > 1) & (F.col("_words") > 0)
     if stays.where(repeats).isEmpty():
         return mine(stays)
-    again = mine(stays.where(repeats)).withColumn("_row", F.xxhash64("text")).dropDuplicates(["doc_id", "_row"]).drop("_row")
+    again = mine(stays.where(repeats)).withColumn(SPARE, F.xxhash64("text")).dropDuplicates(["doc_id", SPARE]).drop(SPARE)
     return mine(stays.where(~repeats)).unionByName(again)

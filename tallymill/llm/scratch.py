@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables written so far and not dropped.
+made: list[str] = []
+
+
 def root(spark: SparkSession) -> str:
     """The shared folder that ``spark.checkpoint.dir`` names.
 
@@ -28,6 +32,7 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -35,6 +40,8 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that no later plan reads."""
     for path in paths:
+        if path in made:
+            made.remove(path)
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -24,8 +24,8 @@ AWKWARD = [
 
 @pytest.fixture(scope="module")
 def awkward(spark):
-    rows = [(i, t, "en", "s", 7, "clash") for i, t in AWKWARD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long, kept string")
+    rows = [(i, t, "en", "s", 7, "clash", 1, 2, 3) for i, t in AWKWARD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long, kept string, row long, _n long, fp long")
 
 
 @pytest.fixture(scope="module")
@@ -295,7 +295,7 @@ def test_components(spark):
 
 
 def test_packing(awkward, empty, spark):
-    docs = awkward.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", F.lit(7).cast("long").alias("n"), F.lit("x").alias("kept")).withColumn("doc_id", F.col("doc_id") + 1000))
+    docs = awkward.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", F.lit(7).cast("long").alias("n"), F.lit("x").alias("kept"), *[F.lit(1).cast("long").alias(c) for c in ("row", "_n", "fp")]).withColumn("doc_id", F.col("doc_id") + 1000))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     pieces = packing.pack(docs, queries.BYTE_BPE, 0).collect()
     by = {}
