@@ -142,6 +142,9 @@ def test_site_tree(spark):
         ("<main><p>a</p><aside>b</aside><script>if (a<b) {}</script><table><tr><td>c<td>d</table></main><nav>n</nav>", "a\nc\nd"),
         ("<!-- <p>no</p> --><p hidden>no</p><div style='display:none'>no</div><p>yes</p>", "yes"),
         ("a < b", "a < b"),
+        ("<form><div class=nav>n</div><article><p>in a form</p></article><form><p>search</p></form></form>", "in a form"),
+        ("<form id=page><div>long enough to be the page itself</div></form><form>f</form>", "long enough to be the page itself"),
+        ("<p>E <math><mi>m</mi><mi>c</mi></math></p>", "E mc"),
     ],
 )
 def test_page(source, text):
