@@ -399,7 +399,7 @@ def test_neardup(spark):
             rows.append((k, [float(x) for x in np.float32(base + rng.standard_normal(32) * 0.15 * rng.random())], int(k % 7 == 0)))
             k += 1
     one = rows[0][1]
-    rows += [(500, one, rows[0][2]), (501, one, None), (502, None, 0), (503, [0.0] * 32, 0), (504, [float("nan")] * 32, 0), (505, [None] * 32, 0), (506, one[:5], 0), (None, one, rows[0][2]), (507, [], 0), (508, [float("inf")] * 32, 0), (509, [x * 2 for x in one], rows[0][2])]
+    rows += [(500, one, rows[0][2]), (501, one, None), (502, None, 0), (503, [0.0] * 32, 0), (504, [float("nan")] * 32, 0), (505, [None] * 32, 0), (506, one[:5], 0), (None, one, rows[0][2]), (507, [], 0), (508, [float("inf")] * 32, 0), (509, [x * 2 for x in one], rows[0][2]), (0, [-x for x in one], rows[0][2]), (510, one, -1), (511, one, -2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = sorted((r.vec_id if r.vec_id is not None else 999, r.n_links, r.component_id if r.component_id is not None else 999) for r in e8_neardup.groups(df).collect())
     ok = [v is not None and len(v) > 0 and all(x is not None for x in v) and np.isfinite(v).all() and np.any(v) and lab is not None for _, v, lab in rows]
