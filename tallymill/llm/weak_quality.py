@@ -145,11 +145,11 @@ def posterior(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np
 
 
 def fit(x: np.ndarray, good: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of logistic regression on soft labels (Adam, from zero)."""
-    w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(np.float64)
+    """Weights and bias of logistic regression on soft labels (Adam, from zero); x stays in single precision."""
+    w, m, v = (np.zeros(x.shape[1] + 1) for _ in range(3))
     for t in range(1, rounds + 1):
-        g = x.T @ (1 / (1 + np.exp(-(x @ w))) - good) / len(x) + decay * w
+        error = (1 / (1 + np.exp(-(x @ w[:-1].astype(np.float32) + w[-1]))) - good).astype(np.float32)
+        g = np.append(error @ x, error.sum()) / len(x) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     return w[:-1], float(w[-1])
@@ -188,9 +188,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, np.
     rows = chosen.mapInArrow(examples, "pattern long, size float, x binary").collect()
     if not rows:
         return np.zeros(FEATURES), 0.0, np.zeros(FEATURES)
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)
+    x = np.zeros((len(rows), FEATURES), np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r.x, np.float16)
+    size, good = np.array([r.size for r in rows]), 1 - np.array([bad.get(r.pattern, 0.5) for r in rows])
+    del rows
     mean = x.mean(0)
-    return *fit(smoothed(x, np.array([r.size for r in rows]), mean), 1 - np.array([bad.get(r.pattern, 0.5) for r in rows])), mean
+    return *fit(smoothed(x, size, mean), good), mean
 
 
 def score(docs: DataFrame, scorer: tuple[np.ndarray, float, np.ndarray] | None = None) -> DataFrame:
