@@ -17,7 +17,7 @@ import numpy as np
 from tallymill.llm.batches import gather, sums
 
 #: Distinct chunks that a worker remembers before it starts afresh.
-KEEP = 1_200_000
+KEEP = 1_000_000
 #: Chunks that are encoded as one text.
 GROUP = 256
 
