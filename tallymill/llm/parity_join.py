@@ -423,15 +423,18 @@ def _grouped(docs: DataFrame) -> DataFrame:
     tried, _ = scratch.store(screened(stars(met), classes), "near-stars")
     links = verified(tried, classes, rows)
     scratch.release(spark)
+    some = components.components(links)
     for nearest in (True, False):  # the first round merges most of what is left at little cost
-        some = components.components(links)
         more, _ = scratch.store(across(met, classes, some, nearest).join(tried, ["a", "b"], "left_anti"), "near-across")
-        links, tried = links.unionByName(verified(more, classes, rows)), tried.unionByName(more)
+        if more.isEmpty():
+            continue
+        fresh, tried = verified(more, classes, rows), tried.unionByName(more)
+        if not fresh.isEmpty():  # the components so far stand in for their links
+            some = components.components(some.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
     scratch.drop(spark, met_path)
     scratch.release(spark)
-    whole = components.components(links)
 
-    named = classes.join(whole.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("d1"), "n", "d2", F.coalesce("component", "id").alias("comp"), "first")
+    named = classes.join(some.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("d1"), "n", "d2", F.coalesce("component", "id").alias("comp"), "first")
     least = named.groupBy("comp").agg(F.min("first").alias("least"))
     named, _ = scratch.store(named.join(least, "comp").select("d1", "n", "d2", "least"), "near-components")
     return seen.select("doc_id", "row", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left").select("doc_id", "row", "n", "least")
