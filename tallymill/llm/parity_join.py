@@ -341,15 +341,15 @@ def _across(it: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBa
             c, m, i, sd = comp[lo:hi], n[lo:hi], ids[lo:hi], side[lo:hi]
             names, counts = np.unique(c, return_counts=True)
             rest = np.flatnonzero(c != names[counts.argmax()])  # any other pair is within the largest component
-            step = max(1, (1 << 22) // max(1, len(x) * size))
+            step = max(1, (1 << 19) // max(1, len(x)))
             for s in range(0, len(rest), step):
                 r = rest[s : s + step]
                 hit = (c[r, None] != c[None]) & (np.minimum(m[r, None], m[None]) * DENOMINATOR >= np.maximum(m[r, None], m[None]) * NUMERATOR)
                 if deal[lo] > 0:
                     hit &= sd[r, None] != sd[None]
                 p, q = np.nonzero(hit)
-                for k in range(0, len(p), 1 << 19):
-                    pk, qk = r[p[k : k + (1 << 19)]], q[k : k + (1 << 19)]
+                for k in range(0, len(p), 1 << 16):
+                    pk, qk = r[p[k : k + (1 << 16)]], q[k : k + (1 << 16)]
                     apart = np.bitwise_count(x[pk] ^ x[qk]).sum(1, dtype=np.int64)
                     good = np.flatnonzero(_close(m[pk], m[qk], apart))
                     if nearest and len(good):
