@@ -390,6 +390,17 @@ def test_e8():
     assert (((x - v) ** 2).sum(1) <= near + 1e-9).all()
 
 
+@pytest.mark.parametrize("dim", [4, 8, 16, 64, 256, 1024])
+def test_cells_meet_at_every_dimension(dim):
+    rng, c = np.random.default_rng(dim), 0.93
+    u, w = rng.standard_normal((2, 2000, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(1, keepdims=True) * u
+    a, b = e8_neardup.cells(u), e8_neardup.cells(c * u + np.sqrt(1 - c * c) * w / np.linalg.norm(w, axis=1, keepdims=True))
+    meet = lambda a, b: np.mean(((a[:, :, :1] == b) | (a == b[:, :, :1])).any((1, 2)))
+    assert meet(a, b) >= 0.995 and meet(a, np.roll(b, 1, 0)) < 0.5
+
+
 def test_neardup(spark):
     rng = np.random.default_rng(9)
     rows, k = [], 0
