@@ -19,12 +19,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm import batches, tokens, words
+from tallymill.llm import batches, scratch, tokens, words
 
 WINDOW = 1024
-#: Documents, and ids, that a shard of the index holds at most (one longer document is a shard).
-SHARD_DOCS, SHARD_IDS = 1024, 4 << 20
-#: Buckets of the table of document frequencies: its bound, whatever the corpus.
+#: Documents, and bytes of text, that a shard of the index holds at most (one longer document is a shard).
+SHARD_DOCS, SHARD_BYTES = 1024, 8 << 20
+#: Bits of a word's hash that name it: the others number a shard's documents.
+WORD = np.uint64((1 << 64) - SHARD_DOCS)
+#: Words that a task counts at once.
+HELD = 1 << 20
+#: Word numbers that a shard of short texts rarely exceeds (tests size their tables by it).
 BUCKETS = 1 << 17
 #: BM25's constants, and the share of the corpus from which on a word tells nothing.
 K1, B, COMMON = 1.2, 0.75, 0.1
@@ -32,44 +36,98 @@ K1, B, COMMON = 1.2, 0.75, 0.1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Documents that hold a word of each hash bucket, all documents, all words: over every row."""
+def distinct(hashed: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """The distinct words of each of SHARD_DOCS documents at most, end to end and sorted; a word is the upper bits of its hash."""
+    keys = hashed & WORD | np.repeat(np.arange(len(n_words), dtype=np.uint64), n_words)
+    keys.sort()
+    return keys[np.diff(keys, prepend=~keys[:1]) != 0] & WORD
+
+
+def counted(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of sorted ones, and how often each stands there."""
+    heads = np.flatnonzero(np.diff(held, prepend=~held[:1]) != 0)
+    return held[heads], np.diff(heads, append=len(held))
+
+
+def frequencies(docs: DataFrame) -> DataFrame:
+    """Documents ``n`` that hold each word of ``docs``, over every row; the null word has all documents, and all words ``m``."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS + 2, np.int64)
+        held, size, n_docs, n_words = [], 0, 0, 0
+
+        def out() -> pa.RecordBatch:
+            one, n = counted(np.sort(np.concatenate(held)))
+            return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], ["word", "n", "m"])
+
         for batch in it:
             for run in batches.runs(batch):
                 hashed, n = words.hashes(*batches.spans(run.column("text")))
-                kind = np.int32 if len(n) * BUCKETS < 1 << 31 else np.int64
-                keys = np.repeat(np.arange(len(n), dtype=kind) * kind(BUCKETS), n) + _bucket(hashed).astype(kind)
-                keys.sort()
-                new = np.ones(len(keys), bool)
-                new[1:] = keys[1:] != keys[:-1]
-                total[:BUCKETS] += np.bincount(keys[new] & (BUCKETS - 1), minlength=BUCKETS)
-                total[BUCKETS:] += len(n), len(hashed)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+                ends = np.cumsum(n)
+                for lo in range(0, len(n), SHARD_DOCS):
+                    own = n[lo : lo + SHARD_DOCS]
+                    held.append(distinct(hashed[ends[lo] - n[lo] : ends[lo + len(own) - 1]], own))
+                    size += len(held[-1])
+                n_docs, n_words = n_docs + len(n), n_words + len(hashed)
+                if size >= HELD:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n_docs]), pa.array([n_words])], ["word", "n", "m"])
+
+    rows = docs.select("text").mapInArrow(count, "word long, n long, m long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def shards(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) with their shard, and for each shard a row of the words that several of its documents hold.
+
+    A shard is consecutive rows of a partition: SHARD_DOCS, and SHARD_BYTES of text, at most.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, docs_, size = TaskContext.get().partitionId() << 32, [], 0, 0
 
-    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    total = np.zeros(BUCKETS + 2, np.int64)
-    for k, n in rows.collect():  # BUCKETS + 2 rows at most
-        total[k] = n
-    return total[:BUCKETS], int(total[BUCKETS]), int(total[BUCKETS + 1])
+        def out() -> pa.RecordBatch:
+            word, n = counted(np.sort(distinct(np.concatenate([h for h, _ in held]), np.concatenate([n for _, n in held]))))
+            own = pa.array([word[n > 1].view(np.int64)], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), own], ["shard", "doc_id", "text", "words"])
 
+        for batch in it:
+            for run in batches.runs(batch):
+                data, offs = batches.spans(run.column("text"))
+                hashed, n = words.hashes(data, offs)
+                ends, lo = np.cumsum(n), 0
+                while lo < len(n):
+                    room = int(np.searchsorted(offs[1:], offs[lo] + SHARD_BYTES - size, "right")) - lo
+                    hi = min(len(n), lo + SHARD_DOCS - docs_, lo + max(room, 0 if docs_ else 1))
+                    if hi > lo:
+                        part = run.slice(lo, hi - lo)
+                        held.append((hashed[ends[lo] - n[lo] : ends[hi - 1]], n[lo:hi]))
+                        docs_, size = docs_ + hi - lo, size + int(offs[hi] - offs[lo])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(hi - lo, shard)), part.column("doc_id"), part.column("text"), pa.nulls(hi - lo, pa.list_(pa.int64()))], ["shard", "doc_id", "text", "words"]
+                        )
+                    if docs_ == SHARD_DOCS or hi < len(n):
+                        yield out()
+                        shard, held, docs_, size = shard + 1, [], 0, 0
+                    lo = hi
+        if held:
+            yield out()
 
-def _bucket(hashed: np.ndarray) -> np.ndarray:
-    return (hashed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    return docs.mapInArrow(run, "shard long, doc_id long, text string, words array<long>")
 
 
 class Index:
     """BM25 inverted index of one shard."""
 
-    def __init__(self, hashed: np.ndarray, n_words: np.ndarray, df: np.ndarray, n_docs: int, all_words: int):
+    def __init__(self, numbers: np.ndarray, n_words: np.ndarray, df: np.ndarray, n_docs: int, all_words: int):
+        """``numbers``: of the words of all documents end to end; ``df``: documents of the corpus that hold the word of each number."""
         self.n = n = len(n_words)
         bits = np.uint64(max(1, (n - 1).bit_length()))
         doc = np.repeat(np.arange(n, dtype=np.uint64), n_words)
-        tells = df[_bucket(hashed)] <= max(1, COMMON * n_docs)
-        key = (hashed[tells] >> bits << bits) | doc[tells]  # the word's upper bits, then its document
+        tells = df[numbers] <= max(1, COMMON * n_docs)
+        key = (numbers[tells].astype(np.uint64) << bits) | doc[tells]
         key.sort()
         at = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
         tf = np.diff(at, append=len(key))
@@ -78,9 +136,9 @@ class Index:
         size = np.diff(heads, append=len(word))
         keep = np.repeat(size > 1, size)  # a word of one document has no neighbour
         doc, tf = doc[keep], tf[keep]
-        ids, size = word[heads[size > 1]] << bits, size[size > 1]
+        ids, size = word[heads[size > 1]], size[size > 1]
         term = np.repeat(np.arange(len(ids)), size)
-        own = df[_bucket(ids)]
+        own = df[ids]
         idf = np.log1p((n_docs - own + 0.5) / (own + 0.5))
         mean = max(1.0, all_words / max(1, n_docs))
         self.doc = doc
@@ -163,19 +221,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     Null text is empty: its piece is the end id.  A null doc_id is packed as any other; repeated
     rows are packed each.  An empty table gives no piece; other columns are ignored.
     """
-    df, n_docs, n_words = frequencies(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(df)  # BUCKETS numbers
+    found, _ = scratch.store(frequencies(docs), "word-frequencies")
+    total = found.where("word IS NULL").first()
+    n_docs, n_words = (total.n, total.m) if total else (0, 0)
+    parts, _ = scratch.store(shards(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "packing-shards")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, base = tokens.encoder(tokenizer), TaskContext.get().partitionId() << 36
-        held: list[tuple] = []
+        shard, known, held = None, None, []
 
-        def shard() -> pa.RecordBatch:
-            nonlocal held, base
+        def packed() -> pa.RecordBatch:
+            nonlocal base
             doc_ids = [x for h in held for x in h[0]]
             ids, counts, hashed, n = (np.concatenate([h[k] for h in held]) for k in range(1, 5))
-            held = []
-            pieces = fill(counts, Index(hashed, n, shared.value, n_docs, n_words))
+            word, df = known
+            numbers = np.minimum(np.searchsorted(word, hashed & WORD), len(word) - 1)
+            numbers[word[numbers] != hashed & WORD] = len(word)  # a word of one document
+            pieces = fill(counts, Index(numbers, n, np.append(df, n_docs + 1), n_docs, n_words))
             begin = (np.cumsum(counts) - counts).tolist()
             raw = memoryview(ids.astype("<u4", copy=False).tobytes())
             d, start, length, seq, offset = (list(x) for x in zip(*pieces))
@@ -185,20 +247,30 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in it:
-            for run in batches.runs(batch):
-                ids, counts = tokens.with_end(*enc.encode(batches.texts(run.column("text"))), end_id)
-                hashed, n = words.hashes(*batches.spans(run.column("text")))
-                ends, word_ends, lo = np.cumsum(counts), np.cumsum(n), 0
-                doc_ids = run.column("doc_id").to_pylist()
-                while lo < len(counts):
-                    room = SHARD_DOCS - sum(len(h[0]) for h in held)
-                    hi = min(len(counts), lo + room)
-                    held.append((doc_ids[lo:hi], ids[ends[lo] - counts[lo] : ends[hi - 1]], counts[lo:hi], hashed[word_ends[lo] - n[lo] : word_ends[hi - 1]], n[lo:hi]))
-                    lo = hi
-                    if sum(len(h[0]) for h in held) == SHARD_DOCS or sum(len(h[1]) for h in held) >= SHARD_IDS:
-                        yield shard()
+            at = batch.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for lo, hi in zip(edges, edges[1:]):
+                if at[lo] != shard:
+                    if held:
+                        yield packed()
+                    shard, known, held = at[lo], None, []
+                part = batch.slice(lo, hi - lo)
+                if known is None:  # the shard's first row
+                    pairs = part.column("known")[0].values
+                    word = pairs.field("word").to_numpy().view(np.uint64) if pairs is not None else np.zeros(0, np.uint64)
+                    order = np.argsort(word)
+                    df = pairs.field("n").to_numpy()[order] if len(word) else np.zeros(0, np.int64)
+                    known = (word[order], df) if len(word) else (np.full(1, ~WORD), np.zeros(1, np.int64))  # no word is so
+                    part = part.slice(1)
+                for run in batches.runs(part):
+                    ids, counts = tokens.with_end(*enc.encode(batches.texts(run.column("text"))), end_id)
+                    held.append((run.column("doc_id").to_pylist(), ids, counts, *words.hashes(*batches.spans(run.column("text")))))
         if held:
-            yield shard()
+            yield packed()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, PIECES)
+    named = parts.where("words IS NOT NULL")
+    pairs = named.select("shard", F.explode("words").alias("word")).join(found.select("word", "n"), "word")
+    known = pairs.groupBy("shard").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # a shard's words at most
+    heads = named.select("shard").join(known, "shard", "left").select("shard", F.lit(0).alias("place"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "known")
+    rows = parts.where("words IS NULL").select("shard", F.lit(1).alias("place"), "doc_id", "text", F.lit(None).cast("array<struct<word:bigint,n:bigint>>").alias("known"))
+    return heads.unionByName(rows).repartition("shard").sortWithinPartitions("shard", "place").mapInArrow(run, PIECES)

@@ -329,6 +329,22 @@ def test_packing_prefers_neighbours():
     assert [p[0] for p in first][:2] == [0, 2]
 
 
+def test_document_frequencies_are_exact(spark):
+    rows = [(k, " ".join([f"own{k}x{j}" for j in range(150)] + [f"pair{k // 2}", "all", "all"])) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    import pyarrow as pa
+
+    want = {}
+    for _, t in rows:
+        for w in set(t.split()):
+            want[w] = want.get(w, 0) + 1
+    names = list(want)
+    h, _ = words.hashes(*batches.spans(pa.array(names)))
+    got = {r.word: (r.n, r.m) for r in packing.frequencies(docs).collect()}
+    assert got.pop(None) == (2000, 2000 * 153) and len(got) == len(names)
+    assert all(got[w][0] == want[name] for w, name in zip((h & packing.WORD).view(np.int64).tolist(), names))
+
+
 def test_language(spark, awkward, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in hd_language.identify(docs).collect()}
