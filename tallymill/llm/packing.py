@@ -1,6 +1,7 @@
 """Packing of documents into training windows by lexical retrieval.
 
-Each shard of documents holds a BM25 inverted index over its words; document frequencies and
+Documents are routed by the rarest words that they share with others, so that neighbours come into one
+shard wherever they stood.  Each shard of documents holds a BM25 inverted index over its words; document frequencies and
 lengths are those of the whole corpus.  Documents of a window or more fill windows by themselves;
 what is left of them, and all shorter documents, seed windows from the longest on, and a seed's
 window takes its best neighbours that no window has used.  What remains of a window is filled by
@@ -28,8 +29,8 @@ SHARD_DOCS, SHARD_BYTES = 1024, 8 << 20
 WORD = np.uint64((1 << 64) - SHARD_DOCS)
 #: Words that a task counts at once.
 HELD = 1 << 20
-#: Word numbers that a shard of short texts rarely exceeds (tests size their tables by it).
-BUCKETS = 1 << 17
+#: Words by which documents are routed to shards: their bound, and the documents that hold one at most.
+BUCKETS, ROUTED = 1 << 17, 16 * SHARD_DOCS
 #: BM25's constants, and the share of the corpus from which on a word tells nothing.
 K1, B, COMMON = 1.2, 0.75, 0.1
 
@@ -79,6 +80,61 @@ def frequencies(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
+def routes(found: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words that route documents, sorted, and their ranks from the rarest on: of the words of few enough documents the most frequent."""
+    few = found.where("word IS NOT NULL").where(F.col("n").between(2, int(min(ROUTED, COMMON * n_docs))))
+    rows = few.select("word", "n").orderBy(F.desc("n"), "word").limit(BUCKETS).toArrow()  # BUCKETS rows at most
+    word = rows.column("word").to_numpy().astype(np.int64).view(np.uint64)
+    rank = np.arange(len(word))[::-1]
+    order = np.argsort(word)
+    return word[order], rank[order]
+
+
+def keys(hashed: np.ndarray, n_words: np.ndarray, word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Three keys of each of SHARD_DOCS documents at most: its rarest routing word, the next one, and the least digest of its words.
+
+    Documents without a routing word go by the least digest, dealt out in 64, as a hot text may be among them.
+    """
+    n = len(n_words)
+    both = hashed & WORD | np.repeat(np.arange(n, dtype=np.uint64), n_words)
+    both.sort()
+    both = both[np.diff(both, prepend=~both[:1]) != 0]
+    own, doc = both & WORD, (both & ~WORD).astype(np.int64)
+    out = np.zeros((3, n), np.uint64)
+    out[2] = ~np.uint64(0)
+    np.minimum.at(out[2], doc, words.mix(own))
+    with np.errstate(over="ignore"):
+        out[0] = words.mix(out[2] + np.arange(n, dtype=np.uint64) % np.uint64(64))
+    if len(word) and len(own):
+        at = np.minimum(np.searchsorted(word, own), len(word) - 1)
+        hit = np.flatnonzero(word[at] == own)
+        ranked = np.sort(doc[hit] << 32 | rank[at[hit]])
+        of, by_rank = ranked >> 32, np.argsort(rank)
+        first = np.flatnonzero(np.diff(of, prepend=-1) != 0)
+        out[0, of[first]] = words.mix(word[by_rank[ranked[first] & 0xFFFFFFFF]])
+        second = np.setdiff1d(first + 1, np.append(first, len(of)))
+        out[1, of[second]] = word[by_rank[ranked[second] & 0xFFFFFFFF]]
+    return out
+
+
+def routed(docs: DataFrame, found: DataFrame, n_docs: int) -> DataFrame:
+    """``docs`` (doc_id, text) in an order in which documents with the same rare words stand together, whatever theirs was."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(routes(found, n_docs))  # 2 x BUCKETS numbers
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for run in batches.runs(batch):
+                for lo in range(0, run.num_rows, SHARD_DOCS):
+                    part = run.slice(lo, SHARD_DOCS)
+                    k = keys(*words.hashes(*batches.spans(part.column("text"))), *shared.value)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x.view(np.int64)) for x in k)], ["doc_id", "text", "k0", "k1", "k2"])
+
+    keyed = docs.mapInArrow(run, "doc_id long, text string, k0 long, k1 long, k2 long")
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // (4 * SHARD_DOCS)) or 1)
+    return keyed.repartition(parts, "k0").sortWithinPartitions("k0", "k1", "k2").select("doc_id", "text")
+
+
 def shards(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) with their shard, and for each shard a row of the words that several of its documents hold.
 
@@ -224,7 +280,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     found, _ = scratch.store(frequencies(docs), "word-frequencies")
     total = found.where("word IS NULL").first()
     n_docs, n_words = (total.n, total.m) if total else (0, 0)
-    parts, _ = scratch.store(shards(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "packing-shards")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts, _ = scratch.store(shards(routed(rows, found, n_docs)), "packing-shards")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, base = tokens.encoder(tokenizer), TaskContext.get().partitionId() << 36

@@ -329,6 +329,15 @@ def test_packing_prefers_neighbours():
     assert [p[0] for p in first][:2] == [0, 2]
 
 
+def test_packing_finds_neighbours_wherever_they_stand(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join([f"topic{k % 1500}w{j}" for j in range(12)] * 7 + [f"plain{rng.randrange(300)}" for _ in range(20)])) for k in range(3000)]
+    held = {}
+    for p in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.BYTE_BPE, 0).collect():
+        held.setdefault(p.doc_id, set()).add(p.sequence_id)
+    assert np.mean([bool(held[k] & held[k + 1500]) for k in range(1500)]) > 0.5
+
+
 def test_document_frequencies_are_exact(spark):
     rows = [(k, " ".join([f"own{k}x{j}" for j in range(150)] + [f"pair{k // 2}", "all", "all"])) for k in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
