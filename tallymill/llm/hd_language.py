@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from tallymill.llm import batches
 
-SIZE = 256
+SIZE = 2048
+#: Trigrams of a run that the most of its texts hold, whose vectors are multiplied as one matrix.
+DENSE = 1024
 #: Symbols: the gap between words, a to z, and 37 classes of all other letters.
 SYMBOLS = 64
 #: A document below this cosine with every prototype is of no learned language.
@@ -63,10 +65,21 @@ def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(doc):
         grams, at = np.unique(tri, return_inverse=True)
         vectors = bound(grams)
+        often = np.argsort(-np.bincount(at), kind="stable")[:DENSE]
+        place = np.full(len(grams), -1)
+        place[often] = np.arange(len(often))
+        dense = place[at] >= 0
+        matrix = vectors[often]
+        for lo in range(0, len(texts), 2048):
+            own = dense & (doc >= lo) & (doc < lo + 2048)
+            shares = np.zeros((min(2048, len(texts) - lo), len(often)), np.float32)
+            shares[doc[own] - lo, place[at[own]]] = counts[own]
+            out[lo : lo + 2048] = shares @ matrix
+        doc, at, counts = doc[~dense], at[~dense], counts[~dense]
         bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
         for k in np.flatnonzero(np.diff(bounds)):
             lo, hi = bounds[k], bounds[k + 1]
-            out[k] = counts[lo:hi] @ vectors[at[lo:hi]]
+            out[k] += counts[lo:hi] @ vectors[at[lo:hi]]
     return out, letters
 
 

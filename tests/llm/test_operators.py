@@ -367,6 +367,18 @@ def test_language(spark, awkward, empty):
     assert hd_language.identify(empty).count() == 0 and hd_language.keep(empty).count() == 0
 
 
+def test_language_of_few_words(spark):
+    grams = np.random.default_rng(5).integers(1, hd_language.SYMBOLS**3, 400)
+    v = hd_language.bound(np.unique(grams))
+    cos = v @ v.T / v.shape[1]
+    assert np.abs(cos[~np.eye(len(v), dtype=bool)]).mean() < 0.025  # all but orthogonal
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL")
+    model = hd_language.learn(docs.where(~hd_language.held_out()))
+    few = docs.where(hd_language.held_out()).withColumn("text", F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)))
+    got = hd_language.identify(few, model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.92
+
+
 def test_binding_by_definition():
     letters = [int(hd_language._symbol[ord(c)]) for c in "abc"]
     gram = (letters[0] * hd_language.SYMBOLS + letters[1]) * hd_language.SYMBOLS + letters[2]
