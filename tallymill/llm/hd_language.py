@@ -22,8 +22,11 @@ SIZE = 2048
 DENSE = 1024
 #: Symbols: the gap between words, a to z, and 37 classes of all other letters.
 SYMBOLS = 64
-#: A document below this cosine with every prototype is of no learned language.
+#: A document below this cosine with every prototype is of no learned language, whatever its length.
 LEAST = 0.05
+#: By length, so is one below SHARE of the cosine that all but LOW of the labelled documents reach; a
+#: class of lengths decides from FEW labelled documents on.  CLASSES: of distinct trigrams, by powers of two.
+SHARE, LOW, FEW, CLASSES = 0.6, 0.05, 10, 20
 
 _letters = np.random.default_rng(20_011).choice(np.array([-1.0, 1.0], np.float32), (SYMBOLS, SIZE))
 _placed = [np.roll(_letters, 2, 1), np.roll(_letters, 1, 1), _letters]
@@ -58,10 +61,10 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return keys // SYMBOLS**3, keys % SYMBOLS**3, counts.astype(np.float32), letters
 
 
-def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The vector of each text, and its number of letters."""
+def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vector of each text, its number of letters, and of distinct trigrams."""
     doc, tri, counts, letters = trigrams(texts)
-    out = np.zeros((len(texts), SIZE), np.float32)
+    out, kinds = np.zeros((len(texts), SIZE), np.float32), np.bincount(doc, minlength=len(texts))
     if len(doc):
         grams, at = np.unique(tri, return_inverse=True)
         vectors = bound(grams)
@@ -80,7 +83,7 @@ def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for k in np.flatnonzero(np.diff(bounds)):
             lo, hi = bounds[k], bounds[k + 1]
             out[k] += counts[lo:hi] @ vectors[at[lo:hi]]
-    return out, letters
+    return out, letters, kinds
 
 
 def held_out() -> F.Column:
@@ -117,14 +120,16 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r.lang for r in rows], vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
-def _predict(texts: list[str], langs: list[str], prototypes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    vectors, letters = bundles(texts)
+def _predict(texts: list[str], langs: list[str], prototypes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and class of length of each text."""
+    vectors, letters, kinds = bundles(texts)
+    of = np.minimum(np.log2(np.maximum(kinds, 1)).astype(int), CLASSES - 1)
     cos = vectors @ prototypes.T.astype(np.float32) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     names = np.array([*langs, "und"], object)
     if not langs:
-        return np.full(len(texts), "und", object), np.zeros(len(texts))
+        return np.full(len(texts), "und", object), np.zeros(len(texts)), of
     best = np.where(letters > 0, cos.argmax(1), len(langs))
-    return names[best], np.where(letters > 0, np.clip(cos.max(1), 0, 1), 0.0).astype(float)
+    return names[best], np.where(letters > 0, np.clip(cos.max(1), 0, 1), 0.0).astype(float), of
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
@@ -140,21 +145,47 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
     def run_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for run in batches.runs(batch):
-                lang, s = _predict(batches.texts(run.column("text")), langs, prototypes)
+                lang, s, _ = _predict(batches.texts(run.column("text")), langs, prototypes)
                 yield pa.RecordBatch.from_arrays([run.column("doc_id"), run.column("held_out"), pa.array(lang, pa.string()), pa.array(s)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return rows.mapInArrow(run_, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def least(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> np.ndarray:
+    """The cosine that a text of each class of lengths must reach, from the scores of all rows of ``docs`` with text and lang.
+
+    It does not fall with length: a class of too few documents takes that of the shorter ones.
+    """
+    langs, prototypes = model
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * 101, np.int64)
+        for batch in it:
+            for run in batches.runs(batch):
+                lang, s, of = _predict(batches.texts(run.column("text")), langs, prototypes)
+                total += np.bincount((of * 101 + (s * 100).astype(int))[lang != "und"], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text")
+    total = np.zeros(CLASSES * 101)
+    for at, n in known.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # CLASSES * 101 rows at most
+        total[at] = n
+    sums = total.reshape(CLASSES, 101).cumsum(1)
+    low = (sums > LOW * sums[:, -1:]).argmax(1) / 100
+    return np.maximum.accumulate(np.where(sums[:, -1] >= FEW, np.maximum(LEAST, SHARE * low), LEAST))
+
+
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a learned language (see LEAST), with all their columns."""
+    """The rows of ``docs`` in a learned language (see LEAST and :func:`least`), with all their columns."""
     langs, prototypes = learn(docs.where(~held_out()))
+    enough = least(docs, (langs, prototypes))
 
     def run_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for run in batches.runs(batch):
-                lang, s = _predict(batches.texts(run.column("text")), langs, prototypes)
-                yield run.filter(pa.array((lang != "und") & (s >= LEAST)))
+                lang, s, of = _predict(batches.texts(run.column("text")), langs, prototypes)
+                yield run.filter(pa.array((lang != "und") & (s >= enough[of])))
 
     return docs.mapInArrow(run_, docs.schema)

@@ -379,6 +379,26 @@ def test_language_of_few_words(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.92
 
 
+def test_unlearned_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(6)
+    junk = lambda first, n: " ".join("".join(chr(first + rng.integers(n)) for _ in range(rng.integers(2, 9))) for _ in range(60))
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+        *[junk(97, 26) for _ in range(20)],
+        *[junk(0x430, 32) for _ in range(20)],
+    ]
+    more = spark.createDataFrame([(-k - 1, t, None) for k, t in enumerate(foreign)], "doc_id long, text string, lang string")
+    left = {r.doc_id for r in hd_language.keep(docs.unionByName(more)).select("doc_id").collect()}
+    assert not [i for i in left if i < 0]
+    clean = {r["doc_id"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist() if r["quality"] == 1}
+    assert len(clean & left) >= 0.995 * len(clean)
+
+
 def test_binding_by_definition():
     letters = [int(hd_language._symbol[ord(c)]) for c in "abc"]
     gram = (letters[0] * hd_language.SYMBOLS + letters[1]) * hd_language.SYMBOLS + letters[2]
