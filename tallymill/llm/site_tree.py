@@ -25,8 +25,6 @@ from tallymill.llm import batches, scratch
 #: Distinct pages from which on a host's tree decides, and the importance below which a branch
 #: goes: outside the article element, and inside it.
 PAGES, LOW, LOW_INSIDE = 6, 0.5, 0.05
-#: Depth to which containers are nodes of the tree.
-DEPTH = 12
 
 # The element classes of the HTML standard, and names that mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,11 +60,11 @@ _names = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "depth", "start", "end", "names", "gone", "style", "holds")
+    __slots__ = ("tag", "path", "parent", "start", "end", "names", "gone", "style", "holds")
 
     def __init__(self, tag, parent, names, gone, path, start):
         self.tag, self.parent, self.names, self.gone, self.path, self.start = tag, parent, names, gone, path, start
-        self.depth, self.end, self.style, self.holds = (parent.depth + 1 if parent else 0), -1, [], False
+        self.end, self.style, self.holds = -1, [], False
 
 
 def _digest(*parts: str) -> int:
@@ -170,7 +168,7 @@ class Page:
         """Containers that hold text, with digests of their presentation and content."""
         clean = [" ".join(htmllib.unescape(t).split()) for _, _, t in self.pieces]
         for x in self.nodes:
-            if x.depth <= DEPTH and (text := " ".join([t for t in clean[x.start : x.end] if t])):
+            if text := " ".join([t for t in clean[x.start : x.end] if t]):
                 same = [t for k, t in enumerate(x.style) if not k or t != x.style[k - 1]]
                 yield x, _digest(*same), _digest(text)
 
@@ -278,7 +276,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for run in batches.runs(batch, "html"):
                 out: list[list] = [[], [], []]
                 for key, host, source in zip(run.column("key").to_pylist(), run.column("host").to_pylist(), batches.texts(run.column("html"))):
-                    for path in {x.path for x in Page(source).nodes if x.depth <= DEPTH}:
+                    for path in {x.path for x in Page(source).nodes}:
                         for column, value in zip(out, (key, host, path)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["key", "host", "path"])

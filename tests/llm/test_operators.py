@@ -158,6 +158,13 @@ def test_site_tree_learns_what_repeats(spark):
     assert site_tree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_site_tree_learns_below_many_levels(spark):
+    deep = lambda x: "<div>" * 20 + x + "</div>" * 20
+    rows = [(k, f"http://deep.example/{k}", deep(f'<div class="a">Same words on every page</div><div class="b"><p>Story number {k} of its own</p></div>')) for k in range(12)]
+    got = site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Story number {k} of its own" for k in range(12)}
+
+
 def test_quotient_filter():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 1 << 63, 5000, dtype=np.uint64) % 3000 * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
