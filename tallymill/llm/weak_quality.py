@@ -156,7 +156,7 @@ def fit(x: np.ndarray, good: np.ndarray, rounds: int = 300, decay: float = 1e-4)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, np.ndarray]:
-    """The scorer: pattern counts cover every document, the fit a sample of ``sample`` of them at most."""
+    """The scorer: pattern counts cover every document, the fit ``sample`` different rows (doc_id and text) at most."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(3 ** len(VOTERS), np.int64)
@@ -175,17 +175,26 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, np.
     bad = dict(zip(codes.tolist(), posterior(patterns, counts)))
 
     def examples(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # SAMPLE digests at most
         for batch in it:
-            for run in batches.runs(batch):
+            fresh = []
+            for k, h in enumerate(batch.column("h").to_pylist()):
+                if h not in seen:
+                    seen.add(h)
+                    fresh.append(k)
+            for run in batches.runs(batch.take(pa.array(fresh, pa.int64()))):
                 data, offs = batches.spans(run.column("text"))
                 x, size = features(data, offs)
                 raw = [r.tobytes() for r in x.astype(np.float16)]
-                yield pa.RecordBatch.from_arrays([pa.array(code(votes(data, offs))), pa.array(size), pa.array(raw, pa.binary())], ["pattern", "size", "x"])
-
-    n = counts.sum()
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)) + 1
-    chosen = texts.where(F.length("text") > 0).where(share).limit(sample)
-    rows = chosen.mapInArrow(examples, "pattern long, size float, x binary").collect()
+                yield pa.RecordBatch.from_arrays([run.column("h"), pa.array(code(votes(data, offs))), pa.array(size), pa.array(raw, pa.binary())], ["h", "pattern", "size", "x"])
+
+    # The rows of the smallest digests; a digest covers doc_id too, so copies of a text come in by their share of the rows.
+    drawn = docs.where(F.length("text") > 0).select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("h"), "text")
+    last = drawn.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = []
+    if last is not None:
+        chosen = drawn.where(F.col("h") <= last).mapInArrow(examples, "h long, pattern long, size float, x binary")
+        rows = chosen.dropDuplicates(["h"]).orderBy("h").collect()  # ``sample`` rows at most
     if not rows:
         return np.zeros(FEATURES), 0.0, np.zeros(FEATURES)
     x = np.zeros((len(rows), FEATURES), np.float32)

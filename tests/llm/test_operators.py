@@ -426,6 +426,16 @@ def test_quality(spark, awkward, empty):
     assert weak_quality.score(empty).count() == 0 and weak_quality.keep(empty).count() == 0
 
 
+def test_quality_sample_holds_copies_by_their_share(spark, monkeypatch):
+    rows = [(k, f"Document number {k} tells a story of its own.") for k in range(2000)]
+    sizes, real = [], weak_quality.smoothed
+    monkeypatch.setattr(weak_quality, "smoothed", lambda x, n, mean: (sizes.append(n), real(x, n, mean))[1])
+    for word in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"):  # the text's own digest falls this way or that
+        hot = [(5000 + k, f"The one text that everyone copies is far longer than the others, {word} as ever and ever.") for k in range(1000)]
+        weak_quality.train(spark.createDataFrame(rows + hot, "doc_id long, text string"), 300)
+        assert len(sizes[-1]) == 300 and 60 <= (sizes[-1] > 60).sum() <= 140
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(2)
     truth_ = rng.random(20_000) < 0.2
