@@ -2,9 +2,9 @@
 
 A fingerprint's high bits (the quotient) name a slot and its low bits (the remainder) are kept
 there in sorted order with a count, so a filter holds every fingerprint whole and two filters
-merge without loss by merging their sorted remainders slot range by slot range.  Every partition
-of the corpus builds a filter of its rows; slot ranges meet in a shuffle that carries one entry
-for each distinct fingerprint and partition.  Texts whose fingerprint has a count above one are
+merge without loss.  Every partition of the corpus builds filters of its rows, merged within the
+task; across partitions their entries, one for each distinct fingerprint and filter, are summed by
+an aggregation on the fingerprint.  Texts whose fingerprint has a count above one are
 compared byte for byte.
 """
 
@@ -74,7 +74,7 @@ class QuotientFilter:
 def repeated(prints: DataFrame, column: str = "fp") -> DataFrame:
     """Fingerprints (bigint ``fp``) that occur more than once, with their count ``n``.
 
-    Each partition's filter emits (slot range, sorted remainders, counts); entries of equal
+    Each partition's filters emit (fingerprint, count); entries of equal
     fingerprints add up in a partial and a final aggregation, so a fingerprint that a third of
     all rows share arrives once from each partition.
     """
