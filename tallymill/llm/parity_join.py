@@ -9,15 +9,18 @@ is therefore equal in both sets (pigeonhole); equal blocks are found by an equi-
 within bands of sizes.  Sets that meet are screened by the Hamming distance of bit sketches, then
 verified exactly on their shingles.
 
+Where a set fills no more blocks than that bound, the argument fails for its band; every set of such a
+band is then found by single shingles, of which the first d + 1 of two similar sets always share one.
+
 Equal sets are one class throughout.  Of the classes that meet in a block each is first compared
-with the smallest; those that this leaves in different components are compared by their sketches,
-first each with its closest one, then in pairs.
+with the smallest.  Groups that this leaves in several components are screened once more, row against
+row inside a task; what has a close row in another component is compared exactly where the group
+is at hand, and a task tells only links that join two of its components, fewer than it has rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,12 @@ from tallymill.llm.words import mix
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4  # shingle length; similarity 3/4
 #: Up to this size a block is a single hash value; beyond, a band of sizes below hi has hi / PER_BLOCK blocks.
 SMALL, PER_BLOCK = 64, 2.4
-#: Keys that a partition of the block join gets on average; rows that a task compares in pairs at once.
-KEYS, CHUNK = 500_000, 2048
-#: Documents of one run (some MB of text) with a block in common from which on the block counts as hot.
+#: Keys that a partition of the block join gets on average; rows, and shingles, of a chunk of a group.
+KEYS, CHUNK, CHUNK_SHINGLES = 500_000, 2048, 1 << 20
+#: Documents of one task with a block in common from which on the block counts as hot there.
 HOT = 64
+#: Blocks that a task follows from one run of text to the next.
+FOLLOWED = 1 << 18
 LOW = np.uint64(0xFFFFFFFF)
 
 _TURN = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 | 1 for k in range(1, WORDS + 1)], np.uint64)
@@ -93,36 +98,41 @@ def sketches(h: np.ndarray, n: np.ndarray) -> list[bytes]:
     return [packed[a // 8 : (a + b) // 8] for a, b in zip(begin.tolist(), bits.tolist())]
 
 
-def block_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Set number and key of each block by which a set is found, over all its size bands.
+def block_keys(h: np.ndarray, n: np.ndarray, fine: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Set number and key of each block by which a set is found, over all its size bands; and the bands (as
+    bits) in which a set fills too few blocks for the pigeonhole argument.
 
-    A set belongs to the band of its size, and to the next one if a partner there is possible.
+    A set belongs to the band of its size, and to the next one if a partner there is possible.  In the bands
+    of ``fine`` every shingle is a block of its own, as in those of small sets.
     """
-    who, keys = [], []
+    who, keys, short = [], [], 0
     band = np.floor(np.log2(np.maximum(1, n))).astype(np.int64)
     set_of = np.repeat(np.arange(len(n)), n)
     for step in (0, 1):
         top = 2 << (band + step)  # sizes of the band are below
         reach = np.minimum(n * DENOMINATOR // NUMERATOR, top - 1)
         member = (n > 0) & (reach >= top // 2)
-        blocks = np.where(top <= SMALL, 1 << 32, np.round(top / PER_BLOCK).astype(np.int64))
+        single = (top <= SMALL) | ((fine >> (band + step)) & 1 > 0)
+        blocks = np.round(top / PER_BLOCK).astype(np.int64)
         most = (DENOMINATOR - NUMERATOR) * (n + reach) // (DENOMINATOR + NUMERATOR)  # differing shingles
         use = np.flatnonzero(member[set_of])
         if not len(use):
             continue
         s, own = set_of[use], h[use]
-        at = ((own >> np.uint64(32)) * blocks[s].astype(np.uint64)) >> np.uint64(32)
+        at = np.where(single[s], own, ((own >> np.uint64(32)) * blocks[s].astype(np.uint64)) >> np.uint64(32))
         heads = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 0) | (at[1:] != at[:-1])]))
         owner = s[heads]
         rank = np.arange(len(heads)) - np.searchsorted(owner, owner)
         kept = rank <= most[owner]
+        few = member & (np.bincount(owner, minlength=len(n)) <= most)
+        short |= int(np.bitwise_or.reduce(np.left_shift(1, (band + step)[few]), initial=0))
         with np.errstate(over="ignore"):
             value = mix(np.bitwise_xor.reduceat(own, heads) + mix(at[heads] * np.uint64(64) + (band + step)[owner].astype(np.uint64)))
         who.append(owner[kept])
         keys.append(value[kept])
     if not who:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(who), np.concatenate(keys)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
+    return np.concatenate(who), np.concatenate(keys), short
 
 
 def _sets(run: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -142,12 +152,35 @@ def profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run_, "doc_id long, row long, n long, d1 long, d2 long, sketch binary")
 
 
-def meetings(docs: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
+class Followed:
+    """Keys that occurred more than once in a run, with their counts over a task's runs (the rarest go beyond FOLLOWED)."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Counts so far of the distinct sorted ``keys``."""
+        total = counts.copy()
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            total += np.where(self.keys[at] == keys, self.counts[at], 0)
+        again = total > 1
+        both = np.concatenate([keys[again], self.keys])
+        self.keys, first = np.unique(both, return_index=True)
+        self.counts = np.concatenate([total[again], self.counts])[first]
+        if len(self.keys) > FOLLOWED:
+            stay = self.counts > np.partition(self.counts, -FOLLOWED)[-FOLLOWED]
+            self.keys, self.counts = self.keys[stay], self.counts[stay]
+        return total
+
+
+def meetings(docs: DataFrame, parts: int, hot: int = HOT, fine: int = 0) -> DataFrame:
     """Groups of classes (by d1) that share a block: sid, members (sorted 64-bit numbers), portion.
 
-    Keys are dealt out by their hash.  A key that ``hot`` documents of one run or more have is dealt out
-    by key and class instead, so no task gathers it; its home partition gets a mark, and what other
-    runs sent there becomes one more portion of the same group.  All other groups are whole and told once.
+    Keys are dealt out by their hash.  A key is dealt out by key and class instead from the run on in which
+    ``hot`` documents of a task have had it, so no task gathers it; its home partition gets a mark, and what
+    came there becomes one more portion of the same group.  All other groups are whole and told once.
+    A row without ``portion`` names, as bits of sid, bands in which some set is short of blocks.
     """
 
     def rows(kind: int, part: np.ndarray, keys: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
@@ -162,15 +195,18 @@ def meetings(docs: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
         return ((keys >> np.uint64(32)) * np.uint64(4 * parts) >> np.uint64(32)).astype(np.int64)
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        followed = Followed()
         for batch in it:
             for run in batches.runs(batch):
                 h, n = _sets(run)
-                who, keys = block_keys(h, n)
+                who, keys, short = block_keys(h, n, fine)
+                if short & ~fine:
+                    yield rows(3, np.zeros(1, np.int64), np.array([short & ~fine], np.uint64), np.zeros(1, np.int64))
                 if not len(keys):
                     continue
                 d1 = digests(h, n)[0][who]
-                _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
-                many = counts[at] >= hot
+                one, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
+                many = followed.add(one, counts)[at] >= hot
                 few = ~many
                 yield rows(0, home(keys[few]), (keys[few] & LOW).astype("<u4"), d1[few])
                 if many.any():
@@ -204,6 +240,8 @@ def meetings(docs: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
                 by_part.setdefault((p, kind), []).append((np.frombuffer(k.as_buffer(), "<u8" if kind else "<u4").copy(), np.frombuffer(s.as_buffer(), "<i8").copy()))
         whole = lambda p, kind: [np.concatenate(x) for x in zip(*by_part.pop((p, kind), [(np.zeros(0, "<u8" if kind else "<u4"), np.zeros(0, "<i8"))]))]
         for p in sorted({p for p, _ in by_part}):
+            if len(short := whole(p, 3)[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.bitwise_or.reduce(short, keepdims=True).view(np.int64)), pa.array([b""], pa.binary()), pa.nulls(1, pa.bool_())], ["sid", "members", "portion"])
             key, sets, heads, ends = grouped(*whole(p, 1))
             yield from told(name(key[heads]), sets, heads, ends, True)
             key, sets = whole(p, 0)
@@ -273,8 +311,8 @@ def screened(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run_, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs a, b those whose sets have the similarity, from the shingles of the texts."""
+def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, str]:
+    """The sorted shingles of the classes ``ids`` (distinct), from one text of each: id, set; and the table's path."""
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -283,6 +321,14 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([run.column("id"), pa.array([h[a:b].tobytes() for a, b in zip(ends - n, ends)], pa.binary())], ["id", "set"])
 
+    wanted = classes.join(ids, "id", "left_semi").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"))
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["row"] == wanted["row"])).select("id", "text").dropDuplicates(["id"])
+    return scratch.store(texts.mapInArrow(make, "id long, set binary"), "near-sets")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs a, b those whose sets have the similarity, from the shingles of the texts."""
+
     def run_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             keep = []
@@ -294,9 +340,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = classes.join(ids, "id", "left_semi").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"))
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["row"] == wanted["row"])).select("id", "text").dropDuplicates(["id"])
-    sets, path = scratch.store(texts.mapInArrow(make, "id long, set binary"), "near-sets")
+    sets, path = sets_of(ids, classes, docs)
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
     out, _ = scratch.store(joined.select("a", "b", "xa", "xb").mapInArrow(run_, "a long, b long"), "near-links")
     scratch.drop(pairs.sparkSession, path)
@@ -321,90 +365,135 @@ def _members(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), sid)), pa.array(m)], ["sid", "id"])
 
 
-def _across(it: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within each (sid, deal) whose sketches are close.
-
-    ``nearest``: of those, for each row outside the group's largest component the closest one.
-    """
+def _whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (sid, deal), which come together."""
+    held: list[pa.RecordBatch] = []
 
-    def compare(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, comp, n, side = (t.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
-        sid, deal = t.column("sid").to_numpy(), t.column("deal").to_numpy()
-        raw = t.column("sketch").combine_chunks()
+    def parts(t: pa.Table, sid: np.ndarray, deal: np.ndarray) -> Iterator[pa.Table]:
         heads = np.flatnonzero(np.concatenate([[True], (np.diff(sid) != 0) | (np.diff(deal) != 0)]))
         for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(sid)]):
-            if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
-                continue
-            rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw[lo:hi]]
-            size = min(map(len, rows))
-            x = np.stack([_folded(r, size) for r in rows])
-            c, m, i, sd = comp[lo:hi], n[lo:hi], ids[lo:hi], side[lo:hi]
-            names, counts = np.unique(c, return_counts=True)
-            rest = np.flatnonzero(c != names[counts.argmax()])  # any other pair is within the largest component
-            step = max(1, (1 << 19) // max(1, len(x)))
-            for s in range(0, len(rest), step):
-                r = rest[s : s + step]
-                hit = (c[r, None] != c[None]) & (np.minimum(m[r, None], m[None]) * DENOMINATOR >= np.maximum(m[r, None], m[None]) * NUMERATOR)
-                if deal[lo] > 0:
-                    hit &= sd[r, None] != sd[None]
-                p, q = np.nonzero(hit)
-                for k in range(0, len(p), 1 << 16):
-                    pk, qk = r[p[k : k + (1 << 16)]], q[k : k + (1 << 16)]
-                    apart = np.bitwise_count(x[pk] ^ x[qk]).sum(1, dtype=np.int64)
-                    good = np.flatnonzero(_close(m[pk], m[qk], apart))
-                    if nearest and len(good):
-                        good = good[np.lexsort((apart[good], pk[good]))]
-                        good = good[np.flatnonzero(np.diff(pk[good], prepend=-1))]
-                    if len(good):
-                        yield np.stack([np.maximum(i[pk[good]], i[qk[good]]), np.minimum(i[pk[good]], i[qk[good]])], 1)
-
-    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []  # groups overlap: pairs are told once for all groups at hand
-        for pairs in compare(t):
-            found.append(pairs)
-            if sum(map(len, found)) > 1 << 20:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                if len(found[0]) > 1 << 19:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], ["a", "b"])
-                    found = []
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield t.slice(lo, hi - lo)
 
-    held: list[pa.RecordBatch] = []
     for batch in it:
         if not batch.num_rows:
             continue
         held.append(batch)
+        sid, deal = batch.column("sid").to_numpy(), batch.column("deal").to_numpy()
+        if held[0].column("sid")[0].as_py() == sid[-1] and held[0].column("deal")[0].as_py() == deal[-1]:
+            continue  # one group so far
         t = pa.Table.from_batches(held)
         sid, deal = t.column("sid").to_numpy(), t.column("deal").to_numpy()
-        before = np.flatnonzero((sid != sid[-1]) | (deal != deal[-1]))
-        cut = int(before[-1]) + 1 if len(before) else 0
-        if cut:
-            yield from out(t.slice(0, cut))
+        cut = int(np.flatnonzero((sid != sid[-1]) | (deal != deal[-1]))[-1]) + 1
+        yield from parts(t.slice(0, cut), sid[:cut], deal[:cut])
         held = t.slice(cut).to_batches()
     if held:
-        yield from out(pa.Table.from_batches(held))
+        t = pa.Table.from_batches(held)
+        yield from parts(t, t.column("sid").to_numpy(), t.column("deal").to_numpy())
 
 
-def across(groups: DataFrame, classes: DataFrame, found: DataFrame, nearest: bool = False) -> DataFrame:
-    """Pairs that meet, lie in different components of ``found``, and whose sketches are close.
+def _outside(comp: np.ndarray) -> np.ndarray:
+    """Rows outside the largest component: every pair of two components has one."""
+    names, at, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.flatnonzero(at != counts.argmax()) if len(names) > 1 else np.zeros(0, np.int64)
 
-    Groups of more than CHUNK rows are dealt out as pairs of chunks, so no task gathers a hot one.
+
+def _near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each (sid, deal) that have a row of another component there whose sketch is close."""
+    for t in _whole(it):
+        comp, n, side, deal = (t.column(c).to_numpy() for c in ("comp", "n", "side", "deal"))
+        rest = _outside(comp)
+        if not len(rest):
+            continue
+        rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sketch").combine_chunks()]
+        size = min(map(len, rows))
+        x, told = np.stack([_folded(r, size) for r in rows]), np.zeros(len(rows), bool)
+        step = max(1, (1 << 19) // len(x))
+        for s in range(0, len(rest), step):
+            r = rest[s : s + step]
+            hit = (comp[r, None] != comp[None]) & (np.minimum(n[r, None], n[None]) * DENOMINATOR >= np.maximum(n[r, None], n[None]) * NUMERATOR)
+            if deal[0] > 0:
+                hit &= side[r, None] != side[None]
+            hit &= ~(told[r, None] & told[None])
+            p, q = np.nonzero(hit)
+            p = r[p]
+            block = max(1, (1 << 22) // size)
+            for k in range(0, len(p), block):
+                pk, qk = p[k : k + block], q[k : k + block]
+                good = _close(n[pk], n[qk], np.bitwise_count(x[pk] ^ x[qk]).sum(1, dtype=np.int64))
+                told[pk[good]] = told[qk[good]] = True
+        if told.any():
+            yield from t.select(["sid", "deal", "side", "id", "comp"]).filter(pa.array(told)).combine_chunks().to_batches()
+
+
+def _joining(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links a, b within each (sid, deal) that join two components there: fewer than rows, whatever the group.
+
+    A row's intersections with all rows come from an inverted index of the group's shingles.
     """
-    member = groups.select("sid", "members").mapInArrow(_members, "sid long, id long")
-    member = member.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("sid", "id", F.coalesce("component", "id").alias("comp"))
-    member, path = scratch.store(member, "near-members")
-    mixed = member.groupBy("sid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    mixed, _ = scratch.store(mixed.select("sid", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "near-mixed")
-    rows = member.join(mixed, "sid").join(classes.select("id", "n", "sketch"), "id")
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("long"))
+    told: list[tuple[int, int]] = []
+    for t in _whole(it):
+        ids, comp, side, deal = (t.column(c).to_numpy() for c in ("id", "comp", "side", "deal"))
+        rest = _outside(comp)
+        if not len(rest):
+            continue
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set").combine_chunks()]
+        n = np.array([len(x) for x in sets])
+        ends = np.cumsum(n)
+        _, term, size = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        posting = np.repeat(np.arange(len(n)), n)[np.argsort(term, kind="stable")]
+        begin = np.cumsum(size) - size
+        label = np.unique(comp, return_inverse=True)[1]
+        for r in rest.tolist():
+            other = label != label[r]
+            if not other.any():
+                break  # one component by now
+            if deal[0] > 0:
+                other &= side != side[r]
+            own = term[ends[r] - n[r] : ends[r]]
+            common = np.bincount(posting[batches.gather(begin[own], size[own])], minlength=len(n))
+            linked = np.flatnonzero(other & (common * DENOMINATOR >= NUMERATOR * (n[r] + n - common)))
+            if len(linked):
+                names, first = np.unique(label[linked], return_index=True)
+                told += [(max(ids[r], ids[q]), min(ids[r], ids[q])) for q in linked[first]]
+                label[np.isin(label, names)] = label[r]
+        if len(told) > 1 << 16:
+            yield _pairs(told)
+            told = []
+    if told:
+        yield _pairs(told)
+
+
+def _pairs(told: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.unique(np.array(told, np.int64), axis=0).T
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def across(met: DataFrame, classes: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Links that join components of ``found``: with them all links within the groups are in one component.
+
+    Groups of more than CHUNK rows or CHUNK_SHINGLES shingles are dealt out as pairs of chunks, so no task gathers a hot one.
+    """
+    node = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"), "sketch")
+    node, node_path = scratch.store(node, "near-nodes")
+    member = met.select("sid", "members").mapInArrow(_members, "sid long, id long").join(node.select("id", "n", "comp"), "id")
+    member, member_path = scratch.store(member, "near-members")
+    size = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("long")
+    mixed = member.groupBy("sid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), size.alias("chunks")).where("lo <> hi")
+    mixed, mixed_path = scratch.store(mixed.select("sid", "chunks"), "near-mixed")
+    rows = member.join(mixed, "sid").join(node.select("id", "sketch"), "id")
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), "chunks"))
     deals = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1),
+        F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1),
         lambda k: F.when(k == F.col("side"), -F.col("side")).otherwise(1 + F.least(k, F.col("side")) * (1 << 31) + F.greatest(k, F.col("side"))),
     )
     dealt = rows.withColumn("deal", F.explode(deals)).select("sid", "deal", "side", "id", "comp", "n", "sketch")
-    return dealt.repartition("sid", "deal").sortWithinPartitions("sid", "deal").mapInArrow(partial(_across, nearest=nearest), "a long, b long").distinct()
+    near = dealt.repartition("sid", "deal").sortWithinPartitions("sid", "deal").mapInArrow(_near, "sid long, deal long, side long, id long, comp long")
+    near, near_path = scratch.store(near, "near-close")
+    sets, sets_path = sets_of(near.select("id").distinct(), classes, docs)
+    told = near.join(sets, "id").repartition("sid", "deal").sortWithinPartitions("sid", "deal").mapInArrow(_joining, "a long, b long").distinct()
+    told, _ = scratch.store(told, "near-joining")
+    scratch.drop(met.sparkSession, node_path, member_path, mixed_path, near_path, sets_path)
+    return told
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -415,22 +504,22 @@ def _grouped(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
     classes = seen.where("n > 0").groupBy(F.col("d1").alias("id"), "n", "d2").agg(first, F.any_value("sketch").alias("sketch"))
     classes, _ = scratch.store(classes, "near-classes")
-    keys = int(classes.agg(F.sum(F.col("n") * 0.5 + 2)).first()[0] or 0)
+    keys = int(seen.agg(F.sum(F.col("n") * 0.5 + 2)).first()[0] or 0)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // KEYS + 1)
-    met, met_path = scratch.store(meetings(rows, parts), "near-meetings")
+    fine, short = 0, 1
+    while short:  # practically once: hashing fills blocks enough
+        met, met_path = scratch.store(meetings(rows, parts, fine=fine), "near-meetings")
+        short = met.where("portion IS NULL").agg(F.bit_or("sid")).first()[0] or 0
+        fine |= short
     scratch.release(spark)
 
-    tried, _ = scratch.store(screened(stars(met), classes), "near-stars")
-    links = verified(tried, classes, rows)
+    tried, tried_path = scratch.store(screened(stars(met), classes), "near-stars")
+    some = components.components(verified(tried, classes, rows))
+    scratch.drop(spark, tried_path)
     scratch.release(spark)
-    some = components.components(links)
-    for nearest in (True, False):  # the first round merges most of what is left at little cost
-        more, _ = scratch.store(across(met, classes, some, nearest).join(tried, ["a", "b"], "left_anti"), "near-across")
-        if more.isEmpty():
-            continue
-        fresh, tried = verified(more, classes, rows), tried.unionByName(more)
-        if not fresh.isEmpty():  # the components so far stand in for their links
-            some = components.components(some.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
+    fresh = across(met, classes, rows, some)
+    if not fresh.isEmpty():  # the components so far stand in for their links
+        some = components.components(some.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
     scratch.drop(spark, met_path)
     scratch.release(spark)
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -260,20 +261,38 @@ def test_parity_join_dedup(awkward, empty):
     assert parity_join.groups(empty).count() == 0 and parity_join.deduplicated(empty).count() == 0
 
 
-def test_block_keys_meet_every_similar_pair():
+@pytest.mark.parametrize("fine", [0, -1])
+def test_block_keys_meet_every_similar_pair(fine):
     rng = np.random.default_rng(7)
     for n in [*range(1, 80), 127, 128, 129, 255, 256, 300, 511, 512, 700]:
         for _ in range(4):
-            common = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            common = rng.integers(0, 1 << 64, n, dtype=np.uint64)
             spare = int((n + n) / 7) + 1
             extra = int(rng.integers(0, spare))
-            a, b = common[: n - extra // 2], np.concatenate([common[extra - extra // 2 :], rng.integers(0, 1 << 63, int(rng.integers(0, 2)), dtype=np.uint64)])
+            a, b = common[: n - extra // 2], np.concatenate([common[extra - extra // 2 :], rng.integers(0, 1 << 64, int(rng.integers(0, 2)), dtype=np.uint64)])
             a, b = np.unique(a), np.unique(b)
             i = len(np.intersect1d(a, b))
             if not i or 4 * i < 3 * (len(a) + len(b) - i):
                 continue
-            who, keys = parity_join.block_keys(np.concatenate([a, b]), np.array([len(a), len(b)]))
-            assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist()), n
+            who, keys, short = parity_join.block_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), fine)
+            assert not short and set(keys[who == 0].tolist()) & set(keys[who == 1].tolist()), n
+
+
+def test_bands_short_of_blocks_are_told(spark, monkeypatch):
+    """With far too few blocks the pigeonhole argument fails; the bands' sets are then found by single shingles."""
+    monkeypatch.setattr(parity_join, "PER_BLOCK", 100.0)
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 200, dtype=np.uint64))
+    assert parity_join.block_keys(h, np.array([200]))[2] == 3 << 7 and parity_join.block_keys(h, np.array([200]), 3 << 7)[2] == 0
+
+
+def test_links_told_are_fewer_than_rows():
+    """A group of close sets of single components tells a spanning tree, and exactly its links count."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 100, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base[: 100 - k % 9], rng.integers(0, 1 << 64, k % 9, dtype=np.uint64)])) for k in range(300)]
+    t = pa.table({"sid": [1] * 300, "deal": [0] * 300, "side": [0] * 300, "id": list(range(300)), "comp": list(range(300)), "set": [x.tobytes() for x in sets]})
+    told = [p for b in parity_join._joining(iter(t.to_batches(max_chunksize=64))) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+    assert len(told) == 299 and all(4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b])) for a, b in told)
 
 
 def test_sketch_bounds_difference():
