@@ -13,9 +13,10 @@ Where a set fills no more blocks than that bound, the argument fails for its ban
 band is then found by single shingles, of which the first d + 1 of two similar sets always share one.
 
 Equal sets are one class throughout.  Of the classes that meet in a block each is first compared
-with the smallest.  Groups that this leaves in several components are screened once more, row against
-row inside a task; what has a close row in another component is compared exactly where the group
-is at hand, and a task tells only links that join two of its components, fewer than it has rows.
+with the smallest; in groups that this leaves in several components, each row outside the largest one
+with the row of another component whose sketch is closest.  What still has a close row in another
+component is compared exactly where the group is at hand: a task tells only links that join two of
+its components.  So no step tells more pairs than its groups have rows.
 """
 
 from __future__ import annotations
@@ -397,45 +398,84 @@ def _outside(comp: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at != counts.argmax()) if len(names) > 1 else np.zeros(0, np.int64)
 
 
+def _close_pairs(t: pa.Table, told: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows p, q of two components of a group whose sketches are close, and their distances; pairs of rows ``told`` may be left out."""
+    comp, n, side, deal = (t.column(c).to_numpy() for c in ("comp", "n", "side", "deal"))
+    rest = _outside(comp)
+    if not len(rest):
+        return
+    rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sketch").combine_chunks()]
+    size = min(map(len, rows))
+    x = np.stack([_folded(r, size) for r in rows])
+    step, block = max(1, (1 << 19) // len(x)), max(1, (1 << 22) // size)
+    for s in range(0, len(rest), step):
+        r = rest[s : s + step]
+        hit = (comp[r, None] != comp[None]) & (np.minimum(n[r, None], n[None]) * DENOMINATOR >= np.maximum(n[r, None], n[None]) * NUMERATOR)
+        if deal[0] > 0:
+            hit &= side[r, None] != side[None]
+        if told is not None:
+            hit &= ~(told[r, None] & told[None])
+        p, q = np.nonzero(hit)
+        p = r[p]
+        for k in range(0, len(p), block):
+            pk, qk = p[k : k + block], q[k : k + block]
+            apart = np.bitwise_count(x[pk] ^ x[qk]).sum(1, dtype=np.int64)
+            good = _close(n[pk], n[qk], apart)
+            if good.any():
+                yield pk[good], qk[good], apart[good]
+
+
+def _closest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row of a (sid, deal) outside its largest component the closest row of another one, as a > b."""
+    told: list[np.ndarray] = []  # groups overlap: pairs are told once for the groups at hand
+    for t in _whole(it):
+        ids = t.column("id").to_numpy()
+        best = np.full((2, len(ids)), np.iinfo(np.int64).max)
+        for p, q, apart in _close_pairs(t):
+            order = np.lexsort((ids[q], apart, p))
+            order = order[np.flatnonzero(np.diff(p[order], prepend=-1))]
+            p, q, apart = p[order], q[order], apart[order]
+            better = apart < best[0, p]
+            best[0, p[better]], best[1, p[better]] = apart[better], q[better]
+        p = np.flatnonzero(best[0] < np.iinfo(np.int64).max)
+        if len(p):
+            q = best[1, p]
+            told.append(np.stack([np.maximum(ids[p], ids[q]), np.minimum(ids[p], ids[q])], 1))
+        if sum(map(len, told)) > 1 << 18:
+            yield _pairs(np.concatenate(told))
+            told = []
+    if told:
+        yield _pairs(np.concatenate(told))
+
+
 def _near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of each (sid, deal) that have a row of another component there whose sketch is close."""
+    """Of each (sid, deal) the rows that have a row of another component there whose sketch is close: members (ids in order) and comps."""
     for t in _whole(it):
-        comp, n, side, deal = (t.column(c).to_numpy() for c in ("comp", "n", "side", "deal"))
-        rest = _outside(comp)
-        if not len(rest):
-            continue
-        rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sketch").combine_chunks()]
-        size = min(map(len, rows))
-        x, told = np.stack([_folded(r, size) for r in rows]), np.zeros(len(rows), bool)
-        step = max(1, (1 << 19) // len(x))
-        for s in range(0, len(rest), step):
-            r = rest[s : s + step]
-            hit = (comp[r, None] != comp[None]) & (np.minimum(n[r, None], n[None]) * DENOMINATOR >= np.maximum(n[r, None], n[None]) * NUMERATOR)
-            if deal[0] > 0:
-                hit &= side[r, None] != side[None]
-            hit &= ~(told[r, None] & told[None])
-            p, q = np.nonzero(hit)
-            p = r[p]
-            block = max(1, (1 << 22) // size)
-            for k in range(0, len(p), block):
-                pk, qk = p[k : k + block], q[k : k + block]
-                good = _close(n[pk], n[qk], np.bitwise_count(x[pk] ^ x[qk]).sum(1, dtype=np.int64))
-                told[pk[good]] = told[qk[good]] = True
+        told = np.zeros(len(t), bool)
+        for p, q, _ in _close_pairs(t, told):
+            told[p] = told[q] = True
         if told.any():
-            yield from t.select(["sid", "deal", "side", "id", "comp"]).filter(pa.array(told)).combine_chunks().to_batches()
+            ids, comp = t.column("id").to_numpy()[told], t.column("comp").to_numpy()[told]
+            order = np.argsort(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([x[order].tobytes()], pa.binary()) for x in (ids, comp)], ["members", "comps"])
+
+
+def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for sid, m, c in zip(batch.column("sid").to_pylist(), batch.column("members"), batch.column("comps")):
+            m, c = (np.frombuffer(x.as_buffer(), np.int64) for x in (m, c))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), sid)), pa.array(np.zeros(len(m), np.int64)), pa.array(m), pa.array(c)], ["sid", "deal", "id", "comp"])
 
 
 def _joining(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links a, b within each (sid, deal) that join two components there: fewer than rows, whatever the group.
+    """Links a, b within each sid that join two components there: fewer than rows, whatever the group.
 
     A row's intersections with all rows come from an inverted index of the group's shingles.
     """
     told: list[tuple[int, int]] = []
     for t in _whole(it):
-        ids, comp, side, deal = (t.column(c).to_numpy() for c in ("id", "comp", "side", "deal"))
+        ids, comp = t.column("id").to_numpy(), t.column("comp").to_numpy()
         rest = _outside(comp)
-        if not len(rest):
-            continue
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set").combine_chunks()]
         n = np.array([len(x) for x in sets])
         ends = np.cumsum(n)
@@ -447,8 +487,6 @@ def _joining(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = label != label[r]
             if not other.any():
                 break  # one component by now
-            if deal[0] > 0:
-                other &= side != side[r]
             own = term[ends[r] - n[r] : ends[r]]
             common = np.bincount(posting[batches.gather(begin[own], size[own])], minlength=len(n))
             linked = np.flatnonzero(other & (common * DENOMINATOR >= NUMERATOR * (n[r] + n - common)))
@@ -457,42 +495,58 @@ def _joining(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 told += [(max(ids[r], ids[q]), min(ids[r], ids[q])) for q in linked[first]]
                 label[np.isin(label, names)] = label[r]
         if len(told) > 1 << 16:
-            yield _pairs(told)
+            yield _pairs(np.array(told))
             told = []
     if told:
-        yield _pairs(told)
+        yield _pairs(np.array(told))
 
 
-def _pairs(told: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = np.unique(np.array(told, np.int64), axis=0).T
+def _pairs(told: np.ndarray) -> pa.RecordBatch:
+    a, b = np.unique(told, axis=0).T
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def across(met: DataFrame, classes: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Links that join components of ``found``: with them all links within the groups are in one component.
+def mixed(met: DataFrame, classes: DataFrame, found: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows of the groups that hold several components of ``found``: sid, deal, side, id, comp, n, sketch; and the tables it reads.
 
     Groups of more than CHUNK rows or CHUNK_SHINGLES shingles are dealt out as pairs of chunks, so no task gathers a hot one.
     """
     node = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"), "sketch")
     node, node_path = scratch.store(node, "near-nodes")
-    member = met.select("sid", "members").mapInArrow(_members, "sid long, id long").join(node.select("id", "n", "comp"), "id")
+    member = met.where("portion IS NOT NULL").select("sid", "members").mapInArrow(_members, "sid long, id long").join(node.select("id", "n", "comp"), "id")
     member, member_path = scratch.store(member, "near-members")
     size = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("long")
-    mixed = member.groupBy("sid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), size.alias("chunks")).where("lo <> hi")
-    mixed, mixed_path = scratch.store(mixed.select("sid", "chunks"), "near-mixed")
-    rows = member.join(mixed, "sid").join(node.select("id", "sketch"), "id")
+    several = member.groupBy("sid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), size.alias("chunks")).where("lo <> hi")
+    several, path = scratch.store(several.select("sid", "chunks"), "near-mixed")
+    rows = member.join(several, "sid").join(node.select("id", "sketch"), "id")
     rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), "chunks"))
     deals = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1),
         lambda k: F.when(k == F.col("side"), -F.col("side")).otherwise(1 + F.least(k, F.col("side")) * (1 << 31) + F.greatest(k, F.col("side"))),
     )
     dealt = rows.withColumn("deal", F.explode(deals)).select("sid", "deal", "side", "id", "comp", "n", "sketch")
-    near = dealt.repartition("sid", "deal").sortWithinPartitions("sid", "deal").mapInArrow(_near, "sid long, deal long, side long, id long, comp long")
+    return dealt.repartition("sid", "deal").sortWithinPartitions("sid", "deal"), [node_path, member_path, path]
+
+
+def closest(met: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of rows that meet, of different components of ``found``: each row outside a group's largest one with the closest."""
+    rows, paths = mixed(met, classes, found)
+    told, _ = scratch.store(rows.mapInArrow(_closest, "a long, b long").distinct(), "near-closest")
+    scratch.drop(met.sparkSession, *paths)
+    return told
+
+
+def across(met: DataFrame, classes: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Links that join components of ``found``: with them all links within the groups are in one component."""
+    rows, paths = mixed(met, classes, found)
+    near = rows.mapInArrow(_near, "members binary, comps binary").groupBy("members").agg(F.any_value("comps").alias("comps"))  # the same rows meet in many groups
+    near = near.withColumn("sid", F.xxhash64("members")).mapInArrow(_rows, "sid long, deal long, id long, comp long")
     near, near_path = scratch.store(near, "near-close")
+    scratch.drop(met.sparkSession, *paths)
     sets, sets_path = sets_of(near.select("id").distinct(), classes, docs)
-    told = near.join(sets, "id").repartition("sid", "deal").sortWithinPartitions("sid", "deal").mapInArrow(_joining, "a long, b long").distinct()
+    told = near.join(sets, "id").repartition("sid").sortWithinPartitions("sid").mapInArrow(_joining, "a long, b long").distinct()
     told, _ = scratch.store(told, "near-joining")
-    scratch.drop(met.sparkSession, node_path, member_path, mixed_path, near_path, sets_path)
+    scratch.drop(met.sparkSession, near_path, sets_path)
     return told
 
 
@@ -515,13 +569,17 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
     tried, tried_path = scratch.store(screened(stars(met), classes), "near-stars")
     some = components.components(verified(tried, classes, rows))
-    scratch.drop(spark, tried_path)
     scratch.release(spark)
-    fresh = across(met, classes, rows, some)
-    if not fresh.isEmpty():  # the components so far stand in for their links
-        some = components.components(some.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
+    for exact in (False, True):  # the first round merges most of what is left at little cost
+        if exact:
+            fresh = across(met, classes, rows, some)
+        else:
+            fresh = verified(closest(met, classes, some).join(tried, ["a", "b"], "left_anti"), classes, rows)
+            scratch.drop(spark, tried_path)
+        if not fresh.isEmpty():  # the components so far stand in for their links
+            some = components.components(some.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh))
+        scratch.release(spark)
     scratch.drop(spark, met_path)
-    scratch.release(spark)
 
     named = classes.join(some.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("d1"), "n", "d2", F.coalesce("component", "id").alias("comp"), "first")
     least = named.groupBy("comp").agg(F.min("first").alias("least"))

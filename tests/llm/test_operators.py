@@ -290,7 +290,7 @@ def test_links_told_are_fewer_than_rows():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 64, 100, dtype=np.uint64)
     sets = [np.sort(np.concatenate([base[: 100 - k % 9], rng.integers(0, 1 << 64, k % 9, dtype=np.uint64)])) for k in range(300)]
-    t = pa.table({"sid": [1] * 300, "deal": [0] * 300, "side": [0] * 300, "id": list(range(300)), "comp": list(range(300)), "set": [x.tobytes() for x in sets]})
+    t = pa.table({"sid": [1] * 300, "deal": [0] * 300, "id": list(range(300)), "comp": list(range(300)), "set": [x.tobytes() for x in sets]})
     told = [p for b in parity_join._joining(iter(t.to_batches(max_chunksize=64))) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
     assert len(told) == 299 and all(4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b])) for a, b in told)
 
