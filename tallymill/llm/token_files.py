@@ -127,7 +127,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int) -> tupl
 
         for batch in it:
             for run in batches.runs(batch):
-                ids, counts = tokens.with_end(*enc.encode(batches.texts(run.column("text"))), end_id)
+                ids, counts = tokens.with_end(*enc.spans(*batches.spans(run.column("text"))), end_id)
                 held.append((run.column("doc_id").to_pylist(), ids, counts))
                 if sum(len(h[1]) for h in held) >= SHARD_IDS:
                     yield shard()
@@ -135,7 +135,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int) -> tupl
             yield shard()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return scratch.store(rows.mapInArrow(encode, SHARDS), "token-shards")
 
 

@@ -1,19 +1,22 @@
 """Exact token ids from the tokenizers library, each distinct chunk encoded once.
 
-A text is cut before every space that a non-space follows.  No token of the supported
-pre-tokenizers spans such a place, so the ids of a text are those of its chunks end to end;
-chunks recur often and are kept per Python worker.
+A text is cut before spaces that a non-space follows.  No token of the supported pre-tokenizers
+spans such a place (:func:`separable` reads that from the tokenizer file; texts go to the library
+whole where it does not hold), so the ids of a text are those of its chunks end to end.  Chunks
+recur often and are kept per Python worker, by 128 bits of their bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
+from tallymill.llm import batches, words
 from tallymill.llm.batches import gather, sums
 
 #: Distinct chunks that a worker remembers before it starts afresh.
@@ -24,8 +27,10 @@ GROUP = 256
 #: Stands between the chunks of a group; a control character that the pre-tokenizers keep apart.
 MARK = "\x01"
 
-_cut = re.compile(r" (?=\S)")
-_odd = re.compile(r" \s| $")
+#: Bytes before which a text is not cut: control characters and white space, and first bytes of wider white space.
+_STAYS = np.zeros(256, bool)
+_STAYS[:33] = True
+_STAYS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 @lru_cache(None)
@@ -40,21 +45,76 @@ def library(path: str):
     return found
 
 
-def cut(text: str) -> list[str]:
-    """The chunks of a text; all but the first one lose the space in front."""
-    return _cut.split(text) if _odd.search(text) else text.split(" ")
-
-
-class Chunks(dict):
-    """Chunk to its number; new ones wait in ``new``."""
+def separable(spec: dict) -> bool:
+    """Whether a tokenizer's tokens never span a space that a non-space follows, by its file.
+
+    True of byte-level pre-tokenizers with their own pattern, which takes a space only in front of a word or with
+    other white space, and of patterns that keep words and drop what is between them, none of which holds a
+    space; with normalisers that work on characters or on runs of white space.  Other files are not judged.
+    """
+    own = spec["pre_tokenizer"] or {}
+    steps = own.get("pretokenizers", [own])
+    first = steps[0]
+    kept = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and " " not in first["pattern"].get("Regex", " ").replace("[^\\s", "")
+    drops = drops and "\\s" not in first["pattern"]["Regex"].replace("[^\\s", "")
+    rest = all(x.get("type") == "ByteLevel" and not x.get("use_regex", True) and not x.get("add_prefix_space") for x in steps[1:])
+    normalizer = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    plain = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in normalizer.get("normalizers", [normalizer]))
+    words_only = all(" " not in x["content"] and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in spec["added_tokens"])
+    return bool((kept or drops) and rest and plain and words_only)
+
+
+def cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the chunks of all texts begin, their bytes, and how many each text has; a chunk keeps the space in front."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs) - 1, np.int64)
+    begin = data == 32
+    begin[:-1] &= ~_STAYS[data[1:]]
+    full = offs[1:] > offs[:-1]
+    begin[offs[1:][full] - 1] = False
+    begin[offs[:-1][full]] = True
+    starts = np.flatnonzero(begin)
+    return starts, np.diff(starts, append=len(data)), np.diff(np.searchsorted(starts, offs))
+
+
+class Numbers:
+    """Numbers of 128-bit keys in the order of their arrival: a hash table with open addressing."""
 
     def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
+        self.a, self.b, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.full(1 << 16, -1, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.a)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it has none."""
+        mask = len(self.slots) - 1
+        at = (a & np.uint64(mask)).astype(np.int64)
+        out = self.slots[at]
+        if not len(self):
+            return out
+        todo = np.flatnonzero((out >= 0) & ((self.a[out] != a) | (self.b[out] != b)))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & mask
+            got = out[todo] = self.slots[at[todo]]
+            todo = todo[(got >= 0) & ((self.a[got] != a[todo]) | (self.b[got] != b[todo]))]
+        return out
+
+    def put(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Give numbers to distinct keys that have none."""
+        new = np.arange(len(self), len(self) + len(a))
+        self.a, self.b = np.concatenate([self.a, a]), np.concatenate([self.b, b])
+        if 3 * len(self.a) > len(self.slots):
+            self.slots = np.full(4 << (3 * len(self.a)).bit_length(), -1, np.int32)
+            new = np.arange(len(self.a))
+        mask = len(self.slots) - 1
+        at = (self.a[new] & np.uint64(mask)).astype(np.int64)
+        while len(new):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = new[free]
+            lost = self.slots[at] != new
+            new, at = new[lost], (at[lost] + 1) & mask
 
 
 class Encoder:
@@ -62,8 +122,9 @@ class Encoder:
 
     def __init__(self, path: str, keep: int = KEEP):
         self.lib, self.keep = library(path), keep
+        with open(path, encoding="utf-8") as f:
+            self.separable = separable(json.load(f))
         self.mark = self.lib.encode(f" {MARK}", add_special_tokens=False).ids
-        self.stops = {x: self.lib.encode(x, add_special_tokens=False).ids[0] for x in ".,"}
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character a byte
         for token, k in vocab.items():
@@ -72,52 +133,39 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = Chunks()
+        self.known = Numbers()
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.len = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the chunks of all texts end to end, and how many each text has."""
+    def spans(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the number of ids of each; ``data``: their UTF-8 bytes, from ``offs`` on."""
+        if not self.separable:
+            raw = data.tobytes()
+            got = self.lib.encode_batch_fast([raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], add_special_tokens=False)
+            lens = np.array([len(e.ids) for e in got], np.int64)
+            return np.fromiter(chain.from_iterable([e.ids for e in got]), np.uint32, int(lens.sum())), lens
         if len(self.known) > self.keep:
             self._clear()
-        out, counts = [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            parts = cut(text)
-            parts[0] = "\0" + parts[0]  # no space in front
-            counts[k] = len(parts)
-            out += parts
-        at = np.fromiter(map(self.known.__getitem__, out), np.int64, len(out))
-        if self.known.new:
-            self._learn()
-        return at, counts
-
-    def _learn(self) -> None:
-        """Encode the new chunks; one that only adds a stop or comma to a letter takes that other chunk's ids."""
-        new, first, tails = self.known.new, len(self.len), []
-        for k in range(len(new)):
-            x = new[k]
-            if len(x) > 1 and x[-1] in ".," and "a" <= x[-2] < "\u0250" and x[-2].isalpha() and x[-2] != "\u0130" and x[0] != "\0":
-                tails.append((k, self.known[x[:-1]], self.stops[x[-1]]))  # may be new itself
-        ids, lens = np.zeros(0, np.uint32), np.zeros(len(new), np.int64)
-        k, base, stop = np.array(tails, np.int64).reshape(-1, 3).T
-        whole = np.ones(len(new), bool)
-        whole[k] = False
-        ids, lens[whole] = self.encode_chunks([x[1:] if x[:1] == "\0" else " " + x for x, w in zip(new, whole.tolist()) if w])
-        start = np.zeros(len(new), np.int64)
-        start[whole] = self.used + np.cumsum(lens[whole]) - lens[whole]
+        starts, size, counts = cut(data, offs)
+        a, b = words.names(data, starts, size)
+        at = self.known.find(a, b)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            order = new[np.lexsort((b[new], a[new]))]
+            head = np.ones(len(order), bool)
+            head[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+            one = order[head]
+            self._learn([data[s : s + n].tobytes().decode() for s, n in zip(starts[one].tolist(), size[one].tolist())])
+            self.known.put(a[one], b[one])
+            at[order] = len(self.known) - len(one) - 1 + np.cumsum(head)
+        lens = self.len[at]
+        return self.ids[gather(self.start[at], lens)], sums(lens, counts)
+
+    def _learn(self, chunks: list[str]) -> None:
+        ids, lens = self.encode_chunks(chunks)
+        self.start = np.concatenate([self.start, self.used + np.cumsum(lens) - lens])
+        self.len = np.concatenate([self.len, lens])
         self._put(ids)
-        all_start, all_len = np.concatenate([self.start, start]), np.concatenate([self.len, lens])
-        if len(k):
-            n = all_len[base] + 1
-            more = np.zeros(int(n.sum()), np.uint32)
-            ends = np.cumsum(n)
-            more[ends - 1] = stop
-            rest = np.ones(len(more), bool)
-            rest[ends - 1] = False
-            more[rest] = self.ids[gather(all_start[base], n - 1)]
-            all_start[first + k], all_len[first + k] = self.used + ends - n, n
-            self._put(more)
-        self.start, self.len, self.known.new = all_start, all_len, []
 
     def _put(self, ids: np.ndarray) -> None:
         if self.used + len(ids) > len(self.ids):
@@ -188,9 +236,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each text."""
-        at, counts = self.pieces(texts)
-        lens = self.len[at]
-        return self.ids[gather(self.start[at], lens)], sums(lens, counts)
+        return self.spans(*batches.spans(pa.array(texts, pa.string())))
 
 
 @lru_cache(None)

@@ -25,6 +25,9 @@ from tallymill.llm import batches, tokens
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 
+#: Pairs of tokens that a worker remembers before it starts afresh.
+FITS = 1 << 20
+
 _words = regex.compile(PATTERN)
 _plain = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*")
 
@@ -51,7 +54,7 @@ class Trie:
         pairs = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
         self.rank = {(as_bytes(a), as_bytes(b)): k for k, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.vocab))
-        self.fits: dict[int, bool] = {}
+        self.fits: dict[int, bool] = {}  # FITS pairs at most
 
     def merged(self, word: bytes) -> list[bytes]:
         """BPE by definition, for a pair of tokens."""
@@ -75,6 +78,8 @@ class Trie:
         """Whether BPE leaves ``token`` after ``before`` (-1: the word's start) unmerged."""
         key = (before + 1) << 32 | token
         if (found := self.fits.get(key)) is None:
+            if len(self.fits) >= FITS:
+                self.fits.clear()
             head = [self.bytes_of[before]] if before >= 0 else []
             want = [*head, self.bytes_of[token]]
             found = self.fits[key] = self.merged(b"".join(want)) == want
@@ -113,6 +118,18 @@ class Trie:
         return out
 
 
+class Spelled:
+    """The bytes that stand for each id."""
+
+    def __init__(self, each: list[bytes]):
+        self.bytes, self.size = np.frombuffer(b"".join(each), np.uint8), np.array([len(x) for x in each])
+        self.start = np.cumsum(self.size) - self.size
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids end to end, and how many each has."""
+        return self.bytes[batches.gather(self.start[ids], self.size[ids])], self.size[ids]
+
+
 class TrieEncoder(tokens.Encoder):
     """Chunks are cut into words and encoded through the trie."""
 
@@ -121,8 +138,7 @@ class TrieEncoder(tokens.Encoder):
         self.trie = Trie(path)
         self.splits = regex.compile("|".join(map(regex.escape, sorted(self.trie.special, key=len, reverse=True)))) if self.trie.special else None
         n = max(self.trie.bytes_of) + 1
-        self.raw = [self.trie.bytes_of.get(i, b"") for i in range(n)]
-        self.decimal = [b"%d" % i for i in range(n)]
+        self.raw, self.decimal = Spelled([self.trie.bytes_of.get(i, b"") for i in range(n)]), Spelled([b"%d," % i for i in range(n)])
 
     def words(self, text: str) -> list[bytes]:
         """Pre-tokens of a text, by the library where it holds rare characters (Unicode versions differ)."""
@@ -148,9 +164,9 @@ class TrieEncoder(tokens.Encoder):
         lens = np.array([len(x) for x in flat], np.int64)
         return np.fromiter((i for x in flat for i in x), np.uint32, int(lens.sum())), lens
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return self.raw.of(ids)[0].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(None)
@@ -169,7 +185,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         enc = encoder(tokenizer)
         for doc_ids, ids, counts in _encoded(it, enc):
             ends = np.cumsum(counts)
-            each = [ids[a:b].tolist() for a, b in zip(ends - counts, ends)]
+            each = [ids[a:b] for a, b in zip(ends - counts, ends)]
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(each, pa.list_(pa.int32())), pa.array([enc.decode(x) for x in each], pa.string())], ["doc_id", "ids", "decoded"])
 
     return _rows(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -182,11 +198,14 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
         enc = encoder(tokenizer)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for doc_ids, ids, counts in _encoded(it, enc):
-            ends, id_shas, text_shas = np.cumsum(counts), [], []
-            for a, b in zip((ends - counts).tolist(), ends.tolist()):
-                own = ids[a:b].tolist()
-                id_shas.append(sha(b",".join(map(enc.decimal.__getitem__, own))))
-                text_shas.append(sha(enc.decode(own).encode()))
+            shas = []
+            for spelled in (enc.decimal, enc.raw):
+                data, size = spelled.of(ids)
+                ends = np.cumsum(batches.sums(size, counts)).tolist()
+                shas.append((memoryview(data.tobytes()), zip([0, *ends], ends)))
+            (decimals, of_ids), (raw, of_texts) = shas
+            id_shas = [sha(decimals[a : max(a, b - 1)]) for a, b in of_ids]  # without the last comma
+            text_shas = [sha(bytes(raw[a:b]).decode("utf-8", "replace").encode()) for a, b in of_texts]
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(counts), pa.array(id_shas, pa.string()), pa.array(text_shas, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -199,5 +218,5 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _encoded(it, enc):
     for batch in it:
         for run in batches.runs(batch):
-            ids, counts = enc.encode(batches.texts(run.column("text")))
+            ids, counts = enc.spans(*batches.spans(run.column("text")))
             yield run.column("doc_id"), ids, counts

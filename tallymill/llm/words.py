@@ -5,8 +5,13 @@ Words are runs of other bytes than space and 9 to 13, with A-Z lowered.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+#: Bytes of a word beyond which it is hashed by itself.
+LONG = 1024
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -42,12 +47,33 @@ def hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.searchsorted(starts, offs))
     low = np.zeros(total + 8, np.uint8)
     np.take(_LOWER, data, out=low[:total])
-    eight = np.ndarray((total + 1,), "<u8", buffer=low, strides=(1,))
+    return _hashes(low, starts, size)[0], counts
+
+
+def names(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name the bytes of each span, as two numbers."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return _hashes(padded, starts, size, True)
+
+
+def _hashes(padded: np.ndarray, starts: np.ndarray, size: np.ndarray, two: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of spans of bytes (eight zeros follow the last), in steps of eight; the second one only if ``two``."""
+    eight = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
     h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    which, at, left = slice(None), starts, size
-    while len(at):
-        h[which] = mix(h[which] ^ (eight[at] & _MASK[np.minimum(left, 8)]))
-        more = np.flatnonzero(left > 8)
-        which = more if isinstance(which, slice) else which[more]
-        at, left = at[more] + 8, left[more] - 8
-    return h, counts
+    g = h + np.uint64(0x6A09E667F3BCC909)
+    which, at, left = slice(None), starts, np.where(size > LONG, 0, size)
+    with np.errstate(over="ignore"):
+        while len(at):
+            part = eight[at] & _MASK[np.minimum(left, 8)]
+            h[which] = mix(h[which] ^ part)
+            if two:
+                more = (g[which] ^ part) * np.uint64(0xD6E8FEB86659FD93)
+                g[which] = more ^ (more >> np.uint64(32))
+            more = np.flatnonzero(left > 8)
+            which = more if isinstance(which, slice) else which[more]
+            at, left = at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(padded[starts[k] : starts[k] + size[k]], digest_size=16).digest()
+        h[k], g[k] = np.frombuffer(digest, "<u8")
+    return h, g
