@@ -1,12 +1,13 @@
 """Packing of documents into training windows by lexical retrieval.
 
-Documents are routed by the rarest words that they share with others, so that neighbours come into one
-shard wherever they stood.  Each shard of documents holds a BM25 inverted index over its words; document frequencies and
-lengths are those of the whole corpus.  Documents of a window or more fill windows by themselves;
-what is left of them, and all shorter documents, seed windows from the longest on, and a seed's
-window takes its best neighbours that no window has used.  What remains of a window is filled by
-cutting the best neighbour left, so that all windows of a shard but the last are full; the last
-is cut at powers of two.
+Terms are token ids and, hashed into PAIRS numbers, pairs of neighbouring ids: a vocabulary of bounded
+size, so that the corpus-wide document frequencies of all terms are one vector and exact at any scale.  Documents are put in the order of their heaviest terms, so that neighbours come
+together wherever they stood, and cut into shards; each shard has a BM25 inverted index with every
+posting.  Documents of a window or more fill windows by themselves; what is left of them, and all
+shorter documents, seed windows from the longest on, and a seed's window takes its best neighbours
+that no window has used.  What remains of a window is filled by cutting the best neighbour left, whose
+rest seeds the next window, so that all windows of a shard but the last are full; the last is cut at
+powers of two.
 """
 
 from __future__ import annotations
@@ -17,202 +18,213 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm import batches, scratch, tokens, words
+from tallymill.llm import batches, scratch, tokens
 
 WINDOW = 1024
-#: Documents, and bytes of text, that a shard of the index holds at most (one longer document is a shard).
-SHARD_DOCS, SHARD_BYTES = 1024, 8 << 20
-#: Bits of a word's hash that name it: the others number a shard's documents.
-WORD = np.uint64((1 << 64) - SHARD_DOCS)
-#: Words that a task counts at once.
-HELD = 1 << 20
-#: Words by which documents are routed to shards: their bound, and the documents that hold one at most.
-BUCKETS, ROUTED = 1 << 17, 16 * SHARD_DOCS
-#: BM25's constants, and the share of the corpus from which on a word tells nothing.
-K1, B, COMMON = 1.2, 0.75, 0.1
+#: Documents, and ids, that a shard of the index holds at most (one longer document is a shard).
+SHARD_DOCS, SHARD_IDS = 1024, 1 << 21
+#: Numbers of token ids, and of hashed pairs of ids: the vocabulary of the index.
+IDS, PAIRS = 1 << 18, 1 << 20
+#: Parts in which frequencies are added up.
+PARTS = 64
+#: Terms of the greatest weight by which a document is placed.
+HEAVY = 3
+#: BM25's constants.
+K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def distinct(hashed: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """The distinct words of each of SHARD_DOCS documents at most, end to end and sorted; a word is the upper bits of its hash."""
-    keys = hashed & WORD | np.repeat(np.arange(len(n_words), dtype=np.uint64), n_words)
-    keys.sort()
-    return keys[np.diff(keys, prepend=~keys[:1]) != 0] & WORD
+def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, str]:
+    """doc_id, n, and the n ids of the text and ``end_id`` in 16 bits each where the vocabulary admits, else 32, as a stored table; and its path."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = tokens.encoder(tokenizer)
+        kind = np.dtype("<u2" if max(len(enc.bytes) - 1, end_id) < 1 << 16 else "<u4")
+        for batch in it:
+            for part in batches.runs(batch):
+                ids, counts = tokens.with_end(*enc.spans(*batches.spans(part.column("text"))), end_id)
+                raw, ends = ids.astype(kind).tobytes(), kind.itemsize * np.cumsum(counts)
+                each = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(each, pa.binary())], ["doc_id", "n", "ids"])
 
-def counted(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of sorted ones, and how often each stands there."""
-    heads = np.flatnonzero(np.diff(held, prepend=~held[:1]) != 0)
-    return held[heads], np.diff(heads, append=len(held))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return scratch.store(rows.mapInArrow(run, "doc_id long, n long, ids binary"), "packing-ids")
+
+
+def blocks(it: Iterator[pa.RecordBatch], most_docs: int = SHARD_DOCS, most_ids: int = SHARD_IDS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Consecutive rows with their ids end to end and counts: ``most_docs`` rows and ``most_ids`` ids (or one row) at most; batches are joined."""
+    held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+    rows = size = 0
+
+    def out() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        whole = pa.Table.from_batches([h[0] for h in held]).combine_chunks().to_batches()[0]
+        return whole, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        column = batch.column("ids").cast(pa.large_binary())
+        _, offs, data = column.buffers()
+        offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
+        ends = np.cumsum(batch.column("n").to_numpy())
+        ids = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(f"<u{(offs[-1] - offs[0]) // ends[-1]}")
+        lo, bare = 0, batch.drop_columns(["ids"])
+        while lo < batch.num_rows:
+            base = int(ends[lo - 1]) if lo else 0
+            room = int(np.searchsorted(ends, base + most_ids - size, "right")) - lo
+            hi = min(batch.num_rows, lo + most_docs - rows, lo + max(room, 0 if rows else 1))
+            if hi > lo:
+                held.append((bare.slice(lo, hi - lo), ids[base : int(ends[hi - 1])], np.diff(ends[lo:hi], prepend=base)))
+                rows, size = rows + hi - lo, size + int(ends[hi - 1]) - base
+            if hi < batch.num_rows or rows == most_docs:
+                yield out()
+                held, rows, size = [], 0, 0
+            lo = hi
+    if held:
+        yield out()
+
+
+def terms_of(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of each of SHARD_DOCS documents at most, in order of the terms: term, document, occurrences.  The end id is none."""
+    ends = np.cumsum(counts)
+    own = np.ones(len(ids), bool)
+    own[ends - 1] = False
+    pair = own[:-1] & own[1:]
+    doc = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
+    wide = ids.astype(np.uint32)
+    with np.errstate(over="ignore"):
+        mixed = (wide[:-1][pair] * np.uint32(0x9E3779B1) ^ wide[1:][pair]) * np.uint32(0x85EBCA77)
+    key = np.concatenate([wide[own] << np.uint32(10) | doc[own], (np.uint32(IDS) + (mixed >> np.uint32(12))) << np.uint32(10) | doc[:-1][pair]])
+    key.sort()
+    at = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+    one = key[at].astype(np.int64)
+    return one >> 10, one & 1023, np.diff(at, append=len(key))
 
 
-def frequencies(docs: DataFrame) -> DataFrame:
-    """Documents ``n`` that hold each word of ``docs``, over every row; the null word has all documents, and all words ``m``."""
+def lengths(counts: np.ndarray) -> np.ndarray:
+    """Terms of documents of so many ids, the end id among them."""
+    return np.maximum(0, 2 * counts - 3)
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n_docs, n_words = [], 0, 0, 0
 
-        def out() -> pa.RecordBatch:
-            one, n = counted(np.sort(np.concatenate(held)))
-            return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], ["word", "n", "m"])
+def frequencies(stored: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Documents that hold each term, over every row of ``stored``; the number of documents, and of all terms.
 
-        for batch in it:
-            for run in batches.runs(batch):
-                hashed, n = words.hashes(*batches.spans(run.column("text")))
-                ends = np.cumsum(n)
-                for lo in range(0, len(n), SHARD_DOCS):
-                    own = n[lo : lo + SHARD_DOCS]
-                    held.append(distinct(hashed[ends[lo] - n[lo] : ends[lo + len(own) - 1]], own))
-                    size += len(held[-1])
-                n_docs, n_words = n_docs + len(n), n_words + len(hashed)
-                if size >= HELD:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n_docs]), pa.array([n_words])], ["word", "n", "m"])
-
-    rows = docs.select("text").mapInArrow(count, "word long, n long, m long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-
-
-def routes(found: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words that route documents, sorted, and their ranks from the rarest on: of the words of few enough documents the most frequent."""
-    few = found.where("word IS NOT NULL").where(F.col("n").between(2, int(min(ROUTED, COMMON * n_docs))))
-    rows = few.select("word", "n").orderBy(F.desc("n"), "word").limit(BUCKETS).toArrow()  # BUCKETS rows at most
-    word = rows.column("word").to_numpy().astype(np.int64).view(np.uint64)
-    rank = np.arange(len(word))[::-1]
-    order = np.argsort(word)
-    return word[order], rank[order]
-
-
-def keys(hashed: np.ndarray, n_words: np.ndarray, word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Three keys of each of SHARD_DOCS documents at most: its rarest routing word, the next one, and the least digest of its words.
-
-    Documents without a routing word go by the least digest, dealt out in 64, as a hot text may be among them.
+    Tasks hand on vectors of the vocabulary in PARTS parts, which are added up part by part; the driver
+    gets one number a term.
     """
-    n = len(n_words)
-    both = hashed & WORD | np.repeat(np.arange(n, dtype=np.uint64), n_words)
-    both.sort()
-    both = both[np.diff(both, prepend=~both[:1]) != 0]
-    own, doc = both & WORD, (both & ~WORD).astype(np.int64)
-    out = np.zeros((3, n), np.uint64)
-    out[2] = ~np.uint64(0)
-    np.minimum.at(out[2], doc, words.mix(own))
-    with np.errstate(over="ignore"):
-        out[0] = words.mix(out[2] + np.arange(n, dtype=np.uint64) % np.uint64(64))
-    if len(word) and len(own):
-        at = np.minimum(np.searchsorted(word, own), len(word) - 1)
-        hit = np.flatnonzero(word[at] == own)
-        ranked = np.sort(doc[hit] << 32 | rank[at[hit]])
-        of, by_rank = ranked >> 32, np.argsort(rank)
-        first = np.flatnonzero(np.diff(of, prepend=-1) != 0)
-        out[0, of[first]] = words.mix(word[by_rank[ranked[first] & 0xFFFFFFFF]])
-        second = np.setdiff1d(first + 1, np.append(first, len(of)))
-        out[1, of[second]] = word[by_rank[ranked[second] & 0xFFFFFFFF]]
-    return out
-
+    size = (IDS + PAIRS) // PARTS
 
-def routed(docs: DataFrame, found: DataFrame, n_docs: int) -> DataFrame:
-    """``docs`` (doc_id, text) in an order in which documents with the same rare words stand together, whatever theirs was."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(routes(found, n_docs))  # 2 x BUCKETS numbers
+    def rows(df: np.ndarray, n_docs: int, n_terms: int, parts: list[int]) -> pa.RecordBatch:
+        raw = [x.tobytes() for x in df.reshape(-1, size)]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(raw, pa.binary()), pa.array([n_docs, *[0] * (len(raw) - 1)]), pa.array([n_terms, *[0] * (len(raw) - 1)])], ["part", "df", "n", "m"])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n_docs, n_terms = np.zeros(IDS + PAIRS, np.int64), 0, 0
+        for _, ids, counts in blocks(it):
+            term, _, tf = terms_of(ids, counts)
+            df += np.bincount(term, minlength=len(df))
+            n_docs, n_terms = n_docs + len(counts), n_terms + int(tf.sum())
+        if n_docs:
+            yield rows(df, n_docs, n_terms, list(range(PARTS)))
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
         for batch in it:
-            for run in batches.runs(batch):
-                for lo in range(0, run.num_rows, SHARD_DOCS):
-                    part = run.slice(lo, SHARD_DOCS)
-                    k = keys(*words.hashes(*batches.spans(part.column("text"))), *shared.value)
-                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x.view(np.int64)) for x in k)], ["doc_id", "text", "k0", "k1", "k2"])
-
-    keyed = docs.mapInArrow(run, "doc_id long, text string, k0 long, k1 long, k2 long")
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // (4 * SHARD_DOCS)) or 1)
-    return keyed.repartition(parts, "k0").sortWithinPartitions("k0", "k1", "k2").select("doc_id", "text")
-
-
-def shards(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text) with their shard, and for each shard a row of the words that several of its documents hold.
-
-    A shard is consecutive rows of a partition: SHARD_DOCS, and SHARD_BYTES of text, at most.
+            for part, raw, n, m in zip(*(batch.column(c) for c in ("part", "df", "n", "m"))):
+                own = total.setdefault(part.as_py(), [np.zeros(size, np.int64), 0, 0])
+                own[0] += np.frombuffer(raw.as_buffer(), np.int64)
+                own[1], own[2] = own[1] + n.as_py(), own[2] + m.as_py()
+        for part, (df, n, m) in total.items():
+            yield rows(df, n, m, [part])
+
+    schema = "part int, df binary, n long, m long"
+    found = stored.select("n", "ids").mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect()
+    df = np.zeros(IDS + PAIRS, np.int64)
+    for r in found:
+        df[r.part * size : (r.part + 1) * size] = np.frombuffer(r.df, np.int64)
+    return df, sum(r.n for r in found), sum(r.m for r in found)
+
+
+class Corpus:
+    """Document frequencies of the terms, the number of documents, and of all their terms."""
+
+    def __init__(self, df: np.ndarray, n_docs: int, n_terms: int):
+        self.n_docs, self.mean = n_docs, max(1.0, n_terms / max(1, n_docs))
+        self.shared = df > 1
+        self.idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """BM25 weights of terms that occur ``tf`` times in documents of ``size`` terms."""
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
+
+
+def places(ids: np.ndarray, counts: np.ndarray, corpus: Corpus) -> np.ndarray:
+    """The place of each document in the order: of the terms that another document holds the HEAVY ones of the greatest weight, as one number."""
+    term, doc, tf = terms_of(ids, counts)
+    weight = corpus.weights(term, tf, lengths(counts)[doc]) / max(1e-9, float(corpus.idf.max(initial=0)) * (K1 + 1))
+    some = corpus.shared[term]
+    key = np.sort(doc[some] << 37 | 65535 - (65535 * weight[some]).astype(np.int64) << 21 | term[some])
+    nth = np.arange(len(key)) - np.searchsorted(key >> 37, key >> 37)
+    key, nth = key[nth < HEAVY], nth[nth < HEAVY]
+    out = np.full((len(counts), HEAVY), (1 << 21) - 1)
+    out[key >> 37, nth] = key & (1 << 21) - 1
+    return (out << 21 * np.arange(HEAVY - 1, -1, -1)).sum(1)
+
+
+def placed(stored: DataFrame, corpus: Broadcast) -> tuple[DataFrame, str]:
+    """The rows of ``stored`` in the order of their :func:`places`; and the path of a table it reads.
+
+    Documents of one place (copies of one text, say) are dealt over partitions at random.
     """
-
+    spark = stored.sparkSession
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, docs_, size = TaskContext.get().partitionId() << 32, [], 0, 0
-
-        def out() -> pa.RecordBatch:
-            word, n = counted(np.sort(distinct(np.concatenate([h for h, _ in held]), np.concatenate([n for _, n in held]))))
-            own = pa.array([word[n > 1].view(np.int64)], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), own], ["shard", "doc_id", "text", "words"])
-
         for batch in it:
-            for run in batches.runs(batch):
-                data, offs = batches.spans(run.column("text"))
-                hashed, n = words.hashes(data, offs)
-                ends, lo = np.cumsum(n), 0
-                while lo < len(n):
-                    room = int(np.searchsorted(offs[1:], offs[lo] + SHARD_BYTES - size, "right")) - lo
-                    hi = min(len(n), lo + SHARD_DOCS - docs_, lo + max(room, 0 if docs_ else 1))
-                    if hi > lo:
-                        part = run.slice(lo, hi - lo)
-                        held.append((hashed[ends[lo] - n[lo] : ends[hi - 1]], n[lo:hi]))
-                        docs_, size = docs_ + hi - lo, size + int(offs[hi] - offs[lo])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(hi - lo, shard)), part.column("doc_id"), part.column("text"), pa.nulls(hi - lo, pa.list_(pa.int64()))], ["shard", "doc_id", "text", "words"]
-                        )
-                    if docs_ == SHARD_DOCS or hi < len(n):
-                        yield out()
-                        shard, held, docs_, size = shard + 1, [], 0, 0
-                    lo = hi
-        if held:
-            yield out()
-
-    return docs.mapInArrow(run, "shard long, doc_id long, text string, words array<long>")
+            for rows, ids, counts in blocks(iter([batch])):
+                raw, ends = ids.tobytes(), ids.itemsize * np.cumsum(counts)
+                each = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(each, pa.binary()), pa.array(places(ids, counts, corpus.value))], ["doc_id", "n", "ids", "place"])
+
+    keyed = stored.mapInArrow(run, "doc_id long, n long, ids binary, place long").withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    keyed, path = scratch.store(keyed, "packing-places")
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus.value.n_docs // (4 * SHARD_DOCS)) or 1)
+    return keyed.repartitionByRange(parts, "place", "salt").sortWithinPartitions("place", "salt").select("doc_id", "n", "ids"), path
 
 
 class Index:
-    """BM25 inverted index of one shard."""
-
-    def __init__(self, numbers: np.ndarray, n_words: np.ndarray, df: np.ndarray, n_docs: int, all_words: int):
-        """``numbers``: of the words of all documents end to end; ``df``: documents of the corpus that hold the word of each number."""
-        self.n = n = len(n_words)
-        bits = np.uint64(max(1, (n - 1).bit_length()))
-        doc = np.repeat(np.arange(n, dtype=np.uint64), n_words)
-        tells = df[numbers] <= max(1, COMMON * n_docs)
-        key = (numbers[tells].astype(np.uint64) << bits) | doc[tells]
-        key.sort()
-        at = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
-        tf = np.diff(at, append=len(key))
-        doc, word = (key[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), key[at] >> bits
-        heads = np.flatnonzero(np.diff(word, prepend=~word[:1]) != 0)
-        size = np.diff(heads, append=len(word))
-        keep = np.repeat(size > 1, size)  # a word of one document has no neighbour
-        doc, tf = doc[keep], tf[keep]
-        ids, size = word[heads[size > 1]], size[size > 1]
-        term = np.repeat(np.arange(len(ids)), size)
-        own = df[ids]
-        idf = np.log1p((n_docs - own + 0.5) / (own + 0.5))
-        mean = max(1.0, all_words / max(1, n_docs))
-        self.doc = doc
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_words[doc] / mean))
-        self.len = np.bincount(term, minlength=len(ids)).astype(np.int64)
-        self.ptr = np.cumsum(self.len) - self.len
+    """BM25 inverted index of one shard, with every posting."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, corpus: Corpus):
+        """``ids``: of all documents end to end, each with its end id."""
+        self.n = len(counts)
+        term, doc, tf = terms_of(ids, counts)
+        heads = np.flatnonzero(np.diff(term, prepend=-1))
+        size = np.diff(heads, append=len(term))
+        keep = np.repeat(size > 1, size)  # a term of one document has no neighbour
+        term, doc, tf, size = term[keep], doc[keep], tf[keep], size[size > 1]
+        number = np.repeat(np.arange(len(size)), size)
+        self.doc, self.weight = doc, corpus.weights(term, tf, lengths(counts)[doc])
+        self.len, self.ptr = size, np.cumsum(size) - size
         by_doc = np.argsort(doc, kind="stable")
-        self.terms, n_terms = term[by_doc], np.bincount(doc, minlength=n)
-        self.ends = np.cumsum(n_terms)
-        self.starts = self.ends - n_terms
+        self.terms, n_own = number[by_doc], np.bincount(doc, minlength=self.n)
+        self.ends = np.cumsum(n_own)
+        self.starts = self.ends - n_own
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share words with the seed, best first."""
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for the seed's distinct terms."""
         terms = self.terms[self.starts[seed] : self.ends[seed]]
         at = batches.gather(self.ptr[terms], self.len[terms])
-        score = np.bincount(self.doc[at], self.weight[at], self.n)
+        return np.bincount(self.doc[at], self.weight[at], self.n)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share terms with the seed, best first; of equal scores the one that stands first."""
+        score = self.scores(seed)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found])]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def fill(counts: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -224,10 +236,12 @@ def fill(counts: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[i
             out.append((int(d), s, window, seq, 0))
             seq += 1
     unused = left > 0
-    for seed in np.argsort(-left, kind="stable"):
-        while unused[seed]:  # what a cut leaves of a seed seeds again
+    for first in np.argsort(-left, kind="stable").tolist():
+        seed = first
+        while unused[seed] or unused[first]:  # what a cut leaves of a document seeds the next window
+            seed = seed if unused[seed] else first
             n, offset = int(left[seed]), int(left[seed])
-            own = [(int(seed), int(at[seed]), n, 0)]
+            own, cut = [(seed, int(at[seed]), n, 0)], first
             unused[seed] = False
             near = index.neighbours(seed, unused)
             fits = near[left[near] <= window - offset]
@@ -251,10 +265,11 @@ def fill(counts: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[i
                     left[d] -= n
                     offset += n
                     unused[d] = left[d] > 0
+                    cut = d
                     rest = rest[1:] if len(rest) else rest
             if offset == window:
                 out += [(d, s, n, seq, o) for d, s, n, o in own]
-                seq += 1
+                seq, seed = seq + 1, cut
                 continue
             size = 1 << offset.bit_length() - 1  # the shard's last one: cut at powers of two
             end, room = 0, size
@@ -275,59 +290,26 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Pieces of all rows' ids (text's ids, then ``end_id``), packed into windows.
 
     Null text is empty: its piece is the end id.  A null doc_id is packed as any other; repeated
-    rows are packed each.  An empty table gives no piece; other columns are ignored.
+    rows are packed each.  Of equally good neighbours the one that stands first in the shard's order is
+    taken.  A text of any length is packed whole.  An empty table gives no piece; other columns are ignored.
+    Sequence ids are unique, not consecutive.
     """
-    found, _ = scratch.store(frequencies(docs), "word-frequencies")
-    total = found.where("word IS NULL").first()
-    n_docs, n_words = (total.n, total.m) if total else (0, 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts, _ = scratch.store(shards(routed(rows, found, n_docs)), "packing-shards")
+    spark = docs.sparkSession
+    stored, path = encoded(docs, tokenizer, end_id)
+    corpus = spark.sparkContext.broadcast(Corpus(*frequencies(stored)))  # a few numbers a term of the vocabulary
+    rows, _ = placed(stored, corpus)
+    scratch.drop(spark, path)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, base = tokens.encoder(tokenizer), TaskContext.get().partitionId() << 36
-        shard, known, held = None, None, []
-
-        def packed() -> pa.RecordBatch:
-            nonlocal base
-            doc_ids = [x for h in held for x in h[0]]
-            ids, counts, hashed, n = (np.concatenate([h[k] for h in held]) for k in range(1, 5))
-            word, df = known
-            numbers = np.minimum(np.searchsorted(word, hashed & WORD), len(word) - 1)
-            numbers[word[numbers] != hashed & WORD] = len(word)  # a word of one document
-            pieces = fill(counts, Index(numbers, n, np.append(df, n_docs + 1), n_docs, n_words))
+        base = TaskContext.get().partitionId() << 36
+        for shard, ids, counts in blocks(it):
+            pieces = fill(counts, Index(ids, counts, corpus.value))
             begin = (np.cumsum(counts) - counts).tolist()
-            raw = memoryview(ids.astype("<u4", copy=False).tobytes())
-            d, start, length, seq, offset = (list(x) for x in zip(*pieces))
-            crc = [zlib.crc32(raw[4 * (begin[k] + s) : 4 * (begin[k] + s + n)]) for k, s, n in zip(d, start, length)]
-            out = [[doc_ids[k] for k in d], start, length, crc, counts[d].tolist(), [base + x for x in seq], offset]
-            base += seq[-1] + 1
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-        for batch in it:
-            at = batch.column("shard").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
-            for lo, hi in zip(edges, edges[1:]):
-                if at[lo] != shard:
-                    if held:
-                        yield packed()
-                    shard, known, held = at[lo], None, []
-                part = batch.slice(lo, hi - lo)
-                if known is None:  # the shard's first row
-                    pairs = part.column("known")[0].values
-                    word = pairs.field("word").to_numpy().view(np.uint64) if pairs is not None else np.zeros(0, np.uint64)
-                    order = np.argsort(word)
-                    df = pairs.field("n").to_numpy()[order] if len(word) else np.zeros(0, np.int64)
-                    known = (word[order], df) if len(word) else (np.full(1, ~WORD), np.zeros(1, np.int64))  # no word is so
-                    part = part.slice(1)
-                for run in batches.runs(part):
-                    ids, counts = tokens.with_end(*enc.encode(batches.texts(run.column("text"))), end_id)
-                    held.append((run.column("doc_id").to_pylist(), ids, counts, *words.hashes(*batches.spans(run.column("text")))))
-        if held:
-            yield packed()
-
-    named = parts.where("words IS NOT NULL")
-    pairs = named.select("shard", F.explode("words").alias("word")).join(found.select("word", "n"), "word")
-    known = pairs.groupBy("shard").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # a shard's words at most
-    heads = named.select("shard").join(known, "shard", "left").select("shard", F.lit(0).alias("place"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "known")
-    rows = parts.where("words IS NULL").select("shard", F.lit(1).alias("place"), "doc_id", "text", F.lit(None).cast("array<struct<word:bigint,n:bigint>>").alias("known"))
-    return heads.unionByName(rows).repartition("shard").sortWithinPartitions("shard", "place").mapInArrow(run, PIECES)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            d, start, length, seq, offset = np.array(pieces, np.int64).T
+            crc = [zlib.crc32(raw[4 * (begin[k] + s) : 4 * (begin[k] + s + n)]) for k, s, n in zip(d.tolist(), start.tolist(), length.tolist())]
+            out = [shard.column("doc_id").take(pa.array(d)), *(pa.array(x, pa.int64()) for x in (start, length, crc, counts[d], base + seq, offset))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            base += int(seq[-1]) + 1
+
+    return rows.mapInArrow(run, PIECES)

@@ -347,12 +347,49 @@ def test_packing(awkward, empty, spark):
 
 
 def test_packing_prefers_neighbours():
-    counts = np.array([600, 400, 400, 424])
-    hashed = np.array([1, 2, 3, 4, 9, 9, 1, 2, 3, 4, 8, 8], np.uint64)
-    index = packing.Index(hashed, np.array([4, 2, 4, 2]), np.full(packing.BUCKETS, 2), 100, 300)
-    pieces = packing.fill(counts, index)
-    first = [p for p in pieces if p[3] == 0]
-    assert [p[0] for p in first][:2] == [0, 2]
+    own = [[1, 2, 3, 4], [9, 9], [1, 2, 3, 4], [8, 8]]
+    ids, counts = np.array([i for x in own for i in [*x, 0]], np.uint16), np.array([len(x) + 1 for x in own])
+    index = packing.Index(ids, counts, packing.Corpus(np.full(packing.IDS + packing.PAIRS, 2), 100, 300))
+    pieces = packing.fill(np.array([600, 400, 400, 424]), index)
+    assert [p[0] for p in pieces if p[3] == 0][:2] == [0, 2]
+
+
+def pairs_too(own):
+    """The terms of a list of ids by definition: ids, and hashed pairs of neighbours."""
+    pair = lambda a, b: packing.IDS + (((a * 0x9E3779B1 & 0xFFFFFFFF ^ b) * 0x85EBCA77 & 0xFFFFFFFF) >> 12)
+    return [*own, *(pair(a, b) for a, b in zip(own, own[1:]))]
+
+
+def test_bm25_by_definition():
+    """Scores, and the order of neighbours with ties, against sums over the documents' own terms."""
+    rng = np.random.default_rng(6)
+    own = [rng.zipf(1.5, int(rng.integers(0, 60))).clip(1, 40).tolist() for _ in range(50)]
+    own[7] = list(own[3])
+    ids, counts = np.array([i for x in own for i in [*x, 0]], np.uint32), np.array([len(x) + 1 for x in own])
+    own = [pairs_too(x) for x in own]
+    df = np.zeros(packing.IDS + packing.PAIRS, np.int64)
+    for x in own:
+        df[sorted(set(x))] += 5
+    n_docs, n_terms = 500, 9000
+    index = packing.Index(ids, counts, packing.Corpus(df, n_docs, n_terms))
+
+    def bm25(seed, d):
+        total = 0.0
+        for t in set(own[seed]) & set(own[d]):
+            tf = own[d].count(t)
+            if seed != d or df[t] > 5:
+                total += np.log(1 + (n_docs - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own[d]) / (n_terms / n_docs)))
+        return total
+
+    for seed in range(50):
+        want = [bm25(seed, d) for d in range(50)]
+        assert np.allclose(index.scores(seed), want, rtol=1e-5)
+        unused = np.arange(50) != seed
+        near = index.neighbours(seed, unused).tolist()
+        assert set(near) == {d for d in range(50) if want[d] > 0 and d != seed}
+        assert all(want[a] > want[b] * (1 - 1e-5) for a, b in zip(near, near[1:]))
+        if {3, 7} <= set(near):
+            assert near.index(3) < near.index(7)
 
 
 def test_packing_finds_neighbours_wherever_they_stand(spark):
@@ -364,20 +401,14 @@ def test_packing_finds_neighbours_wherever_they_stand(spark):
     assert np.mean([bool(held[k] & held[k + 1500]) for k in range(1500)]) > 0.5
 
 
-def test_document_frequencies_are_exact(spark):
-    rows = [(k, " ".join([f"own{k}x{j}" for j in range(150)] + [f"pair{k // 2}", "all", "all"])) for k in range(2000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    import pyarrow as pa
-
-    want = {}
-    for _, t in rows:
-        for w in set(t.split()):
-            want[w] = want.get(w, 0) + 1
-    names = list(want)
-    h, _ = words.hashes(*batches.spans(pa.array(names)))
-    got = {r.word: (r.n, r.m) for r in packing.frequencies(docs).collect()}
-    assert got.pop(None) == (2000, 2000 * 153) and len(got) == len(names)
-    assert all(got[w][0] == want[name] for w, name in zip((h & packing.WORD).view(np.int64).tolist(), names))
+def test_document_frequencies_are_exact(awkward, spark):
+    docs = awkward.select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")).repartition(5)
+    df, n_docs, n_terms = packing.frequencies(packing.encoded(docs, queries.BYTE_BPE, 0)[0])
+    ids = [truth(queries.BYTE_BPE, r.text) for r in docs.collect()]
+    want = np.zeros(len(df), np.int64)
+    for x in ids:
+        want[sorted(set(pairs_too(x)))] += 1
+    assert (df == want).all() and n_docs == len(ids) and n_terms == sum(len(pairs_too(x)) for x in ids)
 
 
 def test_language(spark, awkward, empty):
