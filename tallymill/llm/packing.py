@@ -33,6 +33,8 @@ IDS, PAIRS = 1 << 18, 1 << 20
 PARTS = 64
 #: Terms of the greatest weight by which a document is placed.
 HEAVY = 3
+#: Documents of a shard that hold a term from which on its postings are a row of a matrix; and rows of such a matrix.
+DENSE, BLOCK = 48, 1024
 #: BM25's constants.
 K1, B = 1.2, 0.75
 
@@ -89,8 +91,11 @@ def blocks(it: Iterator[pa.RecordBatch], most_docs: int = SHARD_DOCS, most_ids:
         yield out()
 
 
-def terms_of(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms of each of SHARD_DOCS documents at most, in order of the terms: term, document, occurrences.  The end id is none."""
+def terms_of(ids: np.ndarray, counts: np.ndarray, by_doc: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of each of SHARD_DOCS documents at most, in order of the terms or of the documents: term, document, occurrences.
+
+    The end id is none.
+    """
     ends = np.cumsum(counts)
     own = np.ones(len(ids), bool)
     own[ends - 1] = False
@@ -99,11 +104,15 @@ def terms_of(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     wide = ids.astype(np.uint32)
     with np.errstate(over="ignore"):
         mixed = (wide[:-1][pair] * np.uint32(0x9E3779B1) ^ wide[1:][pair]) * np.uint32(0x85EBCA77)
-    key = np.concatenate([wide[own] << np.uint32(10) | doc[own], (np.uint32(IDS) + (mixed >> np.uint32(12))) << np.uint32(10) | doc[:-1][pair]])
+    term, doc = np.concatenate([wide[own], np.uint32(IDS) + (mixed >> np.uint32(12))]), np.concatenate([doc[own], doc[:-1][pair]])
+    key = doc << np.uint32(21) | term if by_doc else term << np.uint32(10) | doc
     key.sort()
-    at = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
     one = key[at].astype(np.int64)
-    return one >> 10, one & 1023, np.diff(at, append=len(key))
+    term, doc = (one & (1 << 21) - 1, one >> 21) if by_doc else (one >> 10, one & 1023)
+    return term, doc, np.diff(at, append=len(key))
 
 
 def lengths(counts: np.ndarray) -> np.ndarray:
@@ -165,14 +174,17 @@ class Corpus:
 
 def places(ids: np.ndarray, counts: np.ndarray, corpus: Corpus) -> np.ndarray:
     """The place of each document in the order: of the terms that another document holds the HEAVY ones of the greatest weight, as one number."""
-    term, doc, tf = terms_of(ids, counts)
+    term, doc, tf = terms_of(ids, counts, by_doc=True)
     weight = corpus.weights(term, tf, lengths(counts)[doc]) / max(1e-9, float(corpus.idf.max(initial=0)) * (K1 + 1))
-    some = corpus.shared[term]
-    key = np.sort(doc[some] << 37 | 65535 - (65535 * weight[some]).astype(np.int64) << 21 | term[some])
-    nth = np.arange(len(key)) - np.searchsorted(key >> 37, key >> 37)
-    key, nth = key[nth < HEAVY], nth[nth < HEAVY]
+    key = np.where(corpus.shared[term], ((1 << 20) * weight).astype(np.int64) << 21 | (1 << 21) - 1 - term, 0)
     out = np.full((len(counts), HEAVY), (1 << 21) - 1)
-    out[key >> 37, nth] = key & (1 << 21) - 1
+    own = np.bincount(doc, minlength=len(counts))
+    some = np.flatnonzero(own)
+    heads = np.cumsum(own)[some] - own[some]
+    for k in range(HEAVY if len(some) else 0):
+        best = np.maximum.reduceat(key, heads)
+        out[some, k] = np.where(best > 0, (1 << 21) - 1 - (best & (1 << 21) - 1), out[some, k])
+        key[key == np.repeat(best, own[some])] = 0
     return (out << 21 * np.arange(HEAVY - 1, -1, -1)).sum(1)
 
 
@@ -196,21 +208,38 @@ def placed(stored: DataFrame, corpus: Broadcast) -> tuple[DataFrame, str]:
 
 
 class Index:
-    """BM25 inverted index of one shard, with every posting."""
+    """BM25 inverted index of one shard, with every posting.
+
+    Postings of terms that many documents of the shard hold are rows of a matrix, whose product with the
+    documents' terms scores all pairs of documents at once; the others are lists.
+    """
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, corpus: Corpus):
         """``ids``: of all documents end to end, each with its end id."""
-        self.n = len(counts)
+        self.n = n = len(counts)
         term, doc, tf = terms_of(ids, counts)
-        heads = np.flatnonzero(np.diff(term, prepend=-1))
-        size = np.diff(heads, append=len(term))
+        new = np.ones(len(term), bool)
+        new[1:] = term[1:] != term[:-1]
+        size = np.diff(np.flatnonzero(new), append=len(term))
         keep = np.repeat(size > 1, size)  # a term of one document has no neighbour
         term, doc, tf, size = term[keep], doc[keep], tf[keep], size[size > 1]
+        weight = corpus.weights(term, tf, lengths(counts)[doc]).astype(np.float32)
+
+        many = size >= DENSE
+        dense = np.repeat(many, size)
+        self.base = np.zeros((n, n), np.float32)
+        row, at, own = np.repeat(np.arange(int(many.sum())), size[many]), doc[dense], weight[dense]
+        for lo in range(0, int(many.sum()), BLOCK):
+            some = slice(*np.searchsorted(row, [lo, lo + BLOCK]))
+            w = np.zeros((BLOCK, n), np.float32)
+            w[row[some] - lo, at[some]] = own[some]
+            self.base += (w > 0).astype(np.float32).T @ w
+
+        size = size[~many]
         number = np.repeat(np.arange(len(size)), size)
-        self.doc, self.weight = doc, corpus.weights(term, tf, lengths(counts)[doc])
+        self.doc, self.weight, doc = doc[~dense], weight[~dense], doc[~dense]
         self.len, self.ptr = size, np.cumsum(size) - size
-        by_doc = np.argsort(doc, kind="stable")
-        self.terms, n_own = number[by_doc], np.bincount(doc, minlength=self.n)
+        self.terms, n_own = number[np.argsort(doc.astype(np.uint16), kind="stable")], np.bincount(doc, minlength=n)
         self.ends = np.cumsum(n_own)
         self.starts = self.ends - n_own
 
@@ -218,13 +247,13 @@ class Index:
         """BM25 of every document for the seed's distinct terms."""
         terms = self.terms[self.starts[seed] : self.ends[seed]]
         at = batches.gather(self.ptr[terms], self.len[terms])
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        return self.base[seed] + np.bincount(self.doc[at], self.weight[at], self.n)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share terms with the seed, best first; of equal scores the one that stands first."""
+        """Unused documents that share terms with the seed, best first; of scores equal to 1/1024 the one that stands first."""
         score = self.scores(seed)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        return found[np.argsort(-np.rint(score[found] * 1024), kind="stable")]
 
 
 def fill(counts: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:

@@ -1,8 +1,8 @@
 """Exact token ids from the tokenizers library, each distinct chunk encoded once.
 
 A text is cut before spaces that a non-space follows.  No token of the supported pre-tokenizers
-spans such a place (:func:`separable` reads that from the tokenizer file; texts go to the library
-whole where it does not hold), so the ids of a text are those of its chunks end to end.  Chunks
+spans such a place, nor one where a word ends at a mark (:func:`marks` takes that from the tokenizer file;
+of other kinds of files whole texts go to the library), so the ids of a text are those of its chunks end to end.  Chunks
 recur often and are kept per Python worker, by 128 bits of their bytes.
 """
 
@@ -31,6 +31,12 @@ MARK = "\x01"
 _STAYS = np.zeros(256, bool)
 _STAYS[:33] = True
 _STAYS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: ASCII letters and digits.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+# Fixed value: the pattern of the published tokenizer that keeps words and drops white space.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @lru_cache(None)
@@ -45,34 +51,37 @@ def library(path: str):
     return found
 
 
-def separable(spec: dict) -> bool:
-    """Whether a tokenizer's tokens never span a space that a non-space follows, by its file.
+def marks(spec: dict) -> np.ndarray | None:
+    """Bytes before which a text may be cut where an ASCII letter or digit stands in front, by its tokenizer file; None for unknown kinds of files.
 
-    True of byte-level pre-tokenizers with their own pattern, which takes a space only in front of a word or with
-    other white space, and of patterns that keep words and drop what is between them, none of which holds a
-    space; with normalisers that work on characters or on runs of white space.  Other files are not judged.
+    Either known pre-tokenizer ends a token where letters or digits end, other than at an apostrophe, and none of
+    its tokens spans a space that a non-space follows.  Characters of added tokens are no places to cut.
     """
     own = spec["pre_tokenizer"] or {}
     steps = own.get("pretokenizers", [own])
-    first = steps[0]
-    kept = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
-    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and " " not in first["pattern"].get("Regex", " ").replace("[^\\s", "")
-    drops = drops and "\\s" not in first["pattern"]["Regex"].replace("[^\\s", "")
-    rest = all(x.get("type") == "ByteLevel" and not x.get("use_regex", True) and not x.get("add_prefix_space") for x in steps[1:])
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+    kept = steps == [byte_level | {"use_regex": True}]
+    drops = len(steps) == 2 and steps[0] == {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True} and steps[1] == byte_level | {"use_regex": False}
     normalizer = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
-    plain = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in normalizer.get("normalizers", [normalizer]))
-    words_only = all(" " not in x["content"] and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in spec["added_tokens"])
-    return bool((kept or drops) and rest and plain and words_only)
+    plain = all(x["type"] in ("NFC", "Lowercase") or x == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for x in normalizer.get("normalizers", [normalizer]))
+    whole = all(" " not in x["content"] and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in spec["added_tokens"])
+    if not ((kept or drops) and plain and whole):
+        return None
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" if not any(c in x["content"] for x in spec["added_tokens"])]] = True
+    return out
 
 
-def cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut(data: np.ndarray, offs: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where the chunks of all texts begin, their bytes, and how many each text has; a chunk keeps the space in front."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs) - 1, np.int64)
     begin = data == 32
     begin[:-1] &= ~_STAYS[data[1:]]
+    begin[1:] |= before[data[1:]] & _PLAIN[data[:-1]]
     full = offs[1:] > offs[:-1]
-    begin[offs[1:][full] - 1] = False
+    last = offs[1:][full] - 1
+    begin[last] &= data[last] != 32
     begin[offs[:-1][full]] = True
     starts = np.flatnonzero(begin)
     return starts, np.diff(starts, append=len(data)), np.diff(np.searchsorted(starts, offs))
@@ -106,7 +115,7 @@ class Numbers:
         new = np.arange(len(self), len(self) + len(a))
         self.a, self.b = np.concatenate([self.a, a]), np.concatenate([self.b, b])
         if 3 * len(self.a) > len(self.slots):
-            self.slots = np.full(4 << (3 * len(self.a)).bit_length(), -1, np.int32)
+            self.slots = np.full(1 << (3 * len(self.a)).bit_length(), -1, np.int32)
             new = np.arange(len(self.a))
         mask = len(self.slots) - 1
         at = (self.a[new] & np.uint64(mask)).astype(np.int64)
@@ -123,7 +132,7 @@ class Encoder:
     def __init__(self, path: str, keep: int = KEEP):
         self.lib, self.keep = library(path), keep
         with open(path, encoding="utf-8") as f:
-            self.separable = separable(json.load(f))
+            self.marks = marks(json.load(f))
         self.mark = self.lib.encode(f" {MARK}", add_special_tokens=False).ids
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character a byte
@@ -139,14 +148,14 @@ class Encoder:
 
     def spans(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each; ``data``: their UTF-8 bytes, from ``offs`` on."""
-        if not self.separable:
+        if self.marks is None:
             raw = data.tobytes()
             got = self.lib.encode_batch_fast([raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], add_special_tokens=False)
             lens = np.array([len(e.ids) for e in got], np.int64)
             return np.fromiter(chain.from_iterable([e.ids for e in got]), np.uint32, int(lens.sum())), lens
         if len(self.known) > self.keep:
             self._clear()
-        starts, size, counts = cut(data, offs)
+        starts, size, counts = cut(data, offs, self.marks)
         a, b = words.names(data, starts, size)
         at = self.known.find(a, b)
         new = np.flatnonzero(at < 0)
