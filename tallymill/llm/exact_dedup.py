@@ -2,10 +2,9 @@
 
 A fingerprint's high bits (the quotient) name a slot and its low bits (the remainder) are kept
 there in sorted order with a count, so a filter holds every fingerprint whole and two filters
-merge without loss.  Every partition of the corpus builds filters of its rows, merged within the
-task; across partitions their entries, one for each distinct fingerprint and filter, are summed by
-an aggregation on the fingerprint.  Texts whose fingerprint has a count above one are
-compared byte for byte.
+merge without loss.  Every partition of the corpus builds a filter of its rows; filters travel in ranges of
+slots, as sorted remainders and counts, and a task merges the filters of a range by their sorted
+remainders.  Texts whose fingerprint has a count above one are compared byte for byte.
 """
 
 from __future__ import annotations
@@ -24,8 +23,10 @@ from tallymill.llm import scratch
 SPACES = r"[\t-\r][ \t-\r]*| [ \t-\r]+"
 #: A column name that no table has.
 SPARE = "__tallymill_spare__"
-#: Entries that a partition's filter holds before it hands them on.
-CAPACITY = 1 << 20
+#: Entries that a partition's filter holds before it hands them on; entries of a range of slots on average, at most.
+CAPACITY, RANGE = 1 << 20, 1 << 19
+#: Rows that are told to every task instead of being joined through a shuffle, at most.
+TOLD = 1 << 19
 
 
 def normalised(text: Column) -> Column:
@@ -34,67 +35,145 @@ def normalised(text: Column) -> Column:
 
 
 class QuotientFilter:
-    """Counting quotient filter of 64-bit fingerprints: sorted remainders and counts by slot.
+    """Counting quotient filter of fingerprints of ``width`` bits: sorted remainders and counts by slot.
 
     ``ends[q]`` is where the run of slot q ends; runs stand in slot order, so the arrays are the
     filter's table without its empty slots.
     """
 
-    def __init__(self, bits: int, ends: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
-        self.bits, self.ends, self.remainders, self.counts = bits, ends, remainders, counts
+    def __init__(self, bits: int, ends: np.ndarray, remainders: np.ndarray, counts: np.ndarray, width: int = 64):
+        self.bits, self.ends, self.remainders, self.counts, self.width = bits, ends, remainders, counts, width
+        self.low = np.uint64(width - bits)  # bits of a remainder
 
     @classmethod
-    def build(cls, prints: np.ndarray, counts: np.ndarray | None = None, bits: int = 12) -> QuotientFilter:
-        order = np.argsort(prints, kind="stable")
-        prints = prints[order]
-        counts = np.ones(len(prints), np.int64) if counts is None else counts[order]
-        heads = np.flatnonzero(np.diff(prints, prepend=~prints[:1]) != 0) if len(prints) else np.zeros(0, np.int64)
-        one = prints[heads]
-        ends = np.searchsorted(one >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64), "right")
-        kept = np.add.reduceat(counts, heads) if len(heads) else np.zeros(0, np.int64)
-        return cls(bits, ends, one & np.uint64((1 << (64 - bits)) - 1), kept)
+    def build(cls, prints: np.ndarray, bits: int = 12) -> QuotientFilter:
+        """The filter of 64-bit fingerprints."""
+        return cls.of_sorted(*np.unique(prints, return_counts=True), bits, 64)
+
+    @classmethod
+    def of_sorted(cls, prints: np.ndarray, counts: np.ndarray, bits: int, width: int) -> QuotientFilter:
+        """The filter of distinct fingerprints in order."""
+        low = np.uint64(width - bits)
+        ends = np.searchsorted(prints >> low, np.arange(1 << bits, dtype=np.uint64), "right")
+        return cls(bits, ends, prints & ((np.uint64(1) << low) - np.uint64(1)), counts, width)
 
     def prints(self) -> np.ndarray:
         """The fingerprints, from slots and remainders."""
         slots = np.repeat(np.arange(1 << self.bits, dtype=np.uint64), np.diff(self.ends, prepend=0))
-        return (slots << np.uint64(64 - self.bits)) | self.remainders
+        return (slots << self.low) | self.remainders
 
     def merge(self, other: QuotientFilter) -> QuotientFilter:
-        """Both filters' entries; equal fingerprints add their counts."""
-        return QuotientFilter.build(np.concatenate([self.prints(), other.prints()]), np.concatenate([self.counts, other.counts]), self.bits)
+        """Both filters' entries in one pass over sorted remainders; equal fingerprints add their counts."""
+        mine, theirs = self.prints(), other.prints()
+        at = np.searchsorted(mine, theirs)
+        near = np.minimum(at, max(0, len(mine) - 1))
+        same = mine[near] == theirs if len(mine) else np.zeros(len(theirs), bool)
+        counts = self.counts.copy()
+        counts[near[same]] += other.counts[same]
+        at, new = at[~same], ~same
+        place = at + np.arange(len(at))  # where their own entries come to stand
+        prints, total = np.empty(len(mine) + len(at), np.uint64), np.empty(len(mine) + len(at), np.int64)
+        old = np.ones(len(prints), bool)
+        old[place] = False
+        prints[place], prints[old] = theirs[new], mine
+        total[place], total[old] = other.counts[new], counts
+        return QuotientFilter.of_sorted(prints, total, self.bits, self.width)
+
+    def ranges(self, bits: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """The filter in 2 ** bits ranges of slots: number, entries of each slot, remainders, counts."""
+        slots = 1 << (self.bits - bits)
+        size = np.diff(self.ends, prepend=0).astype("<u4")
+        cuts = np.concatenate([[0], self.ends[slots - 1 :: slots]]).tolist()
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            if hi > lo:
+                yield k, size[k * slots : (k + 1) * slots].tobytes(), self.remainders[lo:hi].tobytes(), self.counts[lo:hi].tobytes()
+
+    @classmethod
+    def of_range(cls, bits: int, size: bytes, remainders: bytes, counts: bytes) -> QuotientFilter:
+        """The filter of one of 2 ** bits ranges: its fingerprints lack the range's number in front."""
+        size = np.frombuffer(size, "<u4")
+        return cls((len(size) - 1).bit_length(), np.cumsum(size, dtype=np.int64), np.frombuffer(remainders, np.uint64), np.frombuffer(counts, np.int64), 64 - bits)
 
     def count(self, print_: int) -> int:
         """How often a fingerprint was put in."""
-        q, r = print_ >> (64 - self.bits), np.uint64(print_ & ((1 << (64 - self.bits)) - 1))
+        low = self.width - self.bits
+        q, r = print_ >> low, np.uint64(print_ & ((1 << low) - 1))
         lo, hi = (int(self.ends[q - 1]) if q else 0), int(self.ends[q])
         at = lo + int(np.searchsorted(self.remainders[lo:hi], r))
         return int(self.counts[at]) if at < hi and self.remainders[at] == r else 0
 
 
+class Merger:
+    """Merges filters as they come, like with like by size, so that an entry is moved log(filters) times."""
+
+    def __init__(self):
+        self.held: list[QuotientFilter] = []
+
+    def add(self, f: QuotientFilter) -> None:
+        self.held.append(f)
+        while len(self.held) > 1 and 2 * len(self.held[-1].counts) >= len(self.held[-2].counts):
+            last = self.held.pop()
+            self.held[-1] = self.held[-1].merge(last)
+
+    def whole(self) -> QuotientFilter | None:
+        while len(self.held) > 1:
+            last = self.held.pop()
+            self.held[-1] = self.held[-1].merge(last)
+        return self.held.pop() if self.held else None
+
+
 def repeated(prints: DataFrame, column: str = "fp") -> DataFrame:
     """Fingerprints (bigint ``fp``) that occur more than once, with their count ``n``.
 
-    Each partition's filters emit (fingerprint, count); entries of equal
-    fingerprints add up in a partial and a final aggregation, so a fingerprint that a third of
-    all rows share arrives once from each partition.
+    A fingerprint that a third of all rows share arrives once from each filter.  The number of ranges
+    grows with the rows, so what a task merges at once does not.
     """
+    rows = prints.count()
+    bits = max(0, (rows // RANGE).bit_length())
 
     def filters(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: QuotientFilter | None = None
+        held = Merger()
+
+        def out() -> pa.RecordBatch:
+            k, size, remainders, counts = zip(*held.whole().ranges(bits))
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *(pa.array(x, pa.binary()) for x in (size, remainders, counts))], ["range", "size", "remainders", "counts"])
+
+        for batch in it:
+            if batch.num_rows:
+                held.add(QuotientFilter.build(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), max(12, bits + 2)))
+            if sum(len(f.counts) for f in held.held) >= CAPACITY:
+                yield out()
+        if held.held:
+            yield out()
+
+    def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = Merger(), None
+
+        def out() -> pa.RecordBatch:
+            f = held.whole()
+            more = f.counts > 1
+            prints = f.prints()[more] | np.uint64(at << f.width if bits else 0)
+            return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(f.counts[more])], ["fp", "n"])
+
         for batch in it:
-            new = QuotientFilter.build(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            held = new if held is None else held.merge(new)
-            if len(held.counts) >= CAPACITY:
-                yield entries(held)
-                held = None
-        if held is not None:
-            yield entries(held)
+            for k, *parts in zip(batch.column("range").to_pylist(), *(batch.column(c) for c in ("size", "remainders", "counts"))):
+                if k != at and held.held:
+                    yield out()
+                at = k
+                held.add(QuotientFilter.of_range(bits, *(x.as_buffer() for x in parts)))
+        if held.held:
+            yield out()
+
+    ranges = prints.select(column).mapInArrow(filters, "range int, size binary, remainders binary, counts binary")
+    return ranges.repartition("range").sortWithinPartitions("range").mapInArrow(merged, "fp long, n long")
 
-    def entries(f: QuotientFilter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(f.prints().view(np.int64)), pa.array(f.counts)], ["fp", "n"])
 
-    merged = prints.select(column).mapInArrow(filters, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
-    return merged.where("n > 1")
+def without(docs: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """The rows of ``docs`` for which no row of ``gone`` (a stored table) meets the condition.
+
+    Up to TOLD rows are sent to every task, so that texts stay where they are; more are joined through a shuffle.
+    """
+    return docs.join(F.broadcast(gone) if gone.limit(TOLD + 1).count() <= TOLD else gone, on, "left_anti")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -136,11 +215,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Where rows with the kept doc_id repeat the kept text, any one of them stays.
     """
-    stays = groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_n"))
-    stays, _ = scratch.store(stays.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "_n"), "dedup-kept")
+    found, _ = scratch.store(groups(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "dedup-rows")
+    rows = found.groupBy("_id", "_sha").agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_n"))
+    gone, _ = scratch.store(rows.where("NOT _kept OR _n > 1"), "dedup-gone")
     sha = F.sha2(normalised(docs["text"]), 256)
-    mine = lambda t: docs.join(t, docs["doc_id"].eqNullSafe(t["_id"]) & (sha == t["_sha"]), "left_semi")
-    if stays.where("_n > 1").isEmpty():
-        return mine(stays)
-    again = mine(stays.where("_n > 1")).withColumn(SPARE, F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", SPARE]).drop(SPARE)
-    return mine(stays.where("_n = 1")).unionByName(again)
+    on = lambda t: docs["doc_id"].eqNullSafe(t["_id"]) & (sha == t["_sha"])
+    left = without(docs, gone.drop("_kept", "_n"), on(gone))
+    again = gone.where("_kept").drop("_kept", "_n")
+    if again.isEmpty():
+        return left
+    again = docs.join(again, on(again), "left_semi").withColumn(SPARE, F.sha2(normalised(F.col("text")), 256)).dropDuplicates(["doc_id", SPARE]).drop(SPARE)
+    return left.unionByName(again)

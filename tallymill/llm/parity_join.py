@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import batches, components, scratch, words
-from tallymill.llm.exact_dedup import SPARE
+from tallymill.llm.exact_dedup import SPARE, without
 from tallymill.llm.words import mix
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4  # shingle length; similarity 3/4
@@ -605,13 +605,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     The row of the smallest doc_id stays (of rows that share it, one text; of repeats, any one).
     All texts without words stay.
     """
-    stays = _grouped(docs).where("least IS NULL OR (least.doc_id <=> doc_id AND least.row = row)")
-    stays = stays.groupBy("doc_id", "row").agg(F.count("*").alias("_n"), F.max("n").alias("_words"))
-    stays, _ = scratch.store(stays.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_n", "_words"), "near-kept")
-    row = F.xxhash64(docs["text"])
-    mine = lambda t: docs.join(t, docs["doc_id"].eqNullSafe(t["_id"]) & (row == t["_row"]), "left_semi")
-    repeats = (F.col("_n") > 1) & (F.col("_words") > 0)
-    if stays.where(repeats).isEmpty():
-        return mine(stays)
-    again = mine(stays.where(repeats)).withColumn(SPARE, F.xxhash64("text")).dropDuplicates(["doc_id", SPARE]).drop(SPARE)
-    return mine(stays.where(~repeats)).unionByName(again)
+    stays = F.col("least").isNull() | F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.row") == F.col("row"))
+    rows = _grouped(docs).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    rows = rows.agg(F.bool_or(stays).alias("_kept"), ((F.count("*") > 1) & (F.max("n") > 0)).alias("_repeats"))
+    gone, _ = scratch.store(rows.where("NOT _kept OR _repeats"), "near-gone")
+    on = lambda t: docs["doc_id"].eqNullSafe(t["_id"]) & (F.xxhash64(docs["text"]) == t["_row"])
+    left, again = without(docs, gone.select("_id", "_row"), on(gone)), gone.where("_kept").select("_id", "_row")
+    if again.isEmpty():
+        return left
+    again = docs.join(again, on(again), "left_semi").withColumn(SPARE, F.xxhash64("text")).dropDuplicates(["doc_id", SPARE]).drop(SPARE)
+    return left.unionByName(again)

@@ -179,6 +179,24 @@ def norm(t):
     return re.sub("[\x20\x09-\x0d]+", " ", t or "")
 
 
+def test_filters_of_ranges_merge_without_loss(spark, monkeypatch):
+    """Filters of many partitions, cut into ranges and merged again, against plain counts."""
+    monkeypatch.setattr(exact_dedup, "RANGE", 500)
+    monkeypatch.setattr(exact_dedup, "CAPACITY", 700)
+    prints = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 4000)[np.random.default_rng(3).zipf(1.3, 9000) % 4000]
+    values, counts = np.unique(prints, return_counts=True)
+    got = exact_dedup.repeated(spark.createDataFrame([(int(x),) for x in prints], "fp long").repartition(7)).collect()
+    assert sorted((r.fp, r.n) for r in got) == sorted((int(v), int(n)) for v, n in zip(values, counts) if n > 1)
+    f = exact_dedup.QuotientFilter.build(prints.view(np.uint64), bits=12)
+    merger = exact_dedup.Merger()
+    parts = {k: exact_dedup.QuotientFilter.of_range(2, *own) for k, *own in f.ranges(2)}
+    assert [x for k, own in parts.items() for x in (own.prints() | np.uint64(k << 62)).tolist()] == values.view(np.uint64)[np.argsort(values.view(np.uint64))].tolist()
+    for x in (0, 3, 1):
+        merger.add(parts[x % 2])
+    whole = merger.whole()
+    assert whole.counts.sum() == 2 * parts[1].counts.sum() + parts[0].counts.sum()
+
+
 def test_exact_dedup(awkward, empty):
     by = {}
     for i, t in AWKWARD:
