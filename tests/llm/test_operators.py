@@ -589,3 +589,12 @@ def test_hot_cell_is_dealt_out(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     monkeypatch.setattr(e8_neardup, "CHUNK", 40)
     assert {(r.n_links, r.component_id) for r in e8_neardup.groups(df).collect()} == {(149, 0)}
+
+
+def test_neardup_repeats_and_clashes(spark):
+    """Repeated rows count each other, columns of the operator's own names are ignored, and doubles keep their precision."""
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 0, "x", 1, 5.0), (1, v, 0, "x", 1, 5.0), (2, [x * 1e-200 for x in v], 0, "y", 2, 6.0), (3, [3.0, -2.0, 1.0], 0, "y", 2, 6.0), (4, [x * 1e200 for x in v], 0, "y", 2, 6.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, content string, id long, n double")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in e8_neardup.groups(df).collect())
+    assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (4, 3, 1, False)]
