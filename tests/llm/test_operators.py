@@ -166,6 +166,68 @@ def test_site_tree_learns_below_many_levels(spark):
     assert {r.page_id: r.text for r in got} == {k: f"Story number {k} of its own" for k in range(12)}
 
 
+def lows(pages):
+    """The tree's low importances of each page, by its key."""
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))
+    rows = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.xxhash64("url", F.coalesce("html", F.lit(""))).alias("key"))
+    return [(r.page_id, r.html, {x.path: x.importance for x in r.low or ()}) for r in rows.join(site_tree.trees(rows), "key", "left").collect()]
+
+
+def test_tree_alone_removes_what_no_name_tells(spark):
+    """Hosts without <article> and without telling names: menus, notices and a ticker of few contents go by importance, nested ones with their branch."""
+    words_of = lambda k, n: " ".join(f"w{(k * 7919 + j * 104729) % 5003}" for j in range(n))
+    page = lambda k: (
+        f"<div class=x1><div class=x2><p>Home</p><p>About us</p></div><div class=x3><p>Ticker {k % 3}</p></div></div>"
+        f"<div class=x4><p>{words_of(k, 40)}</p><div class=x5><p>{words_of(k + 500, 30)}</p></div><div class=x6><p>Share this story</p></div></div><div class=x7><div><div>All rights kept</div></div></div>"
+    )
+    rows = [(k, f"https://plain.example/{k}", page(k)) for k in range(60)]
+    found = lows(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    total = 0
+    for k, html_, low in found:
+        removed = []
+        assert site_tree.Page(html_).main_text(low, removed) == f"{words_of(k, 40)}\n{words_of(k + 500, 30)}"
+        assert removed == ["Home", "About us", f"Ticker {k % 3}", "Share this story", "All rights kept"]
+        assert site_tree.Page(html_).main_text({}).count("\n") == 6  # the rules alone keep all of it
+        total += len(removed)
+    assert total == 300
+
+
+def test_tree_leaves_articles_of_the_tables_alone(spark):
+    """The tables' menus, adverts and footers differ from page to page, so their trees find little and the rules decide."""
+    removed = []
+    for _, html_, low in lows(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")):
+        assert site_tree.Page(html_).main_text(low, removed) == article(html_)
+
+
+def test_importance_by_definition(spark):
+    """Entropies of presentations and contents as shares of the largest possible; the branch's mean by text."""
+    rows = [(k, "http://h/", f"<div><p>{'same' if k < 6 else k}</p><div class=u>{k}</div></div>") for k in range(8)]
+    host_rows = spark.createDataFrame(rows, "key long, host string, html string")
+    got = sorted(r.importance for r in site_tree.importances(site_tree.parsed(host_rows)).collect())
+    h = -(6 / 8 * np.log(6 / 8) + 2 * (1 / 8) * np.log(1 / 8)) / np.log(8)
+    assert np.allclose(got, [h, 1.0])
+    page = site_tree.Page("<div>abcd<div class=u>xy</div><div class=v>pq</div></div>")
+    composed, most = page.branches({page.nodes[0].path: 0.25, page.nodes[1].path: 1.0, page.nodes[2].path: 0.5})
+    assert np.allclose(composed, [(4 * 0.25 + 2 * 1 + 2 * 0.5) / 8, 1, 0.5]) and most[0] == 1
+
+
+@pytest.mark.parametrize("source", ['<a "' * 100_000, "<div>" * 100_000 + "deep", "<b><div>" * 30_000 + "</b>" * 30_000, "<i>" * 100_000 + "</p>" * 100_000, "<p><table><tr>" * 20_000, "<!--" * 50_000, "<a b='" * 60_000, "<script>" * 60_000, "</x>" * 100_000, "<" * 200_000])
+def test_hostile_pages_take_linear_time(source):
+    import time
+
+    start = time.process_time()
+    page = site_tree.Page(source)
+    list(page.contents())
+    page.main_text({0: 1.0})
+    assert time.process_time() - start < 10
+
+
+def test_site_tree_with_clashing_columns_and_long_pages(spark):
+    rows = [(1, "http://h/1", "<article><p>" + "word " * 200_000 + "</p></article>", "x", 5, "y", []), (2, "http://h/2", "<div>" * 3000 + "inner" + "</div>" * 3000, "x", 5, "y", [1])] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, key long, low string, paths array<long>")
+    assert sorted((r.page_id, len(r.text)) for r in site_tree.extract(df).collect()) == [(1, 999_999)] * 2 + [(2, 5)] * 2
+
+
 def test_quotient_filter():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 1 << 63, 5000, dtype=np.uint64) % 3000 * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
