@@ -9,6 +9,7 @@ prototype has the largest cosine with it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,45 +21,65 @@ from tallymill.llm import batches
 SIZE = 2048
 #: Trigrams of a run that the most of its texts hold, whose vectors are multiplied as one matrix.
 DENSE = 1024
-#: Symbols: the gap between words, a to z, and 37 classes of all other letters.
-SYMBOLS = 64
+#: Bits of a code point in a trigram; letters whose vectors a worker remembers.
+BITS, REMEMBERED = 21, 1 << 13
 #: A document below this cosine with every prototype is of no learned language, whatever its length.
 LEAST = 0.05
 #: By length, so is one below SHARE of the cosine that all but LOW of the labelled documents reach; a
 #: class of lengths decides from FEW labelled documents on.  CLASSES: of distinct trigrams, by powers of two.
 SHARE, LOW, FEW, CLASSES = 0.6, 0.05, 10, 20
 
-_letters = np.random.default_rng(20_011).choice(np.array([-1.0, 1.0], np.float32), (SYMBOLS, SIZE))
-_placed = [np.roll(_letters, 2, 1), np.roll(_letters, 1, 1), _letters]
-_symbol = np.zeros(1 << 16, np.uint8)
+_letter = np.zeros(1 << 16, bool)
 for _c in range(1 << 16):
-    if not 0xD800 <= _c < 0xE000 and chr(_c).isalpha():
-        _symbol[_c] = _c - 96 if 97 <= _c <= 122 else 27 + _c % 37
+    _letter[_c] = not 0xD800 <= _c < 0xE000 and chr(_c).isalpha()
+
+
+@lru_cache(REMEMBERED)
+def letter(code: int) -> np.ndarray:
+    """The vector of a letter, drawn from its code point; code 0 is the gap between words."""
+    return np.random.default_rng([20_011, code]).integers(0, 2, SIZE, np.int8) * np.int8(2) - np.int8(1)
 
 
 def bound(grams: np.ndarray) -> np.ndarray:
-    """The vectors of trigrams."""
-    return _placed[0][grams // (SYMBOLS * SYMBOLS)] * _placed[1][grams // SYMBOLS % SYMBOLS] * _placed[2][grams % SYMBOLS]
+    """The vectors of trigrams of three code points, BITS bits each."""
+    low = (1 << BITS) - 1
+    codes, at = np.unique(np.stack([grams >> 2 * BITS, grams >> BITS & low, grams & low]), return_inverse=True)
+    vectors = np.stack([letter(c) for c in codes.tolist()]).astype(np.float32) if len(codes) else np.zeros((0, SIZE), np.float32)
+    first, second, third = at.reshape(3, -1)
+    return np.roll(vectors, 2, 1)[first] * np.roll(vectors, 1, 1)[second] * vectors[third]
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, trigram and count of each distinct trigram of each text, and letters of each text."""
     points = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "replace"), np.uint32) for t in texts]
-    sizes = np.array([len(p) for p in points])
+    sizes = np.array([len(p) for p in points], np.int64)
     at = np.concatenate(points) if points else np.zeros(0, np.uint32)
     doc = np.repeat(np.arange(len(texts)), sizes)
-    s = _symbol[np.minimum(at, 0xFFFF)].astype(np.int64)
+    s = np.where(_letter[np.minimum(at, 0xFFFF)], at, 0).astype(np.int64)
     for k in np.flatnonzero(at > 0xFFFF):
-        s[k] = 27 + int(at[k]) % 37 if chr(at[k]).isalpha() else 0
+        s[k] = int(at[k]) if chr(at[k]).isalpha() else 0
     letters = np.bincount(doc, s > 0, len(texts))
     keep = (s > 0) | np.concatenate([[True], s[:-1] > 0]) | np.concatenate([[True], np.diff(doc) > 0])  # one gap for a run of them
     s, doc = s[keep], doc[keep]
     if len(s) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), letters
-    tri = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+    seen = np.zeros(1 << BITS, bool)
+    seen[s] = seen[0] = True
+    codes = np.flatnonzero(seen)
+    n, number = len(codes), np.zeros(1 << BITS, np.int64)
+    number[codes] = np.arange(n)
+    s = number[s]
+    tri = (s[:-2] * n + s[1:-1]) * n + s[2:]
     own = (doc[:-2] == doc[2:]) & (tri > 0)
-    keys, counts = np.unique(doc[:-2][own] * SYMBOLS**3 + tri[own], return_counts=True)
-    return keys // SYMBOLS**3, keys % SYMBOLS**3, counts.astype(np.float32), letters
+    doc, tri = doc[:-2][own], tri[own]
+    names, base = None, n**3
+    if len(texts) * base >= 1 << 62:  # very many kinds of letters at once
+        names, tri = np.unique(tri, return_inverse=True)
+        base = len(names)
+    keys, counts = np.unique(doc * base + tri, return_counts=True)
+    doc, tri = keys // base, keys % base
+    tri = tri if names is None else names[tri]
+    return doc, codes[tri // (n * n)] << 2 * BITS | codes[tri // n % n] << BITS | codes[tri % n], counts.astype(np.float32), letters
 
 
 def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +199,11 @@ def least(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> np.ndarray:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a learned language (see LEAST and :func:`least`), with all their columns."""
+    """The rows of ``docs`` in a learned language (see LEAST and :func:`least`), with all their columns.
+
+    Null text, texts without a letter, and all rows where no language was learned go; repeated rows stay or go
+    alike; texts of any length are judged whole; an empty table gives no row.
+    """
     langs, prototypes = learn(docs.where(~held_out()))
     enough = least(docs, (langs, prototypes))
 

@@ -3,7 +3,7 @@
 Heuristic labellers vote bad, good or nothing on each document.  Expectation-maximisation over the
 counts of vote patterns of the whole corpus estimates how each labeller votes on bad and on good
 documents, without any gold label; the posterior of a document's pattern then trains a linear
-scorer over hashed character-class trigrams, which scores every document.
+scorer over hashed character-class trigrams, words and pairs of words, which scores every document.
 """
 
 from __future__ import annotations
@@ -19,10 +19,16 @@ from tallymill.llm import batches, words
 
 #: Documents that train the scorer (chosen by hash): the bound of what the driver holds.
 SAMPLE = 8192
-#: Hashed features of the scorer, and the score from which on a document is kept.
-FEATURES, KEEP = 2048, 0.4
-#: Trigrams of the mean document that each document is given besides its own.
-PRIOR = 100
+#: Hashed features of the scorer by kind (trigrams of classes and, last, the share of echoes; words; pairs of words), and
+#: the score from which on a document is kept.
+KINDS, KEEP = (1024, 1024, 1024), 0.4
+FEATURES = sum(KINDS)
+#: Trigrams, words and pairs of the mean document that each document is given besides its own.
+PRIOR = (100, 50, 50)
+#: Trigrams at which a text's own score and the sample's mean label count alike.
+SHORT = 20
+#: Documents from which on expectation-maximisation tells the classes apart; fewer are judged by any bad vote.
+ENOUGH = 100
 VOTERS = ("capitals", "exclamations", "symbols", "bars", "echoes", "variety", "sentences", "marks", "letters", "word_length")
 
 _CLASS = np.full(256, 9, np.uint8)  # other symbols
@@ -58,7 +64,7 @@ def votes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     order = np.lexsort((hashed, of))
     new = np.ones(len(hashed), np.int64)
     new[1:] = (np.diff(hashed[order]) != 0) | (np.diff(of) != 0)
-    variety = batches.sums(new, n_words) / np.maximum(1, np.minimum(n_words, 400))
+    variety = np.log(np.maximum(1, batches.sums(new, n_words))) / np.log(np.maximum(2, n_words))  # as alike at every length
     letters, size = np.maximum(1, n[:, 0] + n[:, 1]), np.maximum(1, n.sum(1))
     length = (size - n[:, 3] - n[:, 4]) / np.maximum(1, n_words)
     per_word = lambda c: c / np.maximum(1, n_words)
@@ -76,7 +82,7 @@ def votes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
             vote(per_word(n[:, 9]) > 0.8, per_word(n[:, 9]) < 0.1),
             vote(per_word(n[:, 8]) > 0.15, n[:, 8] == 0),
             vote(echoes > 0.3, echoes < 0.05),
-            vote((variety < 0.15) & (n_words > 20), variety > 0.35),
+            vote((variety < 0.6) & (n_words > 20), variety > 0.8),
             vote((sentences < 0.01) & (n_words > 20), (sentences > 0.03) & (sentences < 0.5)),
             vote(per_word(n[:, 7] + n[:, 8] + n[:, 9]) > 0.35, per_word(n[:, 7] + n[:, 8] + n[:, 9]) < 0.08),
             vote(shown > 0.12, shown < 0.06),
@@ -88,34 +94,47 @@ def votes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of each text, shares of its trigrams and the share of echoes; and how many trigrams it has."""
+    """Hashed features of each text, as shares of each of the KINDS; and how many of each kind it has."""
     kind, doc, _ = _counts(data, offs)
-    out, n = np.zeros((len(offs) - 1, FEATURES), np.float32), np.zeros(len(offs) - 1, np.float32)
-    if len(kind) >= 3:
-        k = kind.astype(np.int64)
-        tri = (k[:-2] * CLASSES + k[1:-1]) * CLASSES + k[2:]
-        own = doc[:-2] == doc[2:]
-        at = doc[:-2][own] * FEATURES + (tri[own] * 2654435761 >> 7) % (FEATURES - 1)
-        out = np.bincount(at, minlength=out.size).reshape(out.shape).astype(np.float32)
-        n = out.sum(1)
-        out /= np.maximum(1, n)[:, None]
+    k = kind.astype(np.int64)
+    tri = (k[:-2] * CLASSES + k[1:-1]) * CLASSES + k[2:]
+    own = doc[:-2] == doc[2:]
     hashed, n_words = words.hashes(data, offs)
+    of = np.repeat(np.arange(len(n_words)), n_words)
+    near = of[1:] == of[:-1]
+    with np.errstate(over="ignore"):
+        pair = words.mix(hashed[:-1][near] * np.uint64(3) + hashed[1:][near])
+    where = [doc[:-2][own], of, of[1:][near]]
+    what = [(tri[own] * 2654435761 >> 7) % (KINDS[0] - 1), (hashed % np.uint64(KINDS[1])).astype(np.int64), (pair % np.uint64(KINDS[2])).astype(np.int64)]
+    parts, sizes = [], []
+    for size, d, x in zip(KINDS, where, what):
+        part = np.bincount(d * size + x, minlength=size * len(n_words)).reshape(-1, size).astype(np.float32)
+        sizes.append(part.sum(1))
+        parts.append(part / np.maximum(1, sizes[-1])[:, None])
     if len(hashed):
-        of = np.repeat(np.arange(len(n_words)), n_words)
-        echo = np.concatenate([[0], (hashed[1:] == hashed[:-1]) & (of[1:] == of[:-1])])
-        out[:, -1] = batches.sums(echo, n_words) / np.maximum(1, n_words)
-    return out, n
+        echo = np.concatenate([[0], (hashed[1:] == hashed[:-1]) & near])
+        parts[0][:, -1] = batches.sums(echo, n_words) / np.maximum(1, n_words)
+    return np.concatenate(parts, 1), np.stack(sizes, 1)
 
 
 def smoothed(shares: np.ndarray, n: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Square roots of shares to which PRIOR trigrams of the mean document are added: short texts say little."""
-    weight = (n / (n + PRIOR))[:, None].astype(np.float32)
-    return np.sqrt(shares * weight + mean.astype(np.float32) * (1 - weight))
+    """Square roots of shares to which PRIOR of each kind of the mean document are added: short texts say little.  ``shares`` is overwritten."""
+    begin = 0
+    for k, size in enumerate(KINDS):
+        weight = (n[:, k] / (n[:, k] + PRIOR[k]))[:, None].astype(np.float32)
+        part = shares[:, begin : begin + size]
+        part *= weight
+        part += mean[begin : begin + size].astype(np.float32) * (1 - weight)
+        begin += size
+    return np.sqrt(shares, out=shares)
 
 
 def _scores(data: np.ndarray, offs: np.ndarray, scorer) -> np.ndarray:
-    w, b, mean = scorer
-    s = 1 / (1 + np.exp(-(smoothed(*features(data, offs), mean) @ w + b)))
+    w, b, mean, base = scorer
+    x, n = features(data, offs)
+    s = 1 / (1 + np.exp(-(smoothed(x, n, mean) @ w + b)))
+    told = n[:, 0] / (n[:, 0] + SHORT)
+    s = told * s + (1 - told) * base
     return np.where(words.hashes(data, offs)[1] > 0, s, 0.0)
 
 
@@ -127,9 +146,12 @@ def posterior(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np
     """Probability that documents of each vote pattern are bad, by expectation-maximisation.
 
     Given its class, a document's votes are independent; each labeller has a distribution over
-    its three votes for either class (add-one smoothed).  Starts from any bad vote.
+    its three votes for either class (add-one smoothed).  Starts from any bad vote, which also decides where
+    fewer than ENOUGH documents voted; the bad class is the one of more bad votes.
     """
     p = np.where((patterns == 2).any(1), 0.9, 0.1)
+    if counts[(patterns > 0).any(1)].sum() < ENOUGH:
+        return p
     one_hot = patterns[:, :, None] == np.arange(3)
     for _ in range(rounds):
         w = np.stack([counts * (1 - p), counts * p], 1)
@@ -141,7 +163,7 @@ def posterior(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np
         if np.abs(new - p).max() < 1e-9:
             break
         p = new
-    return p
+    return p if rates[1, :, 2].sum() >= rates[0, :, 2].sum() else 1 - p
 
 
 def fit(x: np.ndarray, good: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -155,7 +177,7 @@ def fit(x: np.ndarray, good: np.ndarray, rounds: int = 300, decay: float = 1e-4)
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, np.ndarray]:
+def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, np.ndarray, float]:
     """The scorer: pattern counts cover every document, the fit ``sample`` different rows (doc_id and text) at most."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +191,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, np.
     texts = docs.select("text")
     found = texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # 3 ** voters rows at most
     if not found:
-        return np.zeros(FEATURES), 0.0, np.zeros(FEATURES)
+        return np.zeros(FEATURES), 0.0, np.zeros(FEATURES), 0.5
     codes = np.array([r.pattern for r in found])
     patterns, counts = codes[:, None] // 3 ** np.arange(len(VOTERS)) % 3, np.array([r.n for r in found], float)
     bad = dict(zip(codes.tolist(), posterior(patterns, counts)))
@@ -186,27 +208,28 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, np.
                 data, offs = batches.spans(run.column("text"))
                 x, size = features(data, offs)
                 raw = [r.tobytes() for r in x.astype(np.float16)]
-                yield pa.RecordBatch.from_arrays([run.column("h"), pa.array(code(votes(data, offs))), pa.array(size), pa.array(raw, pa.binary())], ["h", "pattern", "size", "x"])
+                sizes = [r.tobytes() for r in size.astype("<f4")]
+                yield pa.RecordBatch.from_arrays([run.column("h"), pa.array(code(votes(data, offs))), pa.array(sizes, pa.binary()), pa.array(raw, pa.binary())], ["h", "pattern", "size", "x"])
 
     # The rows of the smallest digests; a digest covers doc_id too, so copies of a text come in by their share of the rows.
     drawn = docs.where(F.length("text") > 0).select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("h"), "text")
     last = drawn.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     rows = []
     if last is not None:
-        chosen = drawn.where(F.col("h") <= last).mapInArrow(examples, "h long, pattern long, size float, x binary")
+        chosen = drawn.where(F.col("h") <= last).mapInArrow(examples, "h long, pattern long, size binary, x binary")
         rows = chosen.dropDuplicates(["h"]).orderBy("h").collect()  # ``sample`` rows at most
     if not rows:
-        return np.zeros(FEATURES), 0.0, np.zeros(FEATURES)
+        return np.zeros(FEATURES), 0.0, np.zeros(FEATURES), 0.5
     x = np.zeros((len(rows), FEATURES), np.float32)
     for k, r in enumerate(rows):
         x[k] = np.frombuffer(r.x, np.float16)
-    size, good = np.array([r.size for r in rows]), 1 - np.array([bad.get(r.pattern, 0.5) for r in rows])
+    size, good = np.stack([np.frombuffer(r.size, "<f4") for r in rows]), 1 - np.array([bad.get(r.pattern, 0.5) for r in rows])
     del rows
     mean = x.mean(0)
-    return *fit(smoothed(x, size, mean), good), mean
+    return *fit(smoothed(x, size, mean), good), mean, float(good.mean())
 
 
-def score(docs: DataFrame, scorer: tuple[np.ndarray, float, np.ndarray] | None = None) -> DataFrame:
+def score(docs: DataFrame, scorer: tuple[np.ndarray, float, np.ndarray, float] | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, quality_score (0 to 1), kept.
 
     Null text and texts without a word score 0 and are not kept.  Equal texts get equal scores,
@@ -224,7 +247,7 @@ def score(docs: DataFrame, scorer: tuple[np.ndarray, float, np.ndarray] | None =
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns, scored in one pass."""
+    """The rows of ``docs`` that the classifier keeps (see :func:`score`), with all their columns, scored in one pass."""
     scorer = train(docs)
 
     def run_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -508,7 +508,8 @@ def test_language(spark, awkward, empty):
 
 
 def test_language_of_few_words(spark):
-    grams = np.random.default_rng(5).integers(1, hd_language.SYMBOLS**3, 400)
+    codes = np.random.default_rng(5).choice([0, *range(97, 123), *map(ord, "àéñüßøжшяא漢語")], (400, 3))
+    grams = codes[:, 0] << 2 * hd_language.BITS | codes[:, 1] << hd_language.BITS | codes[:, 2]
     v = hd_language.bound(np.unique(grams))
     cos = v @ v.T / v.shape[1]
     assert np.abs(cos[~np.eye(len(v), dtype=bool)]).mean() < 0.025  # all but orthogonal
@@ -540,10 +541,44 @@ def test_unlearned_languages_go(spark):
 
 
 def test_binding_by_definition():
-    letters = [int(hd_language._symbol[ord(c)]) for c in "abc"]
-    gram = (letters[0] * hd_language.SYMBOLS + letters[1]) * hd_language.SYMBOLS + letters[2]
-    a, b, c = (hd_language._letters[k] for k in letters)
-    assert (hd_language.bound(np.array([gram]))[0] == np.roll(a, 2) * np.roll(b, 1) * c).all()
+    x, y, z = map(ord, "ažc")
+    a, b, c = (hd_language.letter(k).astype(float) for k in (x, y, z))
+    assert (hd_language.bound(np.array([x << 2 * hd_language.BITS | y << hd_language.BITS | z]))[0] == np.roll(a, 2) * np.roll(b, 1) * c).all()
+    assert abs(hd_language.letter(0x6F22).astype(int) @ hd_language.letter(0x8A9E)) < 300  # each letter its own vector
+
+
+@pytest.mark.parametrize("parts", [3, 7])
+def test_language_by_definition(spark, parts):
+    """Predictions and scores against trigram vectors bound, bundled and compared one by one."""
+    rows = [(r["doc_id"], r["text"][:300], r["lang"]) for r in table("documents")[:60]] + [(1000, "漢字 かな 漢字", "ja"), (1001, "Привет мир", "ru"), (1002, "漢字 かな", None), (1003, "мир", None), (1004, None, None), (1005, "12 !", "en")]
+
+    def vector(text):
+        chars = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+        chars = [c for k, c in enumerate(chars) if c != " " or k == 0 or chars[k - 1] != " "]
+        letters = [hd_language.letter(0 if c == " " else ord(c)).astype(float) for c in chars]
+        total, n = np.zeros(hd_language.SIZE), 0
+        for k in range(len(letters) - 2):
+            if chars[k : k + 3] != [" "] * 3:
+                total += np.roll(letters[k], 2) * np.roll(letters[k + 1], 1) * letters[k + 2]
+                n += 1
+        return total, n
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    prototypes = {}
+    for i, t, lang in rows:
+        if t is not None and lang is not None and not held(i) and (v := vector(t))[1]:
+            prototypes[lang] = prototypes.get(lang, 0) + v[0] / v[1]
+    want = {}
+    for i, t, _ in rows:
+        if t is None or not any(c.isalpha() for c in t):
+            want[i] = ("und", 0.0)
+            continue
+        v = vector(t)[0]
+        cos = {lang: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for lang, p in prototypes.items()}
+        best = max(sorted(cos), key=cos.get)
+        want[i] = (best, max(0.0, cos[best]))
+    got = hd_language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: p for i, (p, _) in want.items()} and all(abs(r.score - want[r.doc_id][1]) < 1e-4 for r in got)
 
 
 def test_quality(spark, awkward, empty):
@@ -566,7 +601,63 @@ def test_quality_sample_holds_copies_by_their_share(spark, monkeypatch):
     for word in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"):  # the text's own digest falls this way or that
         hot = [(5000 + k, f"The one text that everyone copies is far longer than the others, {word} as ever and ever.") for k in range(1000)]
         weak_quality.train(spark.createDataFrame(rows + hot, "doc_id long, text string"), 300)
-        assert len(sizes[-1]) == 300 and 60 <= (sizes[-1] > 60).sum() <= 140
+        assert len(sizes[-1]) == 300 and 60 <= (sizes[-1][:, 0] > 60).sum() <= 140
+
+
+def test_few_plain_sentences_stay(spark):
+    rows = [(1, None), (2, ""), *[(k, "The river runs slowly past the old mill, and nobody minds.") for k in (3, 4, 5)], (6, "She wrote to him in spring. He answered in autumn."), (7, "!!! ||| $$$ ||| !!! BUY NOW !!! $$$"), (8, "A short one."), (9, "Bread, salt and water were all they had left.")]
+    got = {r.doc_id: r.kept for r in weak_quality.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, k in got.items() if not k] == [1, 2, 7]
+
+
+def test_posterior_by_definition():
+    """The fixed point of expectation-maximisation, pattern by pattern."""
+    rng = np.random.default_rng(12)
+    patterns = np.unique(rng.integers(0, 3, (40, 4)), axis=0)
+    counts = rng.integers(1, 60, len(patterns)).astype(float)
+    p = weak_quality.posterior(patterns, counts, 2000)
+    again = []
+    flip = p
+    w = {0: counts * (1 - flip), 1: counts * flip}
+    for row in patterns:
+        odds = {}
+        for c in (0, 1):
+            odds[c] = (w[c].sum() + 1) / (counts.sum() + 2)
+            for v, vote in enumerate(row):
+                odds[c] *= (w[c][patterns[:, v] == vote].sum() + 1) / (w[c].sum() + 3)
+        again.append(odds[1] / (odds[0] + odds[1]))
+    assert np.allclose(again, p, atol=1e-5)
+
+
+@pytest.mark.parametrize("parts", [3, 7])
+def test_scores_by_definition(spark, parts):
+    """Scores under several partitionings against features counted one by one and the scorer's weights."""
+    rows = [(r["doc_id"], r["text"][:2000]) for r in table("documents")] + [(9000, None), (9001, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    w, b, mean, middle = weak_quality.train(docs)
+    got = {r.doc_id: r.quality_score for r in weak_quality.score(docs, (w, b, mean, middle)).collect()}
+    base = {r.doc_id: r.quality_score for r in weak_quality.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(abs(got[i] - base[i]) < 1e-4 for i in got)
+    for i, t in rows[:40] + rows[-2:]:
+        data = (t or "").encode()
+        kinds = [int(weak_quality._CLASS[x]) for x in data]
+        found = [w_.encode() for w_ in re.findall("[^\x20\x09-\x0d]+", t or "")]
+        if not found:
+            assert got[i] == 0
+            continue
+        h = [int(words.hashes(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0][0]) for x in found]
+        lists = [[(((a * 10 + b_) * 10 + c) * 2654435761 >> 7) % 1023 for a, b_, c in zip(kinds, kinds[1:], kinds[2:])], [x % 1024 for x in h]]
+        lists.append([int(words.mix(np.array([(x * 3 + y) % (1 << 64)], np.uint64))[0]) % 1024 for x, y in zip(h, h[1:])])
+        total = b
+        for k, own in enumerate(lists):
+            share = np.bincount(own, minlength=1024) / max(1, len(own)) if own else np.zeros(1024)
+            if k == 0:
+                share[-1] = sum(x == y for x, y in zip(h, h[1:])) / len(h)
+            own_weight = len(own) / (len(own) + weak_quality.PRIOR[k])
+            part = slice(1024 * k, 1024 * k + 1024)
+            total += np.sqrt(share * own_weight + mean[part] * (1 - own_weight)) @ w[part]
+        told = len(lists[0]) / (len(lists[0]) + weak_quality.SHORT)
+        assert abs(got[i] - told / (1 + np.exp(-total)) - (1 - told) * middle) < 1e-3
 
 
 def test_em_finds_accuracies():
