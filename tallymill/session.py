@@ -35,8 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch between the JVM and Python: rows hold whole texts, and both sides hold several batches.
+BATCH_ROWS, DEFAULT_ROWS = 1500, "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of the session, once for each application."""
+    """Give this package to the Python workers of the session, once for each application.
+
+    Arrow batches are made smaller where the session has Spark's own number of rows.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_tallymill_shipped", False):
         return
