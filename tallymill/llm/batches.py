@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +14,30 @@ import pyarrow as pa
 RUN_BYTES = 2 << 20
 
 
+#: Bytes of batches after which a worker gives freed memory back.
+SETTLE = 16 << 20
+_since = 0
+
+
+@lru_cache(None)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim if sys.platform == "linux" else None
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def settle(size: int) -> None:
+    """Count the bytes of a batch that is done; now and then give back memory that the allocators keep, as workers live on beside the next stages' tasks."""
+    global _since
+    _since += size
+    if _since >= SETTLE:
+        _since = 0
+        pa.default_memory_pool().release_unused()
+        if _trim() is not None:
+            _trim()(0)
+
+
 def runs(batch: pa.RecordBatch, column: str = "text", most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` whose ``column`` holds about ``most`` bytes at most."""
     if not batch.num_rows:
@@ -22,6 +49,7 @@ def runs(batch: pa.RecordBatch, column: str = "text", most: int = RUN_BYTES) ->
         hi = max(lo + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    settle(int(ends[-1]))
 
 
 def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

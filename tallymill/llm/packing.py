@@ -87,6 +87,7 @@ def blocks(it: Iterator[pa.RecordBatch], most_docs: int = SHARD_DOCS, most_ids:
                 yield out()
                 held, rows, size = [], 0, 0
             lo = hi
+        batches.settle(batch.nbytes)
     if held:
         yield out()
 

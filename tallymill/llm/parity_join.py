@@ -387,6 +387,7 @@ def _whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         cut = int(np.flatnonzero((sid != sid[-1]) | (deal != deal[-1]))[-1]) + 1
         yield from parts(t.slice(0, cut), sid[:cut], deal[:cut])
         held = t.slice(cut).to_batches()
+        batches.settle(t.nbytes)
     if held:
         t = pa.Table.from_batches(held)
         yield from parts(t, t.column("sid").to_numpy(), t.column("deal").to_numpy())
