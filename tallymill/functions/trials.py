@@ -58,11 +58,14 @@ def outputs(text: str) -> dict:
 
 
 def parsed_outputs(c: Column) -> Column:
-    @F.pandas_udf(OUTPUT)
+    """:func:`outputs` as a column; numbers travel as text, as pandas would turn NaN into null."""
+    written = lambda x: {"scalars": [repr(v) for v in x["scalars"]], "memrefs": [m | {"data": [repr(v) for v in m["data"]]} for m in x["memrefs"]]}
+
+    @F.pandas_udf(OUTPUT.replace("double", "string"))
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([outputs(x) if x is not None else {"scalars": None, "memrefs": None} for x in s], columns=["scalars", "memrefs"])
+        return pd.DataFrame([written(outputs(x)) if x is not None else {"scalars": None, "memrefs": None} for x in s], columns=["scalars", "memrefs"])
 
-    return run(c)
+    return run(c).cast(f"struct<{OUTPUT.replace(' array', ':array')}>")
 
 
 def inputs_of(arg_types: Column, key: Column, trial: Column) -> Column:

@@ -12,6 +12,7 @@ from tallymill.operators import aggregates as A
 from tallymill.operators import relational as R
 from tallymill.operators import statistics as S
 from tallymill.operators import workflow as X
+from tallymill.plans.cases import SCOPES
 from tallymill.session import ship, table
 from tallymill.sources import readers, sinks
 from tallymill.streaming import counts
@@ -792,16 +793,24 @@ def operator_counts(spark, sf_dir):
 SIGS = [
     "func.func @f(%a: i32, %b: memref<?x4xf32>) -> i32 {\n return %a : i32 }", "func.func private @g(%x: i32) {\n}\nfunc.func @h(%m: memref<8x4xf32>) {\n return }",
     "func.func @main() {\n return }", "func.func @k(%a) {\n}", "no function", "func.func @t(%a: tensor<4xf32>) -> (i32, i32) {\n}", "func.func @u(%m: memref<?x?xi8>) {\n}",
+    "func.func @v(%m: memref<?x4xf32>) {\n return }",
 ]
 
 
-@query("signatures")
+@query(
+    "signatures",
+    """SELECT * FROM (VALUES (0, 'f', ['i32', 'memref<?x4xf32>'], 'i32', NULL), (1, 'h', ['memref<8x4xf32>'], '', NULL), (2, 'main', [], '', 'fn_named_main'), (3, NULL, NULL, NULL, 'no_public_fn'),
+      (4, NULL, NULL, NULL, 'no_public_fn'), (5, 't', ['tensor<4xf32>'], '(i32,i32)', 'multi_result'), (6, 'u', ['memref<?x?xi8>'], '', 'unprintable_memref_dtype'), (7, 'v', ['memref<?x4xf32>'], '', NULL)) t(id, name, arg_types, ret, reason)""",
+)
 def signatures(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(SIGS)), "id int, mlir string").withColumn("sig", text.signature(F.col("mlir")))
     return rows.select("id", "sig.name", "sig.arg_types", "sig.ret", text.exclusion(F.col("sig")).alias("reason"))
 
 
-@query("sig_compatible")
+@query(
+    "sig_compatible",  # of different ones only a candidate with an open dimension fits
+    """WITH s(id) AS (VALUES (0), (1), (2), (5), (6), (7)) SELECT g.id AS gold, c.id AS candidate, g.id = c.id OR (g.id = 1 AND c.id = 7) AS compatible, g.id = 1 AND c.id = 7 AS relaxed FROM s g, s c""",
+)
 def sig_compatible(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(SIGS)), "id int, mlir string").withColumn("sig", text.signature(F.col("mlir"))).where("sig IS NOT NULL")
     a, b = rows.select(F.col("id").alias("gold"), F.col("sig").alias("g")), rows.select(F.col("id").alias("candidate"), F.col("sig").alias("c"))
@@ -865,24 +874,64 @@ def programs_table(spark):
     return spark.createDataFrame(list(enumerate(PROGRAMS)), "id int, mlir string")
 
 
-@query("scope_validate")
+EXPECTED = ", ".join(f"({k}, '{family}', '{kinds}')" for k, (family, _, kinds) in enumerate(SCOPES))
+
+
+def scope_cases(spark):
+    return spark.createDataFrame([(k, family, mlir) for k, (family, mlir, _) in enumerate(SCOPES)], "id int, family string, mlir string")
+
+
+@query(
+    "scope_validate",
+    f"""SELECT id, family, kinds = '' AS passed, CASE WHEN kinds = '' THEN 0 ELSE 1 + length(kinds) - length(replace(kinds, ',', '')) END::INT AS violations, kinds
+    FROM (VALUES {EXPECTED}) t(id, family, kinds)""",
+)
 def scope_validate(spark, sf_dir):
-    rows = programs_table(spark).withColumn("r", programs.scope_validate(F.col("mlir")))
-    return rows.select("id", "r.passed", F.size("r.violations").alias("violations"), F.array_join(F.transform("r.violations", lambda v: v["kind"]), ",").alias("kinds"))
+    rows = scope_cases(spark).withColumn("r", programs.scope_validate(F.col("mlir")))
+    return rows.select("id", "family", "r.passed", F.size("r.violations").alias("violations"), F.array_join(F.transform("r.violations", lambda v: v["kind"]), ",").alias("kinds"))
+
+
+@query(
+    "scope_corpus",  # a program for each document, of which one in seven uses an undefined name and one in five a wrong type
+    """WITH d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'i32' WHEN 'de' THEN 'i64' ELSE 'index' END AS t FROM documents)
+    SELECT t AS type, count(*) AS n, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 5 <> 0) AS passed, count(*) FILTER (doc_id % 7 = 0) AS undefined, count(*) FILTER (doc_id % 5 = 0) AS mismatched FROM d GROUP BY t""",
+)
+def scope_corpus(spark, sf_dir):
+    t = F.when(F.col("lang") == "en", "i32").when(F.col("lang") == "de", "i64").otherwise("index")
+    name, other = F.when(F.col("doc_id") % 7 == 0, "%nowhere").otherwise("%b"), F.when(F.col("doc_id") % 5 == 0, "f32").otherwise(t)
+    made = F.format_string("func.func @f(%%a : %s, %%b : %s) -> %s {\n %%0 = arith.addi %%a, %s : %s\n return %%0 : %s }", other, t, t, name, t, t)
+    rows = table(spark, sf_dir, "documents").select(t.alias("type"), programs.scope_validate(made).alias("r"))
+    found = lambda kind: F.count_if(F.exists("r.violations", lambda v: v["kind"] == kind))
+    return rows.groupBy("type").agg(F.count("*").alias("n"), F.count_if("r.passed").alias("passed"), found("undef_use").alias("undefined"), found("type_mismatch").alias("mismatched"))
 
 
-@query("violation_histogram")
+@query("violation_histogram", f"SELECT kind, count(*) AS n FROM (SELECT unnest(string_split(kinds, ',')) AS kind FROM (VALUES {EXPECTED}) t(id, family, kinds) WHERE kinds <> '') GROUP BY kind")
 def violation_histogram(spark, sf_dir):
-    rows = programs_table(spark).withColumn("r", programs.scope_validate(F.col("mlir"))).select("r.violations")
+    rows = scope_cases(spark).withColumn("r", programs.scope_validate(F.col("mlir"))).select("r.violations")
     return A.histogram(rows, "violations", F.col("item.kind"))
 
 
-@query("grammar_accepts")
+#: Programs, and whether the generation grammar, which has spaces around its commas, accepts them.
+ACCEPTED = [
+    (PROGRAMS[1], True), (PROGRAMS[2], True), (PROGRAMS[0], False), (PROGRAMS[0].replace("i32, %b", "i32 , %b"), True), (PROGRAMS[3], False), (PROGRAMS[6], False), ("", False),
+    (PROGRAMS[1].replace("addi", "addq"), False), (PROGRAMS[1].replace(" }", "", 1), False), (PROGRAMS[1].replace(": i32\n return", ": f32\n return"), False),
+]
+
+
+@query("grammar_accepts", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(ok).lower()})" for k, (_, ok) in enumerate(ACCEPTED)) + ") t(id, accepted)")
 def grammar_accepts(spark, sf_dir):
-    return programs_table(spark).select("id", grammar.accepts(F.col("mlir")).alias("accepted"))
+    return spark.createDataFrame([(k, x) for k, (x, _) in enumerate(ACCEPTED)], "id int, mlir string").select("id", grammar.accepts(F.col("mlir")).alias("accepted"))
 
 
-@query("program_parts")
+@query(
+    "program_parts",
+    r"""SELECT id, replace(body, '\n', chr(10)) AS body, functions, lines FROM (VALUES
+      (0, 'func.func @f(%a : i32, %b : i32) -> i32 {\n %0 = arith.addi %a , %b : i32\n return %0 : i32\n }', 1, 2), (1, 'func.func @f(%a : i32) -> i32 {\n %0 = arith.addi %a , %z : i32\n return %0 : i32\n }', 1, 2),
+      (2, 'func.func @f(%a : f32) -> i32 {\n %0 = arith.addi %a , %a : i32\n return %0 : i32\n }', 1, 2),
+      (3, 'func.func @f(%m : memref<4xf32>, %i : index) {\n %0 = memref.load %m[%i] : memref<4xf32>\n memref.store %0, %m[%i] : memref<4xf32>\n return }', 1, 3),
+      (4, 'func.func @f(%v : i32, %m : memref<4xf32>) {\n linalg.fill ins(%v : i32) outs(%m : memref<4xf32>)\n return }', 1, 2),
+      (5, 'func.func @f(%a : tensor<2xf32>) -> tensor<2xf32> {\n %0 = stablehlo.add %a,\n  %a : tensor<2xf32>\n return %0 : tensor<2xf32> }', 1, 2), (6, 'no function at all', 0, 0)) t(id, body, functions, lines)""",
+)
 def program_parts(spark, sf_dir):
     rows = programs_table(spark).select("id", programs.body_of(F.col("mlir")).alias("body"), programs.function_bodies(F.col("mlir")).alias("functions"))
     return rows.select("id", "body", F.size("functions").alias("functions"), F.size(programs.lines_of(F.coalesce(F.get("functions", F.lit(0))["body"], F.lit("")))).alias("lines"))
@@ -909,34 +958,57 @@ def schema_ops(spark):
     return readers.schema_texts(spark.createDataFrame([("ops.td", SCHEMA)], "path string, text string"))
 
 
-@query("schema_records")
+@query(
+    "schema_records",
+    """SELECT * FROM (VALUES ('arith.addi', 'integer addition', '', 'SignlessIntegerLike:$lhs, SignlessIntegerLike:$rhs, I32Attr:$flags', ['Commutative', 'SameOperandsAndResultType']),
+      ('func.call', '', 'calls a function', 'FlatSymbolRefAttr:$callee, AnyType:$operands', []), ('memref.load', '', '', 'MemRefOf<[AnyType]>:$memref, Index:$indices', ['SameOperandsType'])) t(full_name, summary, description, signature, traits)""",
+)
 def schema_records(spark, sf_dir):
     return schema_ops(spark).select("full_name", "summary", "description", text.pretty_signature(F.col("arguments")).alias("signature"), "traits")
 
 
-@query("lattice_entries")
+@query(
+    "lattice_entries",
+    """WITH i AS (SELECT ['i1', 'i8', 'i16', 'i32', 'i64', 'i128', 'index'] AS i)
+    SELECT 'arith.addi' AS full_name, 'arith' AS dialect, [i, i] AS operand_types, [i] AS result_types, [2, 2] AS operand_arity, [1, 1] AS result_arity, ['I32Attr'] AS attributes, [[0, 1, 2]] AS same_type_classes FROM i
+    UNION ALL SELECT 'func.call', 'func', [['ANY']], [['ANY']], [0, 1000000], [0, 1000000], ['FlatSymbolRefAttr'], []::INT[][]
+    UNION ALL SELECT 'memref.load', 'memref', [['memref'], ['index']], [['ANY']], [1, 1000000], [1, 1], []::VARCHAR[], [[0, 1]]""",
+)
 def lattice_entries(spark, sf_dir):
     return lattice.entries(schema_ops(spark))
 
 
-@query("type_arity_check")
+@query(
+    "type_arity_check",
+    """SELECT full_name, text, ok, after_i, CASE WHEN full_name <> 'x.y' THEN true END AS more_operands, CASE WHEN full_name <> 'x.y' THEN true END AS separators, CASE WHEN full_name <> 'x.y' THEN full_name = 'func.call' END AS may_end
+    FROM (VALUES ('arith.addi', '%0 = arith.addi %a, %b : i32', true, ['1', '3', '6', '8', 'n']), ('arith.addi', '%0 = arith.addi %a, %b : f32', false, ['1', '3', '6', '8', 'n']), ('arith.addi', 'no colon', false, ['1', '3', '6', '8', 'n']),
+      ('x.y', '%0 = x.y', true, NULL), ('func.call', 'call : anything', true, ['1', '3', '6', '8', 'n'])) t(full_name, text, ok, after_i)""",
+)
 def type_arity_check(spark, sf_dir):
     texts = spark.createDataFrame([("arith.addi", "%0 = arith.addi %a, %b : i32"), ("arith.addi", "%0 = arith.addi %a, %b : f32"), ("arith.addi", "no colon"), ("x.y", "%0 = x.y"), ("func.call", "call : anything")], "full_name string, text string")
     entry = lattice.entries(schema_ops(spark)).select("full_name", "operand_types", "result_types", "operand_arity")
     rows = texts.join(F.broadcast(entry), "full_name", "left")  # a lattice is a few hundred operators
+    state = lattice.arity_state(F.lit(1), F.col("operand_arity"))
     return rows.select(
         "full_name", "text", lattice.admits(F.col("text"), F.col("operand_types"), F.col("result_types")).alias("ok"),
-        lattice.next_characters(F.get("operand_types", F.lit(0)), F.lit("i")).alias("after_i"), lattice.arity_state(F.lit(1), F.col("operand_arity")).alias("after_one"),
+        lattice.next_characters(F.get("operand_types", F.lit(0)), F.lit("i")).alias("after_i"), 
+        state["operand"].alias("more_operands"), state["separator"].alias("separators"), state["end"].alias("may_end"),
     )
 
 
-@query("schema_dump")
+@query(
+    "schema_dump",
+    """SELECT 'arith' AS dialect, 'addi' AS mnemonic, 'arith.addi' AS full_name, 'add' AS summary, '' AS description,
+      ['I32 lhs false false', 'I32 rest false true', 'I32Attr flag true false'] AS arguments, ['I32 result false false'] AS results, ['Pure'] AS traits""",
+)
 def schema_dump(spark, sf_dir):
     dump = """{"!instanceof": {}, "__x": 1, "Arith_Dialect": {"name": "arith", "!superclasses": ["Dialect"]}, "I32": {"!superclasses": ["Type"]}, "I32Attr": {"!superclasses": ["Attr"]},
       "anonymous_1": {"!superclasses": ["Variadic"], "baseType": {"def": "I32"}},
       "Arith_AddIOp": {"!superclasses": ["Op", "Arith_Op"], "opName": "addi", "opDialect": {"def": "Arith_Dialect"}, "summary": "add", "description": null,
         "arguments": {"args": [[{"def": "I32"}, "lhs"], [{"def": "anonymous_1"}, "rest"], [{"def": "I32Attr"}, "flag"]]}, "results": {"args": [[{"def": "I32"}, "result"]]}, "traits": [{"def": "Pure"}]}}"""
-    return readers.schema_dump(spark.createDataFrame([(dump,)], "value string"))
+    slot = lambda x: F.concat_ws(" ", x["type_constraint"], x["name"], x["is_attribute"].cast("string"), x["variadic"].cast("string"))
+    found = readers.schema_dump(spark.createDataFrame([(dump,)], "value string"))
+    return found.withColumns({c: F.transform(c, slot) for c in ("arguments", "results")})
 
 
 @query(
@@ -961,7 +1033,10 @@ def trial_inputs(spark, sf_dir):
 PRINTED = ["3.5\nUnranked Memref base@ = 0x0 sizes = [2, 2] data = \n[[1, 2], \n [3, 4.00001]]\n0", "3.5\nUnranked Memref base@ = 0x0 sizes = [2, 2] data = [[1, 2], [3, 4]]", "nan", "2 inf"]
 
 
-@query("printed_outputs")
+@query(
+    "printed_outputs",  # the first two print the same numbers but for 1e-5 in one; NaN equals itself, an infinity only without tolerance
+    "SELECT a, b, (a < 2 AND b < 2) OR (a = 2 AND b = 2) AS equal, a = b AS identical FROM (VALUES (0), (1), (2), (3)) x(a), (VALUES (0), (1), (2), (3)) y(b)",
+)
 def printed_outputs(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(PRINTED)), "id int, printed string").withColumn("out", trials.parsed_outputs(F.col("printed")))
     pairs = rows.select(F.col("id").alias("a"), F.col("out").alias("x")).crossJoin(rows.select(F.col("id").alias("b"), F.col("out").alias("y")))  # four literal rows
@@ -1025,19 +1100,32 @@ def order_stat_bootstrap(spark, sf_dir):
     return S.order_interval(S.hash_bootstrap(flags(spark, sf_dir), ["dialect"], ["p"], "doc_id"), ["dialect"], F.col("mean_p"))
 
 
-@query("numpy_bootstrap_ci")
+def evaluation_cells(spark):
+    """Three evaluation sets of 40 rows: cells of the size that the drawn bootstrap is for."""
+    rows = spark.range(120).select(F.col("id").alias("row"), (F.col("id") % 3).alias("c"), F.expr("id div 3").alias("k"))
+    p, q = (F.col("k") * 7919 + F.col("c") * 31) % 10 < 4 + 2 * F.col("c"), (F.col("k") * 104729) % 10 < 5
+    return rows.select("row", F.concat(F.lit("c"), "c").alias("cell"), p.cast("int").alias("p"), q.cast("int").alias("q"))
+
+
+# Expected intervals: one call of numpy's generator for all draws of a cell, percentiles of the means.
+@query("numpy_bootstrap_ci", "SELECT * FROM (VALUES ('c0', 0.4::DOUBLE, 0.25::DOUBLE, 0.55::DOUBLE, 40::BIGINT), ('c1', 0.6, 0.45, 0.75, 40), ('c2', 0.8, 0.675, 0.925, 40)) t(cell, point, ci_low, ci_high, n)")
 def numpy_bootstrap_ci(spark, sf_dir):
-    return S.bootstrap_cells(eval_rows(spark, sf_dir), ["dialect"], "passed", "doc_id", resamples=1000)
+    return S.bootstrap_cells(evaluation_cells(spark), ["cell"], "p", "row", resamples=1000)
 
 
-@query("numpy_bootstrap_paired")
+@query(
+    "numpy_bootstrap_paired",
+    """SELECT * FROM (VALUES ('c0', -0.1::DOUBLE, -0.2::DOUBLE, -0.025::DOUBLE, 1.0::DOUBLE, 40::BIGINT), ('c1', 0.1, 0.025, 0.2, 0.017, 40), ('c2', 0.3, 0.174375, 0.45, 0.0, 40))
+    t(cell, point, ci_low, ci_high, p_value, n)""",
+)
 def numpy_bootstrap_paired(spark, sf_dir):
-    return S.paired_cells(flags(spark, sf_dir), ["dialect"], "p", "q", "doc_id", resamples=1000)
+    found = S.paired_cells(evaluation_cells(spark), ["cell"], "p", "q", "row", resamples=1000)
+    return found.select("cell", *(F.round(c, 6).alias(c) for c in ("point", "ci_low", "ci_high", "p_value")), "n")
 
 
-@query("binomial_bootstrap_ci")
+@query("binomial_bootstrap_ci", "SELECT * FROM (VALUES ('c0', 0.4::DOUBLE, 0.25::DOUBLE, 0.55::DOUBLE, 40::BIGINT), ('c1', 0.6, 0.45, 0.75, 40), ('c2', 0.8, 0.675, 0.925, 40)) t(cell, point, ci_low, ci_high, n)")
 def binomial_bootstrap_ci(spark, sf_dir):
-    return S.binomial_cells(eval_rows(spark, sf_dir), ["dialect"], "passed")
+    return S.binomial_cells(evaluation_cells(spark).withColumn("p", F.col("p") == 1), ["cell"], "p")
 
 
 @query("mde", "SELECT n, CASE WHEN n > 0 THEN (1.9599639845400536 + 0.8416212335729144) * sqrt(0.5 / n) ELSE 'inf'::DOUBLE END AS effect FROM (SELECT count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 0)")

@@ -43,14 +43,21 @@ def untouched(old: DataFrame, out: DataFrame, changed: DataFrame, keys: Sequence
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the old table, then put the new one in its place; a failed write leaves the old one."""
+    """Write beside the old table, put the new one in its place, then delete the old one.
+
+    A failed write leaves the old table; a crash between the renames leaves it beside as ``<path>.old``, never nothing.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
     jvm = spark._jvm.org.apache.hadoop.fs
     target, new = jvm.Path(path), jvm.Path(f"{path}.new")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(new, target)
+    fs, old = target.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.Path(f"{path}.old")
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved away")
+    if not fs.rename(new, target):
+        raise OSError(f"{path}.new can't be moved to {path}")
+    fs.delete(old, True)
 
 
 def document(df: DataFrame) -> DataFrame:
