@@ -11,19 +11,42 @@ INTS = ["i1", "i8", "i16", "i32", "i64", "i128"]
 FLOATS = ["f16", "bf16", "f32", "f64"]
 PRIMITIVES = [*INTS, *FLOATS, "index"]
 CLASSES: dict[str, list[str]] = {
-    **dict.fromkeys("AnyInteger AnySignlessInteger SignlessInteger SignlessFixedWidthIntegerLike".split(), INTS),
-    **dict.fromkeys(
-        "AnyNonZeroBitwidthSignlessIntegerOrIndex IndexOrSignlessInteger SignlessIntegerLike IntegerLike SignlessIntegerOrIndexLike "
-        "Arith_SignlessIntegerOrIndexLike".split(),
-        [*INTS, "index"],
-    ),
-    **{t.upper(): [t] for t in [*INTS, *FLOATS]},
+    "AnyInteger": INTS,
+    "AnySignlessInteger": INTS,
+    "SignlessInteger": INTS,
+    "SignlessFixedWidthIntegerLike": INTS,
+    "AnyNonZeroBitwidthSignlessIntegerOrIndex": [*INTS, "index"],
+    "IndexOrSignlessInteger": [*INTS, "index"],
+    "SignlessIntegerLike": [*INTS, "index"],
+    "IntegerLike": [*INTS, "index"],
+    "SignlessIntegerOrIndexLike": [*INTS, "index"],
+    "Arith_SignlessIntegerOrIndexLike": [*INTS, "index"],
+    "I1": ["i1"],
+    "I8": ["i8"],
+    "I16": ["i16"],
+    "I32": ["i32"],
+    "I64": ["i64"],
+    "I128": ["i128"],
+    "F16": ["f16"],
+    "BF16": ["bf16"],
+    "F32": ["f32"],
+    "F64": ["f64"],
     "Index": ["index"],
-    **dict.fromkeys("AnyFloat FloatLike".split(), FLOATS),
-    **dict.fromkeys("AnyType AnyShaped AnyRankedTensor AnyIntegerAttr TypedAttrInterface".split(), [ANY]),
-    **dict.fromkeys("AnyRankedOrUnrankedMemRef AnyMemRef MemRefOf".split(), ["memref"]),
-    **dict.fromkeys("AnyTensor TensorOf".split(), ["tensor"]),
-    **dict.fromkeys("AnyVector VectorOf AnyVectorOfAnyRank".split(), ["vector"]),
+    "AnyFloat": FLOATS,
+    "FloatLike": FLOATS,
+    "AnyType": [ANY],
+    "AnyShaped": [ANY],
+    "AnyRankedTensor": [ANY],
+    "AnyIntegerAttr": [ANY],
+    "TypedAttrInterface": [ANY],
+    "AnyRankedOrUnrankedMemRef": ["memref"],
+    "AnyMemRef": ["memref"],
+    "MemRefOf": ["memref"],
+    "AnyTensor": ["tensor"],
+    "TensorOf": ["tensor"],
+    "AnyVector": ["vector"],
+    "VectorOf": ["vector"],
+    "AnyVectorOfAnyRank": ["vector"],
 }
 
 
