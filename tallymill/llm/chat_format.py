@@ -58,6 +58,10 @@ def format_chats(rows: DataFrame, learn: str = "assistant") -> DataFrame:
     empty; rows with null conv_id are one conversation; repeated rows are turns each.  An empty
     table gives no row; other columns are ignored.  A conversation is one value, so it has to fit
     the 2 GB of a Spark string.  Turns are rendered and placed before they meet.
+
+    One step of escaping makes the round trip identical: it adds a backslash within every control string, those
+    with backslashes already included, so an escaped text holds no bare one for the parser to find, and
+    unescaping takes exactly the added ones off.  The whole conversation is parsed again all the same.
     """
     raw = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     role, text = F.col("role"), F.col("text")

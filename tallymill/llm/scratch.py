@@ -9,17 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Tables written so far and not dropped.
+#: Tables written so far in this driver and not dropped.
 made: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
     """The shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the setting is absent (a local session in a test) a new local folder serves.
+    Only where the setting is absent in a local session (a test) a new local folder serves; on a cluster, where
+    each executor would write to its own disk, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallymill.scratch", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="tallymill-")
         spark.conf.set("tallymill.scratch", found)
     return found.rstrip("/")

@@ -166,6 +166,14 @@ def test_site_tree_learns_below_many_levels(spark):
     assert {r.page_id: r.text for r in got} == {k: f"Story number {k} of its own" for k in range(12)}
 
 
+def test_chats_with_long_texts_and_clashing_columns(spark):
+    long = "<s>[INST] word " * 150_000
+    rows = [(1, 0, "user", long, "x", 1, "y"), (1, 1, "assistant", long, "x", 1, "y"), (1, 1, "assistant", long, "x", 1, "y"), (None, None, None, None, "x", 1, "y")]
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, r string, t long, piece string"))).collect()}
+    assert got[1].n_turns == 3 and got[1].loss_chars == 2 * len(long) and got[1].loss_sha256 == hashlib.sha256((long * 2).encode()).hexdigest()
+    assert got[None].n_turns == 1 and got[None].loss_chars == 0
+
+
 def lows(pages):
     """The tree's low importances of each page, by its key."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))
