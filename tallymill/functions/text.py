@@ -266,3 +266,10 @@ def matches(output: Column, pattern: Column) -> Column:
 def pretty_signature(args: Column) -> Column:
     """``type:$name`` of each argument, separated by commas."""
     return F.array_join(F.transform(args, lambda a: F.concat(a["type_constraint"], F.lit(":$"), a["name"])), ", ")
+
+
+def guarded(program: Column, returncode: Column, stderr: Column) -> Column:
+    """A verifier's verdict, or -3 for a program without a function: compilers accept empty text as a valid module."""
+    some = F.coalesce(F.contains(program, F.lit("func.func @")), F.lit(False))
+    reason = F.lit("phase-F non-triviality check: no func.func definition in input")
+    return F.when(some, F.struct(returncode.cast("int").alias("returncode"), stderr.alias("stderr"))).otherwise(F.struct(F.lit(-3).alias("returncode"), reason.alias("stderr")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -142,3 +143,19 @@ def reduction(df: DataFrame, before: Column, after: Column) -> DataFrame:
 
 def ratio_of_sums(a: Column, b: Column) -> Column:
     return F.try_divide(F.sum(a), F.sum(b))
+
+
+def interval_envelope(df: DataFrame, keys: Sequence[str], point: str, low: str = "ci_low", high: str = "ci_high") -> DataFrame:
+    """Over the seeds of each cell: mean and half range of the points, and the envelope of their intervals."""
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("seeds"), F.avg(point).alias("mean"), ((F.max(point) - F.min(point)) / 2).alias("half_range"), F.min(low).alias("low"), F.max(high).alias("high")
+    )
+
+
+def gate_failures(df: DataFrame, keys: Sequence[str], gate: str, reason: str, item: str) -> DataFrame:
+    """For each reason of a gate that did not pass: how many, and the smallest failed items (ten at most, a report's list)."""
+    missed = df.where(F.col(gate) != "pass")
+    counts = missed.groupBy(*keys, reason).agg(F.count("*").alias("n"))
+    heads = missed.withColumn("_nth", F.row_number().over(W.partitionBy(*keys, reason).orderBy(item))).where("_nth <= 10")  # cut before the shuffle
+    first = heads.groupBy(*keys, reason).agg(F.array_sort(F.collect_list(item)).alias("first"))
+    return counts.join(first, [*keys, reason])

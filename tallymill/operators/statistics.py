@@ -160,3 +160,20 @@ def posted(computed: DataFrame, claims: DataFrame, key: str, value: str, digits:
     """Computed against posted numbers: key, computed, posted, agree (both null agree)."""
     both = computed.select(key, F.col(value).alias("computed")).join(claims.select(key, F.col(value).alias("posted")), key, "full")
     return both.withColumn("agree", F.round("computed", digits).eqNullSafe(F.round("posted", digits)))
+
+
+def order_paired_cells(pairs: DataFrame, keys: Sequence[str], a: str, b: str, order: str, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = 42) -> DataFrame:
+    """Mean of a - b of each cell, and the sorted replicate means at int(q * resamples); one draw of the rows a replicate.
+
+    A cell comes to one worker, as in :func:`bootstrap_cells`.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = (pdf[a] - pdf[b])[pdf[order].argsort()].to_numpy()
+        rng = np.random.default_rng(seed)
+        means = np.sort([d[rng.integers(0, len(d), size=len(d))].mean() for _ in range(resamples)])
+        return pd.DataFrame([[*pdf[list(keys)].iloc[0], d.mean(), means[int(alpha / 2 * resamples)], means[int((1 - alpha / 2) * resamples)], len(d)]], columns=[*keys, "delta", "low", "high", "n"])
+
+    rows = pairs.select(*keys, order, F.col(a).cast("int").alias(a), F.col(b).cast("int").alias(b))
+    types = dict(rows.dtypes)
+    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "delta double, low double, high double, n long"]))

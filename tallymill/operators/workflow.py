@@ -96,3 +96,11 @@ def corpus(operations: DataFrame, types: DataFrame, shapes: DataFrame, dialect:
         F.lit("\n    return %0 : "), t, F.lit("\n  }\n}"),
     )
     return rows.withColumn("id", F.concat_ws("_", "op", "dtype", "shape")).withColumn("mlir", body)
+
+
+def with_fallback(primary: DataFrame, fallback: DataFrame, keys: list[str], value: str, names: tuple[str, str], tag: str = "backend") -> DataFrame:
+    """Each key's value of the first source, or where that has none of the second, with the name of the source; keys of neither value go."""
+    one = primary.select(*keys, F.col(value).alias("_one"))
+    both = one.join(fallback.select(*keys, F.col(value).alias("_two")), keys, "full")
+    came = F.when(F.col("_one").isNotNull(), names[0]).when(F.col("_two").isNotNull(), names[1])
+    return both.select(*keys, F.coalesce("_one", "_two").alias(value), came.alias(tag)).where(F.col(tag).isNotNull())

@@ -13,7 +13,7 @@ from tallymill.operators import relational as R
 from tallymill.operators import statistics as S
 from tallymill.operators import workflow as X
 from tallymill.plans.cases import SCOPES
-from tallymill.session import ship, table
+from tallymill.session import shared_folder, ship, table
 from tallymill.sources import readers, sinks
 from tallymill.streaming import counts
 
@@ -1173,3 +1173,129 @@ def event_windows(spark, sf_dir):
 def running_totals(spark, sf_dir):
     w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
     return table(spark, sf_dir, "events").select("event_id", F.sum("value").over(w).alias("running"))
+
+
+# ---- guards, fallbacks, envelopes ----
+
+
+@query(
+    "non_trivial_guard",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE -3 END::INT AS returncode, CASE WHEN doc_id % 3 = 0 THEN 'ok' ELSE 'phase-F non-triviality check: no func.func definition in input' END AS stderr FROM documents""",
+)
+def non_trivial_guard(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    program = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("module {\n func.func @f() {\n return } } // "), "lang")).when(F.col("doc_id") % 3 == 1, "module {}")
+    return docs.select("doc_id", text.guarded(program, F.lit(0), F.lit("ok")).alias("v")).select("doc_id", "v.returncode", "v.stderr")
+
+
+@query(
+    "fallback_backend",
+    """SELECT doc_id, coalesce(a, b) AS value, CASE WHEN a IS NOT NULL THEN 'first' ELSE 'second' END AS backend
+    FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source END AS a, CASE WHEN doc_id % 3 = 0 THEN lang END AS b FROM documents) WHERE a IS NOT NULL OR b IS NOT NULL""",
+)
+def fallback_backend(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    first = docs.where("doc_id % 2 = 0").select("doc_id", F.col("source").alias("value"))
+    return X.with_fallback(first, docs.where("doc_id % 3 = 0").select("doc_id", F.col("lang").alias("value")), ["doc_id"], "value", ("first", "second"))
+
+
+@query(
+    "interval_envelope",
+    f"""WITH s AS (SELECT dialect, seed, avg(passed::INT::DOUBLE) AS p, count(*) AS n FROM ({EVAL}) GROUP BY dialect, seed), i AS (SELECT *, p - 1.96 * sqrt(p * (1 - p) / n) AS lo, p + 1.96 * sqrt(p * (1 - p) / n) AS hi FROM s)
+    SELECT dialect, count(*) AS seeds, avg(p) AS mean, (max(p) - min(p)) / 2 AS half_range, min(lo) AS low, max(hi) AS high FROM i GROUP BY dialect""",
+)
+def interval_envelope(spark, sf_dir):
+    each = eval_rows(spark, sf_dir).groupBy("dialect", "seed").agg(A.rate(F.col("passed")).alias("p"), F.count("*").alias("n"))
+    spread = F.lit(1.96) * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
+    return A.interval_envelope(each.withColumns({"ci_low": F.col("p") - spread, "ci_high": F.col("p") + spread}), ["dialect"], "p")
+
+
+@query(
+    "gate_failures",
+    f"""WITH g AS (SELECT dialect, doc_id, CASE WHEN NOT passed AND flagged THEN 'both' WHEN NOT passed THEN 'quality' WHEN flagged THEN 'toxic' END AS reason FROM ({EVAL}))
+    SELECT dialect, reason, count(*) AS n, list_slice(list_sort(list(doc_id)), 1, 10) AS first FROM g WHERE reason IS NOT NULL GROUP BY dialect, reason""",
+)
+def gate_failures(spark, sf_dir):
+    reason = F.when(~F.col("passed") & F.col("flagged"), "both").when(~F.col("passed"), "quality").when(F.col("flagged"), "toxic")
+    rows = eval_rows(spark, sf_dir).withColumn("reason", reason).withColumn("gate", F.when(F.col("reason").isNull(), "pass").otherwise("fail"))
+    return A.gate_failures(rows, ["dialect"], "gate", "reason", "doc_id")
+
+
+@query(
+    "joined_concordance",
+    """WITH a AS (SELECT doc_id, quality = 1 AS x FROM labels), b AS (SELECT doc_id, n_chars > 700 AS y, lang FROM documents WHERE doc_id % 4 <> 0), j AS (SELECT lang, x, y FROM a JOIN b USING (doc_id))
+    SELECT lang, count(*) AS n, avg((x = y)::INT::DOUBLE) AS agreement, count(*) FILTER (x AND NOT y) AS only_a, count(*) FILTER (NOT x AND y) AS only_b FROM j GROUP BY GROUPING SETS ((lang), ())""",
+)
+def joined_concordance(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id % 4 <> 0")
+    a = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("flag"))
+    pairs = S.paired_strict(a, docs.select("doc_id", (F.col("n_chars") > 700).alias("flag")), ["doc_id"], "flag")
+    return A.concordance(pairs.join(docs.select("doc_id", "lang"), "doc_id"), "lang", "flag_a", "flag_b")
+
+
+@query("order_stat_paired", "SELECT * FROM (VALUES ('c0', -0.1::DOUBLE, -0.2::DOUBLE, -0.025::DOUBLE, 40::BIGINT), ('c1', 0.1, 0.025, 0.2, 40), ('c2', 0.3, 0.175, 0.45, 40)) t(cell, delta, low, high, n)")
+def order_stat_paired(spark, sf_dir):
+    return S.order_paired_cells(evaluation_cells(spark), ["cell"], "p", "q", "row")
+
+
+# ---- sources and sinks: written into the shared folder, then read back ----
+
+
+@query("json_lines_scan", "SELECT doc_id, quality, toxic FROM labels")
+def json_lines_scan(spark, sf_dir):
+    path = shared_folder(spark, "json-lines")
+    table(spark, sf_dir, "labels").write.json(path)
+    return readers.json_lines(spark, path, "doc_id long, quality int, toxic int")
+
+
+@query("json_lines_tolerant", "SELECT doc_id, quality, toxic FROM labels")
+def json_lines_tolerant(spark, sf_dir):
+    path = shared_folder(spark, "json-broken")
+    line = table(spark, sf_dir, "labels").select(F.to_json(F.struct("doc_id", "quality", "toxic")).alias("value"), "doc_id")
+    broken = line.where("doc_id % 5 = 0").select(F.expr("left(value, length(value) - 3)").alias("value"))
+    line.select("value").unionByName(broken).unionByName(spark.createDataFrame([("",), ("not json",)], "value string")).write.text(path)
+    return readers.json_lines(spark, path, "doc_id long, quality int, toxic int", tolerant=True)
+
+
+@query("append_rows", "SELECT doc_id, quality FROM labels")
+def append_rows(spark, sf_dir):
+    path, rows = shared_folder(spark, "appended"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    for part in (0, 1):
+        sinks.append(rows.where(F.col("doc_id") % 2 == part), path)
+    return readers.json_lines(spark, path, "doc_id long, quality int")
+
+
+@query("prompt_lines", "SELECT n_name AS prompt FROM nation")
+def prompt_lines(spark, sf_dir):
+    path = shared_folder(spark, "prompts")
+    line = F.when(F.col("n_nationkey") % 2 == 0, F.to_json(F.struct(F.col("n_name").alias("prompt")))).otherwise(F.concat(F.lit("  "), "n_name"))
+    table(spark, sf_dir, "nation").select(line.alias("value")).write.text(path)
+    return readers.prompts(spark, path)
+
+
+@query("documented_code", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role ELSE 'note ' || turn END AS docstring, 'x' AS code FROM conversations")
+def documented_code(spark, sf_dir):
+    path = shared_folder(spark, "code")
+    docstring = F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("")
+    rows = table(spark, sf_dir, "conversations")
+    rows.select(F.concat_ws(":", "conv_id", "turn").alias("source"), docstring.alias("docstring"), F.concat(F.lit("note "), "turn").alias("comment"), F.lit("x").alias("code"), F.lit("u").alias("source_url")).write.json(path)
+    return readers.documented_code(spark, path).select(*(F.split("source", ":")[k].cast("long").alias(n) for k, n in enumerate(("conv_id", "turn"))), "docstring", "code")
+
+
+@query("text_tree", "SELECT n_nationkey AS k, n_name || chr(10) AS text FROM nation WHERE n_nationkey % 5 <> 0")
+def text_tree(spark, sf_dir):
+    path = shared_folder(spark, "tree")
+    table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")).where("k % 5 <> 0").write.partitionBy("k").text(path)
+    return readers.text_tree(spark, path, "*.txt").select(F.regexp_extract("path", "k=([0-9]+)", 1).cast("int").alias("k"), "text")
+
+
+@query("json_document", """SELECT '[' || string_agg('{"region":' || n_regionkey || ',"n":' || n || '}', ',' ORDER BY n_regionkey) || ']' AS document FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey)""")
+def json_document(spark, sf_dir):
+    return sinks.document(table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n")))
+
+
+@query("lattice_by_dialect", "SELECT * FROM (VALUES ('arith', 'arith.addi', 2), ('func', 'func.call', 1), ('memref', 'memref.load', 2)) t(dialect, full_name, operands)")
+def lattice_by_dialect(spark, sf_dir):
+    path = shared_folder(spark, "lattices")
+    sinks.by_dialect(lattice.entries(schema_ops(spark)), path)
+    return spark.read.schema("dialect string, full_name string, operand_types array<array<string>>").json(path).select("dialect", "full_name", F.size("operand_types").alias("operands"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,6 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; only a local session without one gets a local folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
+    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='tallymill-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 #: Rows of an Arrow batch between the JVM and Python: rows hold whole texts, and both sides hold several batches.
 BATCH_ROWS, DEFAULT_ROWS = 1500, "10000"
 
