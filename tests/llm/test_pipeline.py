@@ -46,3 +46,23 @@ def test_run(spark, stages):
     a, b = corpus_pipeline.run(spark, SF).collect(), stages[-1][1].collect()
     key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
     assert sum(r.length for r in a) == sum(r.length for r in b) and {r.doc_id for r in a} == {r.doc_id for r in b} and len({*map(key, a)}) == len(a)
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    """Null and empty texts, a very long one, ties, repeats, extra columns with the operators' own names, and an empty table."""
+    good = "The river runs slowly past the old mill, and nobody in the village minds the noise."
+    rows = [(1, good), (1, good), (2, good + " "), (3, None), (4, ""), (5, " \n"), (6, good + " It never did."), (None, good), (7, "word " * 100_000), (8, "!!! ||| $$$ " * 50)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row long, _n long, _kept string, _sha string, kept string, h long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, "a", "b", "c", 3) for i, t in rows], columns)
+    for which, table in enumerate((docs, docs.limit(0))):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{which}-{k}")
+            stage(spark, table, SF).write.parquet(path)
+            out = spark.read.parquet(path)
+            if name != "packing":
+                assert out.columns == docs.columns
+            table = out
+            if name == "quality classifier" and out.count():
+                assert {1, 2, 6, None} <= {r.doc_id for r in out.collect()} and not {3, 4, 5, 8} & {r.doc_id for r in out.collect()}
+            if name == "exact dedup" and out.count():
+                assert [r.doc_id for r in out.collect() if r.text and r.text.strip() == good].count(1) == 1 and 2 in {r.doc_id for r in out.collect()}
