@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, e8_neardup, exact_dedup, hd_language, packing, parity_join, site_tree, token_files, trie_bpe, weak_quality
+from tallymill.llm import chat_format, e8_neardup, exact_dedup, hd_language, packing, parity_join, site_tree, sort_means, token_files, trie_bpe, weak_quality
 from tallymill.session import ship
 
 QUERIES: dict = {}
@@ -106,3 +106,26 @@ def op9_e8_neardup(spark, sf_dir):
 @query("op5_parity_join")
 def op5_parity_join(spark, sf_dir):
     return parity_join.groups(read(spark, sf_dir, "documents"))
+
+
+def _sort_means_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """The rounds unrolled: every vector against every centroid by definition."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, [floor(1024 * x::DOUBLE)::HUGEINT for x in embedding] AS v FROM embeddings
+        WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (SELECT v.r, c.c,
+        list_sum([(v.v[j] - c.v[j]) * (v.v[j] - c.v[j]) for j in range(1, {dim} + 1)])::HUGEINT AS d FROM v, c{i} c) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+            SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (SELECT a.best.c AS c, j, sum(v.v[j])::HUGEINT AS s, count(*)::HUGEINT AS n
+            FROM v JOIN a{i} a USING (r), range(1, {dim} + 1) t(j) GROUP BY ALL) GROUP BY c) m USING (c))""")
+    return f"""WITH {", ".join(steps)} SELECT vec_id, best.c::INT AS cluster, best.d::BIGINT AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia,
+    sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM v JOIN a{rounds} USING (r) JOIN c{rounds} c ON c.c = best.c"""
+
+
+@query("op11_sort_means", _sort_means_sql())
+def op11_sort_means(spark, sf_dir):
+    return sort_means.clusters(read(spark, sf_dir, "embeddings"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill.llm import (
-    batches, chat_format, components, e8_neardup, exact_dedup, hd_language, packing, parity_join, queries, site_tree, token_files, tokens, trie_bpe, weak_quality, words,
+    batches, chat_format, components, e8_neardup, exact_dedup, hd_language, packing, parity_join, queries, site_tree, sort_means, token_files, tokens, trie_bpe, weak_quality, words,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -759,3 +759,61 @@ def test_neardup_repeats_and_clashes(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, content string, id long, n double")
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in e8_neardup.groups(df).collect())
     assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (4, 3, 1, False)]
+
+
+# ---- centroid clustering ----
+
+
+def lloyd(rows, k, rounds, dim):
+    """The rounds by definition, in Python integers."""
+    from math import floor, isfinite
+
+    vs = [(i, [floor(1024 * x) for x in v]) for i, v in rows if v is not None and len(v) == dim and all(x is not None and isfinite(x) for x in v)]
+    order = sorted(vs, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), r[1]))
+    cs = [v for _, v in order[:k]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), n) for n, c in enumerate(cs))
+    for _ in range(rounds):
+        at = [near(v)[1] for _, v in vs]
+        for c in range(len(cs)):
+            own = [v for (_, v), a in zip(vs, at) if a == c]
+            if own:
+                cs[c] = [sum(x) // len(own) for x in zip(*own)]
+    found = [(i, near(v)) for i, v in vs]
+    inertia = [sum(d for _, (d, c) in found if c == n) for n in range(len(cs))]
+    return sorted((repr(i), c, d, inertia[c], sum(inertia), hashlib.sha256(",".join(map(str, cs[c])).encode()).hexdigest()) for i, (d, c) in found)
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.3, 3.0])
+def test_sort_means(spark, spread):
+    """Ties and repeats (small integers), nulls, other lengths, non-finite components, clashing names, and an empty table."""
+    rng = np.random.default_rng(int(spread * 10))
+    made = np.round(rng.normal(0, 1, (9, 4))[rng.integers(0, 9, 300)] + rng.normal(0, spread, (300, 4)) if spread else rng.integers(0, 2, (300, 4)), 2)
+    rows = [(i % 250, v) for i, v in enumerate(np.float32(made).tolist())]
+    rows += [(None, rows[3][1]), (None, [9.0, 9.0, 9.0, 9.0]), (900, None), (901, []), (902, [1.0, None, 0.0, 0.0]), (903, [1.0, float("nan"), 0.0, 0.0]), (904, [float("-inf"), 0.0, 0.0, 0.0]), (905, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame([(i, v, 7, 1, [1], 2) for i, v in rows], "vec_id long, embedding array<float>, cluster int, part int, sums array<int>, n int")
+    got = sort_means.clusters(df, dim=4, rounds=4)
+    key = lambda r: (repr(r.vec_id), r.cluster, r.distance, r.cluster_inertia, r.inertia, r.centroid_sha256)
+    assert sorted(map(key, got.collect())) == lloyd(rows, 8, 4, 4)
+    few = df.limit(3)
+    assert sorted(map(key, sort_means.clusters(few, dim=4).collect())) == lloyd([(r.vec_id, r.embedding) for r in few.collect()], 8, 10, 4)
+    assert sort_means.clusters(df.limit(0), dim=4).columns == got.columns and not sort_means.clusters(df.limit(0), dim=4).count()
+
+
+def test_sort_means_refuses_to_wrap(spark):
+    df = spark.createDataFrame([(1, [1e9] * 64)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="too large"):
+        sort_means.clusters(df).collect()
+
+
+def test_sort_means_scan_stops_early():
+    """All nearest centroids by definition, though most of well separated ones are never tried."""
+    rng = np.random.default_rng(1)
+    centroids = rng.integers(-5000, 5000, (40, 16))
+    at = rng.integers(0, 40, 5000)
+    v = centroids[at] + rng.integers(-300, 300, (5000, 16))
+    d = ((v[:, None, :] - centroids[None]) ** 2).sum(axis=2)
+    for previous in (at, rng.integers(0, 40, 5000)):
+        best, least, taken = sort_means.scan(v, previous, centroids)
+        assert (best == d.argmin(axis=1)).all() and (least == d.min(axis=1)).all()
+        if previous is at:
+            assert taken < 2 * len(v)
