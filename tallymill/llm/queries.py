@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, e8_neardup, exact_dedup, hd_language, packing, parity_join, site_tree, sort_means, token_files, trie_bpe, weak_quality
+from tallymill.llm import chat_format, e8_neardup, exact_dedup, hd_language, packing, parity_join, site_tree, sort_means, token_align, token_files, trie_bpe, weak_quality
 from tallymill.session import ship
 
 QUERIES: dict = {}
@@ -15,6 +15,7 @@ ORACLES: dict[str, str] = {}
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, sql: str | None = None):
@@ -129,3 +130,8 @@ def _sort_means_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
 @query("op11_sort_means", _sort_means_sql())
 def op11_sort_means(spark, sf_dir):
     return sort_means.clusters(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_token_align")
+def op12_token_align(spark, sf_dir):
+    return token_align.alignments(read(spark, sf_dir, "documents"), BYTE_BPE, PIECES)

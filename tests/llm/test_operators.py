@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill.llm import (
-    batches, chat_format, components, e8_neardup, exact_dedup, hd_language, packing, parity_join, queries, site_tree, sort_means, token_files, tokens, trie_bpe, weak_quality, words,
+    batches, chat_format, components, e8_neardup, exact_dedup, hd_language, packing, parity_join, queries, site_tree, sort_means, token_align, token_files, tokens, trie_bpe, weak_quality, words,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -817,3 +817,96 @@ def test_sort_means_scan_stops_early():
         assert (best == d.argmin(axis=1)).all() and (least == d.min(axis=1)).all()
         if previous is at:
             assert taken < 2 * len(v)
+
+
+# ---- cross-tokenizer alignment ----
+
+
+def aligned(rows):
+    """Tokens, groups and links by definition, from whole texts."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(queries.BYTE_BPE)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    byte = trie_bpe.alphabet()
+    out, counts = [], {}
+    for doc_id, text in rows:
+        one, groups, links = " " + (text or ""), [], []
+        if text:
+            ta = [(i, len(bytes(byte[c] for c in a.id_to_token(i)))) for i in a.encode(one, add_special_tokens=False).ids]
+            spelt = [(i, bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()) for i, p in ((i, b.id_to_piece(i)) for i in b.encode(text))]
+            if b"".join(x for _, x in spelt) == one.encode():
+                x, y = [], []
+                for out_list, toks in ((x, ta), (y, [(i, len(s)) for i, s in spelt])):
+                    end = 0
+                    for i, n in toks:
+                        out_list.append((end, end + n, i))
+                        end += n
+                cuts = sorted({e for _, e, _ in x} & {e for _, e, _ in y})
+                for hi in cuts:
+                    inside = []
+                    for side in (x, y):
+                        n = next((k for k, t in enumerate(side) if t[1] > hi), len(side))
+                        inside.append(side[:n])
+                        del side[:n]
+                    groups.append("|".join(",".join(str(i) for _, _, i in side) for side in inside))
+                    links += [(i, j) for s, e, i in inside[0] for t, f, j in inside[1] if s < f and t < e]
+        for p in links:
+            counts[p] = counts.get(p, 0) + 1
+        out.append((doc_id, groups, links, (sum(g.partition("|")[0].count(",") + 1 for g in groups), sum(g.partition("|")[2].count(",") + 1 for g in groups))))
+    most = {}
+    for (i, j), n in counts.items():
+        most[j] = max(most.get(j, 0), n)
+    return sorted(
+        (repr(d), *n, len(g), len(l), sum(counts[p] == most[p[1]] for p in l), sum(counts[p] for p in l), hashlib.sha256(";".join(g).encode()).hexdigest() if g else "") for d, g, l, n in out
+    )
+
+
+def aligned_key(r):
+    return (repr(r.doc_id), r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256)
+
+
+def odd_texts(seed, n):
+    rng = random.Random(seed)
+    alphabet = ["a", "b", "the", " ", "  ", "   ", "\n", "\t", "\r\n", "1234", "'s", ".", ";", "é", "é", "€", "日本", "▁", "　", "\x00", "😀", "<|endoftext|>", "<s>", "</s>", "<0x41>", "<unk>", "ﬁ", "İ", "tokenization", "über"]
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("heavy", [token_align.HEAVY, 40, 1])
+def test_token_align(spark, awkward, heavy):
+    """Awkward rows, whole texts of the tables and random ones, by definition; with a small ``heavy`` most pairs take the join."""
+    texts = [(i, t) for i, t in enumerate(odd_texts(5, 400))] + [(r["doc_id"], r["text"]) for r in table("documents")[:40]] + AWKWARD + [(77, " ".join(["word"] * 3000) + " end ")]
+    df = spark.createDataFrame([(i, t, "x", 1, [3]) for i, t in texts], "doc_id long, text string, key string, uid int, pairs array<int>").repartition(3)
+    assert sorted(map(aligned_key, token_align.alignments(df, queries.BYTE_BPE, queries.PIECES, heavy).collect())) == aligned(texts)
+
+
+def test_token_align_empty(spark, empty):
+    assert token_align.alignments(empty, queries.BYTE_BPE, queries.PIECES).count() == 0
+
+
+def test_token_align_in_windows(monkeypatch):
+    """Small windows and slices give what large ones give."""
+    a, b = token_align.encoders(queries.BYTE_BPE, queries.PIECES)
+    texts = odd_texts(9, 200) + ["x" * 5000, "word " * 3000]
+    data = batches.spans(pa.array(texts))
+    whole = token_align.align(*data, a, b)
+    monkeypatch.setattr(token_align, "WINDOW", 7)
+    monkeypatch.setattr(token_align, "SLICE", 5)
+    parts = token_align.align(*data, a, b)
+    assert all(np.array_equal(whole[k], parts[k]) for k in whole)
+
+
+def test_pieces_equal_library():
+    """Chunks remembered or new, cut at spaces, give the library's ids of whole texts."""
+    e = token_align.Pieces(queries.PIECES)
+    assert not e.whole
+    texts = [t.replace("▁", "_") for t in odd_texts(11, 1500) if t] + [r["text"] for r in table("documents")[:80]] + [" ", "  ", "a ", " a", "a  "]
+    for _ in range(2):
+        ids, counts = e.spans(*batches.spans(pa.array([" " + t for t in texts])))
+        wanted = e.sp.encode(texts)
+        assert counts.tolist() == [len(x) for x in wanted] and ids.tolist() == [i for x in wanted for i in x]
+    e.whole = True
+    again, _ = e.spans(*batches.spans(pa.array([" " + t for t in texts])))
+    assert again.tolist() == ids.tolist()
