@@ -7,7 +7,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallymill.llm import chat_format, e8_neardup, exact_dedup, hd_language, packing, parity_join, site_tree, sort_means, token_align, token_files, trie_bpe, weak_quality
+from tallymill.llm import chat_format, e8_neardup, exact_dedup, hd_language, packing, parity_join, sharding, site_tree, sort_means, token_align, token_files, trie_bpe, weak_quality
 from tallymill.session import ship
 
 QUERIES: dict = {}
@@ -135,3 +135,8 @@ def op11_sort_means(spark, sf_dir):
 @query("op12_token_align")
 def op12_token_align(spark, sf_dir):
     return token_align.alignments(read(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+@query("op13_label_shards")
+def op13_label_shards(spark, sf_dir):
+    return sharding.shards(read(spark, sf_dir, "documents"))

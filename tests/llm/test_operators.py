@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill.llm import (
-    batches, chat_format, components, e8_neardup, exact_dedup, hd_language, packing, parity_join, queries, site_tree, sort_means, token_align, token_files, tokens, trie_bpe, weak_quality, words,
+    batches, chat_format, components, e8_neardup, exact_dedup, hd_language, packing, parity_join, queries, sharding, site_tree, sort_means, token_align, token_files, tokens, trie_bpe, weak_quality, words,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -910,3 +910,53 @@ def test_pieces_equal_library():
     e.whole = True
     again, _ = e.spans(*batches.spans(pa.array([" " + t for t in texts])))
     assert again.tolist() == ids.tolist()
+
+
+# ---- shards ----
+
+
+def together(rows):
+    """Shard sizes, and the share of linked pairs that one shard holds."""
+    from collections import Counter
+
+    pairs = lambda c: sum(n * (n - 1) // 2 for n in c.values())
+    inside, every = Counter((r.text_crc32, r.size, r.shard) for r in rows), Counter((r.text_crc32, r.size) for r in rows)
+    return Counter(r.shard for r in rows), pairs(inside) / max(1, pairs(every))
+
+
+def laid_out(rows, docs):
+    """The law ``rows`` and the plain columns, by definition."""
+    per, _ = together(rows)
+    counts = [per.get(s, 0) for s in range(16)]
+    assert max(counts) - min(counts) <= 1 and sum(counts) == len(docs)
+    for s in range(16):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s]))
+    plain = lambda i, t: (repr(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None)
+    assert sorted((repr(r.doc_id), r.size, r.text_crc32, r.law, r.grown_shard) for r in rows) == sorted(plain(i, t) for i, t in docs)
+
+
+def test_label_shards(spark, awkward, empty):
+    laid_out(sharding.shards(awkward).collect(), AWKWARD)
+    assert sharding.shards(empty).count() == 0
+    docs = table("documents")
+    rows = sharding.shards(spark.createDataFrame([(r["doc_id"], r["text"], 1, "x") for r in docs], "doc_id long, text string, shard int, g string").repartition(3)).collect()
+    laid_out(rows, [(r["doc_id"], r["text"]) for r in docs])
+    assert together(rows)[1] == 1.0
+
+
+@pytest.mark.parametrize("kind, least", [("pairs", 0.95), ("hot", 0.13), ("fours", 0.9)])
+def test_label_shards_keep_copies_together(spark, kind, least):
+    """Tables without an unlinked row, and one of whose rows a third are copies of one text (5.3 shards' worth)."""
+    text = {"pairs": lambda i: f"t{i // 2}", "fours": lambda i: f"t{i // 4}", "hot": lambda i: "hot" if i % 3 == 0 else f"t{i // 7}"}[kind]
+    docs = [(None if i % 3 == 0 else i, text(i)) for i in range(12_000)]
+    rows = sharding.shards(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    laid_out(rows, docs)
+    assert together(rows)[1] >= least
+    if kind == "hot":
+        assert together([r for r in rows if r.size != 4])[1] >= 0.7
+
+
+def test_label_shards_are_native(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = sharding.shards(docs)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExistingRDD"))
