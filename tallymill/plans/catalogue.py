@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,41 +11,11 @@ from tallymill.operators import relational as R
 from tallymill.operators import statistics as S
 from tallymill.operators import workflow as X
 from tallymill.plans.cases import SCOPES
-from tallymill.session import shared_folder, ship, table
-from tallymill.sources import readers, sinks
+from tallymill.plans.registry import EVAL, ORACLES, QUERIES, eval_rows, query
+from tallymill.session import shared_folder, table
+from tallymill.sources import readers, records, sinks
 from tallymill.streaming import counts
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        @functools.wraps(f)
-        def run(spark, sf_dir):
-            ship(spark)
-            return f(spark, sf_dir)
-
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-#: Result rows made of the tables at hand: a document is a prompt, its source a model, its language
-#: a dialect, its number modulo 3 a seed, and its quality the verdict.
-EVAL = """SELECT d.doc_id, d.text, d.lang AS dialect, d.source AS model, d.n_chars, d.doc_id % 3 AS seed,
-  quality = 1 AS passed, toxic = 1 AS flagged FROM documents d JOIN labels l USING (doc_id)"""
-
-
-def eval_rows(spark, sf_dir):
-    flags = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("passed"), (F.col("toxic") == 1).alias("flagged"))
-    docs = table(spark, sf_dir, "documents")
-    return docs.join(flags, "doc_id").select("doc_id", "text", F.col("lang").alias("dialect"), F.col("source").alias("model"), "n_chars", (F.col("doc_id") % 3).alias("seed"), "passed", "flagged")
-
-
 # ---- rates and tables ----
 
 
@@ -1298,4 +1266,5 @@ def json_document(spark, sf_dir):
 def lattice_by_dialect(spark, sf_dir):
     path = shared_folder(spark, "lattices")
     sinks.by_dialect(lattice.entries(schema_ops(spark)), path)
-    return spark.read.schema("dialect string, full_name string, operand_types array<array<string>>").json(path).select("dialect", "full_name", F.size("operand_types").alias("operands"))
+    entries = records.read_records(spark, path).select("file_name", F.explode(F.from_json("text", "map<string,struct<operand_types:array<array<string>>>>")).alias("full_name", "e"))
+    return entries.select(F.regexp_replace("file_name", r"\.json$", "").alias("dialect"), "full_name", F.size("e.operand_types").alias("operands"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallymill.operators.numbering import global_number
+
 EVAL_ROW = (
     "model string, backend string, constraint string, dialect string, seed int, sample_idx int, prompt_id string, nl string, "
     "generated string, num_tokens int, parse_valid boolean, verify_valid boolean, passed boolean, verify_stderr string, "
@@ -35,9 +36,9 @@ def json_lines(spark: SparkSession, path: str, schema: str = EVAL_ROW, tolerant:
 
 
 def record_directory(spark: SparkSession, path: str, schema: str = BENCHMARK) -> DataFrame:
-    """One record a file; ``idx`` counts files in order of their names, from 0."""
+    """One record a file, from any store that Spark reads; ``idx`` counts files in order of their names, from 0, whatever their number."""
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
-    return rows.withColumn("idx", F.row_number().over(W.orderBy("file_name")) - 1)  # a benchmark set's few hundred rows
+    return global_number(rows, ["file_name"], "idx")
 
 
 def references(spark: SparkSession, path: str) -> DataFrame:

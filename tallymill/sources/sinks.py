@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallymill.operators.numbering import global_number
+from tallymill.sources.records import write_records
+
 
 def append(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("append").format(fmt).save(path)
@@ -52,6 +55,8 @@ def replace_table(df: DataFrame, path: str) -> None:
     jvm = spark._jvm.org.apache.hadoop.fs
     target, new = jvm.Path(path), jvm.Path(f"{path}.new")
     fs, old = target.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.Path(f"{path}.old")
+    if fs.exists(old) and not fs.exists(target):  # an earlier crash between the renames
+        fs.rename(old, target)
     fs.delete(old, True)
     if fs.exists(target) and not fs.rename(target, old):
         raise OSError(f"{path} can't be moved away")
@@ -65,16 +70,22 @@ def document(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("row")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("row")), ","), F.lit("]")).alias("document"))
 
 
-def numbered_records(df: DataFrame, path: str, order: Sequence[str], name: str) -> None:
-    """A folder for each record, ``001_name``, after clearing the target."""
-    from tallymill.operators.relational import numbered
+def numbered_records(df: DataFrame, path: str, order: Sequence[str], name: str, width: int = 3) -> None:
+    """A file for each record, ``001_name.json`` and so on in ``order``, in place of what the folder held.
 
-    rows = numbered(df, [], order).withColumn("file", F.concat_ws("_", "number", name)).drop("number")
-    rows.write.mode("overwrite").partitionBy("file").json(path)
+    The record's ``id`` is the file's name without its ending.  Numbers come from ranges of the sorted rows, not from one task.
+    """
+    n = F.col("number").cast("string")
+    rows = global_number(df, order, "number", start=1)
+    rows = rows.withColumn("id", F.concat_ws("_", F.when(F.length(n) < width, F.lpad(n, width, "0")).otherwise(n), F.col(name).cast("string"))).drop("number")
+    write_records(rows.select(F.concat("id", F.lit(".json")).alias("file_name"), F.to_json(F.struct(*rows.columns)).alias("record")), path, "file_name", "record")
 
 
 def by_dialect(df: DataFrame, path: str) -> None:
-    df.repartition("dialect").sortWithinPartitions("full_name").write.mode("overwrite").partitionBy("dialect").json(path)
+    """``<dialect>.json`` for each dialect: its entries by full_name, sorted."""
+    entry = F.struct("full_name", F.struct(*[c for c in df.columns if c != "dialect"]))
+    one = df.groupBy("dialect").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("record"))
+    write_records(one.withColumn("file_name", F.concat("dialect", F.lit(".json"))), path, "file_name", "record")
 
 
 def metadata(df: DataFrame) -> str:

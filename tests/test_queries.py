@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tallymill.plans import catalogue
+from tallymill.plans import catalogue, registry, scale, stores  # noqa: F401  the modules register their queries
 from tallymill.session import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -32,15 +32,15 @@ def plain(v):
         return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    if name not in catalogue.ORACLES:
+    if name not in registry.ORACLES:
         assert rows
         return
-    found = con.execute(catalogue.ORACLES[name])
+    found = con.execute(registry.ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     wanted = sorted((tuple(plain(dict(zip(names, r))[c]) for c in columns) for r in found.fetchall()), key=repr)
