@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallymill.operators.selection import bottom_each
+
 
 def _all(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
@@ -111,21 +113,28 @@ def pool(fixed: DataFrame, padding: DataFrame, key: str, n: int, seed: int = 0)
     return rows.withColumn("ord", F.row_number().over(W.orderBy(F.col("source").desc(), "_o", key)) - 1).drop("_o")  # n rows
 
 
+def _digested(df: DataFrame, key: str, seed: int) -> DataFrame:
+    return df.withColumn("_digest", seeded(key, seed))
+
+
 def stratified_share(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """A sample of n rows at most: of each stratum its share of n, one row at least."""
+    """A sample of n rows at most: of each stratum its share of n, one row at least.
+
+    No stratum's share exceeds n, so tasks hand on the n smallest digests of each.
+    """
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_size"))
     total = sizes.agg(F.sum("_size").alias("_all"))
-    quota = sizes.crossJoin(F.broadcast(total)).select(stratum, F.greatest(F.lit(1), F.round(F.lit(n) * F.col("_size") / F.col("_all"))).alias("_quota"))
-    ranked = df.withColumn("_n", F.row_number().over(W.partitionBy(stratum).orderBy(seeded(key, seed), key)))
-    return ranked.join(quota, stratum).where("_n <= _quota").drop("_n", "_quota").orderBy(seeded(key, seed), key).limit(n)
+    quota = sizes.crossJoin(F.broadcast(total)).select(F.col(stratum).alias("_s"), F.greatest(F.lit(1), F.round(F.lit(n) * F.col("_size") / F.col("_all"))).alias("_quota"))
+    ranked = bottom_each(_digested(df, key, seed), stratum, ["_digest", key], n)
+    return ranked.join(quota, F.col(stratum).eqNullSafe(F.col("_s"))).where("rank <= _quota").orderBy("_digest", key).limit(n).select(*df.columns)
 
 
 def stratified_equal(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """A sample of n rows: as many of each stratum, topped up from the rest."""
+    """A sample of n rows: as many of each stratum, topped up from the rest; n smallest digests of a stratum are all that can be in it."""
     strata = df.agg(F.countDistinct(stratum).alias("_strata"))
-    ranked = df.withColumn("_n", F.row_number().over(W.partitionBy(stratum).orderBy(seeded(key, seed), key)))
-    ranked = ranked.crossJoin(F.broadcast(strata)).withColumn("_top", F.col("_n") > F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_strata"))))
-    return ranked.orderBy("_top", seeded(key, seed), key).limit(n).drop("_n", "_strata", "_top")
+    ranked = bottom_each(_digested(df, key, seed), stratum, ["_digest", key], n)
+    ranked = ranked.crossJoin(F.broadcast(strata)).withColumn("_top", F.col("rank") > F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_strata"))))
+    return ranked.orderBy("_top", "_digest", key).limit(n).select(*df.columns)
 
 
 def first_passing(df: DataFrame, passes: Column, order: Sequence[str], n: int) -> DataFrame:

@@ -1,0 +1,98 @@
+"""Queries of operators whose groups may be of any size."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallymill.operators import resampling, selection
+from tallymill.operators import statistics as S
+from tallymill.plans.registry import EVAL, eval_rows, query
+from tallymill.session import table
+
+# ---- bootstrap by Poisson weights ----
+
+_LIMITS = " + ".join(f"(u >= {x})::INT" for x in resampling.poisson_limits())
+
+
+def replicates(rows: str, keys: str, values: str, n: int = resampling.REPLICATES) -> str:
+    """Replicate means m of ``rows`` (doc_id, the keys, the values): weights are limits passed by 16 bits of a digest."""
+    means = ", ".join(f"sum(w * {v}) / nullif(sum(w), 0)::DOUBLE AS {v}" for v in values.split())
+    return f"""r AS ({rows}), u AS (SELECT r.*, b, ('0x' || substr(sha256(doc_id || ':' || (b // 16)), 1 + 4 * (b % 16), 4))::BIGINT AS u FROM r, range({n}) t(b)),
+    w AS (SELECT *, {_LIMITS} AS w FROM u), m AS (SELECT {keys}, b, {means} FROM w GROUP BY {keys}, b)"""
+
+
+_LONG = "SELECT doc_id, lang, source, (n_chars > 1500)::INT AS p FROM documents"
+
+
+@query(
+    "poisson_bootstrap_ci",
+    f"""WITH {replicates(_LONG, "lang", "p")}, c AS (SELECT lang, quantile_cont(p, 0.025) AS ci_low, quantile_cont(p, 0.975) AS ci_high FROM m GROUP BY lang)
+    SELECT lang, point, ci_low, ci_high, n FROM (SELECT lang, avg(p::DOUBLE) AS point, count(*) AS n FROM r GROUP BY lang) JOIN c USING (lang)""",
+)
+def poisson_bootstrap_ci(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") > 1500).cast("int").alias("p"))
+    return resampling.cell_intervals(docs, ["lang"], "p", "doc_id")
+
+
+@query(
+    "poisson_bootstrap_cells",
+    f"""WITH {replicates(_LONG, "source, lang", "p")}, c AS (SELECT source, lang, quantile_cont(p, 0.05) AS ci_low, quantile_cont(p, 0.95) AS ci_high FROM m GROUP BY ALL)
+    SELECT source, lang, point, ci_low, ci_high, n FROM (SELECT source, lang, avg(p::DOUBLE) AS point, count(*) AS n FROM r GROUP BY ALL) JOIN c USING (source, lang)""",
+)
+def poisson_bootstrap_cells(spark, sf_dir):
+    """Many small cells at once, some of a few rows, of which some replicates draw none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", (F.col("n_chars") > 1500).cast("int").alias("p"))
+    return resampling.cell_intervals(docs, ["source", "lang"], "p", "doc_id", alpha=0.1)
+
+
+_FLAGS = f"SELECT dialect, doc_id, passed::INT AS p, (n_chars > 700)::INT AS q FROM ({EVAL})"
+
+
+def _flags(spark, sf_dir):
+    return eval_rows(spark, sf_dir).select("dialect", "doc_id", F.col("passed").cast("int").alias("p"), (F.col("n_chars") > 700).cast("int").alias("q"))
+
+
+@query(
+    "poisson_bootstrap_paired",
+    f"""WITH {replicates(_FLAGS, "dialect", "p q")},
+    c AS (SELECT dialect, quantile_cont(p - q, 0.025) AS ci_low, quantile_cont(p - q, 0.975) AS ci_high, avg((p - q <= 0)::INT::DOUBLE) AS p_value FROM m GROUP BY dialect),
+    o AS (SELECT dialect, avg(p::DOUBLE) - avg(q::DOUBLE) AS point, count(*) AS n FROM r GROUP BY dialect)
+    SELECT dialect, point, ci_low, ci_high, p_value, n, point >= 0.10 AND ci_low > 0 AS clear_gain, abs(point) <= 0.03 AS within_margin, point < 0 AS halt FROM o JOIN c USING (dialect)""",
+)
+def poisson_bootstrap_paired(spark, sf_dir):
+    return S.decisions(resampling.paired_intervals(_flags(spark, sf_dir), ["dialect"], "p", "q", "doc_id"))
+
+
+@query(
+    "poisson_order_stat",
+    f"""WITH {replicates(_FLAGS, "dialect", "p")}, s AS (SELECT dialect, list_sort(list(p)) AS v FROM m GROUP BY dialect)
+    SELECT dialect, v[floor(0.025 * len(v))::INT + 1] AS low, v[floor(0.975 * len(v))::INT + 1] AS high FROM s""",
+)
+def poisson_order_stat(spark, sf_dir):
+    return S.order_interval(resampling.poisson_bootstrap(_flags(spark, sf_dir), ["dialect"], ["p"], "doc_id"), ["dialect"], F.col("mean_p"))
+
+
+# ---- samples and early stop ----
+
+
+@query(
+    "smallest_digests_each",
+    """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY d, event_id)::INT AS rank FROM (SELECT user_id, event_id, md5('3:' || event_id) AS d FROM events)
+    QUALIFY rank <= 2""",
+)
+def smallest_digests_each(spark, sf_dir):
+    from tallymill.operators.relational import seeded
+
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", seeded("event_id", 3).alias("d"))
+    return selection.bottom_each(events, "user_id", ["d", "event_id"], 2).select("user_id", "event_id", "rank")
+
+
+@query(
+    "first_passing_scan",
+    r"SELECT doc_id, lang FROM documents WHERE len(regexp_extract_all(text, '\bthe\b|\bder\b|\bla\b')) > 20 AND length(text) % 2 = 0 ORDER BY n_chars DESC, doc_id LIMIT 25",
+)
+def first_passing_scan(spark, sf_dir):
+    """The longest documents that pass a pattern count; shorter ones are never asked."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", (-F.col("n_chars")).alias("least"))
+    passes = (F.regexp_count("text", F.lit(r"\bthe\b|\bder\b|\bla\b")) > 20) & (F.length("text") % 2 == 0)
+    return selection.scan_in_order(docs, passes, ["least", "doc_id"], 25)[0].select("doc_id", "lang")
