@@ -5,7 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.sources import records, sinks
+from tallymill.operators import validation
+from tallymill.plans import stores
+from tallymill.sources import keyed, records, sinks
+from tallymill.streaming import ingest
 
 
 def test_records_in_bundles(spark, tmp_path):
@@ -67,3 +70,131 @@ def test_replaced_table_recovers_from_a_crash(spark, tmp_path):
         sinks.replace_table(spark.range(3).select(F.raise_error(F.lit("no"))), str(path))
     sinks.replace_table(spark.range(5), str(path))
     assert spark.read.parquet(str(path)).count() == 5 and not (tmp_path / "t.old").exists()
+
+
+# ---- keyed tables ----
+
+
+def test_upsert_rewrites_its_buckets_alone(spark, tmp_path):
+    """Null and composite keys, replaced and new rows; files of other buckets keep their bytes, and a repeated upsert changes nothing."""
+    path = str(tmp_path / "k")
+    rows = [(k, "a" if k % 2 else None, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, g string, v long")
+    keyed.create(df, path, ["k", "g"], 16)
+    before = keyed.fingerprints(spark, path).collect()
+    assert len({r.bucket for r in before}) == 16
+    new = spark.createDataFrame([(4, None, -4), (4, "a", -5), (None, "z", 1)], "k long, g string, v long")
+    for _ in range(2):
+        touched = keyed.upsert(new.select("v", "k", "g"), path, ["k", "g"], 16)
+        assert 1 <= len(touched) <= 3
+        now = keyed.fingerprints(spark, path).collect()
+        assert {tuple(r) for r in before if r.bucket not in touched} == {tuple(r) for r in now if r.bucket not in touched}
+        changed = keyed.altered(spark.createDataFrame(before), keyed.fingerprints(spark, path))
+        assert {r.bucket for r in changed.collect()} == set(touched)
+        got = sorted(map(tuple, keyed.read(spark, path).select("k", "g", "v").collect()), key=repr)
+        assert got == sorted([r for r in rows if r[:2] != (4, None)] + [(4, None, -4), (4, "a", -5), (None, "z", 1)], key=repr)
+    assert keyed.upsert(new.limit(0), path, ["k", "g"], 16) == []
+
+
+def test_upsert_refuses(spark, tmp_path):
+    path = str(tmp_path / "k")
+    df = spark.createDataFrame([(1, 1), (2, 2)], "k int, v int")
+    with pytest.raises(ValueError, match="key"):
+        keyed.create(df.unionByName(df), path, ["k"], 4)
+    keyed.create(df, path, ["k"], 4)
+    with pytest.raises(ValueError, match="key"):
+        keyed.upsert(df.unionByName(df), path, ["k"], 4)
+    with pytest.raises(ValueError, match="table has"):
+        keyed.upsert(df.withColumn("w", F.lit(1)), path, ["k"], 4)
+    broken = df.withColumn("v", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception):
+        keyed.upsert(broken, path, ["k"], 4)
+    assert sorted(map(tuple, keyed.read(spark, path).collect())) == [(1, 1), (2, 2)]
+
+
+# ---- streams into tables ----
+
+
+@pytest.mark.parametrize("at", [0, 1, 2])
+def test_ingest_after_a_crash(spark, tmp_path, at):
+    """Stopped after batch ``at`` was written and not committed, then started twice, with a file that came in between."""
+    source, target, checkpoint = (str(tmp_path / x) for x in ("source", "target", "checkpoint"))
+    (tmp_path / "source").mkdir()
+    for k in range(5):
+        (tmp_path / "source" / f"{k}.json").write_text("\n".join(json.dumps({"id": 10 * k + j}) for j in range(10)))
+    wrote = []
+
+    def crash(batch):
+        wrote.append(batch)
+        if batch == at:
+            raise RuntimeError("stopped")
+
+    with pytest.raises(Exception, match="stopped"):
+        ingest.ingest(spark, source, target, checkpoint, "id long", files=2, after=crash)
+    assert wrote == list(range(at + 1))
+    for _ in range(2):
+        ingest.ingest(spark, source, target, checkpoint, "id long", files=2)
+        (tmp_path / "source" / "late.json").write_text('{"id": 50}')
+    ingest.ingest(spark, source, target, checkpoint, "id long", files=2)
+    assert sorted(r.id for r in ingest.ingested(spark, target).collect()) == list(range(51))
+
+
+def test_ingest_by_key(spark, tmp_path):
+    """Repeats within a batch, in later batches and after a repeated batch, null keys included."""
+    source, target, checkpoint = (str(tmp_path / x) for x in ("source", "target", "checkpoint"))
+    (tmp_path / "source").mkdir()
+    for k in range(4):
+        (tmp_path / "source" / f"{k}.json").write_text("\n".join(json.dumps({"a": j % 3 or None, "b": j + k}) for j in range(6)))
+
+    def crash(batch):
+        if batch == 2:
+            raise RuntimeError("stopped")
+
+    with pytest.raises(Exception, match="stopped"):
+        ingest.ingest(spark, source, target, checkpoint, "a int, b int", keys=["a", "b"], files=1, after=crash)
+    ingest.ingest(spark, source, target, checkpoint, "a int, b int", keys=["a", "b"], files=1)
+    got = [tuple(r) for r in ingest.ingested(spark, target).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(j % 3 or None, j + k) for k in range(4) for j in range(6)}
+
+
+# ---- rules ----
+
+
+def test_rules_by_definition(spark):
+    """Each kind, with null fields, and missing fields first."""
+    rows = spark.createDataFrame(
+        [("a", "x+y", "x.op y.op", 5, "f/a.json"), ("b", " x + q ", "q.op", 50, "f/c.json"), ("c", None, "none", None, "f/c.json"), ("", "x", None, 1, ".json"), (None, "x", "x.a", 1, "f/d.json")],
+        "id string, dialect string, body string, n int, file string",
+    )
+    rules = [
+        validation.Rule("id", "required"), validation.Rule("dialect", "known", ("x", "y"), "unknown"), validation.Rule("dialect", "mentioned", ("body",), "silent"), validation.Rule("n", "number", ("2", "20")),
+        validation.Rule("id", "file"), validation.Rule("id", "length", ("1", ""), "blank"), validation.Rule("body", "pattern", (r"\.op",), "no op"), validation.Rule("id", "equals", ("id",)), validation.Rule("id", "enum", ("a", "b", "c", "")),
+    ]
+    got = {r.key: [tuple(e) for e in r.e] for r in rows.select(F.coalesce("id", F.lit("none")).alias("key"), validation.errors(rules, F.col("file")).alias("e")).collect()}
+    assert got == {
+        "a": [],
+        "b": [("dialect", "unknown"), ("n", "number"), ("id", "file")],
+        "c": [("body", "no op")],
+        "": [("n", "number"), ("id", "blank")],
+        "none": [("id", "required")],
+    }
+    assert validation.validated(rows.limit(0), rules, ["id"], F.col("file")).count() == 0
+    found = validation.summary(validation.validated(rows, rules, ["file"], F.col("file")))
+    assert {(r.field, r.detail): (r.errors, r.records) for r in found.collect()}["n", "number"] == (2, 2)
+    for bad in (validation.Rule("id", "strange"), validation.Rule("id", "file")):
+        with pytest.raises(ValueError):
+            validation.errors([bad])
+
+
+def test_rules_make_one_pass(spark):
+    """All rules are one projection: nothing is shuffled or joined."""
+    plan = validation.validated(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), [validation.Rule(*r[:2], tuple(r[2] or ()), r[3]) for r in stores.DOCUMENT_RULES], ["doc_id"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Join" not in text
+
+
+def test_folder_of_records(spark, tmp_path):
+    for name, body in {"a": '{"id": "a", "dialect": "arith", "difficulty": "easy", "mlir": "arith.addi"}', "b": "[1]", "c": "", "d": '{"id": "d"}'}.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    found = validation.validate_folder(spark, str(tmp_path), "id string, dialect string, difficulty string, mlir string", stores.RECORD_RULES)
+    assert sorted(map(tuple, found.collect())) == [("b.json", "json", "not a record"), ("c.json", "json", "not a record"), ("d.json", "dialect", "missing")]
