@@ -48,8 +48,8 @@ def seed_summary(df: DataFrame, cell: Sequence[str], seed: str, flag: str) -> Da
 
 
 def unique_rate(df: DataFrame, cell: Sequence[str], text: str, flag: str) -> DataFrame:
-    """Mean over distinct texts of the mean over each text's rows."""
-    each = df.groupBy(*cell, text).agg(rate(F.col(flag)).alias("_r"))
+    """Mean over distinct texts of the mean over each text's rows; digests of texts are shuffled, not texts."""
+    each = df.groupBy(*cell, F.sha2(text, 256).alias("_digest")).agg(rate(F.col(flag)).alias("_r"))
     return each.groupBy(*cell).agg(F.count("*").alias("texts"), F.avg("_r").alias("unique_rate"))
 
 

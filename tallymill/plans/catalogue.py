@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import grammar, lattice, programs, text, trials
 from tallymill.operators import aggregates as A
+from tallymill.operators import leakage
 from tallymill.operators import relational as R
 from tallymill.operators import statistics as S
 from tallymill.operators import workflow as X
@@ -104,13 +105,15 @@ def open_brace_pages(spark, sf_dir):
 
 @query(
     "leakage_exact",
-    r"""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d
+    r"""SELECT b.item_id, d.doc_id FROM benchmark b JOIN (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, '  ' || replace(text, ' ', chr(10) || ' ') FROM benchmark) d
     ON trim(regexp_replace(b.text, '\s+', ' ', 'g')) = trim(regexp_replace(d.text, '\s+', ' ', 'g'))""",
 )
 def leakage_exact(spark, sf_dir):
-    gold = table(spark, sf_dir, "benchmark").select("item_id", text.collapse(F.col("text")).alias("t"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.collapse(F.col("text")).alias("t"))
-    return docs.join(gold, "t").select("item_id", "doc_id")
+    """Among the documents and copies of the passages with other white space."""
+    gold = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    planted = gold.select((-1 - F.col("item_id")).alias("doc_id"), F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("\n "))).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(planted)
+    return leakage.equal_texts(docs, "doc_id", "text", gold, "item_id", "text").select("item_id", "doc_id")
 
 
 @query(
@@ -119,22 +122,19 @@ def leakage_exact(spark, sf_dir):
     WHERE contains(' ' || trim(regexp_replace(d.text, '\s+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(b.text, '\s+', ' ', 'g')) || ' ')""",
 )
 def leakage_contains(spark, sf_dir):
-    """Passages meet documents by their first eight words (shorter ones by all of them), then are compared whole."""
-    words = lambda c: F.split(text.collapse(c), " ")
-    gold = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("w"))
-    gold = gold.withColumn("k", F.least(F.size("w"), F.lit(8))).select("item_id", F.array_join("w", " ").alias("passage"), "k", F.xxhash64(F.array_join(F.slice("w", 1, F.col("k")), " ")).alias("h"))
-    sizes = [r.k for r in gold.select("k").distinct().collect()]  # eight numbers at most
-    docs = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
-
-    def heads_of(k: int):
-        own = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(k)), " ")))
-        return docs.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(own)).alias("h"), F.lit(k).alias("k"))
-
-    heads = [heads_of(k) for k in sizes]
-    met = R.union_all(*heads).join(gold, ["k", "h"]).select("item_id", "doc_id", "passage").distinct()
-    found = met.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    return found.where(pad(text.collapse(F.col("text"))).contains(pad(F.col("passage")))).select("item_id", "doc_id")
+    return leakage.contained(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "doc_id")
+
+
+@query(
+    "leakage_by_source",
+    r"""WITH h AS (SELECT d.doc_id, count(*) AS hits FROM benchmark b, documents d
+      WHERE contains(' ' || trim(regexp_replace(d.text, '\s+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(b.text, '\s+', ' ', 'g')) || ' ') GROUP BY d.doc_id)
+    SELECT source, count(*) AS documents, count(hits) AS leaked, coalesce(sum(hits), 0)::BIGINT AS hits FROM documents LEFT JOIN h USING (doc_id) GROUP BY source""",
+)
+def leakage_by_source(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = leakage.contained(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return leakage.by_group(docs, "doc_id", "source", found)
 
 
 @query(
