@@ -151,6 +151,27 @@ def layered(base: DataFrame, override: DataFrame, defaults: DataFrame, cell: Seq
     return both.join(filled, keys, "full").select(*keys, F.coalesce("_o", "_b", "_d").alias(value))
 
 
+def precedence(layers: Sequence[DataFrame], keys: Sequence[str], value: str, cell: Sequence[str] = (), defaults: int = 0) -> DataFrame:
+    """keys and value of any number of layers, the first that has one winning.
+
+    A null value gives way to later layers; a key that has nothing else keeps it.  The last ``defaults`` layers fill only cells (the ``cell``
+    columns, some of the keys) that another layer knows.  All layers are one union, brought together once, by cell.
+    """
+    if defaults and not cell:
+        raise ValueError("defaults need the columns of a cell")
+    sure = len(layers) - defaults
+    rows = union_all(*(df.select(*keys, F.col(value).alias("_v"), F.lit(k).alias("_layer")) for k, df in enumerate(layers)))
+    if defaults:
+        known = F.min("_layer").over(W.partitionBy(*cell)) < sure
+        rows = rows.repartition(*cell).withColumn("_known", known).where("_known")
+    return rows.groupBy(*keys).agg(F.min_by("_v", F.struct(F.col("_v").isNull(), F.col("_layer"))).alias(value))
+
+
+def first_with_rows(*dfs: DataFrame) -> DataFrame:
+    """The first frame that has a row, else the last one."""
+    return next((df for df in dfs[:-1] if not df.isEmpty()), dfs[-1])
+
+
 def union_all(*dfs: DataFrame) -> DataFrame:
     """Rows of all frames; columns that one lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallymill.operators import relational as R
 from tallymill.operators import resampling, selection
 from tallymill.operators import statistics as S
+from tallymill.operators import vocabulary as V
 from tallymill.plans.registry import EVAL, eval_rows, query
-from tallymill.session import table
+from tallymill.session import shared_folder, table
 
 # ---- bootstrap by Poisson weights ----
 
@@ -81,9 +83,7 @@ def poisson_order_stat(spark, sf_dir):
     QUALIFY rank <= 2""",
 )
 def smallest_digests_each(spark, sf_dir):
-    from tallymill.operators.relational import seeded
-
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", seeded("event_id", 3).alias("d"))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", R.seeded("event_id", 3).alias("d"))
     return selection.bottom_each(events, "user_id", ["d", "event_id"], 2).select("user_id", "event_id", "rank")
 
 
@@ -96,3 +96,68 @@ def first_passing_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", (-F.col("n_chars")).alias("least"))
     passes = (F.regexp_count("text", F.lit(r"\bthe\b|\bder\b|\bla\b")) > 20) & (F.length("text") % 2 == 0)
     return selection.scan_in_order(docs, passes, ["least", "doc_id"], 25)[0].select("doc_id", "lang")
+
+
+# ---- layers by precedence ----
+
+
+@query(
+    "precedence_layers",
+    """WITH o AS (SELECT *, o_custkey % 5 AS seed FROM orders), u AS (
+      SELECT o_orderpriority, o_orderstatus, seed, CASE WHEN max(o_orderkey) % 2 = 0 THEN max(o_totalprice) END AS v, 0 AS layer FROM o WHERE o_orderkey % 97 = 0 GROUP BY ALL
+      UNION ALL SELECT o_orderpriority, o_orderstatus, seed, min(o_totalprice), 1 FROM o WHERE o_orderkey % 11 = 0 AND seed = 1 GROUP BY ALL
+      UNION ALL SELECT o_orderpriority, o_orderstatus, seed, max(o_totalprice), 2 FROM o WHERE seed < 3 AND o_orderstatus <> 'P' GROUP BY ALL
+      UNION ALL SELECT p, s, k, -1.0, 3 FROM (SELECT DISTINCT o_orderpriority AS p FROM o), (SELECT DISTINCT o_orderstatus AS s FROM o UNION ALL SELECT 'X'), range(6) r(k)),
+    c AS (SELECT DISTINCT o_orderpriority, o_orderstatus FROM u WHERE layer < 3)
+    SELECT o_orderpriority, o_orderstatus, seed, arg_min(v, layer) AS v FROM u JOIN c USING (o_orderpriority, o_orderstatus) WHERE v IS NOT NULL GROUP BY ALL""",
+)
+def precedence_layers(spark, sf_dir):
+    """Fixed values, overrides, a base that stands in for an empty one, and defaults for known cells."""
+    orders = table(spark, sf_dir, "orders").withColumn("seed", F.col("o_custkey") % 5)
+    keys = ["o_orderpriority", "o_orderstatus", "seed"]
+    top = F.max("o_totalprice")
+    fixed = orders.where("o_orderkey % 97 = 0").groupBy(*keys).agg(F.when(F.max("o_orderkey") % 2 == 0, top).alias("v"))
+    override = orders.where("o_orderkey % 11 = 0 AND seed = 1").groupBy(*keys).agg(F.min("o_totalprice").alias("v"))
+    base = R.first_with_rows(*(orders.where(w).groupBy(*keys).agg(top.alias("v")) for w in ("o_orderkey < 0", "seed < 3 AND o_orderstatus <> 'P'")))
+    status = orders.select("o_orderstatus").distinct().unionByName(spark.range(1).select(F.lit("X").alias("o_orderstatus")))
+    seeds = spark.range(6).select(F.col("id").alias("seed"))
+    defaults = R.grid([orders.select("o_orderpriority").distinct(), status, seeds]).withColumn("v", F.lit(-1.0))
+    return R.precedence([fixed, override, base, defaults], keys, "v", keys[:2], defaults=1)
+
+
+# ---- vocabularies ----
+
+_WORDS = r"SELECT lang, word, count(*) AS times FROM (SELECT lang, unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL"
+
+
+@query(
+    "vocabulary_metrics",
+    f"""WITH c AS MATERIALIZED ({_WORDS}), g AS MATERIALIZED (SELECT word, sum(times) AS times FROM c GROUP BY word),
+    s AS (SELECT DISTINCT unnest(string_split(word, '')) AS token FROM g),
+    voc AS MATERIALIZED (SELECT 'common words' AS vocabulary, token FROM s UNION SELECT 'common words', word FROM g WHERE times >= 20
+      UNION SELECT 'short parts', token FROM s UNION SELECT 'short parts', p FROM (SELECT substr(word, a, n) AS p, sum(times) AS t FROM g, range(1, 9) x(a), range(2, 5) y(n) WHERE a + n - 1 <= length(word) GROUP BY p) WHERE t >= 50),
+    m AS (SELECT vocabulary, max(length(token)) AS m FROM voc GROUP BY vocabulary),
+    places AS (SELECT word, unnest(range(1, length(word) + 1)) AS a FROM g), tries AS (SELECT vocabulary, word, a, unnest(range(1, least(m, length(word) - a + 1) + 1)) AS k FROM places, m),
+    step AS MATERIALIZED (SELECT vocabulary, word, a, max(k) AS n FROM (SELECT *, substr(word, a, k) AS token FROM tries) SEMI JOIN voc USING (vocabulary, token) GROUP BY ALL),
+    folded AS (SELECT vocabulary, word, list_reduce(list_prepend({{'a': 0::BIGINT, 'n': 0::BIGINT, 'next': 1::BIGINT, 'tokens': 0::BIGINT}}, list({{'a': a, 'n': n, 'next': 0::BIGINT, 'tokens': 0::BIGINT}} ORDER BY a)),
+      lambda s, x: {{'a': x.a, 'n': x.n, 'next': CASE WHEN s.next = x.a THEN x.a + x.n ELSE s.next END, 'tokens': s.tokens + (s.next = x.a)::BIGINT}}) AS f FROM step GROUP BY ALL),
+    e AS (SELECT vocabulary, word, f.tokens AS tokens FROM folded),
+    t AS (SELECT lang, vocabulary, sum(times)::BIGINT AS words, sum(times * tokens)::BIGINT AS tokens, sum(times * length(word))::BIGINT AS chars,
+      sum(times * tokens)::DOUBLE / sum(times * length(word)) AS tokens_per_char, sum(CASE WHEN tokens = 1 THEN times ELSE 0 END)::DOUBLE / sum(times) AS single_share FROM c JOIN e USING (word) GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tokens_per_char, vocabulary)::INT AS place FROM t""",
+)
+def vocabulary_metrics(spark, sf_dir):
+    """Two vocabularies made of the corpus, written as files and read back: characters with its common words, and with its common short parts."""
+    counts = V.word_counts(table(spark, sf_dir, "documents"), ["lang"], "text")
+    words = counts.groupBy("word").agg(F.sum("times").alias("times"))
+    letters = words.select(F.explode(F.split("word", "")).alias("token")).where("token <> ''").distinct()
+    starts = words.select("word", "times", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("a"))
+    parts = starts.select("times", F.col("a"), "word", F.explode(F.sequence(F.lit(2), F.lit(4))).alias("n")).where("a + n - 1 <= length(word)")
+    common = parts.groupBy(F.expr("substring(word, a, n)").alias("token")).agg(F.sum("times").alias("t")).where("t >= 50").select("token")
+    made = {"common words": letters.unionByName(words.where("times >= 20").select(F.col("word").alias("token"))), "short parts": letters.unionByName(common)}
+    files = {}
+    for name, tokens in made.items():
+        path = shared_folder(spark, "vocabulary")
+        V.write_vocabulary(tokens.distinct().withColumn("rank", F.length("token")), path)
+        files[name] = V.read_vocabulary(spark, path)
+    return V.vocabulary_metrics(counts, ["lang"], files)

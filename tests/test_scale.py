@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators import relational, resampling, selection, statistics
+from tallymill.functions import rolling
+from tallymill.operators import leakage, relational, resampling, selection, statistics
+from tallymill.operators import vocabulary as vocabulary_module
 
 
 def written(df):
@@ -139,3 +141,103 @@ def test_scan_in_order_of_awkward_rows(spark):
     assert [(r.o, r.id) for r in got.collect()] == [(None, 1), (None, 2), ("a", 4), ("b", 5)] and asked == 5
     got, asked = selection.scan_in_order(df.limit(0), F.lit(True), ["o"], 2)
     assert got.count() == 0 and asked == 0
+
+
+# ---- leakage ----
+
+
+def test_contained_by_definition(spark, monkeypatch):
+    """Other white space, passages at both ends, shorter than a head, nested, repeated, blank, null; words cut short are no hits."""
+    rng = random.Random(8)
+    some = ["a", "b", "été", "日本", "long-word", "x" * 300]
+    passages = [(k, " ".join(rng.choice(some) for _ in range(rng.choice([1, 2, 3, 9, 12, 30])))) for k in range(60)] + [(60, None), (61, "  \n"), (62, " a\tb  a "), (63, "a b a")]
+    spaces = [" ", "  ", "\n", "\t ", "\r\n", "\x0b"]
+    glue = lambda words: "".join(w + rng.choice(spaces) for w in words)
+    docs = [(k, glue([rng.choice(some) for _ in range(rng.randrange(50))] + (rng.choice(passages)[1] or "").split() + [rng.choice(some) for _ in range(rng.randrange(3))])) for k in range(150)]
+    docs += [(150, None), (151, ""), (152, passages[0][1]), (152, passages[1][1]), (153, (passages[5][1] or "") + "x"), (154, "a b a")]
+    collapsed = lambda t: " " + " ".join((t or "").split()) + " "
+    wanted = {(d, i) for d, t in docs for i, p in passages if p and p.split() and collapsed(p) in collapsed(t)}
+    df, gold = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "item_id int, passage string")
+    found = leakage.contained(df.repartition(3), "doc_id", "text", gold, "item_id", "passage")
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    monkeypatch.setattr(leakage, "FEWEST", 4)
+    monkeypatch.setattr(leakage, "MOST", 6)  # a filter that lets nearly all windows through
+    assert sorted(map(tuple, leakage.contained(df, "doc_id", "text", gold, "item_id", "passage").collect())) == sorted(wanted)
+    assert leakage.contained(df, "doc_id", "text", gold.where("item_id > 70"), "item_id", "passage").count() == 0
+    assert leakage.contained(df.limit(0), "doc_id", "text", gold, "item_id", "passage").count() == 0
+
+
+def test_contained_reads_documents_once(spark):
+    docs, gold = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "benchmark"))
+    plan = leakage.contained(docs, "doc_id", "text", gold, "item_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert sum("documents.parquet" in line for line in plan.splitlines() if "FileScan" in line) == 1
+
+
+def test_windows_hash_alike_wherever_they_stand():
+    rng = random.Random(3)
+    words = [rng.choice(["the", "a", "Wort", "été", "w" * 2000]) for _ in range(400)]
+    data = np.frombuffer("  ".join(words).encode(), np.uint8)
+    starts, ends, cuts = rolling.word_spans(data, np.array([0, len(data)]))
+    assert len(starts) == 400 and cuts.tolist() == [0, 400]
+    prefix = rolling.prefixes(rolling.word_hashes(data, starts, ends))
+    by_words = {}
+    for at, h in enumerate(rolling.windows(prefix, np.arange(398), 3).tolist()):
+        assert by_words.setdefault(tuple(words[at : at + 3]), h) == h
+    assert len(set(by_words.values())) == len(by_words)
+
+
+def test_equal_texts_and_unique_rates_shuffle_digests(spark):
+    df = spark.createDataFrame([("x", "long text " * 50, True), ("x", "long  text " * 50, False), ("x", None, True)], "cell string, text string, ok boolean")
+    rows = spark.range(1).select(F.lit(1).alias("item"), F.lit("long text " * 50).alias("p"))
+    assert leakage.equal_texts(df, "cell", "text", rows, "item", "p").count() == 2
+    from tallymill.operators import aggregates
+
+    r = aggregates.unique_rate(df, ["cell"], "text", "ok").first()
+    assert r.texts == 3 and r.unique_rate == pytest.approx(2 / 3)
+
+
+# ---- layers and vocabularies ----
+
+
+def test_precedence(spark):
+    """Nulls give way, a null that nothing else fills stays, unknown cells get no default, and there is one shuffle."""
+    frame = lambda rows: spark.createDataFrame(rows, "c string, s int, v double")
+    a, b, d = frame([("x", 1, None), ("x", 2, 2.0)]), frame([("x", 1, 10.0), ("x", 2, 20.0), ("y", 1, None), (None, 1, 5.0)]), frame([("x", 1, -1.0), ("x", 3, -1.0), ("y", 2, -1.0), ("z", 1, -1.0), (None, 2, -1.0)])
+    out = relational.precedence([a, b, d], ["c", "s"], "v", ["c"], defaults=1)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([("x", 1, 10.0), ("x", 2, 2.0), ("y", 1, None), (None, 1, 5.0), ("x", 3, -1.0), ("y", 2, -1.0), (None, 2, -1.0)], key=repr)
+    assert len(written(out)) == 1
+    assert relational.precedence([a.limit(0), b.limit(0)], ["c", "s"], "v").count() == 0
+    with pytest.raises(ValueError):
+        relational.precedence([a, d], ["c", "s"], "v", defaults=1)
+    assert relational.first_with_rows(a.limit(0), b, d) is b and relational.first_with_rows(a.limit(0), b.limit(0)).count() == 0
+
+
+def test_longest_match(spark):
+    tokens = ["a", "ab", "abc", "bc", "c", "é", "日本", "x"]
+    words = ["abc", "abab", "abcbc", "q", "aq日本c", "é" * 40, "x", "qq"]
+    vocabulary = spark.createDataFrame([(t, k) for k, t in enumerate(tokens)], "token string, rank long")
+
+    def greedy(w):
+        n = 0
+        while w:
+            w = w[max((len(t) for t in tokens if w.startswith(t)), default=1) :]
+            n += 1
+        return n
+
+    df = spark.createDataFrame([(w,) for w in [*words, "abc", "", None]], "word string")
+    assert {r.word: r.tokens for r in vocabulary_module.encoded_lengths(df, vocabulary).collect()} == {w: greedy(w) for w in words}
+    assert {r.tokens for r in vocabulary_module.encoded_lengths(df, vocabulary.limit(0)).where("word = 'abc'").collect()} == {3}
+
+
+def test_vocabulary_files(spark, tmp_path):
+    """A written file, and a public one with tokens that are no text by themselves."""
+    tokens = spark.createDataFrame([("a b", 0), ("é", 1), ("日本", 2)], "token string, rank long")
+    vocabulary_module.write_vocabulary(tokens, str(tmp_path / "v"))
+    assert sorted(map(tuple, vocabulary_module.read_vocabulary(spark, str(tmp_path / "v")).collect())) == sorted(map(tuple, tokens.collect()))
+    public = pytest.importorskip("public_tokenizers")
+    read = vocabulary_module.read_vocabulary(spark, public.path("byte_bpe_50k.tiktoken"))
+    assert 45_000 < read.count() < 50_256
+    counts = vocabulary_module.word_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), ["lang"], "text")
+    rows = vocabulary_module.vocabulary_metrics(counts, ["lang"], {"one": read, "letters": read.where("length(token) = 1")}).collect()
+    assert {(r.lang, r.vocabulary): r.place for r in rows} == {(lang, v): p for lang in ("en", "de", "fr", "es") for v, p in (("one", 1), ("letters", 2))}
+    assert all(r.tokens == r.chars for r in rows if r.vocabulary == "letters")
