@@ -765,25 +765,48 @@ SIGS = [
 ]
 
 
+def case_of(key, cases):
+    """The number of the case that a row stands for."""
+    return (F.col(key) % len(cases)).cast("int")
+
+
+def part_cases(spark, sf_dir, cases, columns, key="p_partkey"):
+    """Each part with one of the given cases, by its number."""
+    rows = spark.createDataFrame([(k, *(c if isinstance(c, tuple) else (c,))) for k, c in enumerate(cases)], f"id int, {columns}")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", case_of(key, cases).alias("id")).join(F.broadcast(rows), "id")  # a literal of a few rows
+
+
+def own_names(mlir, pattern=r"%([A-Za-z0-9_]+)", sign="%"):
+    """Names of a program with the part's number at their ends."""
+    return F.regexp_replace(mlir, F.lit(pattern), F.concat(F.lit(f"{sign}$1_"), F.col("p_partkey").cast("string")))
+
+
+def part_signatures(spark, sf_dir, key="p_partkey"):
+    rows = part_cases(spark, sf_dir, SIGS, "mlir string", key)
+    return rows.withColumn("sig", text.signature(own_names(F.col("mlir"), r"@([a-z])(?=\()", "@")))
+
+
+SIG_VALUES = """(VALUES (0, 'f', ['i32', 'memref<?x4xf32>'], 'i32', NULL), (1, 'h', ['memref<8x4xf32>'], '', NULL), (2, 'main', [], '', 'fn_named_main'), (3, NULL, NULL, NULL, 'no_public_fn'),
+      (4, NULL, NULL, NULL, 'no_public_fn'), (5, 't', ['tensor<4xf32>'], '(i32,i32)', 'multi_result'), (6, 'u', ['memref<?x?xi8>'], '', 'unprintable_memref_dtype'), (7, 'v', ['memref<?x4xf32>'], '', NULL)) t(id, name, arg_types, ret, reason)"""
+
+
 @query(
     "signatures",
-    """SELECT * FROM (VALUES (0, 'f', ['i32', 'memref<?x4xf32>'], 'i32', NULL), (1, 'h', ['memref<8x4xf32>'], '', NULL), (2, 'main', [], '', 'fn_named_main'), (3, NULL, NULL, NULL, 'no_public_fn'),
-      (4, NULL, NULL, NULL, 'no_public_fn'), (5, 't', ['tensor<4xf32>'], '(i32,i32)', 'multi_result'), (6, 'u', ['memref<?x?xi8>'], '', 'unprintable_memref_dtype'), (7, 'v', ['memref<?x4xf32>'], '', NULL)) t(id, name, arg_types, ret, reason)""",
+    f"SELECT p_partkey, CASE WHEN name = 'main' THEN name ELSE name || '_' || p_partkey END AS name, arg_types, ret, reason FROM part JOIN {SIG_VALUES} ON id = p_partkey % 8",
 )
 def signatures(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(SIGS)), "id int, mlir string").withColumn("sig", text.signature(F.col("mlir")))
-    return rows.select("id", "sig.name", "sig.arg_types", "sig.ret", text.exclusion(F.col("sig")).alias("reason"))
+    return part_signatures(spark, sf_dir).select("p_partkey", "sig.name", "sig.arg_types", "sig.ret", text.exclusion(F.col("sig")).alias("reason"))
 
 
 @query(
     "sig_compatible",  # of different ones only a candidate with an open dimension fits
-    """WITH s(id) AS (VALUES (0), (1), (2), (5), (6), (7)) SELECT g.id AS gold, c.id AS candidate, g.id = c.id OR (g.id = 1 AND c.id = 7) AS compatible, g.id = 1 AND c.id = 7 AS relaxed FROM s g, s c""",
+    """SELECT p_partkey, g = c OR (g = 1 AND c = 7) AS compatible, g = 1 AND c = 7 AS relaxed FROM (SELECT p_partkey, p_partkey % 8 AS g, p_size % 8 AS c FROM part) WHERE g NOT IN (3, 4) AND c NOT IN (3, 4)""",
 )
 def sig_compatible(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(SIGS)), "id int, mlir string").withColumn("sig", text.signature(F.col("mlir"))).where("sig IS NOT NULL")
-    a, b = rows.select(F.col("id").alias("gold"), F.col("sig").alias("g")), rows.select(F.col("id").alias("candidate"), F.col("sig").alias("c"))
-    both = a.crossJoin(b).withColumn("r", text.compatible(F.col("g"), F.col("c")))  # seven literal rows
-    return both.select("gold", "candidate", "r.compatible", "r.relaxed")
+    gold = part_signatures(spark, sf_dir).select("p_partkey", F.col("sig").alias("g"))
+    candidate = part_signatures(spark, sf_dir, "p_size").select("p_partkey", F.col("sig").alias("c"))
+    both = gold.join(candidate, "p_partkey").where("g IS NOT NULL AND c IS NOT NULL")
+    return both.withColumn("r", text.compatible(F.col("g"), F.col("c"))).select("p_partkey", "r.compatible", "r.relaxed")
 
 
 @query(
@@ -838,25 +861,23 @@ PROGRAMS = [
 ]
 
 
-def programs_table(spark):
-    return spark.createDataFrame(list(enumerate(PROGRAMS)), "id int, mlir string")
-
-
 EXPECTED = ", ".join(f"({k}, '{family}', '{kinds}')" for k, (family, _, kinds) in enumerate(SCOPES))
+SCOPED = f"(SELECT p_partkey, family, kinds FROM part JOIN (VALUES {EXPECTED}) t(id, family, kinds) ON id = p_partkey % {len(SCOPES)})"
 
 
-def scope_cases(spark):
-    return spark.createDataFrame([(k, family, mlir) for k, (family, mlir, _) in enumerate(SCOPES)], "id int, family string, mlir string")
+def scoped(spark, sf_dir):
+    """A program of each part, with names of its own, and its report."""
+    rows = part_cases(spark, sf_dir, [(family, mlir) for family, mlir, _ in SCOPES], "family string, mlir string")
+    return rows.withColumn("r", programs.scope_validate(own_names(F.col("mlir"))))
 
 
 @query(
     "scope_validate",
-    f"""SELECT id, family, kinds = '' AS passed, CASE WHEN kinds = '' THEN 0 ELSE 1 + length(kinds) - length(replace(kinds, ',', '')) END::INT AS violations, kinds
-    FROM (VALUES {EXPECTED}) t(id, family, kinds)""",
+    f"SELECT p_partkey, family, kinds = '' AS passed, CASE WHEN kinds = '' THEN 0 ELSE 1 + length(kinds) - length(replace(kinds, ',', '')) END::INT AS violations, kinds FROM {SCOPED}",
 )
 def scope_validate(spark, sf_dir):
-    rows = scope_cases(spark).withColumn("r", programs.scope_validate(F.col("mlir")))
-    return rows.select("id", "family", "r.passed", F.size("r.violations").alias("violations"), F.array_join(F.transform("r.violations", lambda v: v["kind"]), ",").alias("kinds"))
+    rows = scoped(spark, sf_dir)
+    return rows.select("p_partkey", "family", "r.passed", F.size("r.violations").alias("violations"), F.array_join(F.transform("r.violations", lambda v: v["kind"]), ",").alias("kinds"))
 
 
 @query(
@@ -873,10 +894,9 @@ def scope_corpus(spark, sf_dir):
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.count_if("r.passed").alias("passed"), found("undef_use").alias("undefined"), found("type_mismatch").alias("mismatched"))
 
 
-@query("violation_histogram", f"SELECT kind, count(*) AS n FROM (SELECT unnest(string_split(kinds, ',')) AS kind FROM (VALUES {EXPECTED}) t(id, family, kinds) WHERE kinds <> '') GROUP BY kind")
+@query("violation_histogram", f"SELECT kind, count(*) AS n FROM (SELECT unnest(string_split(kinds, ',')) AS kind FROM {SCOPED} WHERE kinds <> '') GROUP BY kind")
 def violation_histogram(spark, sf_dir):
-    rows = scope_cases(spark).withColumn("r", programs.scope_validate(F.col("mlir"))).select("r.violations")
-    return A.histogram(rows, "violations", F.col("item.kind"))
+    return A.histogram(scoped(spark, sf_dir).select("r.violations"), "violations", F.col("item.kind"))
 
 
 #: Programs, and whether the generation grammar, which has spaces around its commas, accepts them.
@@ -886,23 +906,25 @@ ACCEPTED = [
 ]
 
 
-@query("grammar_accepts", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {str(ok).lower()})" for k, (_, ok) in enumerate(ACCEPTED)) + ") t(id, accepted)")
+@query("grammar_accepts", "SELECT p_partkey, accepted FROM part JOIN (VALUES " + ", ".join(f"({k}, {str(ok).lower()})" for k, (_, ok) in enumerate(ACCEPTED)) + f") t(id, accepted) ON id = p_partkey % {len(ACCEPTED)}")
 def grammar_accepts(spark, sf_dir):
-    return spark.createDataFrame([(k, x) for k, (x, _) in enumerate(ACCEPTED)], "id int, mlir string").select("id", grammar.accepts(F.col("mlir")).alias("accepted"))
+    rows = part_cases(spark, sf_dir, [x for x, _ in ACCEPTED], "mlir string")
+    return rows.select("p_partkey", grammar.accepts(own_names(F.col("mlir"), r"%([a-z])", "%")).alias("accepted"))
 
 
 @query(
     "program_parts",
-    r"""SELECT id, replace(body, '\n', chr(10)) AS body, functions, lines FROM (VALUES
+    r"""SELECT p_partkey, replace(replace(body, '\n', chr(10)), '@f(', '@f_' || p_partkey || '(') AS body, functions, lines FROM part JOIN (VALUES
       (0, 'func.func @f(%a : i32, %b : i32) -> i32 {\n %0 = arith.addi %a , %b : i32\n return %0 : i32\n }', 1, 2), (1, 'func.func @f(%a : i32) -> i32 {\n %0 = arith.addi %a , %z : i32\n return %0 : i32\n }', 1, 2),
       (2, 'func.func @f(%a : f32) -> i32 {\n %0 = arith.addi %a , %a : i32\n return %0 : i32\n }', 1, 2),
       (3, 'func.func @f(%m : memref<4xf32>, %i : index) {\n %0 = memref.load %m[%i] : memref<4xf32>\n memref.store %0, %m[%i] : memref<4xf32>\n return }', 1, 3),
       (4, 'func.func @f(%v : i32, %m : memref<4xf32>) {\n linalg.fill ins(%v : i32) outs(%m : memref<4xf32>)\n return }', 1, 2),
-      (5, 'func.func @f(%a : tensor<2xf32>) -> tensor<2xf32> {\n %0 = stablehlo.add %a,\n  %a : tensor<2xf32>\n return %0 : tensor<2xf32> }', 1, 2), (6, 'no function at all', 0, 0)) t(id, body, functions, lines)""",
+      (5, 'func.func @f(%a : tensor<2xf32>) -> tensor<2xf32> {\n %0 = stablehlo.add %a,\n  %a : tensor<2xf32>\n return %0 : tensor<2xf32> }', 1, 2), (6, 'no function at all', 0, 0)) t(id, body, functions, lines) ON id = p_partkey % 7""",
 )
 def program_parts(spark, sf_dir):
-    rows = programs_table(spark).select("id", programs.body_of(F.col("mlir")).alias("body"), programs.function_bodies(F.col("mlir")).alias("functions"))
-    return rows.select("id", "body", F.size("functions").alias("functions"), F.size(programs.lines_of(F.coalesce(F.get("functions", F.lit(0))["body"], F.lit("")))).alias("lines"))
+    mlir = own_names(F.col("mlir"), r"@(f)(?=\()", "@")
+    rows = part_cases(spark, sf_dir, PROGRAMS, "mlir string").select("p_partkey", programs.body_of(mlir).alias("body"), programs.function_bodies(mlir).alias("functions"))
+    return rows.select("p_partkey", "body", F.size("functions").alias("functions"), F.size(programs.lines_of(F.coalesce(F.get("functions", F.lit(0))["body"], F.lit("")))).alias("lines"))
 
 
 SCHEMA = """def Arith_AddIOp : Arith_IntBinaryOp<"addi", [Commutative, SameOperandsAndResultType]> {
@@ -922,105 +944,129 @@ def MemRef_LoadOp : MemRef_Op<"load", [SameOperandsType]> {
 """
 
 
-def schema_ops(spark):
-    return readers.schema_texts(spark.createDataFrame([("ops.td", SCHEMA)], "path string, text string"))
+def schema_ops(spark, sf_dir):
+    """Operators of a schema text for each supplier, which its number names."""
+    body = F.regexp_replace(F.lit(SCHEMA), F.lit('_Op<"([a-z]+)"|BinaryOp<"([a-z]+)"'), F.concat(F.lit('_Op<"$1$2_'), F.col("s_suppkey").cast("string"), F.lit('"')))
+    return readers.schema_texts(table(spark, sf_dir, "supplier").select(F.format_string("ops-%d.td", "s_suppkey").alias("path"), body.alias("text")))
 
 
 @query(
     "schema_records",
-    """SELECT * FROM (VALUES ('arith.addi', 'integer addition', '', 'SignlessIntegerLike:$lhs, SignlessIntegerLike:$rhs, I32Attr:$flags', ['Commutative', 'SameOperandsAndResultType']),
+    """SELECT full_name || '_' || s_suppkey AS full_name, 'ops-' || s_suppkey || '.td' AS source_file, summary, description, signature, traits FROM supplier, (VALUES
+      ('arith.addi', 'integer addition', '', 'SignlessIntegerLike:$lhs, SignlessIntegerLike:$rhs, I32Attr:$flags', ['Commutative', 'SameOperandsAndResultType']),
       ('func.call', '', 'calls a function', 'FlatSymbolRefAttr:$callee, AnyType:$operands', []), ('memref.load', '', '', 'MemRefOf<[AnyType]>:$memref, Index:$indices', ['SameOperandsType'])) t(full_name, summary, description, signature, traits)""",
 )
 def schema_records(spark, sf_dir):
-    return schema_ops(spark).select("full_name", "summary", "description", text.pretty_signature(F.col("arguments")).alias("signature"), "traits")
+    return schema_ops(spark, sf_dir).select("full_name", "source_file", "summary", "description", text.pretty_signature(F.col("arguments")).alias("signature"), "traits")
 
 
-@query(
-    "lattice_entries",
-    """WITH i AS (SELECT ['i1', 'i8', 'i16', 'i32', 'i64', 'i128', 'index'] AS i)
+ENTRIES = """(WITH i AS (SELECT ['i1', 'i8', 'i16', 'i32', 'i64', 'i128', 'index'] AS i)
     SELECT 'arith.addi' AS full_name, 'arith' AS dialect, [i, i] AS operand_types, [i] AS result_types, [2, 2] AS operand_arity, [1, 1] AS result_arity, ['I32Attr'] AS attributes, [[0, 1, 2]] AS same_type_classes FROM i
     UNION ALL SELECT 'func.call', 'func', [['ANY']], [['ANY']], [0, 1000000], [0, 1000000], ['FlatSymbolRefAttr'], []::INT[][]
-    UNION ALL SELECT 'memref.load', 'memref', [['memref'], ['index']], [['ANY']], [1, 1000000], [1, 1], []::VARCHAR[], [[0, 1]]""",
-)
+    UNION ALL SELECT 'memref.load', 'memref', [['memref'], ['index']], [['ANY']], [1, 1000000], [1, 1], []::VARCHAR[], [[0, 1]])"""
+
+
+@query("lattice_entries", f"SELECT e.* REPLACE (full_name || '_' || s_suppkey AS full_name) FROM supplier, {ENTRIES} e")
 def lattice_entries(spark, sf_dir):
-    return lattice.entries(schema_ops(spark))
+    return lattice.entries(schema_ops(spark, sf_dir))
 
 
 @query(
     "type_arity_check",
-    """SELECT full_name, text, ok, after_i, CASE WHEN full_name <> 'x.y' THEN true END AS more_operands, CASE WHEN full_name <> 'x.y' THEN true END AS separators, CASE WHEN full_name <> 'x.y' THEN full_name = 'func.call' END AS may_end
-    FROM (VALUES ('arith.addi', '%0 = arith.addi %a, %b : i32', true, ['1', '3', '6', '8', 'n']), ('arith.addi', '%0 = arith.addi %a, %b : f32', false, ['1', '3', '6', '8', 'n']), ('arith.addi', 'no colon', false, ['1', '3', '6', '8', 'n']),
-      ('x.y', '%0 = x.y', true, NULL), ('func.call', 'call : anything', true, ['1', '3', '6', '8', 'n'])) t(full_name, text, ok, after_i)""",
+    """SELECT p_partkey, full_name, ok, after_i, CASE WHEN full_name <> 'x.y' THEN true END AS more_operands, CASE WHEN full_name <> 'x.y' THEN true END AS separators, CASE WHEN full_name <> 'x.y' THEN full_name LIKE 'func.call%' END AS may_end
+    FROM (SELECT p_partkey, CASE WHEN f = 'x.y' THEN f ELSE f || '_' || (1 + p_size % (SELECT count(*) FROM supplier)) END AS full_name, ok, after_i FROM part JOIN (VALUES
+      (0, 'arith.addi', true, ['1', '3', '6', '8', 'n']), (1, 'arith.addi', false, ['1', '3', '6', '8', 'n']), (2, 'arith.addi', false, ['1', '3', '6', '8', 'n']),
+      (3, 'x.y', true, NULL), (4, 'func.call', true, ['1', '3', '6', '8', 'n'])) t(id, f, ok, after_i) ON id = p_partkey % 5)""",
 )
 def type_arity_check(spark, sf_dir):
-    texts = spark.createDataFrame([("arith.addi", "%0 = arith.addi %a, %b : i32"), ("arith.addi", "%0 = arith.addi %a, %b : f32"), ("arith.addi", "no colon"), ("x.y", "%0 = x.y"), ("func.call", "call : anything")], "full_name string, text string")
-    entry = lattice.entries(schema_ops(spark)).select("full_name", "operand_types", "result_types", "operand_arity")
-    rows = texts.join(F.broadcast(entry), "full_name", "left")  # a lattice is a few hundred operators
+    cases = [("arith.addi", "%0 = arith.addi %a, %b : i32"), ("arith.addi", "%0 = arith.addi %a, %b : f32"), ("arith.addi", "no colon"), ("x.y", "%0 = x.y"), ("func.call", "call : anything")]
+    suppliers = table(spark, sf_dir, "supplier").agg(F.count("*").alias("suppliers"))
+    own = F.concat("name", F.lit("_"), (1 + F.col("p_size") % F.col("suppliers")).cast("string"))
+    texts = part_cases(spark, sf_dir, cases, "name string, text string").crossJoin(F.broadcast(suppliers)).withColumn("full_name", F.when(F.col("name") == "x.y", "x.y").otherwise(own))  # one row
+    entry = lattice.entries(schema_ops(spark, sf_dir)).select("full_name", "operand_types", "result_types", "operand_arity")
+    rows = texts.join(entry, "full_name", "left")
     state = lattice.arity_state(F.lit(1), F.col("operand_arity"))
     return rows.select(
-        "full_name", "text", lattice.admits(F.col("text"), F.col("operand_types"), F.col("result_types")).alias("ok"),
-        lattice.next_characters(F.get("operand_types", F.lit(0)), F.lit("i")).alias("after_i"), 
+        "p_partkey", "full_name", lattice.admits(F.col("text"), F.col("operand_types"), F.col("result_types")).alias("ok"),
+        lattice.next_characters(F.get("operand_types", F.lit(0)), F.lit("i")).alias("after_i"),
         state["operand"].alias("more_operands"), state["separator"].alias("separators"), state["end"].alias("may_end"),
     )
 
 
 @query(
     "schema_dump",
-    """SELECT 'arith' AS dialect, 'addi' AS mnemonic, 'arith.addi' AS full_name, 'add' AS summary, '' AS description,
-      ['I32 lhs false false', 'I32 rest false true', 'I32Attr flag true false'] AS arguments, ['I32 result false false'] AS results, ['Pure'] AS traits""",
+    """SELECT 'arith' AS dialect, 'addi' || s_suppkey AS mnemonic, 'arith.addi' || s_suppkey AS full_name, s_name AS summary, '' AS description,
+      ['I32 lhs false false', 'I32 rest false true', 'I32Attr flag true false'] AS arguments, ['I32 result false false'] AS results, ['Pure'] AS traits FROM supplier""",
 )
 def schema_dump(spark, sf_dir):
-    dump = """{"!instanceof": {}, "__x": 1, "Arith_Dialect": {"name": "arith", "!superclasses": ["Dialect"]}, "I32": {"!superclasses": ["Type"]}, "I32Attr": {"!superclasses": ["Attr"]},
-      "anonymous_1": {"!superclasses": ["Variadic"], "baseType": {"def": "I32"}},
-      "Arith_AddIOp": {"!superclasses": ["Op", "Arith_Op"], "opName": "addi", "opDialect": {"def": "Arith_Dialect"}, "summary": "add", "description": null,
-        "arguments": {"args": [[{"def": "I32"}, "lhs"], [{"def": "anonymous_1"}, "rest"], [{"def": "I32Attr"}, "flag"]]}, "results": {"args": [[{"def": "I32"}, "result"]]}, "traits": [{"def": "Pure"}]}}"""
+    """One dump, as the dumping tool writes it, with an operator for each supplier."""
+    kinds = """"!instanceof": {}, "__x": 1, "Arith_Dialect": {"name": "arith", "!superclasses": ["Dialect"]}, "I32": {"!superclasses": ["Type"]}, "I32Attr": {"!superclasses": ["Attr"]},
+      "anonymous_1": {"!superclasses": ["Variadic"], "baseType": {"def": "I32"}}"""
+    op = F.format_string(
+        """"Arith_AddIOp%d": {"!superclasses": ["Op", "Arith_Op"], "opName": "addi%d", "opDialect": {"def": "Arith_Dialect"}, "summary": "%s", "description": null,
+        "arguments": {"args": [[{"def": "I32"}, "lhs"], [{"def": "anonymous_1"}, "rest"], [{"def": "I32Attr"}, "flag"]]}, "results": {"args": [[{"def": "I32"}, "result"]]}, "traits": [{"def": "Pure"}]}""",
+        "s_suppkey", "s_suppkey", "s_name",
+    )
+    dump = table(spark, sf_dir, "supplier").agg(F.concat(F.lit("{" + kinds + ", "), F.array_join(F.array_sort(F.collect_list(op)), ", "), F.lit("}")).alias("value"))  # a dump is one text
     slot = lambda x: F.concat_ws(" ", x["type_constraint"], x["name"], x["is_attribute"].cast("string"), x["variadic"].cast("string"))
-    found = readers.schema_dump(spark.createDataFrame([(dump,)], "value string"))
-    return found.withColumns({c: F.transform(c, slot) for c in ("arguments", "results")})
+    return readers.schema_dump(dump).withColumns({c: F.transform(c, slot) for c in ("arguments", "results")})
 
 
 @query(
     "generated_corpus",
-    r"""WITH o(op, arity, float_only) AS (VALUES ('add', 2, false), ('divide', 2, true), ('abs', 1, false)), t(dtype) AS (VALUES ('f32'), ('i32')), s(shape) AS (VALUES ('16'), ('8x8'))
+    r"""WITH o AS (SELECT DISTINCT lower(replace(p_brand, 'Brand#', 'op')) AS op, 1 + replace(p_brand, 'Brand#', '')::INT % 2 AS arity, replace(p_brand, 'Brand#', '')::INT % 3 = 0 AS float_only FROM part),
+    t AS (SELECT ['f32', 'i32', 'f16', 'i64', 'bf16'][1 + r_regionkey] AS dtype FROM region), s AS (SELECT (n_nationkey + 1) || 'x8' AS shape FROM nation)
     SELECT op || '_' || dtype || '_' || shape AS id, 'module {' || chr(10) || '  func.func @f(%a: ' || y || CASE WHEN arity = 2 THEN ', %b: ' || y ELSE '' END || ') -> ' || y || ' {' || chr(10) || '    %0 = stablehlo.' || op || ' ' ||
       CASE WHEN arity = 2 THEN '%a, %b' ELSE '%a' END || ' : ' || y || chr(10) || '    return %0 : ' || y || chr(10) || '  }' || chr(10) || '}' AS mlir
     FROM (SELECT *, 'tensor<' || shape || 'x' || dtype || '>' AS y FROM o, t, s WHERE NOT float_only OR dtype LIKE 'f%')""",
 )
 def generated_corpus(spark, sf_dir):
-    ops = spark.createDataFrame([("add", 2, False), ("divide", 2, True), ("abs", 1, False)], "op string, arity int, float_only boolean")
-    return X.corpus(ops, spark.createDataFrame([("f32",), ("i32",)], "dtype string"), spark.createDataFrame([("16",), ("8x8",)], "shape string")).select("id", "mlir")
+    number = F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int")
+    ops = table(spark, sf_dir, "part").select(F.lower(F.replace("p_brand", F.lit("Brand#"), F.lit("op"))).alias("op"), (1 + number % 2).alias("arity"), (number % 3 == 0).alias("float_only")).distinct()
+    types = table(spark, sf_dir, "region").select(F.element_at(F.array(*map(F.lit, ["f32", "i32", "f16", "i64", "bf16"])), F.col("r_regionkey") + 1).alias("dtype"))
+    shapes = table(spark, sf_dir, "nation").select(F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit("x8")).alias("shape"))
+    return X.corpus(ops, types, shapes).select("id", "mlir")
 
 
 @query("trial_inputs")
 def trial_inputs(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(SIGS)), "id int, mlir string").withColumn("sig", text.signature(F.col("mlir"))).where("sig IS NOT NULL")
-    rows = rows.where(text.exclusion(F.col("sig")).isNull()).crossJoin(spark.range(2).select(F.col("id").cast("int").alias("trial")))  # a few literal rows
-    return rows.select("id", "trial", trials.inputs_of(F.col("sig.arg_types"), F.col("id").cast("string"), F.col("trial")).alias("inputs"))
+    rows = part_signatures(spark, sf_dir).where("sig IS NOT NULL").where(text.exclusion(F.col("sig")).isNull()).withColumn("trial", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.select("p_partkey", "trial", trials.inputs_of(F.col("sig.arg_types"), F.col("p_partkey").cast("string"), F.col("trial")).alias("inputs"))
 
 
 PRINTED = ["3.5\nUnranked Memref base@ = 0x0 sizes = [2, 2] data = \n[[1, 2], \n [3, 4.00001]]\n0", "3.5\nUnranked Memref base@ = 0x0 sizes = [2, 2] data = [[1, 2], [3, 4]]", "nan", "2 inf"]
 
 
+def printed(spark, sf_dir, key):
+    """What each part's program printed: its size, then buffers, or no number at all."""
+    rows = part_cases(spark, sf_dir, PRINTED, "printed string", key)
+    return rows.select("p_partkey", trials.parsed_outputs(F.regexp_replace("printed", F.lit("^3.5"), F.concat(F.col("p_size").cast("string"), F.lit(".5")))).alias("out"))
+
+
 @query(
     "printed_outputs",  # the first two print the same numbers but for 1e-5 in one; NaN equals itself, an infinity only without tolerance
-    "SELECT a, b, (a < 2 AND b < 2) OR (a = 2 AND b = 2) AS equal, a = b AS identical FROM (VALUES (0), (1), (2), (3)) x(a), (VALUES (0), (1), (2), (3)) y(b)",
+    "SELECT p_partkey, (a < 2 AND b < 2) OR (a = 2 AND b = 2) AS equal, a = b AS identical FROM (SELECT p_partkey, p_partkey % 4 AS a, p_size % 4 AS b FROM part)",
 )
 def printed_outputs(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(PRINTED)), "id int, printed string").withColumn("out", trials.parsed_outputs(F.col("printed")))
-    pairs = rows.select(F.col("id").alias("a"), F.col("out").alias("x")).crossJoin(rows.select(F.col("id").alias("b"), F.col("out").alias("y")))  # four literal rows
-    return pairs.select("a", "b", trials.outputs_equal(F.col("x"), F.col("y")).alias("equal"), trials.outputs_equal(F.col("x"), F.col("y"), exact=True).alias("identical"))
+    pairs = printed(spark, sf_dir, "p_partkey").withColumnRenamed("out", "x").join(printed(spark, sf_dir, "p_size").withColumnRenamed("out", "y"), "p_partkey")
+    return pairs.select("p_partkey", trials.outputs_equal(F.col("x"), F.col("y")).alias("equal"), trials.outputs_equal(F.col("x"), F.col("y"), exact=True).alias("identical"))
+
+
+TENSORS = ["4x8xf32", "4x?xf32", "f32"]
 
 
 @query(
     "tensor_compatible",
-    """SELECT * FROM (VALUES (0, 0, true, false), (0, 1, true, true), (0, 2, false, false), (1, 0, false, false), (1, 1, true, false), (1, 2, false, false),
-      (2, 0, false, false), (2, 1, false, false), (2, 2, true, false)) t(gold, candidate, compatible, relaxed)""",
+    """SELECT p_partkey, compatible, relaxed FROM part JOIN (VALUES (0, 0, true, false), (0, 1, true, true), (0, 2, false, false), (1, 0, false, false), (1, 1, true, false), (1, 2, false, false),
+      (2, 0, false, false), (2, 1, false, false), (2, 2, true, false)) t(gold, candidate, compatible, relaxed) ON gold = p_partkey % 3 AND candidate = p_size % 3""",
 )
 def tensor_compatible(spark, sf_dir):
-    one = "func.func @f(%a: tensor<{0}>) -> tensor<{0}> {{"
-    rows = spark.createDataFrame([(k, one.format(t)) for k, t in enumerate(["4x8xf32", "4x?xf32", "f32"])], "id int, mlir string").withColumn("sig", text.signature(F.col("mlir")))
-    both = rows.select(F.col("id").alias("gold"), F.col("sig").alias("g")).crossJoin(rows.select(F.col("id").alias("candidate"), F.col("sig").alias("c")))  # three literal rows
-    return both.withColumn("r", text.compatible(F.col("g"), F.col("c"), text.tensor, relax_result=True)).select("gold", "candidate", "r.compatible", "r.relaxed")
+    def sig(key):
+        t = F.element_at(F.array(*map(F.lit, TENSORS)), case_of(key, TENSORS) + 1)
+        return text.signature(F.format_string("func.func @f%d(%%a: tensor<%s>) -> tensor<%s> {", "p_partkey", t, t))
+
+    rows = table(spark, sf_dir, "part").withColumn("r", text.compatible(sig("p_partkey"), sig("p_size"), text.tensor, relax_result=True))
+    return rows.select("p_partkey", "r.compatible", "r.relaxed")
 
 
 @query(
@@ -1068,32 +1114,20 @@ def order_stat_bootstrap(spark, sf_dir):
     return S.order_interval(S.hash_bootstrap(flags(spark, sf_dir), ["dialect"], ["p"], "doc_id"), ["dialect"], F.col("mean_p"))
 
 
-def evaluation_cells(spark):
-    """Three evaluation sets of 40 rows: cells of the size that the drawn bootstrap is for."""
-    rows = spark.range(120).select(F.col("id").alias("row"), (F.col("id") % 3).alias("c"), F.expr("id div 3").alias("k"))
-    p, q = (F.col("k") * 7919 + F.col("c") * 31) % 10 < 4 + 2 * F.col("c"), (F.col("k") * 104729) % 10 < 5
-    return rows.select("row", F.concat(F.lit("c"), "c").alias("cell"), p.cast("int").alias("p"), q.cast("int").alias("q"))
-
-
-# Expected intervals: one call of numpy's generator for all draws of a cell, percentiles of the means.
-@query("numpy_bootstrap_ci", "SELECT * FROM (VALUES ('c0', 0.4::DOUBLE, 0.25::DOUBLE, 0.55::DOUBLE, 40::BIGINT), ('c1', 0.6, 0.45, 0.75, 40), ('c2', 0.8, 0.675, 0.925, 40)) t(cell, point, ci_low, ci_high, n)")
+# numpy's draws are nothing SQL can express: tests compare these with the generator's own calls.
+@query("numpy_bootstrap_ci")
 def numpy_bootstrap_ci(spark, sf_dir):
-    return S.bootstrap_cells(evaluation_cells(spark), ["cell"], "p", "row", resamples=1000)
+    return S.bootstrap_cells(flags(spark, sf_dir), ["dialect"], "p", "doc_id", resamples=1000)
 
 
-@query(
-    "numpy_bootstrap_paired",
-    """SELECT * FROM (VALUES ('c0', -0.1::DOUBLE, -0.2::DOUBLE, -0.025::DOUBLE, 1.0::DOUBLE, 40::BIGINT), ('c1', 0.1, 0.025, 0.2, 0.017, 40), ('c2', 0.3, 0.174375, 0.45, 0.0, 40))
-    t(cell, point, ci_low, ci_high, p_value, n)""",
-)
+@query("numpy_bootstrap_paired")
 def numpy_bootstrap_paired(spark, sf_dir):
-    found = S.paired_cells(evaluation_cells(spark), ["cell"], "p", "q", "row", resamples=1000)
-    return found.select("cell", *(F.round(c, 6).alias(c) for c in ("point", "ci_low", "ci_high", "p_value")), "n")
+    return S.paired_cells(flags(spark, sf_dir), ["dialect"], "p", "q", "doc_id", resamples=1000)
 
 
-@query("binomial_bootstrap_ci", "SELECT * FROM (VALUES ('c0', 0.4::DOUBLE, 0.25::DOUBLE, 0.55::DOUBLE, 40::BIGINT), ('c1', 0.6, 0.45, 0.75, 40), ('c2', 0.8, 0.675, 0.925, 40)) t(cell, point, ci_low, ci_high, n)")
+@query("binomial_bootstrap_ci")
 def binomial_bootstrap_ci(spark, sf_dir):
-    return S.binomial_cells(evaluation_cells(spark).withColumn("p", F.col("p") == 1), ["cell"], "p")
+    return S.binomial_cells(flags(spark, sf_dir).withColumn("p", F.col("p") == 1), ["dialect"], "p")
 
 
 @query("mde", "SELECT n, CASE WHEN n > 0 THEN (1.9599639845400536 + 0.8416212335729144) * sqrt(0.5 / n) ELSE 'inf'::DOUBLE END AS effect FROM (SELECT count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 0)")
@@ -1201,9 +1235,9 @@ def joined_concordance(spark, sf_dir):
     return A.concordance(pairs.join(docs.select("doc_id", "lang"), "doc_id"), "lang", "flag_a", "flag_b")
 
 
-@query("order_stat_paired", "SELECT * FROM (VALUES ('c0', -0.1::DOUBLE, -0.2::DOUBLE, -0.025::DOUBLE, 40::BIGINT), ('c1', 0.1, 0.025, 0.2, 40), ('c2', 0.3, 0.175, 0.45, 40)) t(cell, delta, low, high, n)")
+@query("order_stat_paired")
 def order_stat_paired(spark, sf_dir):
-    return S.order_paired_cells(evaluation_cells(spark), ["cell"], "p", "q", "row")
+    return S.order_paired_cells(flags(spark, sf_dir), ["dialect"], "p", "q", "doc_id", resamples=1000)
 
 
 # ---- sources and sinks: written into the shared folder, then read back ----
@@ -1262,9 +1296,9 @@ def json_document(spark, sf_dir):
     return sinks.document(table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n")))
 
 
-@query("lattice_by_dialect", "SELECT * FROM (VALUES ('arith', 'arith.addi', 2), ('func', 'func.call', 1), ('memref', 'memref.load', 2)) t(dialect, full_name, operands)")
+@query("lattice_by_dialect", f"SELECT dialect, full_name || '_' || s_suppkey AS full_name, len(operand_types)::INT AS operands FROM supplier, {ENTRIES}")
 def lattice_by_dialect(spark, sf_dir):
     path = shared_folder(spark, "lattices")
-    sinks.by_dialect(lattice.entries(schema_ops(spark)), path)
+    sinks.by_dialect(lattice.entries(schema_ops(spark, sf_dir)), path)
     entries = records.read_records(spark, path).select("file_name", F.explode(F.from_json("text", "map<string,struct<operand_types:array<array<string>>>>")).alias("full_name", "e"))
     return entries.select(F.regexp_replace("file_name", r"\.json$", "").alias("dialect"), "full_name", F.size("e.operand_types").alias("operands"))

@@ -74,6 +74,17 @@ def poisson_order_stat(spark, sf_dir):
     return S.order_interval(resampling.poisson_bootstrap(_flags(spark, sf_dir), ["dialect"], ["p"], "doc_id"), ["dialect"], F.col("mean_p"))
 
 
+@query(
+    "poisson_order_paired",
+    f"""WITH {replicates(_FLAGS, "dialect", "p q")}, s AS (SELECT dialect, list_sort(list(p - q)) AS v FROM m GROUP BY dialect)
+    SELECT dialect, delta, v[floor(0.025 * len(v))::INT + 1] AS low, v[floor(0.975 * len(v))::INT + 1] AS high, n FROM s JOIN (SELECT dialect, avg((p - q)::DOUBLE) AS delta, count(*) AS n FROM r GROUP BY dialect) USING (dialect)""",
+)
+def poisson_order_paired(spark, sf_dir):
+    rows = _flags(spark, sf_dir)
+    point = rows.groupBy("dialect").agg(F.avg((F.col("p") - F.col("q")).cast("double")).alias("delta"), F.count("*").alias("n"))
+    return point.join(S.order_interval(resampling.poisson_bootstrap(rows, ["dialect"], ["p", "q"], "doc_id"), ["dialect"], F.col("mean_p") - F.col("mean_q")), "dialect")
+
+
 # ---- samples and early stop ----
 
 
