@@ -55,6 +55,12 @@ def paired(a: DataFrame, b: DataFrame, keys: Sequence[str], flag: str, order: Se
     return sides[0].join(sides[1], list(keys))
 
 
+def paired_first(a: DataFrame, b: DataFrame, keys: Sequence[str], flag: str, order: Sequence[Column | str]) -> DataFrame:
+    """As :func:`paired`, but every row of ``a`` meets the first row of ``b`` with its keys; null keys meet none."""
+    first = keep_first(b, keys, order).select(*keys, F.col(flag).alias("flag_b"))
+    return a.withColumn("flag_a", F.col(flag)).drop(flag).join(first, list(keys))
+
+
 def shared_and_only(a: DataFrame, b: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of ``b`` with ``side``: ``shared`` (the first row of a key that ``a`` has, too) or ``only`` (all rows of other keys)."""
     keys = a.select(key).distinct()

@@ -177,3 +177,32 @@ def order_paired_cells(pairs: DataFrame, keys: Sequence[str], a: str, b: str, or
     rows = pairs.select(*keys, order, F.col(a).cast("int").alias(a), F.col(b).cast("int").alias(b))
     types = dict(rows.dtypes)
     return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "delta double, low double, high double, n long"]))
+
+
+def to_even(value: Column, digits: int) -> Column:
+    """Rounded to digits, halves to the even digit, of the double's exact value (0.125 to 0.12, 2.675, which lies below, to 2.67).
+
+    The product with 10^digits is taken with its rounding error (splitting both factors), which decides what looks like a half.  Null, NaN,
+    infinities and numbers beyond 1e12 stay.
+    """
+    value, scale, split = value.cast("double"), float(10**digits), 134217729.0  # 2^27 + 1
+    product = value * scale
+    high = value * split - (value * split - value)
+    scale_high = scale * split - (scale * split - scale)
+    low, scale_low = value - high, scale - scale_high
+    error = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    whole = F.floor(product).cast("double")
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 != 0))))
+    return F.when(F.isnan(value) | (F.abs(value) > 1e12), value).otherwise((whole + F.when(up, 1.0).otherwise(0.0)) / scale)
+
+
+def asserted_counts(found: DataFrame, expected: dict, key: str, count: str) -> DataFrame:
+    """``found`` as it is; the query fails where a key's count is not the expected one, a key is missing, or one is not expected."""
+    spark = found.sparkSession
+    kind = dict(found.dtypes)[key]
+    wanted = spark.createDataFrame([(k, int(n)) for k, n in expected.items()], f"_key {kind}, _wanted long")
+    both = found.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col("_key")), "full")
+    message = F.concat_ws(" ", F.lit("count of"), F.coalesce(F.col(key).cast("string"), F.col("_key").cast("string"), F.lit("null")), F.lit("is"), F.coalesce(F.col(count).cast("string"), F.lit("none")), F.lit("and not"), F.coalesce(F.col("_wanted").cast("string"), F.lit("expected")))
+    right = F.col(count).cast("long").eqNullSafe(F.col("_wanted"))
+    return both.withColumn(count, F.when(right, F.col(count)).otherwise(F.raise_error(message).cast(dict(found.dtypes)[count]))).select(*found.columns)

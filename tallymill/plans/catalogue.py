@@ -974,14 +974,14 @@ def lattice_entries(spark, sf_dir):
 @query(
     "type_arity_check",
     """SELECT p_partkey, full_name, ok, after_i, CASE WHEN full_name <> 'x.y' THEN true END AS more_operands, CASE WHEN full_name <> 'x.y' THEN true END AS separators, CASE WHEN full_name <> 'x.y' THEN full_name LIKE 'func.call%' END AS may_end
-    FROM (SELECT p_partkey, CASE WHEN f = 'x.y' THEN f ELSE f || '_' || (1 + p_size % (SELECT count(*) FROM supplier)) END AS full_name, ok, after_i FROM part JOIN (VALUES
+    FROM (SELECT p_partkey, CASE WHEN f = 'x.y' THEN f ELSE f || '_' || (p_size % (SELECT count(*) FROM supplier) + (SELECT min(s_suppkey) FROM supplier)) END AS full_name, ok, after_i FROM part JOIN (VALUES
       (0, 'arith.addi', true, ['1', '3', '6', '8', 'n']), (1, 'arith.addi', false, ['1', '3', '6', '8', 'n']), (2, 'arith.addi', false, ['1', '3', '6', '8', 'n']),
       (3, 'x.y', true, NULL), (4, 'func.call', true, ['1', '3', '6', '8', 'n'])) t(id, f, ok, after_i) ON id = p_partkey % 5)""",
 )
 def type_arity_check(spark, sf_dir):
     cases = [("arith.addi", "%0 = arith.addi %a, %b : i32"), ("arith.addi", "%0 = arith.addi %a, %b : f32"), ("arith.addi", "no colon"), ("x.y", "%0 = x.y"), ("func.call", "call : anything")]
-    suppliers = table(spark, sf_dir, "supplier").agg(F.count("*").alias("suppliers"))
-    own = F.concat("name", F.lit("_"), (1 + F.col("p_size") % F.col("suppliers")).cast("string"))
+    suppliers = table(spark, sf_dir, "supplier").agg(F.count("*").alias("suppliers"), F.min("s_suppkey").alias("least"))
+    own = F.concat("name", F.lit("_"), (F.col("least") + F.col("p_size") % F.col("suppliers")).cast("string"))
     texts = part_cases(spark, sf_dir, cases, "name string, text string").crossJoin(F.broadcast(suppliers)).withColumn("full_name", F.when(F.col("name") == "x.y", "x.y").otherwise(own))  # one row
     entry = lattice.entries(schema_ops(spark, sf_dir)).select("full_name", "operand_types", "result_types", "operand_arity")
     rows = texts.join(entry, "full_name", "left")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallymill.functions import programs, text
 from tallymill.operators import relational as R
 from tallymill.operators import resampling, selection
 from tallymill.operators import statistics as S
 from tallymill.operators import vocabulary as V
+from tallymill.operators.numbering import global_number
 from tallymill.plans.registry import EVAL, eval_rows, query
 from tallymill.session import shared_folder, table
+from tallymill.sources import readers, records
 
 # ---- bootstrap by Poisson weights ----
 
@@ -100,12 +103,12 @@ def smallest_digests_each(spark, sf_dir):
 
 @query(
     "first_passing_scan",
-    r"SELECT doc_id, lang FROM documents WHERE len(regexp_extract_all(text, '\bthe\b|\bder\b|\bla\b')) > 20 AND length(text) % 2 = 0 ORDER BY n_chars DESC, doc_id LIMIT 25",
+    r"SELECT doc_id, lang FROM documents WHERE len(regexp_extract_all(text, ' (?:the|der|la) ')) > 20 AND length(text) % 2 = 0 ORDER BY n_chars DESC, doc_id LIMIT 25",
 )
 def first_passing_scan(spark, sf_dir):
     """The longest documents that pass a pattern count; shorter ones are never asked."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", (-F.col("n_chars")).alias("least"))
-    passes = (F.regexp_count("text", F.lit(r"\bthe\b|\bder\b|\bla\b")) > 20) & (F.length("text") % 2 == 0)
+    passes = (F.regexp_count("text", F.lit(" (?:the|der|la) ")) > 20) & (F.length("text") % 2 == 0)
     return selection.scan_in_order(docs, passes, ["least", "doc_id"], 25)[0].select("doc_id", "lang")
 
 
@@ -172,3 +175,75 @@ def vocabulary_metrics(spark, sf_dir):
         V.write_vocabulary(tokens.distinct().withColumn("rank", F.length("token")), path)
         files[name] = V.read_vocabulary(spark, path)
     return V.vocabulary_metrics(counts, ["lang"], files)
+
+
+# ---- alignments, roundings and assertions ----
+
+
+@query(
+    "paired_first_match",
+    f"""WITH b AS (SELECT model, dialect, arg_min(passed, doc_id) AS flag_b FROM ({EVAL}) GROUP BY ALL) SELECT a.doc_id, a.passed AS flag_a, b.flag_b FROM ({EVAL}) a JOIN b USING (model, dialect)""",
+)
+def paired_first_match(spark, sf_dir):
+    """Each result beside the first of its cell."""
+    rows = eval_rows(spark, sf_dir).select("doc_id", "model", "dialect", "passed")
+    return R.paired_first(rows, rows.select("model", "dialect", "doc_id", "passed"), ["model", "dialect"], "passed", ["doc_id"]).select("doc_id", "flag_a", "flag_b")
+
+
+@query(
+    "prefix_join",
+    """WITH c AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, s_suppkey FROM supplier), r AS (SELECT p_partkey, p_partkey % (SELECT 2 + count(*) FROM supplier) - 1 AS idx FROM part)
+    SELECT p_partkey, r.idx AS idx, s_suppkey FROM r LEFT JOIN c ON r.idx = c.idx""",
+)
+def prefix_join(spark, sf_dir):
+    """References named ``012_name`` meet the candidate of that place, if there is one."""
+    candidates = global_number(table(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"], "idx")
+    names = table(spark, sf_dir, "part").crossJoin(F.broadcast(table(spark, sf_dir, "supplier").agg((2 + F.count("*")).alias("n"))))  # one row
+    names = names.select("p_partkey", F.concat(F.lpad((F.col("p_partkey") % F.col("n")).cast("string"), 7, "0"), F.lit("_"), "p_name").alias("source_id"))
+    return names.select("p_partkey", text.prefix_index(F.col("source_id")).cast("long").alias("idx")).join(candidates, "idx", "left").select("p_partkey", "idx", "s_suppkey")
+
+
+@query("nested_references", "SELECT p_partkey::VARCHAR AS id, p_brand AS dialect, p_retailprice AS expected_output, [p_size::DOUBLE, p_size / 2.0::DOUBLE] AS inputs FROM part")
+def nested_references(spark, sf_dir):
+    """A document that nests a list of references, read back as rows."""
+    path = shared_folder(spark, "references")
+    value = lambda v: F.struct(F.lit("f64").alias("type"), v.cast("double").alias("value"))
+    one = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("dialect"), F.col("p_retailprice").alias("expected_output"), F.array(value(F.col("p_size")), value(F.col("p_size") / 2)).alias("inputs"))
+    nested = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(one).alias("references"))).alias("record"))
+    records.write_records(nested.select(F.concat("p_brand", F.lit(".json")).alias("f"), "record"), path, "f", "record")
+    return readers.references(spark, path).select("id", "dialect", "expected_output", F.transform("inputs", lambda x: x["value"]).alias("inputs"))
+
+
+@query(
+    "eligible_programs",
+    """SELECT p_partkey, k IN (0, 4) AS eligible FROM (SELECT p_partkey, p_partkey % 6 AS k FROM part)""",
+)
+def eligible_programs(spark, sf_dir):
+    """Allowed namespaces only, some, with a function, without the barred word, not blank."""
+    cases = ["func.func @f() { arith.addi }", "func.func @f() { math.sin }", "no namespace", "arith.addi", "func.func @g() { memref.load arith.addi }", "func.func @f() { arith.addi } // scf"]
+    program = F.replace(F.element_at(F.array(*map(F.lit, cases)), (F.col("p_partkey") % len(cases) + 1).cast("int")), F.lit("@f"), F.concat(F.lit("@f"), F.col("p_partkey").cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.eligible(program, ["arith", "func", "memref"], "func.func", "scf").alias("eligible"))
+
+
+@query(
+    "top_level_parts",
+    """SELECT p_partkey, parts, ending, element FROM part JOIN (VALUES (0, ['a<b,c>', ' (d, e)', ' f'], 'i32', 'f32'), (1, ['x'], 'memref<2x3xf32>', NULL), (2, ['[1, 2]', ' {a, b}'], NULL, 'vector<4xf32>')) t(id, parts, ending, element) ON id = p_partkey % 3""",
+)
+def top_level_parts(spark, sf_dir):
+    """Parts between commas outside brackets, the type at a line's end, and the element type of a memref type."""
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", pick("a<b,c>, (d, e), f", "x", "[1, 2], {a, b}").alias("x"), pick("%0 = arith.addi %a, %b : i32", "memref.store %0, %m[%i, %j] : memref<2x3xf32>", "return").alias("y"), pick("memref<?x4xf32>", "tensor<8xi32>", "memref<?xvector<4xf32>>").alias("z"))
+    return rows.select("p_partkey", programs.top_parts(F.col("x")).alias("parts"), programs.type_at_end(F.col("y")).alias("ending"), programs.element_of(F.col("z")).alias("element"))
+
+
+@query("rounded_to_even", "SELECT o_orderkey, round_even((o_orderkey % 4000) / 8.0, 2)::DOUBLE AS price, round_even((o_custkey % 2001) / 2.0, 0)::DOUBLE AS half FROM orders")
+def rounded_to_even(spark, sf_dir):
+    eighth, half = (F.col("o_orderkey") % 4000) / 8, (F.col("o_custkey") % 2001) / 2
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.to_even(eighth, 2).alias("price"), S.to_even(half, 0).alias("half"))
+
+
+@query("asserted_counts", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def asserted_counts(spark, sf_dir):
+    """Five nations a region, or the query fails."""
+    found = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    return S.asserted_counts(found, {k: 5 for k in range(5)}, "n_regionkey", "n")

@@ -127,8 +127,3 @@ def schema_texts(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame([r for p, t in zip(pdf["path"], pdf["text"]) for r in programs.schema_records(t or "", p or "")], columns=[x.split()[0] for x in programs.RECORD.split(", ")])
 
     return texts.select("path", "text").mapInPandas(run, programs.RECORD)
-
-
-def memo_lookup(rows: DataFrame, memo: DataFrame, key: str = "key") -> DataFrame:
-    """Rows with the memo's columns, null where it has none."""
-    return rows.join(memo, key, "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallymill.functions import rolling
 from tallymill.operators import leakage, relational, resampling, selection, statistics
 from tallymill.operators import vocabulary as vocabulary_module
+from tallymill.plans import catalogue, registry
 
 
 def written(df):
@@ -241,3 +242,65 @@ def test_vocabulary_files(spark, tmp_path):
     rows = vocabulary_module.vocabulary_metrics(counts, ["lang"], {"one": read, "letters": read.where("length(token) = 1")}).collect()
     assert {(r.lang, r.vocabulary): r.place for r in rows} == {(lang, v): p for lang in ("en", "de", "fr", "es") for v, p in (("one", 1), ("letters", 2))}
     assert all(r.tokens == r.chars for r in rows if r.vocabulary == "letters")
+
+
+# ---- drawn bootstraps over the tables, roundings, assertions ----
+
+
+def test_drawn_bootstraps_by_the_generator(spark):
+    """The registered queries against the generator's own calls, cell by cell."""
+    sf = "/root/testdata/sf0.001"
+    rows = catalogue.flags(spark, sf).orderBy("dialect", "doc_id").collect()
+    got = {name: {r.dialect: r for r in registry.QUERIES[name](spark, sf).collect()} for name in ("numpy_bootstrap_ci", "numpy_bootstrap_paired", "binomial_bootstrap_ci", "order_stat_paired")}
+    for cell in {r.dialect for r in rows}:
+        p, q = (np.array([r[c] for r in rows if r.dialect == cell], float) for c in "pq")
+        means = np.random.default_rng(0).choice(p, size=(1000, len(p)), replace=True).mean(axis=1)
+        r = got["numpy_bootstrap_ci"][cell]
+        assert (r.point, r.n) == (pytest.approx(p.mean()), len(p)) and [r.ci_low, r.ci_high] == pytest.approx(np.quantile(means, [0.025, 0.975]))
+        at = np.random.default_rng(0).integers(0, len(p), size=(1000, len(p)))
+        d = p[at].mean(axis=1) - q[at].mean(axis=1)
+        r = got["numpy_bootstrap_paired"][cell]
+        assert r.point == pytest.approx(p.mean() - q.mean()) and [r.ci_low, r.ci_high] == pytest.approx(np.quantile(d, [0.025, 0.975])) and r.p_value == pytest.approx((d <= 0).mean())
+        drawn = np.random.default_rng(0).binomial(len(p), p.mean(), 10_000) / len(p)
+        r = got["binomial_bootstrap_ci"][cell]
+        assert [r.ci_low, r.ci_high] == pytest.approx(np.quantile(drawn, [0.025, 0.975]))
+        rng, diff = np.random.default_rng(42), p - q
+        sums = np.sort([diff[rng.integers(0, len(p), size=len(p))].mean() for _ in range(1000)])
+        r = got["order_stat_paired"][cell]
+        assert (r.low, r.high, r.delta) == (pytest.approx(sums[25]), pytest.approx(sums[975]), pytest.approx(diff.mean()))
+
+
+def test_trial_inputs_of_parts(spark):
+    """The query's inputs against the rule, argument by argument."""
+    from tallymill.functions import text, trials
+
+    sf = "/root/testdata/sf0.001"
+    types = {r.p_partkey: r.t for r in catalogue.part_signatures(spark, sf).select("p_partkey", "sig.arg_types", text.exclusion(F.col("sig")).alias("e")).where("e IS NULL").withColumnRenamed("arg_types", "t").collect()}
+    rows = registry.QUERIES["trial_inputs"](spark, sf).collect()
+    assert {(r.p_partkey, r.trial): [list(x) for x in r.inputs] for r in rows} == {(k, n): trials.trial_inputs(list(t), str(k), n) for k, t in types.items() for n in (0, 1)}
+    for r in rows:
+        for t, values in zip(types[r.p_partkey], r.inputs):
+            assert all(0.5 <= v <= 8 and v * 4 == int(v * 4) for v in values) if "f32" in t else all(0 <= v <= 7 for v in values)
+
+
+def test_to_even(spark):
+    values = [0.125, 0.375, 2.675, 1.005, -0.125, 0.5, 1.5, 2.5, None, float("nan"), float("inf"), 1e18]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", statistics.to_even(F.col("v"), 2).alias("two"), statistics.to_even(F.col("v"), 0).alias("none")).collect()
+    for r in rows:
+        for got, digits in ((r.two, 2), (r.none, 0)):
+            wanted = r.v if r.v is None or r.v != r.v or abs(r.v) > 1e15 else round(r.v, digits)
+            assert got == wanted or (got != got and wanted != wanted)
+
+
+def test_asserted_counts(spark):
+    found = spark.createDataFrame([("a", 2), (None, 1)], "k string, n long")
+    assert statistics.asserted_counts(found, {"a": 2, None: 1}, "k", "n").count() == 2
+    for wrong in ({"a": 3, None: 1}, {"a": 2}, {"a": 2, None: 1, "b": 1}):
+        with pytest.raises(Exception, match="count of"):
+            statistics.asserted_counts(found, wrong, "k", "n").collect()
+
+
+def test_paired_first(spark):
+    a = spark.createDataFrame([("x", True, 1), ("x", False, 2), (None, True, 3)], "k string, f boolean, id int")
+    b = spark.createDataFrame([("x", 2, False), ("x", 1, True), ("y", 1, True), (None, 1, True)], "k string, o int, f boolean")
+    assert sorted((r.id, r.flag_a, r.flag_b) for r in relational.paired_first(a, b, ["k"], "f", ["o"]).collect()) == [(1, True, True), (2, False, True)]
