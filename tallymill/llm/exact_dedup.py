@@ -27,6 +27,8 @@ SPARE = "__tallymill_spare__"
 CAPACITY, RANGE = 1 << 20, 1 << 19
 #: Rows that are told to every task instead of being joined through a shuffle, at most.
 TOLD = 1 << 19
+#: Logarithm of the bits that stand for more fingerprints: a million rows of 64 bits.
+FILTER = 26
 
 
 def normalised(text: Column) -> Column:
@@ -176,6 +178,22 @@ def without(docs: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
     return docs.join(F.broadcast(gone) if gone.limit(TOLD + 1).count() <= TOLD else gone, on, "left_anti")
 
 
+def candidates(texts: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (norm, ...) whose fingerprint ``flagged`` (a stored table) holds, with it as ``fp``; all others are dropped where they are read.
+
+    Up to TOLD fingerprints are sent to every task.  More are sent as a table of 2^FILTER bits, of one size whatever the corpus, and what it lets through meets
+    the fingerprints in a join: of n fingerprints it lets through n / 2^FILTER of the other texts.
+    """
+    rows, prints = texts.withColumn("fp", F.xxhash64("norm")), flagged.select("fp")
+    if flagged.limit(TOLD + 1).count() <= TOLD:
+        return rows.join(F.broadcast(prints), "fp")
+    word = F.shiftrightunsigned("fp", 6).bitwiseAND(F.lit((1 << (FILTER - 6)) - 1))
+    bit = F.expr("shiftleft(1L, CAST(fp & 63 AS INT))")
+    bits = prints.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    through = rows.withColumn("_bit", bit).withColumn("_at", word).join(F.broadcast(bits), F.col("_at") == F.col("_word")).where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+    return through.drop("_bit", "_at", "_word", "_bits").join(prints, "fp")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -189,9 +207,8 @@ def groups(docs: DataFrame) -> DataFrame:
     ids, _ = scratch.store(hashed, "dedup-prints")
     flagged, _ = scratch.store(repeated(ids), "dedup-repeated")
 
-    candidates = texts.withColumn("fp", F.xxhash64("norm")).join(flagged.select("fp"), "fp")
     same = (
-        candidates.groupBy(F.sha2("norm", 256).alias("sha"), "norm")
+        candidates(texts, flagged).groupBy(F.sha2("norm", 256).alias("sha"), "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select("sha", F.xxhash64("norm").alias("fp"), "keep_id", "group_size", F.when(F.count("*").over(W.partitionBy("sha")) > 1, F.col("norm")).alias("norm"))
     )

@@ -267,6 +267,26 @@ def test_filters_of_ranges_merge_without_loss(spark, monkeypatch):
     assert whole.counts.sum() == 2 * parts[1].counts.sum() + parts[0].counts.sum()
 
 
+@pytest.mark.parametrize("told", [1 << 19, 5])
+def test_only_candidates_are_shuffled(spark, monkeypatch, told):
+    """Whether prints or their bits are told, with broadcasts off texts without a repeated print stay where they are, and groups are right."""
+    monkeypatch.setattr(exact_dedup, "TOLD", told)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 10 == 0, F.col("id") % 40).otherwise(F.col("id"))).alias("text")).repartition(5)
+        texts = docs.select("doc_id", exact_dedup.normalised(F.col("text")).alias("norm"))
+        path = f"{exact_dedup.scratch.root(spark)}/flagged-{told}"
+        docs.where("doc_id % 10 = 0").select(F.xxhash64("text").alias("fp")).distinct().unionByName(spark.range(10).select(F.xxhash64(F.col("id").cast("string")).alias("fp"))).write.mode("overwrite").parquet(path)
+        found = exact_dedup.candidates(texts, spark.read.parquet(path))
+        assert sorted(r.doc_id for r in found.collect()) == list(range(0, 3000, 10))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) and ("SortMergeJoin" in plan) == (told == 5)
+        rows = exact_dedup.groups(docs).collect()
+        assert all(r.group_size == (75 if r.doc_id % 10 == 0 else 1) and r.keep_id == (r.doc_id % 40 if r.doc_id % 10 == 0 else r.doc_id) for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_exact_dedup(awkward, empty):
     by = {}
     for i, t in AWKWARD:
