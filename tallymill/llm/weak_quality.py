@@ -8,7 +8,9 @@ scorer over hashed character-class trigrams, words and pairs of words, which sco
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,33 +29,86 @@ FEATURES = sum(KINDS)
 PRIOR = (100, 50, 50)
 #: Trigrams at which a text's own score and the sample's mean label count alike.
 SHORT = 20
-#: Documents from which on expectation-maximisation tells the classes apart; fewer are judged by any bad vote.
-ENOUGH = 100
-VOTERS = ("capitals", "exclamations", "symbols", "bars", "echoes", "variety", "sentences", "marks", "letters", "word_length")
-
-_CLASS = np.full(256, 9, np.uint8)  # other symbols
-_CLASS[128:] = 0
-_CLASS[97:123] = 0
-_CLASS[65:91] = 1
-_CLASS[48:58] = 2
-_CLASS[[32, 9, 11, 12, 13]] = 3
-_CLASS[10] = 4
-_CLASS[[ord("."), ord("?")]] = 5
-_CLASS[[ord(x) for x in ",;:'\"-()"]] = 6
-_CLASS[ord("!")] = 7
-_CLASS[ord("|")] = 8
+#: Shares of good and of bad votes that a labeller is taken to cast on good and on bad documents before any is seen, counted as
+#: STRENGTH votes of either class, and the share of bad documents: they decide in a corpus of a few rows and are nothing in a large one.
+EXPECTED, STRENGTH, BAD_SHARE = ((0.93, 0.07), (0.4, 0.6)), 10.0, 0.2
+VOTERS = ("capitals", "symbols", "signs", "lone", "echoes", "variety", "sentences", "word_length")
+#: Classes of code points: letters (of scripts with spaces between words), capitals, digits, blanks, line ends, ends of
+#: sentences, other punctuation, exclamation marks, letters of scripts without spaces, everything else.
+LETTER, CAPITAL, DIGIT, BLANK, LINE, END, POINT, SHOUT, SOLID, OTHER = range(10)
 CLASSES = 10
+#: Letters of a script without spaces that count as one word.
+SOLID_WORD = 2
+#: Ends of sentences and exclamation marks of several scripts, ASCII punctuation that prose uses, and
+#: what names of letters begin with in scripts that are written without spaces.
+ENDS, SHOUTS, PROSE = ".?\u3002\uff1f\uff0e\uff61\u0964\u0965\u061f\u06d4\u104b\u17d4\u1362", "!\uff01\u00a1", ",;:'\"-()"
+UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "HALFWIDTH KATAKANA", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN", "YI ", "BOPOMOFO")
+#: First code point of the planes of rare ideographs, which share one entry of the table.
+_RARE = 0x20000
+
+
+@lru_cache(None)
+def _table() -> np.ndarray:
+    """Class of each code point below _RARE, and of those beyond it in a last entry."""
+
+    def kind(x: int) -> int:
+        c = chr(x)
+        if c in SHOUTS or c in ENDS:
+            return SHOUT if c in SHOUTS else END
+        if c in " \t\n\v\f\r":
+            return LINE if c == "\n" else BLANK
+        what = unicodedata.category(c)
+        if what[0] in "LM":
+            return SOLID if unicodedata.name(c, "").startswith(UNSPACED) else CAPITAL if what in ("Lu", "Lt") else LETTER
+        if what[0] in "NZ":
+            return DIGIT if what[0] == "N" else BLANK
+        return POINT if c in PROSE or (x > 127 and what[0] == "P") else OTHER
+
+    return np.array([kind(x) for x in range(_RARE)] + [SOLID], np.uint8)
+
+
+def points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each code point of all texts, and where the texts begin and end among them."""
+    table = _table()
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at]
+    kind = table[lead]
+    wide = np.flatnonzero(lead >= 128)
+    if len(wide):
+        tail = np.append(data, np.zeros(3, np.uint8))
+        head, first = lead[wide].astype(np.int32), at[wide]
+        one, two, three = (tail[first + k].astype(np.int32) & 63 for k in (1, 2, 3))
+        code_ = np.where(head < 224, (head & 31) << 6 | one, np.where(head < 240, (head & 15) << 12 | one << 6 | two, (head & 7) << 18 | one << 12 | two << 6 | three))
+        kind[wide] = table[np.minimum(code_, _RARE)]
+    return kind, np.searchsorted(at, offs)
 
 
 def _counts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each byte, the text of each byte, and bytes of each class in each text."""
-    kind = _CLASS[data]
+    """Class of each code point, the text of each, and code points of each class in each text."""
+    kind, offs = points(data, offs)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     return kind, doc, np.bincount(doc * CLASSES + kind, minlength=CLASSES * (len(offs) - 1)).reshape(-1, CLASSES).astype(float)
 
 
+def _lone(kind: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Share of each text's words that hold neither a letter nor a digit."""
+    word = np.append((kind != BLANK) & (kind != LINE), False)
+    starts = word[:-1].copy()
+    starts[1:] &= ~word[:-2] | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(starts)
+    if not len(at):
+        return np.zeros(n)
+    told = np.isin(kind, (LETTER, CAPITAL, DIGIT, SOLID))
+    bare = np.add.reduceat(told.astype(np.int64), at) == 0  # the blanks after a word hold nothing
+    return np.bincount(doc[at], bare, n) / np.maximum(1, np.bincount(doc[at], minlength=n))
+
+
 def votes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Votes of each labeller on each text: 2 bad, 1 good, 0 none."""
+    """Votes of each labeller on each text: 2 bad, 1 good, 0 none.
+
+    Three labellers look at signs: symbols a word, all signs a word, and words that are nothing but signs.
+    Labellers that need words say nothing on texts mostly of scripts without spaces.
+    """
     kind, doc, n = _counts(data, offs)
     hashed, n_words = words.hashes(data, offs)
     of = np.repeat(np.arange(len(n)), n_words)
@@ -65,28 +120,28 @@ def votes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     new = np.ones(len(hashed), np.int64)
     new[1:] = (np.diff(hashed[order]) != 0) | (np.diff(of) != 0)
     variety = np.log(np.maximum(1, batches.sums(new, n_words))) / np.log(np.maximum(2, n_words))  # as alike at every length
-    letters, size = np.maximum(1, n[:, 0] + n[:, 1]), np.maximum(1, n.sum(1))
-    length = (size - n[:, 3] - n[:, 4]) / np.maximum(1, n_words)
-    per_word = lambda c: c / np.maximum(1, n_words)
-    sentences = per_word(n[:, 5])
-
-    shown = 1 - (letters + n[:, 2]) / np.maximum(1, size - n[:, 3] - n[:, 4])  # neither letters nor digits
-
-    def vote(bad, good):
-        return np.where(bad, 2, np.where(good, 1, 0))
+    letters = np.maximum(1, n[:, [LETTER, CAPITAL, SOLID]].sum(1))
+    capitals, solid = n[:, CAPITAL] / letters, n[:, SOLID] / letters > 0.5
+    length = (n.sum(1) - n[:, [BLANK, LINE]].sum(1)) / np.maximum(1, n_words)
+    units = 1 + n_words + n[:, SOLID] / SOLID_WORD  # one more: a sign says little in a few words
+    odd = n[:, [SHOUT, OTHER]].sum(1) / units
+    signs = odd + n[:, [END, POINT]].sum(1) / units
+    sentences = n[:, END] / units
+    lone = _lone(kind, doc, len(n))
+
+    def vote(bad, good, told=True):
+        return np.where(told, np.where(bad, 2, np.where(good, 1, 0)), 0)
 
     out = np.stack(
         [
-            vote(n[:, 1] / letters > 0.5, n[:, 1] / letters < 0.15),
-            vote(per_word(n[:, 7]) > 0.3, n[:, 7] == 0),
-            vote(per_word(n[:, 9]) > 0.8, per_word(n[:, 9]) < 0.1),
-            vote(per_word(n[:, 8]) > 0.15, n[:, 8] == 0),
+            vote(capitals > 0.5, capitals < 0.15),
+            vote(odd > 0.3, odd < 0.08),
+            vote(signs > 0.7, signs < 0.36),
+            vote(lone > 0.1, lone < 0.02),
             vote(echoes > 0.3, echoes < 0.05),
-            vote((variety < 0.6) & (n_words > 20), variety > 0.8),
-            vote((sentences < 0.01) & (n_words > 20), (sentences > 0.03) & (sentences < 0.5)),
-            vote(per_word(n[:, 7] + n[:, 8] + n[:, 9]) > 0.35, per_word(n[:, 7] + n[:, 8] + n[:, 9]) < 0.08),
-            vote(shown > 0.12, shown < 0.06),
-            vote((length > 14) | (length < 2.5), (length > 3.5) & (length < 9)),
+            vote((variety < 0.6) & (n_words > 20), variety > 0.8, ~solid),
+            vote((sentences < 0.01) & (n_words > 20), (sentences > 0.03) & (sentences < 0.5), ~solid),
+            vote((length > 14) | (length < 2.5), (length > 3.5) & (length < 9), ~solid),
         ],
         1,
     )
@@ -145,25 +200,25 @@ def code(v: np.ndarray) -> np.ndarray:
 def posterior(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Probability that documents of each vote pattern are bad, by expectation-maximisation.
 
-    Given its class, a document's votes are independent; each labeller has a distribution over
-    its three votes for either class (add-one smoothed).  Starts from any bad vote, which also decides where
-    fewer than ENOUGH documents voted; the bad class is the one of more bad votes.
+    Given its class, a document's votes are independent; each labeller has a share of bad ones
+    among the votes it casts on either class, to which EXPECTED is added; a labeller that says nothing is no
+    evidence.  Starts from any bad vote; documents without a vote count for nothing; the bad class is
+    the one of more bad votes.
     """
-    p = np.where((patterns == 2).any(1), 0.9, 0.1)
-    if counts[(patterns > 0).any(1)].sum() < ENOUGH:
-        return p
-    one_hot = patterns[:, :, None] == np.arange(3)
+    p, counts = np.where((patterns == 2).any(1), 0.9, 0.1), np.where((patterns > 0).any(1), counts, 0)
+    believed = STRENGTH * np.array(EXPECTED)[:, None, :]
+    one_hot = patterns[:, :, None] == np.array([1, 2])
     for _ in range(rounds):
         w = np.stack([counts * (1 - p), counts * p], 1)
-        prior = (w.sum(0) + 1) / (w.sum() + 2)
-        rates = np.einsum("pc,pvk->cvk", w, one_hot) + 1
+        prior = (w.sum(0) + STRENGTH * np.array([1 - BAD_SHARE, BAD_SHARE])) / (w.sum() + STRENGTH)
+        rates = np.einsum("pc,pvk->cvk", w, one_hot) + believed
         rates /= rates.sum(2, keepdims=True)
         logs = np.log(prior) + np.einsum("pvk,cvk->pc", one_hot, np.log(rates))
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
         if np.abs(new - p).max() < 1e-9:
             break
         p = new
-    return p if rates[1, :, 2].sum() >= rates[0, :, 2].sum() else 1 - p
+    return p if rates[1, :, 1].sum() >= rates[0, :, 1].sum() else 1 - p
 
 
 def fit(x: np.ndarray, good: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:

@@ -644,19 +644,68 @@ def test_posterior_by_definition():
     patterns = np.unique(rng.integers(0, 3, (40, 4)), axis=0)
     counts = rng.integers(1, 60, len(patterns)).astype(float)
     p = weak_quality.posterior(patterns, counts, 2000)
+    counts[(patterns == 0).all(1)] = 0
+    share, strength = (1 - weak_quality.BAD_SHARE, weak_quality.BAD_SHARE), weak_quality.STRENGTH
     again = []
-    flip = p
-    w = {0: counts * (1 - flip), 1: counts * flip}
+    w = {0: counts * (1 - p), 1: counts * p}
     for row in patterns:
         odds = {}
         for c in (0, 1):
-            odds[c] = (w[c].sum() + 1) / (counts.sum() + 2)
+            odds[c] = (w[c].sum() + strength * share[c]) / (counts.sum() + strength)
             for v, vote in enumerate(row):
-                odds[c] *= (w[c][patterns[:, v] == vote].sum() + 1) / (w[c].sum() + 3)
+                if vote:
+                    cast = w[c][patterns[:, v] > 0].sum() + strength
+                    odds[c] *= (w[c][patterns[:, v] == vote].sum() + strength * weak_quality.EXPECTED[c][vote - 1]) / cast
         again.append(odds[1] / (odds[0] + odds[1]))
     assert np.allclose(again, p, atol=1e-5)
 
 
+def test_few_documents_are_judged_by_the_same_model():
+    """Twenty documents, then a thousand times as many: one bad vote of many condemns none, most votes bad do, at either size."""
+    patterns = np.array([[1] * 8, [1, 2, 1, 1, 1, 1, 1, 1], [2, 2, 2, 0, 2, 2, 2, 1]])
+    for times in (1, 1000):
+        assert (weak_quality.posterior(patterns, times * np.array([16.0, 1, 3])) > 0.5).tolist() == [False, False, True]
+    assert (weak_quality.posterior(np.array([[0] * 8, [2, 2, 2, 2, 1, 1, 0, 0]]), np.array([5.0, 1])) > 0.5).tolist() == [False, True]
+
+
+def test_classes_of_code_points():
+    text = "aÉ7 \n.。！,—漢かไ中𠀀ж😀é"
+    data = np.frombuffer(text.encode(), np.uint8)
+    kind, offs = weak_quality.points(np.concatenate([data, data[:3]]), np.array([0, 0, len(data), len(data) + 3]))
+    q = weak_quality
+    want = [q.LETTER, q.CAPITAL, q.DIGIT, q.BLANK, q.LINE, q.END, q.END, q.SHOUT, q.POINT, q.POINT, q.SOLID, q.SOLID, q.SOLID, q.SOLID, q.SOLID, q.LETTER, q.OTHER, q.LETTER]
+    assert kind.tolist() == want + want[:2] and offs.tolist() == [0, 0, len(text), len(text) + 2]
+    assert q.points(np.zeros(0, np.uint8), np.zeros(3, np.int64))[1].tolist() == [0, 0, 0]
+
+
+def test_lone_signs_by_definition():
+    texts = [None, "", " | a", "a | b | ; c", "|", "x\n$$ 5 -", "。 好 。", "end |"]
+    data, offs = batches.spans(pa.array(texts, pa.string()))
+    kind, doc, n = weak_quality._counts(data, offs)
+    want = []
+    for t in texts:
+        found = (t or "").split()
+        want.append(sum(not any(c.isalnum() for c in w) for w in found) / max(1, len(found)))
+    assert np.allclose(weak_quality._lone(kind, doc, len(texts)), want)
+
+
+def test_plain_texts_of_other_scripts_stay(spark):
+    plain = {
+        "chinese": ["我们昨天去了城外的河边", "天气很好，孩子们在水里玩", "老人坐在树下说话", "没有人着急回家", "晚上大家一起吃饭，讲过去的故事"],
+        "thai": ["เมื่อวานเราไปที่แม่น้ำนอกเมือง อากาศดีมาก", "เด็กๆเล่นน้ำอย่างมีความสุข", "คนแก่นั่งคุยกันใต้ต้นไม้", "ไม่มีใครรีบกลับบ้าน"],
+        "greek": ["Χθες πήγαμε στο ποτάμι έξω από την πόλη", "Ο καιρός ήταν πολύ καλός", "Κανείς δεν βιαζόταν να γυρίσει σπίτι"],
+        "arabic": ["ذهبنا أمس إلى النهر خارج المدينة", "كان الطقس جميلا جدا ولعب الأطفال في الماء", "جلس الشيوخ تحت الأشجار يتحدثون"],
+    }
+    ends, rng = {"chinese": "。", "thai": " "}, np.random.default_rng(3)
+    rows, names = [(r["doc_id"], r["text"]) for r in table("documents")], {}
+    for name, parts in plain.items():
+        for _ in range(20):
+            names[10**6 + len(names)] = name
+            rows.append((10**6 + len(names) - 1, ends.get(name, ". ").join([*rng.choice(parts, rng.integers(3, 12)), ""])))
+    got = {r.doc_id: r.kept for r in weak_quality.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {names[i] for i in names if not got[i]} == set()
+
+
 @pytest.mark.parametrize("parts", [3, 7])
 def test_scores_by_definition(spark, parts):
     """Scores under several partitionings against features counted one by one and the scorer's weights."""
@@ -667,8 +716,7 @@ def test_scores_by_definition(spark, parts):
     base = {r.doc_id: r.quality_score for r in weak_quality.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert all(abs(got[i] - base[i]) < 1e-4 for i in got)
     for i, t in rows[:40] + rows[-2:]:
-        data = (t or "").encode()
-        kinds = [int(weak_quality._CLASS[x]) for x in data]
+        kinds = [int(weak_quality._table()[min(ord(c), 0x20000)]) for c in t or ""]
         found = [w_.encode() for w_ in re.findall("[^\x20\x09-\x0d]+", t or "")]
         if not found:
             assert got[i] == 0
