@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.operators.numbering import read_in_order, write_in_order
+from tallymill.session import shared_folder
+
 RESAMPLES, ALPHA = 10_000, 0.05
 CHUNK = 1 << 22
+#: Draws of one replicate that a task makes at a time, and draws of all replicates that meet a chunk of rows (in the mean).
+BLOCK, MEET = 1 << 17, 1 << 22
 
 
 def _quantiles(values: np.ndarray, alpha: float) -> tuple[float, float]:
@@ -105,25 +112,89 @@ def binomial_cells(df: DataFrame, keys: Sequence[str], flag: str, resamples: int
     return counts.mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "point double, ci_low double, ci_high double, n long"]))
 
 
-def _draws(n: Column, resamples: int) -> Column:
-    """Row numbers drawn by digest: of replicate b and draw j, below n."""
-    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("b").cast("string"), F.lit(":"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long"), n)
+def _digests(b: int, first: int, count: int) -> np.ndarray:
+    """The first 32 bits of md5("b:j") for ``count`` draws j from ``first``."""
+    return np.frombuffer(b"".join(hashlib.md5(b"%d:%d" % (b, j), usedforsecurity=False).digest()[:4] for j in range(first, first + count)), ">u4")
+
+
+def _drawn(n_keys: int, size: int, chunk: int, names: list[str]):
+    """Places in each chunk of a cell that a block of a replicate's draws falls on, of batches (keys, n, block, b) in the order of b, block and falling n."""
+
+    def run(batches):
+        held, digests = None, np.zeros(0, np.uint32)
+        for batch in batches:
+            for i, (n, block, b) in enumerate(zip(*(batch.column(n_keys + k).to_pylist() for k in range(3)))):
+                count = min(size, n - block * size)
+                if held != (b, block) or len(digests) < count:
+                    held, digests = (b, block), _digests(b, block * size, count)
+                r = np.sort(digests[:count].astype(np.int64) % n)
+                found, heads = np.unique(r // chunk, return_index=True)
+                at = [(r[lo:hi] - c * chunk).astype("<u2").tobytes() for c, lo, hi in zip(found.tolist(), heads.tolist(), [*heads[1:].tolist(), count])]
+                row = pa.array([i] * len(at))
+                keys = [batch.column(k).take(row) for k in range(n_keys)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(found), pa.array([b] * len(at), pa.int32()), pa.array(at, pa.binary())], names=names)
+
+    return run
+
+
+def _met(n_keys: int, whole: list[bool], chunk: int, resamples: int, names: list[str]):
+    """Sums and counts of each value over the draws of each replicate that fall into a chunk; null values count in neither."""
+
+    def run(key, rows: pa.Table, draws: pa.Table) -> pa.Table:
+        place = rows.column("_place").to_numpy()
+        values, there = [], []
+        for v, is_whole in enumerate(whole):
+            column = rows.column(f"_{v}")
+            x, ok = np.zeros(chunk, np.int64 if is_whole else np.float64), np.zeros(chunk, bool)
+            ok[place] = column.is_valid().to_numpy()
+            x[place] = column.fill_null(0).to_numpy()
+            values.append(x)
+            there.append(ok)
+        sums = [np.zeros(resamples, x.dtype) for x in values]
+        counts = [np.zeros(resamples, np.int64) for _ in values]
+        for b, raw in zip(draws.column("b").to_pylist(), draws.column("_places")):
+            at = np.frombuffer(raw.as_buffer(), "<u2")
+            for v in range(len(values)):
+                sums[v][b] += values[v][at].sum()
+                counts[v][b] += np.count_nonzero(there[v][at])
+        keys = [pa.array([k.as_py()] * resamples, k.type) for k in key[:n_keys]]
+        return pa.Table.from_arrays([*keys, pa.array(np.arange(resamples, dtype=np.int32)), *map(pa.array, sums), *map(pa.array, counts)], names=names)
+
+    return run
 
 
 def hash_bootstrap(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: str, resamples: int = 200) -> DataFrame:
     """Replicate means of each value column by a bootstrap whose draws any SQL engine repeats: keys, b, mean_<value>.
 
-    Rows are counted how often each replicate draws them before values meet the draws, so what
-    is joined is a cell's rows times the replicates.
+    Draw j of replicate b is the row of number md5("b:j") (its first 32 bits) modulo the cell's rows.  Rows are numbered over ranges of a sort and cut into
+    chunks; draws are made in blocks, by as many tasks as there is work for, and travel as two bytes each to the chunk they fall on.  So a task holds a
+    chunk's values and the draws on it, some ``MEET``, whatever the cell's size.  Cells with a null key have no result; a null value is not counted.
     """
-    from pyspark.sql import Window as W
-
-    ranked = df.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1)
-    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("n"))
-    drawn = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    counts = drawn.select(*keys, "b", _draws(F.col("n"), resamples).alias("r")).groupBy(*keys, "b", "r").agg(F.count("*").alias("times"))
-    means = [(F.sum(F.col("times") * F.col(v)).cast("double") / F.sum("times")).alias(f"mean_{v}") for v in values]
-    return counts.join(ranked, [*keys, "r"]).groupBy(*keys, "b").agg(*means)
+    spark, n_keys = df.sparkSession, len(keys)
+    chunk = max(1, min(1 << 16, MEET // resamples))
+    types = dict(df.dtypes)
+    whole = [types[v] in ("boolean", "tinyint", "smallint", "int", "bigint") for v in values]
+    path = shared_folder(spark, "ranked")
+    cast = [F.col(v).cast("long" if w else "double").alias(f"_{k}") for k, (v, w) in enumerate(zip(values, whole))]
+    write_in_order(df.select(*keys, F.col(order).alias("_order"), *cast).dropna(subset=list(keys)), path, [*keys, "_order"])
+    rows = read_in_order(spark, path, "_number")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_number").alias("_first"))
+    r = F.col("_number") - F.col("_first")
+    placed = rows.join(sizes, list(keys)).select(*keys, F.floor(r / chunk).alias("_chunk"), (r % chunk).cast("int").alias("_place"), *(f"_{k}" for k in range(len(values))))
+
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * resamples // MEET)
+    blocks = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))).alias("_block"))
+    blocks = blocks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(tasks, "b", "_block").sortWithinPartitions("b", "_block", F.col("n").desc())
+    key_types = [f"`{k}` {types[k]}" for k in keys]
+    names = [*keys, "_chunk", "b", "_places"]
+    draws = blocks.mapInArrow(_drawn(n_keys, BLOCK, chunk, names), ", ".join([*key_types, "_chunk long, b int, _places binary"]))
+
+    names = [*keys, "b", *(f"_sum{k}" for k in range(len(values))), *(f"_n{k}" for k in range(len(values)))]
+    kinds = [*key_types, "b int", *(f"_sum{k} {'long' if w else 'double'}" for k, w in enumerate(whole)), *(f"_n{k} long" for k in range(len(values)))]
+    parts = placed.groupBy(*keys, "_chunk").cogroup(draws.groupBy(*keys, "_chunk")).applyInArrow(_met(n_keys, whole, chunk, resamples, names), ", ".join(kinds))
+    means = [(F.sum(f"_sum{k}").cast("double") / F.nullif(F.sum(f"_n{k}"), F.lit(0))).alias(f"mean_{v}") for k, v in enumerate(values)]
+    return parts.groupBy(*keys, "b").agg(*means)
 
 
 def interval(means: DataFrame, keys: Sequence[str], value: Column, alpha: float = ALPHA) -> DataFrame:

@@ -212,3 +212,25 @@ def test_lattice_partitions(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "l").iterdir()) == ["arith.json", "func.json"]
     assert (tmp_path / "l" / "arith.json").read_text() == '{"arith.a":{"full_name":"arith.a"},"arith.b":{"full_name":"arith.b"}}'
     assert '"full_name"' in sinks.metadata(rows)
+
+
+def test_hash_bootstrap_by_definition(spark, monkeypatch):
+    """Cells of several chunks and blocks, null values, null keys: the draws by hand; no window ranks a cell in one task."""
+    import hashlib
+
+    monkeypatch.setattr(statistics, "BLOCK", 64)
+    monkeypatch.setattr(statistics, "MEET", 500)
+    cells = {"a": 333, "b": 1, None: 5, "c": 64}
+    rows = [(c, (k * 7919) % 1009, None if k % 5 == 2 else k % 3, None if k % 4 == 1 else k / 8) for c, n in cells.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long, p int, q double").repartition(3)
+    means = statistics.hash_bootstrap(df, ["g"], ["p", "q"], "k", resamples=10)
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "REPARTITION_BY_NUM" in plan
+    wanted = {}
+    for c in ("a", "b", "c"):
+        mine = sorted(r for r in rows if r[0] == c) if c else []
+        for b in range(10):
+            drawn = [mine[int(hashlib.md5(f"{b}:{j}".encode()).hexdigest()[:8], 16) % len(mine)] for j in range(len(mine))]
+            wanted[c, b] = [sum(v) / len(v) if v else None for v in ([r[i] for r in drawn if r[i] is not None] for i in (2, 3))]
+    assert {(r.g, r.b): [r.mean_p, r.mean_q] for r in means.collect()} == wanted
+    assert statistics.hash_bootstrap(df.limit(0), ["g"], ["p"], "k").count() == 0
