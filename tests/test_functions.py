@@ -1,6 +1,7 @@
 """Functions against small cases with known answers."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,20 @@ def test_hash_bootstrap_by_definition(spark, monkeypatch):
             wanted[c, b] = [sum(v) / len(v) if v else None for v in ([r[i] for r in drawn if r[i] is not None] for i in (2, 3))]
     assert {(r.g, r.b): [r.mean_p, r.mean_q] for r in means.collect()} == wanted
     assert statistics.hash_bootstrap(df.limit(0), ["g"], ["p"], "k").count() == 0
+
+
+def test_hash_bootstrap_interval_of_a_large_cell(spark):
+    """Draws travel by chunk and number two bytes each, at most as many to a group as a chunk is due, and the interval is that of the draws by hand."""
+    n, resamples = 30_000, 200
+    draw = statistics._drawn(1, statistics.BLOCK, statistics.MEET // resamples, ["g", "_chunk", "b", "_places"])
+    blocks = pa.RecordBatch.from_pydict({"g": ["a"] * resamples, "n": [n] * resamples, "block": [0] * resamples, "b": list(range(resamples))})
+    sizes = {}
+    for batch in draw(iter([blocks])):
+        for chunk, places in zip(batch.column("_chunk").to_pylist(), batch.column("_places").to_pylist()):
+            sizes[chunk] = sizes.get(chunk, 0) + len(places) // 2
+    assert sum(sizes.values()) == n * resamples and len(sizes) == 2 and max(sizes.values()) < 1.01 * statistics.MEET
+    flags = np.arange(n) % 7 == 0
+    means = [flags[statistics._digests(b, 0, n).astype(np.int64) % n].mean() for b in range(resamples)]
+    df = spark.range(n).select(F.lit("a").alias("g"), "id", (F.col("id") % 7 == 0).cast("int").alias("p"))
+    got = statistics.interval(statistics.hash_bootstrap(df, ["g"], ["p"], "id"), ["g"], F.col("mean_p")).first()
+    assert np.allclose([got.ci_low, got.ci_high, got.p_value], [*np.quantile(means, [0.025, 0.975]), 0])
