@@ -252,3 +252,16 @@ def test_hash_bootstrap_interval_of_a_large_cell(spark):
     df = spark.range(n).select(F.lit("a").alias("g"), "id", (F.col("id") % 7 == 0).cast("int").alias("p"))
     got = statistics.interval(statistics.hash_bootstrap(df, ["g"], ["p"], "id"), ["g"], F.col("mean_p")).first()
     assert np.allclose([got.ci_low, got.ci_high, got.p_value], [*np.quantile(means, [0.025, 0.975]), 0])
+
+
+def test_order_interval_of_hash_bootstrap(spark):
+    """Null values do not lower the replicates, whose sorted values are taken as they are."""
+    n = 400
+    values = [None if k % 3 == 0 else k % 2 for k in range(n)]
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], "g string, k long, p int")
+    found = []
+    for b in range(200):
+        drawn = [values[int(d) % n] for d in statistics._digests(b, 0, n)]
+        found.append(np.mean([v for v in drawn if v is not None]))
+    got = statistics.order_interval(statistics.hash_bootstrap(df, ["g"], ["p"], "k"), ["g"], F.col("mean_p")).first()
+    assert (got.low, got.high) == (sorted(found)[5], sorted(found)[195])
