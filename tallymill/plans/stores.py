@@ -28,7 +28,7 @@ def numbered_documents(spark, sf_dir):
 def numbered_record_files(spark, sf_dir):
     path = shared_folder(spark, "numbered")
     sinks.numbered_records(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), path, ["p_size", "p_partkey"], "p_brand", width=5)
-    found = records.read_records(spark, path, "id string, p_partkey long, p_size int")
+    found = records.read_records(spark, path, "id string, p_partkey long, p_size int", numbered=True)
     return found.select("idx", "file_name", "id", "p_partkey", "p_size")
 
 

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,14 @@ def test_folder_of_records(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(body)
     found = validation.validate_folder(spark, str(tmp_path), "id string, dialect string, difficulty string, mlir string", stores.RECORD_RULES)
     assert sorted(map(tuple, found.collect())) == [("b.json", "json", "not a record"), ("c.json", "json", "not a record"), ("d.json", "dialect", "missing")]
+
+
+def test_numbered_files_are_read_in_the_order_of_their_numbers(spark, tmp_path):
+    """Numbers wider than the width: 2 before 10; names without a number last."""
+    path = str(tmp_path / "n")
+    sinks.numbered_records(spark.range(120).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("v")), path, ["id"], "v", width=1)
+    (tmp_path / "n" / "x.json").write_text('{"id": "x"}')
+    found = records.read_records(spark, path, "id string", numbered=True)
+    assert [(r.idx, r.id) for r in found.orderBy("idx").collect()] == [*((k, f"{k + 1}_v{k}") for k in range(120)), (120, "x")]
+    by_name = records.read_records(spark, path, "id string").orderBy("idx").collect()
+    assert [r.file_name for r in by_name] == sorted(p.name for p in (tmp_path / "n").iterdir())
