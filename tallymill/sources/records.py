@@ -174,8 +174,9 @@ def write_records(df: DataFrame, path: str, file_name: str, record: str, mode: s
     try:
         told = shared_folder(spark, "written")
         rows = df.select(F.col(file_name).cast("string").alias("file_name"), F.col(record).cast("string").alias("record"))
-        rows.mapInArrow(partial(_written, stage=stage), "folder string").write.parquet(told)
-        folders = spark.read.schema("folder string").parquet(told).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartition(tasks).mapInArrow(partial(_written, stage=stage), "folder string").write.parquet(told)  # a file costs more than its way to another task
+        folders = spark.read.schema("folder string").parquet(told).repartition(tasks)
         twice = folders.mapInArrow(partial(_names, stage=stage), "file_name string").groupBy("file_name").agg(F.count("*").alias("n")).where("n > 1").first()
         if twice:
             raise ValueError(f"two records have one file name: {twice.file_name!r}")

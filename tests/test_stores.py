@@ -210,3 +210,14 @@ def test_numbered_files_are_read_in_the_order_of_their_numbers(spark, tmp_path):
     assert [(r.idx, r.id) for r in found.orderBy("idx").collect()] == [*((k, f"{k + 1}_v{k}") for k in range(120)), (120, "x")]
     by_name = records.read_records(spark, path, "id string").orderBy("idx").collect()
     assert [r.file_name for r in by_name] == sorted(p.name for p in (tmp_path / "n").iterdir())
+
+
+def test_reading_a_folder_of_many_files(spark, tmp_path):
+    """The plan of a read holds no paths, and no task a file: with more files tasks have more of them."""
+    for k in range(records.READERS + 104):
+        (tmp_path / f"{k:05d}.json").write_text(f'{{"n": {k}}}')
+    rows = records.read_records(spark, str(tmp_path), "n int", bundle=1)
+    assert rows.rdd.getNumPartitions() == records.READERS
+    assert "00007.json" not in rows._jdf.queryExecution().toString()
+    found = records.read_records(spark, str(tmp_path), "n int", bundle=300).agg(F.count("*").alias("rows"), F.sum((F.col("n") == F.col("idx")).cast("int")).alias("right"), F.countDistinct("n").alias("n")).first()
+    assert tuple(found) == (records.READERS + 104,) * 3
