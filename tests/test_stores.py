@@ -221,3 +221,23 @@ def test_reading_a_folder_of_many_files(spark, tmp_path):
     assert "00007.json" not in rows._jdf.queryExecution().toString()
     found = records.read_records(spark, str(tmp_path), "n int", bundle=300).agg(F.count("*").alias("rows"), F.sum((F.col("n") == F.col("idx")).cast("int")).alias("right"), F.countDistinct("n").alias("n")).first()
     assert tuple(found) == (records.READERS + 104,) * 3
+
+
+def test_writing_tells_folders_alone(spark, tmp_path, monkeypatch):
+    """A task tells a folder for ``FOLDER`` files; a move that is repeated moves what is left; equal names are found within a folder and between tasks."""
+    monkeypatch.setattr(records, "FOLDER", 4)
+    stage, into = str(tmp_path / "stage"), str(tmp_path / "into")
+    (tmp_path / "into").mkdir()
+    batch = pa.RecordBatch.from_pydict({"file_name": [f"{k}.json" for k in range(10)], "record": [f"r{k}" for k in range(10)]})
+    told = list(records._written(iter([batch.slice(0, 7), batch.slice(7)]), stage))
+    assert sum(b.num_rows for b in told) == 3
+    assert sorted(n for b in records._names(iter(told), stage) for n in b.column(0).to_pylist()) == sorted(f"{k}.json" for k in range(10))
+    assert [b.column(0).to_pylist() for b in records._moved(iter(told[:1]), stage, into)] == [[4]]
+    assert [b.column(0).to_pylist() for b in records._moved(iter(told), stage, into)] == [[0], [4], [2]]
+    assert {p.name: p.read_text() for p in (tmp_path / "into").iterdir()} == {f"{k}.json": f"r{k}" for k in range(10)}
+    rows = spark.range(0, 6, 1, 3).select(F.lit("one.json").alias("f"), F.lit("r").alias("r"))
+    with pytest.raises(ValueError, match="one file name"):
+        records.write_records(rows.where("id % 2 = 0"), str(tmp_path / "out"), "f", "r")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["into", "stage"]
+    records.write_records(rows.limit(1), str(tmp_path / "out"), "f", "r")
+    assert [p.read_text() for p in (tmp_path / "out").iterdir()] == ["r"]
