@@ -2,10 +2,10 @@
 
 Random projections of a unit vector into 8-dimensional blocks are decoded to points of
 the E8 lattice; a table's cell is the tuple of its blocks' points.  A vector stands in its own cell of every
-table and also asks the cells around it that lie closest.  The more vectors share a label, the finer the cells and the more of
-them are asked (:data:`SETTINGS`), so that a vector meets a few dozen unlike ones at any size.  What stands in a cell is its number and a 64-bit
+table and also asks the cells around it that lie closest.  What stands in a cell is its number and a 64-bit
 sketch; only rows whose sketch comes near another one's of the cell fetch their vectors, which are compared by
-cosine in double precision.  A task tells only links that join what it has not joined yet, so fewer than
+cosine in double precision.  Whether two vectors are compared is decided by the two and the :class:`Setting` alone, never by the number of rows of the
+table, of a label or of a cell.  A task tells only links that join what it has not joined yet, so fewer than
 it has rows.  Links are counted afterwards, where all links lie: within components, each pair of
 chunks of a component once.
 """
@@ -37,8 +37,10 @@ class Setting(NamedTuple):
     asked: int
 
 
-#: By the number of different vectors of the largest label, up to which each holds: all meet at a cosine of 0.93 with probability 0.998 or more.
+#: Settings that a caller may choose, by the number of different vectors of a label up to which a vector meets a few dozen unlike ones: in all, vectors meet at a cosine of 0.93 with probability 0.998 or more.
 SETTINGS = [(100_000, Setting(12, 2, 0.62, 12)), (1_000_000, Setting(16, 2, 0.7, 20)), (None, Setting(22, 3, 0.6, 32))]
+#: The setting of all tables, whatever their size, unless a caller names another one.
+SETTING = SETTINGS[0][1]
 #: Closest neighbours of a block's point that asked cells are made of.
 NEIGHBOURS = 6
 #: Sketch bits in which rows of a cell may differ to be compared: at the threshold 7.7 of 64 differ, with a deviation of 2.6.
@@ -83,7 +85,7 @@ def decode(x: np.ndarray) -> np.ndarray:
 
 
 def setting_of(rows: int) -> Setting:
-    """The setting for so many vectors of one label."""
+    """The setting that a caller may choose for so many vectors of one label; none is chosen by the rows at hand."""
     return next(s for most, s in SETTINGS if most is None or rows <= most)
 
 
@@ -99,7 +101,7 @@ def _choices(blocks: int) -> np.ndarray:
     return np.array([c for c in product(range(NEIGHBOURS + 1), repeat=blocks) if sum(k > 0 for k in c) <= 2])
 
 
-def cells(unit: np.ndarray, setting: Setting = SETTINGS[0][1]) -> np.ndarray:
+def cells(unit: np.ndarray, setting: Setting = SETTING) -> np.ndarray:
     """Keys of the cells of each unit vector: [vector, table, 0] its own, the others those it asks."""
     n, dim = unit.shape
     out, choices = np.zeros((n, setting.tables, setting.asked), np.uint64), _choices(setting.blocks)
@@ -196,15 +198,20 @@ def near(key: np.ndarray, own: np.ndarray, ids: np.ndarray, sketch: np.ndarray)
     for lo, n in zip(head[size > 2].tolist(), size[size > 2].tolist()):
         hi = lo + n
         if own[lo:hi].any():
-            live = np.zeros(n, bool)
-            for s in range(lo, hi, 512):
-                e = min(hi, s + 512)
-                close = np.bitwise_count(sketch[s:e, None] ^ sketch[None, lo:hi]) <= APART
-                live[s - lo : e - lo] = (close & (own[s:e, None] | own[None, lo:hi]) & (ids[s:e, None] != ids[None, lo:hi])).any(1)
-            found.append(lo + np.flatnonzero(live))
+            found.append(lo + np.flatnonzero(_live(own[lo:hi], ids[lo:hi], sketch[lo:hi], ids[lo:hi], APART)))
     return np.sort(np.concatenate(found))
 
 
+def _live(own: np.ndarray, ids: np.ndarray, sketch: np.ndarray, side: np.ndarray, apart: int) -> np.ndarray:
+    """Which rows of a cell come near another vector of another side, one of the two standing in its own cell."""
+    live = np.zeros(len(ids), bool)
+    for s in range(0, len(ids), 512):
+        at = slice(s, s + 512)
+        close = np.bitwise_count(sketch[at, None] ^ sketch[None, :]) <= apart
+        live[at] = (close & (own[at, None] | own[None, :]) & (ids[at, None] != ids[None, :]) & (side[at, None] != side[None, :])).any(1)
+    return live
+
+
 def _screened(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, own, id of the rows of :func:`near`; the rows of a key come together."""
 
@@ -270,11 +277,20 @@ def dealt(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("deal", F.explode(deals)).drop("chunks").repartition(key, "deal").sortWithinPartitions(key, "deal")
 
 
-def joining(reps: DataFrame, kind: str) -> DataFrame:
-    """Links a, b of ``reps`` (id, label, embedding; no null label) that join all vectors that meet with cosine >= COSINE.
+def joining(reps: DataFrame, kind: str, setting: Setting = SETTING) -> DataFrame:
+    """Links a, b of ``reps`` (id, label, embedding; no null label) that join all vectors that meet, with sketches near and cosine >= COSINE.
 
-    Cells of more than CHUNK rows are dealt out as pairs of chunks, so no task gathers a hot cell.
+    Cells of more than CHUNK rows are dealt out as pairs of chunks, so no task gathers a hot cell; its rows are screened by the same sketches.
     """
+    apart = APART
+
+    def screen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "own", "id", "side", "deal"]
+        for t in _whole(it, "key"):
+            own, ids, sketch, side, deal = (t.column(c).to_numpy() for c in ("own", "id", "sketch", "side", "deal"))
+            live = _live(own, ids, sketch.view(np.uint64), side if deal[0] > 0 else ids, apart)
+            if live.any():  # of two chunks only rows of different ones meet
+                yield from t.select(names).filter(pa.array(live)).combine_chunks().to_batches()
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -283,10 +299,12 @@ def joining(reps: DataFrame, kind: str) -> DataFrame:
             if n < 2 or not own.any():
                 continue
             ids, label, side, deal = (t.column(c).to_numpy() for c in ("id", "label", "side", "deal"))
+            sketch = t.column("sketch").to_numpy().view(np.uint64)
             x, root = _units(_stacked(t.column("vector").combine_chunks(), kind)), np.arange(n)
             for s in range(0, n, 512):
                 e = min(n, s + 512)
                 hit = x[s:e] @ x.T >= COSINE
+                hit &= np.bitwise_count(sketch[s:e, None] ^ sketch[None, :]) <= apart
                 hit &= (own[s:e, None] | own[None, :]) & (label[s:e, None] == label[None, :]) & (ids[s:e, None] != ids[None, :])
                 if deal[0] > 0:  # of two chunks only rows of different ones meet
                     hit &= side[s:e, None] != side[None, :]
@@ -303,16 +321,16 @@ def joining(reps: DataFrame, kind: str) -> DataFrame:
         if a:
             yield _pairs(a, b)
 
-    most = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
-    setting = setting_of(most)
     codes, _ = scratch.store(celled(reps, kind, setting), "vector-cells")
     sizes = codes.select("cells").mapInArrow(partial(_standing, asked=setting.asked), "key long, own boolean").groupBy("key").agg(F.count("*").alias("n"), F.bool_or("own").alias("some"))
     hot, _ = scratch.store(sizes.where((F.col("n") > CHUNK) & F.col("some")).select("key", F.ceil(F.col("n") / (CHUNK // 2)).cast("long").alias("chunks")), "hot-cells")
     rows = codes.select("cells", "id", "sketch").mapInArrow(partial(_standing, asked=setting.asked, more=("id", "sketch")), "key long, own boolean, id long, sketch long")
     cool = rows.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_screened, "key long, own boolean, id long")
-    met = cool.unionByName(rows.join(hot, "key", "left_semi").drop("sketch"))
-    rows = met.join(codes.select("id", "label", "vector"), "id")
-    return dealt(rows, hot, "key").mapInArrow(meet, "a long, b long").distinct()
+    one = F.lit(0).cast("long")
+    warm = dealt(rows.join(hot, "key", "left_semi"), hot, "key").mapInArrow(screen, "key long, own boolean, id long, side long, deal long")
+    met = cool.select("*", one.alias("side"), one.alias("deal")).unionByName(warm)
+    rows = met.join(codes.select("id", "label", "sketch", "vector"), "id").repartition("key", "deal").sortWithinPartitions("key", "deal")
+    return rows.mapInArrow(meet, "a long, b long").distinct()
 
 
 def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
@@ -347,7 +365,7 @@ def _numbers(it: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("comp"), batch.column("id"), batch.column("size"), pa.array(vectors, pa.binary())], ["comp", "id", "size", "vector"])
 
 
-def groups(vectors: DataFrame) -> DataFrame:
+def groups(vectors: DataFrame, setting: Setting = SETTING) -> DataFrame:
     """One row for each row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Rows are compared when labels are equal and not null and vectors have one length; vectors that
@@ -365,7 +383,7 @@ def groups(vectors: DataFrame) -> DataFrame:
     )
     kind = "<f4" if dict(rows.dtypes)["embedding"] == "array<float>" else "<f8"
     classes, _ = scratch.store(classes.withColumn("id", F.xxhash64("content")), "vector-classes")
-    pairs, _ = scratch.store(joining(classes, kind), "vector-links")
+    pairs, _ = scratch.store(joining(classes, kind, setting), "vector-links")
     whole, _ = scratch.store(components.components(pairs).withColumnRenamed("node", "id").withColumnRenamed("component", "comp"), "vector-components")
     members = classes.join(whole, "id").mapInArrow(partial(_numbers, kind=kind), "comp long, id long, size long, vector binary")
     more = linked(members, kind)

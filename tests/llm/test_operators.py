@@ -821,6 +821,24 @@ def test_sketches_screen_by_definition():
     assert e8_neardup.near(key, own, ids, sketch).tolist() == wanted and len(wanted) > 20
 
 
+def test_neardup_at_any_size(spark, monkeypatch):
+    """Neither the number of rows of a label nor that of a cell decides what is compared: the setting stays, and a hot cell asks for near sketches as any other."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal(16)
+    rows = [(k, [float(x) for x in base + 0.02 * rng.standard_normal(16)], 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    used, celled = [], e8_neardup.celled
+    monkeypatch.setattr(e8_neardup, "celled", lambda reps, kind, setting: used.append(setting) or celled(reps, kind, setting))
+    monkeypatch.setattr(e8_neardup, "SETTINGS", [(1, e8_neardup.SETTINGS[0][1]), (None, e8_neardup.SETTINGS[2][1])])
+    wanted = [(k, 39, 0) for k in range(40)]
+    found = lambda: sorted((r.vec_id, r.n_links, r.component_id) for r in e8_neardup.groups(df).collect())
+    assert found() == wanted
+    monkeypatch.setattr(e8_neardup, "CHUNK", 8)
+    assert found() == wanted and set(used) == {e8_neardup.Setting(12, 2, 0.62, 12)}
+    monkeypatch.setattr(e8_neardup, "APART", -1)
+    assert found() == [(k, 0, k) for k in range(40)]
+
+
 def test_neardup(spark):
     rng = np.random.default_rng(9)
     rows, k = [], 0
