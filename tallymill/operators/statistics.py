@@ -18,7 +18,7 @@ from tallymill.session import shared_folder
 RESAMPLES, ALPHA = 10_000, 0.05
 CHUNK = 1 << 22
 #: Draws of one replicate that a task makes at a time, and draws of all replicates that meet a chunk of rows (in the mean).
-BLOCK, MEET = 1 << 17, 1 << 22
+BLOCK, MEET = 1 << 17, 1 << 20
 
 
 def _quantiles(values: np.ndarray, alpha: float) -> tuple[float, float]:
