@@ -1088,7 +1088,8 @@ FLAGS = f"e AS (SELECT dialect, doc_id, passed::INT AS p, (n_chars > 700)::INT A
 
 
 def flags(spark, sf_dir):
-    return eval_rows(spark, sf_dir).select("dialect", "doc_id", F.col("passed").cast("int").alias("p"), (F.col("n_chars") > 700).cast("int").alias("q"))
+    """Both sides of the join are shuffled: labels, a few bytes a row in their file, are else broadcast from the driver by the million."""
+    return eval_rows(spark, sf_dir, "merge").select("dialect", "doc_id", F.col("passed").cast("int").alias("p"), (F.col("n_chars") > 700).cast("int").alias("q"))
 
 
 @query("hash_bootstrap_ci", f"WITH {FLAGS}, {DRAWS} SELECT dialect, quantile_cont(p, 0.025) AS ci_low, quantile_cont(p, 0.975) AS ci_high, avg((p <= 0)::INT::DOUBLE) AS p_value FROM m GROUP BY dialect")

@@ -35,7 +35,9 @@ EVAL = """SELECT d.doc_id, d.text, d.lang AS dialect, d.source AS model, d.n_cha
   quality = 1 AS passed, toxic = 1 AS flagged FROM documents d JOIN labels l USING (doc_id)"""
 
 
-def eval_rows(spark, sf_dir):
+def eval_rows(spark, sf_dir, hint=None):
+    """The rows of ``EVAL``; a hint names the join, which else may send all labels through the driver."""
     flags = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("passed"), (F.col("toxic") == 1).alias("flagged"))
+    flags = flags.hint(hint) if hint else flags
     docs = table(spark, sf_dir, "documents")
     return docs.join(flags, "doc_id").select("doc_id", "text", F.col("lang").alias("dialect"), F.col("source").alias("model"), "n_chars", (F.col("doc_id") % 3).alias("seed"), "passed", "flagged")

@@ -270,6 +270,20 @@ def test_drawn_bootstraps_by_the_generator(spark):
         assert (r.low, r.high, r.delta) == (pytest.approx(sums[25]), pytest.approx(sums[975]), pytest.approx(diff.mean()))
 
 
+@pytest.mark.parametrize("name", ["hash_bootstrap_ci"])
+def test_drawn_bootstrap_broadcasts_no_table(spark, monkeypatch, name):
+    """The rows that a query numbers are joined by shuffles: no table of the input passes the driver, however small its file."""
+    plans, write = [], statistics.write_in_order
+
+    def watched(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, *args)
+
+    monkeypatch.setattr(statistics, "write_in_order", watched)
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 4
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_trial_inputs_of_parts(spark):
     """The query's inputs against the rule, argument by argument."""
     from tallymill.functions import text, trials
