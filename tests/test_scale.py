@@ -270,7 +270,7 @@ def test_drawn_bootstraps_by_the_generator(spark):
         assert (r.low, r.high, r.delta) == (pytest.approx(sums[25]), pytest.approx(sums[975]), pytest.approx(diff.mean()))
 
 
-@pytest.mark.parametrize("name", ["hash_bootstrap_ci"])
+@pytest.mark.parametrize("name", ["hash_bootstrap_ci", "order_stat_bootstrap"])
 def test_drawn_bootstrap_broadcasts_no_table(spark, monkeypatch, name):
     """The rows that a query numbers are joined by shuffles: no table of the input passes the driver, however small its file."""
     plans, write = [], statistics.write_in_order
