@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Sequence
 from statistics import NormalDist
 
@@ -137,6 +138,29 @@ def _drawn(n_keys: int, size: int, chunk: int, names: list[str]):
     return run
 
 
+def _pack(places: bytes) -> bytes:
+    """Sorted places of two bytes as a byte that tells a gap's width, and the gaps in a Huffman code: some three bits a draw."""
+    gaps = np.diff(np.frombuffer(places, "<u2"), prepend=np.uint16(0))
+    width = 1 if gaps.max(initial=0) < 256 else 2
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    return bytes([width]) + coder.compress(gaps.astype(f"<u{width}").tobytes()) + coder.flush()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw[1:], -15), f"<u{raw[0]}"), dtype=np.int64)
+
+
+def _packed(drawn):
+    """The batches of :func:`_drawn` with their places packed."""
+
+    def run(batches):
+        for batch in drawn(batches):
+            columns = [pa.array(map(_pack, c.to_pylist()), pa.binary()) if name == "_places" else c for name, c in zip(batch.schema.names, batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return run
+
+
 def _met(n_keys: int, whole: list[bool], chunk: int, resamples: int, names: list[str]):
     """Sums and counts of each value over the draws of each replicate that fall into a chunk; null values count in neither."""
 
@@ -153,7 +177,7 @@ def _met(n_keys: int, whole: list[bool], chunk: int, resamples: int, names: list
         sums = [np.zeros(resamples, x.dtype) for x in values]
         counts = [np.zeros(resamples, np.int64) for _ in values]
         for b, raw in zip(draws.column("b").to_pylist(), draws.column("_places")):
-            at = np.frombuffer(raw.as_buffer(), "<u2")
+            at = _unpack(raw.as_py())
             for v in range(len(values)):
                 sums[v][b] += values[v][at].sum()
                 counts[v][b] += np.count_nonzero(there[v][at])
@@ -167,8 +191,9 @@ def hash_bootstrap(df: DataFrame, keys: Sequence[str], values: Sequence[str], or
     """Replicate means of each value column by a bootstrap whose draws any SQL engine repeats: keys, b, mean_<value>.
 
     Draw j of replicate b is the row of number md5("b:j") (its first 32 bits) modulo the cell's rows.  Rows are numbered over ranges of a sort and cut into
-    chunks; draws are made in blocks, by as many tasks as there is work for, and travel as two bytes each to the chunk they fall on.  So a task holds a
-    chunk's values and the draws on it, some ``MEET``, whatever the cell's size.  Cells with a null key have no result; a null value is not counted.
+    chunks; draws are made in blocks, by as many tasks as there is work for, and travel as gaps of some three bits each to the chunk they fall on.  So a task
+    holds a chunk's values and the draws on it, some ``MEET``, whatever the cell's size.  Chunks are dealt out by number, a few a task, where adaptive
+    execution would bring 64 MB of draws into each.  Cells with a null key have no result; a null value is not counted.
     """
     spark, n_keys = df.sparkSession, len(keys)
     chunk = max(1, min(1 << 16, MEET // resamples))
@@ -183,16 +208,19 @@ def hash_bootstrap(df: DataFrame, keys: Sequence[str], values: Sequence[str], or
     placed = rows.join(sizes, list(keys)).select(*keys, F.floor(r / chunk).alias("_chunk"), (r % chunk).cast("int").alias("_place"), *(f"_{k}" for k in range(len(values))))
 
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * resamples // MEET)
+    work = total * resamples // MEET
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), work)
+    meetings = max(spark.sparkContext.defaultParallelism, work // 4)
     blocks = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))).alias("_block"))
     blocks = blocks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(tasks, "b", "_block").sortWithinPartitions("b", "_block", F.col("n").desc())
     key_types = [f"`{k}` {types[k]}" for k in keys]
     names = [*keys, "_chunk", "b", "_places"]
-    draws = blocks.mapInArrow(_drawn(n_keys, BLOCK, chunk, names), ", ".join([*key_types, "_chunk long, b int, _places binary"]))
+    draws = blocks.mapInArrow(_packed(_drawn(n_keys, BLOCK, chunk, names)), ", ".join([*key_types, "_chunk long, b int, _places binary"]))
 
     names = [*keys, "b", *(f"_sum{k}" for k in range(len(values))), *(f"_n{k}" for k in range(len(values)))]
     kinds = [*key_types, "b int", *(f"_sum{k} {'long' if w else 'double'}" for k, w in enumerate(whole)), *(f"_n{k} long" for k in range(len(values)))]
-    parts = placed.groupBy(*keys, "_chunk").cogroup(draws.groupBy(*keys, "_chunk")).applyInArrow(_met(n_keys, whole, chunk, resamples, names), ", ".join(kinds))
+    placed, draws = (side.repartition(meetings, *keys, "_chunk").groupBy(*keys, "_chunk") for side in (placed, draws))
+    parts = placed.cogroup(draws).applyInArrow(_met(n_keys, whole, chunk, resamples, names), ", ".join(kinds))
     means = [(F.sum(f"_sum{k}").cast("double") / F.nullif(F.sum(f"_n{k}"), F.lit(0))).alias(f"mean_{v}") for k, v in enumerate(values)]
     return parts.groupBy(*keys, "b").agg(*means)
 

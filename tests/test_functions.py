@@ -254,6 +254,34 @@ def test_hash_bootstrap_interval_of_a_large_cell(spark):
     assert np.allclose([got.ci_low, got.ci_high, got.p_value], [*np.quantile(means, [0.025, 0.975]), 0])
 
 
+def test_hash_bootstrap_deals_out_chunks(spark, monkeypatch, tmp_path):
+    """Chunks meet their draws in as many tasks as the draws ask for, not in the few that adaptive execution would make, and a draw travels in less than a byte."""
+    from pyspark import TaskContext
+
+    n, resamples, met, to = 20_000, 200, statistics._met, str(tmp_path)
+    monkeypatch.setattr(statistics, "MEET", 1 << 16)
+
+    def watched(*args):
+        run = met(*args)
+
+        def told(key, rows, draws):
+            with open(f"{to}/{TaskContext.get().partitionId()}", "a") as f:
+                f.write(f"{sum(map(len, draws.column('_places').to_pylist()))}\n")
+            return run(key, rows, draws)
+
+        return told
+
+    monkeypatch.setattr(statistics, "_met", watched)
+    df = spark.range(n).select(F.lit("a").alias("g"), "id", (F.col("id") % 7 == 0).cast("int").alias("p"))
+    got = {r.b: r.mean_p for r in statistics.hash_bootstrap(df, ["g"], ["p"], "id", resamples).collect()}
+    flags = np.arange(n) % 7 == 0
+    assert got == {b: flags[statistics._digests(b, 0, n).astype(np.int64) % n].mean() for b in range(resamples)}
+    tasks = [[int(x) for x in p.read_text().split()] for p in tmp_path.iterdir()]
+    assert len(tasks) > 8 and sum(map(len, tasks)) == -(-n // ((1 << 16) // resamples)) and sum(map(sum, tasks)) < n * resamples
+    for places in ([], [0], [7, 7, 7], [0, 255, 256, 511], [255, 511, 65_535]):
+        assert statistics._unpack(statistics._pack(np.array(places, "<u2").tobytes())).tolist() == places
+
+
 def test_order_interval_of_hash_bootstrap(spark):
     """Null values do not lower the replicates, whose sorted values are taken as they are."""
     n = 400
